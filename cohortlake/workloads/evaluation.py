@@ -161,11 +161,11 @@ def _(spark, sf):
     return rounded(points, "threshold", "tpr", "fpr")
 
 
-@query("W10_roc_curve_fine_scores", _auc("fine") + ROC_SQL + "SELECT run, printf('%.6f', threshold) AS threshold, round(tpr,6) AS tpr, round(fpr,6) AS fpr FROM pts")
+@query("W10_roc_curve_fine_scores", _auc("fine") + ROC_SQL + "SELECT run, printf('%.8f', threshold) AS threshold, round(tpr,6) AS tpr, round(fpr,6) AS fpr FROM pts")
 def _(spark, sf):
     points = rounded(curves.roc_points(S.fine_predictions(spark, sf), ["run"], "y", "p"), "tpr", "fpr")
     inf = F.col("threshold") == float("inf")
-    return points.withColumn("threshold", F.when(inf, "inf").otherwise(F.format_string("%.6f", "threshold")))
+    return points.withColumn("threshold", F.when(inf, "inf").otherwise(F.format_string("%.8f", "threshold")))
 
 
 @query("W11_pr_curve", _auc("docs") + """SELECT c.run, round(p,6) AS threshold, round(tp/(tp+fp),6) AS precision, round(CASE WHEN a.n_p>0 THEN tp/a.n_p ELSE 1 END,6) AS recall FROM c JOIN a USING (run)
