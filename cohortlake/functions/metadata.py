@@ -109,9 +109,28 @@ def image_info(fmt: Column, affine: Column, shape: Column) -> Column:
     )
 
 
+def fixed_text(value: Column, digits: int) -> Column:
+    """``%.<digits>f`` of the exact binary value, ties to even, as most languages print it.
+
+    The built-in formatter rounds the shortest decimal form half up, which differs when that
+    form ends in 5.  The comparison with the midpoint stays exact because the value is split
+    into a 24-bit head and the remainder before it is scaled.  Null stays null.
+    """
+    x = F.abs(value.cast("double"))
+    scale = 10**digits
+    k = F.floor(x * scale)
+    head = x.cast("float").cast("double")
+    off = (head * (2 * scale) - (2 * k + 1)) + (x - head) * (2 * scale)
+    up = F.when(off > 0, 1).when(off < 0, 0).otherwise(k % 2)
+    near = F.format_string(f"%.{digits}f", (k + up) / F.lit(float(scale)))
+    text = F.when(x < 2.0**52 / (4 * scale), near).otherwise(F.format_string(f"%.{digits}f", x))
+    text = F.when(F.isnan(x), "nan").when(x == float("inf"), "inf").otherwise(text)
+    return F.when(value.isNotNull(), F.concat(F.when(value < 0, "-").otherwise(""), text))
+
+
 def fixed(value: Column, digits: int = 4) -> Column:
     """Metric as fixed-width text; null becomes N/A."""
-    return F.coalesce(F.format_string(f"%.{digits}f", value.cast("double")), F.lit("N/A"))
+    return F.coalesce(fixed_text(value, digits), F.lit("N/A"))
 
 
 def metric_number(text: Column) -> Column:
@@ -151,9 +170,9 @@ def content_fingerprint(length: Column, modified: Column, content: Column) -> Co
 
 def state_hash(shape: Column, spacing: Column, affine: Column, mean: Column, std: Column, mask_mean: Column | None = None) -> Column:
     """sha256 of a volume's layout and rounded moments."""
-    bits = [shape, spacing, affine, F.format_string("%.6f", mean), F.format_string("%.6f", std)]
+    bits = [shape, spacing, affine, fixed_text(mean, 6), fixed_text(std, 6)]
     if mask_mean is not None:
-        bits.append(F.concat(F.lit("mask"), F.format_string("%.6f", mask_mean)))  # nulls are skipped by concat_ws
+        bits.append(F.concat(F.lit("mask_"), fixed_text(mask_mean, 6)))  # nulls are skipped by concat_ws
     return F.sha2(F.concat_ws("_", *bits), 256)
 
 

@@ -53,7 +53,7 @@ def count_where(cond: Column) -> Column:
 
 def cohort_statistics(index: DataFrame) -> DataFrame:
     """One row: scans, subjects, per-diagnosis and per-sex counts, mean age, site histogram."""
-    sites = F.coalesce(F.col("site"), F.lit("Unknown"))
+    sites = F.coalesce(F.col("site").cast("string"), F.lit("Unknown"))
     whole = index.agg(
         F.count("*").alias("total_mri_scans"),
         F.countDistinct("subject_id").alias("indexed_subjects"),
