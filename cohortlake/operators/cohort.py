@@ -176,11 +176,11 @@ def index_violations(index: DataFrame, found: DataFrame | None = None) -> DataFr
 
     Rules: required fields present, path found, subject unique, path unique.
     """
-    key = F.coalesce("subject_id", "path", F.lit("?"))
+    key = F.coalesce(F.col("subject_id").cast("string"), F.col("path"), F.lit("?"))
     rows = []
     for f in REQUIRED_INDEX:
         rows.append(
-            index.where(F.coalesce(F.col(f), F.lit("")) == "").select(
+            index.where(F.coalesce(F.col(f).cast("string"), F.lit("")) == "").select(
                 F.lit(1).alias("rule_no"), F.lit(f"missing field {f}").alias("rule"), key.alias("entry")
             )
         )
@@ -193,7 +193,7 @@ def index_violations(index: DataFrame, found: DataFrame | None = None) -> DataFr
     for no, c, rule in ((3, "subject_id", "duplicate subject"), (4, "path", "duplicate path")):
         rows.append(
             index.where(F.col(c).isNotNull()).groupBy(c).count().where("count > 1").select(
-                F.lit(no).alias("rule_no"), F.lit(rule).alias("rule"), F.col(c).alias("entry")
+                F.lit(no).alias("rule_no"), F.lit(rule).alias("rule"), F.col(c).cast("string").alias("entry")
             )
         )
     out = rows[0]

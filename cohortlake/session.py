@@ -35,3 +35,10 @@ def checkpointed(df: DataFrame) -> DataFrame:
     """Reliable checkpoint: later stages read files, so a lost executor cannot change the rows."""
     shared_dir(df.sparkSession)
     return df.checkpoint()
+
+
+def materialised(df: DataFrame, name: str) -> DataFrame:
+    """Write to the shared folder and read back: a short lineage for data that several later steps read."""
+    path = fresh_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
