@@ -9,8 +9,8 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# fixed values: world axis and direction of each orientation letter
-LETTERS = {"R": (0, 1), "L": (0, -1), "A": (1, 1), "P": (1, -1), "S": (2, 1), "I": (2, -1)}
+# fixed values: orientation letters, two per world axis
+LETTERS = "RLAPSI"
 
 
 def cell(affine: Column, r: int, c: int) -> Column:
@@ -63,20 +63,10 @@ def orientation(affine: Column) -> Column:
 
 def axis_source(codes: Column, target: Column, t: int) -> Column:
     """Input axis (0..2) that becomes output axis ``t`` when going from ``codes`` to ``target``."""
-    letter = F.substring(target, t + 1, 1)
-    out = F.lit(None).cast("int")
-    for a in range(3):
-        mine = F.substring(codes, a + 1, 1)
-        hit = F.lit(False)
-        for x, (wx, _) in LETTERS.items():
-            for y, (wy, _) in LETTERS.items():
-                if wx == wy:
-                    hit = hit | ((letter == x) & (mine == y))
-        out = F.when(hit, a).otherwise(out)
-    return out
+    worlds = lambda c: F.translate(c, LETTERS, "001122")
+    return F.position(F.substring(worlds(target), t + 1, 1), worlds(codes)) - 1
 
 
 def axis_flipped(codes: Column, target: Column, t: int) -> Column:
     """Whether output axis ``t`` runs against its input axis."""
-    letter = F.substring(target, t + 1, 1)
-    return ~F.contains(codes, letter)
+    return ~F.contains(codes, F.substring(target, t + 1, 1))

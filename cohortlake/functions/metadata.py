@@ -161,11 +161,14 @@ def stable_params(params: Column) -> Column:
     return F.concat_ws(",", pairs)
 
 
-def content_fingerprint(length: Column, modified: Column, content: Column) -> Column:
-    """sha256 over ``size_mtime`` and the first megabyte, the part that identifies a file; '' without a file."""
+def content_fingerprint(length: Column, modified: Column, content: Column, head: int | None = None) -> Column:
+    """sha256 over ``size_mtime`` and the content; '' without a file.
+
+    ``head`` limits the content to its first bytes (1048576 gives the usual quick hash).
+    """
     stamp = F.concat(length.cast("string"), F.lit("_"), modified.cast("string"))
-    head = F.substring(content, 1, 1048576)
-    return F.when(length.isNull(), "").otherwise(F.sha2(F.concat(stamp.cast("binary"), head), 256))
+    body = content if head is None else F.substring(content, 1, head)
+    return F.when(length.isNull(), "").otherwise(F.sha2(F.concat(stamp.cast("binary"), body), 256))
 
 
 def state_hash(shape: Column, spacing: Column, affine: Column, mean: Column, std: Column, mask_mean: Column | None = None) -> Column:

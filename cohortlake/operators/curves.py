@@ -9,15 +9,20 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortlake.operators.ordered import running, with_value_bucket
 
+STEP = ("pos", "neg")
+
 
 def score_table(df: DataFrame, by: Sequence[str], y: str, score: str) -> DataFrame:
-    """Per distinct score: pos, neg, and tp / fp = counts at this score or above."""
-    tied = df.groupBy(*by, F.col(score).alias("score")).agg(
+    """Per distinct score: pos, neg; tp / fp = counts at this score or above; n_pos / n_neg = group totals.
+
+    ``above`` and ``below`` hold the (pos, neg) of the next higher and next lower score.
+    """
+    tied = df.groupBy(*by, F.col(score).cast("double").alias("score")).agg(
         F.count_if(F.col(y) == 1).alias("pos"), F.count_if(F.col(y) != 1).alias("neg")
     )
     return running(
@@ -27,39 +32,36 @@ def score_table(df: DataFrame, by: Sequence[str], y: str, score: str) -> DataFra
         ["score"],
         {"tp": (F.sum, F.col("pos")), "fp": (F.sum, F.col("neg"))},
         descending=True,
+        totals={"n_pos": F.col("pos"), "n_neg": F.col("neg")},
+        previous={"above": F.struct(*STEP)},
+        following={"below": F.struct(*STEP)},
     )
 
 
-def _totals(table: DataFrame, by: Sequence[str]) -> DataFrame:
-    return table.groupBy(*by).agg(F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"))
+def _rate(a: str, b: str):
+    return F.try_divide(F.col(a).cast("double"), F.col(b).cast("double"))
 
 
-def _with_totals(table: DataFrame, by: Sequence[str]) -> DataFrame:
-    return table.join(_totals(table, by), list(by))
-
-
-def ranking_scores(df: DataFrame, by: Sequence[str], y: str, score: str, undefined: float = 0.5) -> DataFrame:
-    """``roc_auc`` (tie-corrected) and ``pr_auc`` (average precision) per group; 0.5 with one class.
+def ranking_columns(undefined: float = 0.5) -> list:
+    """Aggregates over a score table: ``roc_auc`` (tie-corrected) and ``pr_auc`` (average precision).
 
-    Each distinct score adds pos * (negatives below + half of the tied ones) to the
-    rank statistic, and its recall step times the precision reached to the average precision.
+    Each distinct score loses pos * (negatives above + half of the tied ones) from the rank
+    statistic, and adds its recall step times the precision reached to the average precision.
     """
-    table = score_table(df, by, y, score)
     pos, neg = F.col("pos").cast("double"), F.col("neg").cast("double")
-    sums = table.groupBy(*by).agg(
-        F.sum("pos").cast("double").alias("n_pos"),
-        F.sum("neg").cast("double").alias("n_neg"),
-        # sum of pos * (fp - neg / 2): negatives scored higher, half the ties
-        F.sum(pos * (F.col("fp") - neg / 2)).alias("lost"),
-        F.sum(pos * F.col("tp") / (F.col("tp") + F.col("fp"))).alias("hits"),
-    )
-    both = (F.col("n_pos") > 0) & (F.col("n_neg") > 0)
-    return sums.select(
-        *by,
-        F.when(both, 1.0 - F.try_divide(F.col("lost"), F.col("n_pos") * F.col("n_neg")))
-        .otherwise(undefined).alias("roc_auc"),
-        F.when(both, F.try_divide(F.col("hits"), F.col("n_pos"))).otherwise(undefined).alias("pr_auc"),
-    )
+    n_pos, n_neg = F.sum("pos").cast("double"), F.sum("neg").cast("double")
+    both = (n_pos > 0) & (n_neg > 0)
+    lost = F.sum(pos * (F.col("fp") - neg / 2))
+    hits = F.sum(pos * F.col("tp") / (F.col("tp") + F.col("fp")))
+    return [
+        F.when(both, 1.0 - F.try_divide(lost, n_pos * n_neg)).otherwise(undefined).alias("roc_auc"),
+        F.when(both, F.try_divide(hits, n_pos)).otherwise(undefined).alias("pr_auc"),
+    ]
+
+
+def ranking_scores(df: DataFrame, by: Sequence[str], y: str, score: str, undefined: float = 0.5) -> DataFrame:
+    """``roc_auc`` and ``pr_auc`` per group; 0.5 where the truth holds one class."""
+    return score_table(df, by, y, score).groupBy(*by).agg(*ranking_columns(undefined))
 
 
 def roc_auc(df: DataFrame, by: Sequence[str], y: str, score: str) -> DataFrame:
@@ -88,68 +90,38 @@ def roc_points(df: DataFrame, by: Sequence[str], y: str, score: str, drop_collin
     A point stays if the step into it differs from the step out of it, or if it is an end of the curve.
     """
     table = score_table(df, by, y, score)
-    here = Window.partitionBy(*by, "_bucket").orderBy(F.desc("score"))
-    step = F.struct("pos", "neg")
-    # first step of every bucket, so that the last row of the bucket above can look across the cut
-    heads = table.groupBy(*by, "_bucket").agg(F.max_by(step, F.col("score")).alias("_head"))
-    across = Window.partitionBy(*by).orderBy(F.desc("_bucket"))
-    heads = heads.select(
-        *by, "_bucket",
-        F.lead("_head").over(across).alias("_next_head"),
-        (F.row_number().over(across) == 1).alias("_top"),
-    )
-    joined = _with_totals(table.join(heads, [*by, "_bucket"]), by)
-    joined = joined.withColumn("_next", F.coalesce(F.lead(step).over(here), F.col("_next_head"))).withColumn(
-        "_first", F.col("_top") & (F.row_number().over(here) == 1)
-    )
+    top, end = F.col("above").isNull(), F.col("below").isNull()
     if drop_collinear:
-        joined = joined.where(
-            F.col("_first") | F.col("_next").isNull()
-            | (F.col("_next.pos") != F.col("pos")) | (F.col("_next.neg") != F.col("neg"))
-        )
-    rate = lambda a, b: F.try_divide(F.col(a).cast("double"), F.col(b).cast("double"))
-    points = joined.select(
-        *by, F.col("score").cast("double").alias("threshold"),
-        rate("tp", "n_pos").alias("tpr"), rate("fp", "n_neg").alias("fpr"),
-    )
-    origin = _totals(table, by).select(
-        *by, F.lit(float("inf")).alias("threshold"), F.lit(0.0).alias("tpr"), F.lit(0.0).alias("fpr")
+        table = table.where(top | end | (F.struct(*STEP) != F.col("below")))
+    point = F.struct(
+        F.col("score").alias("threshold"), _rate("tp", "n_pos").alias("tpr"), _rate("fp", "n_neg").alias("fpr")
     )
-    return origin.unionByName(points)
+    origin = F.struct(F.lit(float("inf")).alias("threshold"), F.lit(0.0).alias("tpr"), F.lit(0.0).alias("fpr"))
+    rows = F.when(top, F.array(origin, point)).otherwise(F.array(point))
+    return table.select(*by, F.explode(rows).alias("p")).select(*by, "p.*")
 
 
 def pr_points(df: DataFrame, by: Sequence[str], y: str, score: str) -> DataFrame:
     """(threshold, precision, recall) per distinct score plus the closing (null, 1, 0)."""
-    table = _with_totals(score_table(df, by, y, score), by)
-    points = table.select(
-        *by,
-        F.col("score").cast("double").alias("threshold"),
+    table = score_table(df, by, y, score)
+    point = F.struct(
+        F.col("score").alias("threshold"),
         (F.col("tp") / (F.col("tp") + F.col("fp"))).alias("precision"),
-        F.coalesce(F.try_divide(F.col("tp").cast("double"), F.col("n_pos").cast("double")), F.lit(1.0)).alias("recall"),
+        F.coalesce(_rate("tp", "n_pos"), F.lit(1.0)).alias("recall"),
     )
-    closing = _totals(table, by).select(
-        *by, F.lit(None).cast("double").alias("threshold"), F.lit(1.0).alias("precision"), F.lit(0.0).alias("recall")
+    closing = F.struct(
+        F.lit(None).cast("double").alias("threshold"), F.lit(1.0).alias("precision"), F.lit(0.0).alias("recall")
     )
-    return points.unionByName(closing)
+    rows = F.when(F.col("above").isNull(), F.array(closing, point)).otherwise(F.array(point))
+    return table.select(*by, F.explode(rows).alias("p")).select(*by, "p.*")
 
 
 def trapezoid_auc(points: DataFrame, by: Sequence[str]) -> DataFrame:
-    """Area under ROC points from :func:`roc_points` by the trapezoid rule.
-
-    Thresholds are bucketed again so the neighbour look-back stays inside small windows;
-    the last point of each bucket is handed to the next one.
-    """
+    """Area under ROC points from :func:`roc_points` by the trapezoid rule."""
     finite = points.where(F.col("threshold") < float("inf"))
-    cut = with_value_bucket(finite, "threshold")
-    pt = F.struct("fpr", "tpr")
-    across = Window.partitionBy(*by).orderBy(F.desc("_bucket"))
-    tails = cut.groupBy(*by, "_bucket").agg(F.min_by(pt, F.col("threshold")).alias("_tail")).select(
-        *by, "_bucket", F.lag("_tail").over(across).alias("_prev_tail")
-    )
-    here = Window.partitionBy(*by, "_bucket").orderBy(F.desc("threshold"))
-    origin = F.struct(F.lit(0.0).alias("fpr"), F.lit(0.0).alias("tpr"))
-    steps = cut.join(tails, [*by, "_bucket"]).withColumn(
-        "_prev", F.coalesce(F.lag(pt).over(here), F.col("_prev_tail"), origin)
+    steps = running(
+        with_value_bucket(finite, "threshold"), by, "_bucket", ["threshold"], {},
+        descending=True, previous={"_from": F.struct("fpr", "tpr")},
     )
-    area = (F.col("fpr") - F.col("_prev.fpr")) * (F.col("tpr") + F.col("_prev.tpr")) / 2
-    return steps.groupBy(*by).agg(F.sum(area).alias("auc"))
+    x, h = F.coalesce(F.col("_from.fpr"), F.lit(0.0)), F.coalesce(F.col("_from.tpr"), F.lit(0.0))
+    return steps.groupBy(*by).agg(F.sum((F.col("fpr") - x) * (F.col("tpr") + h) / 2).alias("auc"))

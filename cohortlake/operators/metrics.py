@@ -119,18 +119,36 @@ def classification_report(cells: DataFrame, by: Sequence[str]) -> DataFrame:
 
 
 def binary_summary(df: DataFrame, by: Sequence[str], y: str, score: str, threshold: float = 0.5) -> DataFrame:
-    """One row per group: the seven measures used to compare runs and folds."""
-    from cohortlake.operators.curves import ranking_scores
-
-    pred = df.withColumn("_pred", F.when(F.col(score) >= threshold, 1).otherwise(0))
-    cells = confusion_counts(pred, by, y, "_pred")
-    macro = class_scores(cells, by).groupBy(*by).agg(F.avg("f1").alias("macro_f1"))
-    out = accuracy(cells, by)
-    for part in (
-        ranking_scores(df, by, y, score),
-        macro,
-        balanced_accuracy(cells, by),
-        sensitivity_specificity(cells, by),
-    ):
-        out = out.join(part, list(by))
-    return out
+    """One row per group: the seven measures used to compare runs and folds.
+
+    Everything comes from one table of distinct scores: the ranking measures from its running
+    counts, the others from its totals on either side of the threshold.
+    """
+    from cohortlake.operators.curves import ranking_columns, score_table
+
+    high = F.col("score") >= threshold
+    side = lambda c, cond: F.sum(F.when(cond, F.col(c)).otherwise(0))
+    sums = score_table(df, by, y, score).groupBy(*by).agg(
+        *ranking_columns(),
+        side("pos", high).alias("tp"), side("neg", high).alias("fp"),
+        side("pos", ~high).alias("fn"), side("neg", ~high).alias("tn"),
+    )
+    tp, fp, fn, tn = (F.col(c) for c in ("tp", "fp", "fn", "tn"))
+    p, n = tp + fn, tn + fp
+    sens, spec = ratio(tp, p), ratio(tn, n)
+    # means over the classes that occur: in truth or prediction for F1, in truth for recall
+    f1 = F.array(
+        F.when(tp + fp + fn > 0, ratio(2 * tp, 2 * tp + fp + fn)), F.when(tn + fp + fn > 0, ratio(2 * tn, 2 * tn + fp + fn))
+    )
+    recall = F.array(F.when(p > 0, sens), F.when(n > 0, spec))
+
+    def mean(values: Column) -> Column:
+        known = F.filter(values, lambda v: v.isNotNull())
+        return F.aggregate(known, F.lit(0.0), lambda a, v: a + v) / F.size(known)
+
+    both = (p > 0) & (n > 0)
+    return sums.select(
+        *by, ratio(tp + tn, p + n).alias("accuracy"), "roc_auc", "pr_auc", mean(f1).alias("macro_f1"),
+        mean(recall).alias("balanced_accuracy"), F.when(both, sens).otherwise(0.0).alias("sensitivity"),
+        F.when(both, spec).otherwise(0.0).alias("specificity"),
+    )

@@ -41,33 +41,49 @@ def running(
     aggs: dict[str, tuple[Callable[[Column], Column], Column]],
     descending: bool = False,
     inclusive: bool = True,
+    totals: dict[str, Column] | None = None,
+    previous: dict[str, Column] | None = None,
+    following: dict[str, Column] | None = None,
 ) -> DataFrame:
-    """Running sum / max / min along ``order`` inside each ``keys`` group.
+    """Running sum / max / min along ``order`` inside each ``keys`` group, in one pass.
 
     ``bucket`` must be monotone in ``order``.  ``aggs`` maps an output column to
-    ``(F.sum | F.max | F.min, input)``.  With ``inclusive=False`` the current row is left out.
+    ``(F.sum | F.max | F.min, input)``; with ``inclusive=False`` the current row is left out.
+    ``totals`` adds whole-group sums.  ``previous`` and ``following`` add a value of the
+    neighbouring row, also across a bucket border; they need a single, distinct order column.
     """
-    keys = list(keys)
+    keys, totals, previous, following = list(keys), totals or {}, previous or {}, following or {}
     way = F.desc if descending else F.asc
-    totals = df.groupBy(*keys, bucket).agg(*[fn(c).alias(f"_t_{o}") for o, (fn, c) in aggs.items()])
-    earlier = Window.partitionBy(*keys).orderBy(way(bucket)).rowsBetween(Window.unboundedPreceding, -1)
-    carry = totals.select(
-        *keys, bucket, *[fn(F.col(f"_t_{o}")).over(earlier).alias(f"_c_{o}") for o, (fn, _) in aggs.items()]
+    first, last = (F.max_by, F.min_by) if descending else (F.min_by, F.max_by)
+    per_bucket = df.groupBy(*keys, bucket).agg(
+        *[fn(c).alias(f"_t_{o}") for o, (fn, c) in aggs.items()],
+        *[F.sum(c).alias(f"_t_{o}") for o, c in totals.items()],
+        *[last(c, F.col(order[0])).alias(f"_t_{o}") for o, c in previous.items()],
+        *[first(c, F.col(order[0])).alias(f"_t_{o}") for o, c in following.items()],
     )
-    here = (
-        Window.partitionBy(*keys, bucket)
-        .orderBy(*[way(c) for c in order])
-        .rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
+    buckets = Window.partitionBy(*keys).orderBy(way(bucket))
+    earlier, whole = buckets.rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy(*keys)
+    carry = per_bucket.select(
+        *keys,
+        bucket,
+        *[fn(F.col(f"_t_{o}")).over(earlier).alias(f"_c_{o}") for o, (fn, _) in aggs.items()],
+        *[F.sum(f"_t_{o}").over(whole).alias(f"_c_{o}") for o in totals],
+        *[F.lag(f"_t_{o}").over(buckets).alias(f"_c_{o}") for o in previous],
+        *[F.lead(f"_t_{o}").over(buckets).alias(f"_c_{o}") for o in following],
     )
+    inside = Window.partitionBy(*keys, bucket).orderBy(*[way(c) for c in order])
+    here = inside.rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
     merge = {
         F.sum: lambda a, b: F.coalesce(a, F.lit(0)) + F.coalesce(b, F.lit(0)),
         F.max: F.greatest,
         F.min: F.least,
     }
-    joined = df.join(carry, [*keys, bucket])
-    return joined.select(
+    return df.join(carry, [*keys, bucket]).select(
         *df.columns,
         *[merge[fn](F.col(f"_c_{o}"), fn(c).over(here)).alias(o) for o, (fn, c) in aggs.items()],
+        *[F.col(f"_c_{o}").alias(o) for o in totals],
+        *[F.coalesce(F.lag(c).over(inside), F.col(f"_c_{o}")).alias(o) for o, c in previous.items()],
+        *[F.coalesce(F.lead(c).over(inside), F.col(f"_c_{o}")).alias(o) for o, c in following.items()],
     )
 
 

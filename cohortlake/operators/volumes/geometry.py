@@ -182,24 +182,26 @@ def reorient(slabs: DataFrame, affines: DataFrame, target: str = "RAS", current:
     """
     if current is None:
         current = affines.select("scan_id", A.orientation(F.col("affine")).alias("codes"), F.lit(target).alias("target"))
-    codes, goal = F.col("codes"), F.col("target")
-    source = [A.axis_source(codes, goal, t) for t in range(3)]
-    flipped = [A.axis_flipped(codes, goal, t) for t in range(3)]
-    out = permute(slabs.join(current, "scan_id"), source, flipped)
-    sizes = affines.join(current, "scan_id").join(shape_of(slabs), "scan_id")
+    # worked out once per scan, then joined
+    turn = current.select(
+        "scan_id", "codes", "target",
+        *[A.axis_source(F.col("codes"), F.col("target"), t).alias(f"_s{t}") for t in range(3)],
+        *[A.axis_flipped(F.col("codes"), F.col("target"), t).alias(f"_f{t}") for t in range(3)],
+    )
+    source, flipped = [F.col(f"_s{t}") for t in range(3)], [F.col(f"_f{t}") for t in range(3)]
+    out = permute(slabs.join(turn, "scan_id"), source, flipped)
+    sizes = affines.join(turn, "scan_id").join(shape_of(slabs), "scan_id")
     rows = []
     for r in range(3):
         cols, origin = [], A.cell(F.col("affine"), r, 3)
         for t in range(3):
-            a = F.when(source[t] == 0, A.cell(F.col("affine"), r, 0)).when(
-                source[t] == 1, A.cell(F.col("affine"), r, 1)
-            ).otherwise(A.cell(F.col("affine"), r, 2))
-            n = F.when(source[t] == 0, F.col("nx")).when(source[t] == 1, F.col("ny")).otherwise(F.col("nz"))
+            a = F.element_at(F.element_at("affine", r + 1), source[t] + 1)
+            n = F.get(F.array(*AXES), source[t])
             cols.append(F.when(flipped[t], -a).otherwise(a))
             origin = origin + F.when(flipped[t], a * (n - 1)).otherwise(0.0)
         rows.append([*cols, origin])
     moved = sizes.select("scan_id", A.matrix(rows).alias("affine"))
-    return out.select(*slabs.columns), moved, current.select("scan_id", "codes", "target")
+    return out.select(*slabs.columns), moved, turn.select("scan_id", "codes", "target")
 
 
 def previews(slabs: DataFrame) -> DataFrame:

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+BLOCK = ["scan_id", "c", "_b"]
 COLUMNS = ["scan_id", "c", "z", "nx", "ny", "nz", "px"]
 
 
@@ -82,8 +83,7 @@ def by_blocks(
     kinds = dict(slabs.dtypes)
     schema = ", ".join(f"{c} {kinds[c]}" if c != "px" else "px array<double>" for c in COLUMNS)
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("z")
+    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
         head = pdf.iloc[0]
         nx, ny, nz, b = int(head["nx"]), int(head["ny"]), int(head["nz"]), int(head["_b"])
         cube = np.stack([np.asarray(p, dtype=float).reshape(nx, ny) for p in pdf["px"]])
@@ -96,4 +96,17 @@ def by_blocks(
             }
         )
 
-    return sent.groupBy("scan_id", "c", "_b").applyInPandas(run, schema)
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        # rows arrive sorted by block; the last block of a batch may go on in the next one
+        held = None
+        for pdf in batches:
+            pdf = pdf if held is None else pd.concat([held, pdf], ignore_index=True)
+            key = pdf[BLOCK]
+            starts = np.flatnonzero((key != key.shift()).any(axis=1))
+            for lo, hi in zip(starts, starts[1:]):
+                yield solve(pdf.iloc[lo:hi])
+            held = pdf.iloc[starts[-1] :]
+        if held is not None:
+            yield solve(held)
+
+    return sent.repartition(*BLOCK).sortWithinPartitions(*BLOCK, "z").mapInPandas(run, schema)

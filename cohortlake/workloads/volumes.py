@@ -748,7 +748,7 @@ def _(spark, sf):
     return signed_files(spark, sf).select("page_id", detect_format(F.col("content"), name).alias("format"))
 
 
-@query("P25_content_fingerprint", "SELECT page_id, sha256((strlen(html) || '_' || page_id || html)::BLOB) AS fingerprint FROM pages WHERE page_id%5<>0 UNION ALL SELECT page_id, '' FROM pages WHERE page_id%5=0")
+@query("P25_content_fingerprint", "SELECT page_id, sha256(strlen(html) || '_' || page_id || html) AS fingerprint FROM pages WHERE page_id%5<>0 UNION ALL SELECT page_id, '' FROM pages WHERE page_id%5=0")
 def _(spark, sf):
     length = F.when(F.col("page_id") % 5 != 0, F.octet_length("html"))
     content = F.encode("html", "UTF-8")
