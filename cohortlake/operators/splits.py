@@ -102,8 +102,8 @@ def stratified_split(
     # a cohort too small to stratify becomes a single class
     strata = counts.groupBy("_all", F.when(F.col("_stratify"), F.col(label)).alias("_label")).agg(F.sum("_c").alias("_c"))
     n = F.sum("_c").over(whole)
-    sized = strata.withColumn("_n", n).withColumn("_held", F.ceil(F.lit(held) * F.col("_n") - 1e-9))
-    sized = sized.withColumn("_test", F.ceil(F.lit(test / held) * F.col("_held") - 1e-9))
+    sized = strata.withColumn("_n", n).withColumn("_held", F.ceil(F.lit(held) * F.col("_n")))
+    sized = sized.withColumn("_test", F.ceil(F.lit(test / held) * F.col("_held")))
     sized = _allocate(sized, "_held", F.col("_c") / F.col("_n"), "_held")
     sized = _allocate(sized, "_test", F.col("_q__held") / F.col("_held"), "_test")
     single = counts.groupBy("_all").agg(F.min("_stratify").alias("_stratify"))
@@ -126,7 +126,7 @@ def stratified_kfold(
 ) -> DataFrame:
     """Input rows plus ``fold``: position in (class, hash) order mod k, so fold sizes and class quotas balance.
 
-    With fewer than two classes, or a class smaller than k, plain folds: the first n % k are one larger.
+    Classes come in the order of their smallest subject.  With fewer than two classes, or a class smaller than k, plain folds: the first n % k are one larger.
     """
     keep = [c for c in df.columns if c not in (subject, label)]
     labelled = _subject_labels(df, subject, label, keep).withColumn("_all", F.lit(0))

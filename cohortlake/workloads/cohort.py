@@ -412,7 +412,7 @@ def _(spark, sf):
 
 
 STRAT = f"""{CUST}, c AS (SELECT label, count(*) c FROM s GROUP BY label),
-t AS (SELECT sum(c) n, ceil(0.3::DOUBLE*sum(c)-1e-9) held, ceil(0.5::DOUBLE*ceil(0.3::DOUBLE*sum(c)-1e-9)-1e-9) tst FROM c),
+t AS (SELECT sum(c) n, ceil(0.3::DOUBLE*sum(c)) held, ceil(0.5::DOUBLE*ceil(0.3::DOUBLE*sum(c))) tst FROM c),
 h AS (SELECT label, c, held*(c/n::DOUBLE) e, held, tst FROM c, t),
 hq AS (SELECT *, floor(e) + CASE WHEN row_number() OVER (ORDER BY e-floor(e) DESC, label DESC) <= held - sum(floor(e)) OVER () THEN 1 ELSE 0 END AS qh FROM h),
 tq0 AS (SELECT *, tst*(qh/held::DOUBLE) e2 FROM hq),
@@ -426,7 +426,7 @@ def _(spark, sf):
     return splits.stratified_split(subjects(spark, sf), "subject_id", "label")
 
 
-KF = f"{CUST}, kf AS (SELECT subject_id, label, CAST((row_number() OVER (ORDER BY label, h, subject_id)-1)%5 AS INT) AS fold FROM s)"
+KF = f"{CUST}, kf AS (SELECT subject_id, label, CAST((row_number() OVER (ORDER BY f, h, subject_id)-1)%5 AS INT) AS fold FROM (SELECT *, min(subject_id) OVER (PARTITION BY label) f FROM s))"
 
 
 @query("W06_stratified_kfold", f"WITH {KF} SELECT * FROM kf")

@@ -258,7 +258,7 @@ def _(spark, sf):
 # --- cross-validation -------------------------------------------------------------------------
 
 KFOLD_SQL = """sl AS (SELECT subject, max(y) AS label, min(p) AS p FROM preds GROUP BY subject),
-ord AS (SELECT *, row_number() OVER (ORDER BY label, md5('42:' || subject), subject) - 1 AS pos FROM sl),
+ord AS (SELECT *, row_number() OVER (ORDER BY f, md5('42:' || subject), subject) - 1 AS pos FROM (SELECT *, min(subject) OVER (PARTITION BY label) f FROM sl)),
 folded AS (SELECT CAST(pos % 5 AS VARCHAR) AS run, label AS y, p FROM ord)"""
 CV_SQL = """, bb AS (SELECT run, y, CASE WHEN p>=0.5 THEN 1 ELSE 0 END pred FROM folded),
 cm AS (SELECT run, count(*)::DOUBLE n, count(*) FILTER (y=1 AND pred=1)::DOUBLE tp, count(*) FILTER (y=0 AND pred=0)::DOUBLE tn,
