@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortlake.operators.ordered import running, with_value_bucket
+from cohortlake.operators.ordered import running, value_edges, with_value_bucket
 
 STEP = ("pos", "neg")
 
@@ -26,7 +26,7 @@ def score_table(df: DataFrame, by: Sequence[str], y: str, score: str) -> DataFra
         F.count_if(F.col(y) == 1).alias("pos"), F.count_if(F.col(y) != 1).alias("neg")
     )
     return running(
-        with_value_bucket(tied, "score"),
+        with_value_bucket(tied, "score", value_edges(df, score)),
         by,
         "_bucket",
         ["score"],
@@ -120,7 +120,7 @@ def trapezoid_auc(points: DataFrame, by: Sequence[str]) -> DataFrame:
     """Area under ROC points from :func:`roc_points` by the trapezoid rule."""
     finite = points.where(F.col("threshold") < float("inf"))
     steps = running(
-        with_value_bucket(finite, "threshold"), by, "_bucket", ["threshold"], {},
+        with_value_bucket(finite, "threshold", value_edges(finite, "threshold")), by, "_bucket", ["threshold"], {},
         descending=True, previous={"_from": F.struct("fpr", "tpr")},
     )
     x, h = F.coalesce(F.col("_from.fpr"), F.lit(0.0)), F.coalesce(F.col("_from.tpr"), F.lit(0.0))

@@ -18,14 +18,17 @@ from cohortlake.session import checkpointed
 HASH_PREFIX = 3  # hex digits: 4,096 buckets per group
 
 
-def with_value_bucket(df: DataFrame, col: str, bucket: str = "_bucket", parts: int = 64) -> DataFrame:
-    """Add a range bucket over ``col`` whose edges are approximate quantiles.
+def value_edges(df: DataFrame, col: str, parts: int = 256) -> list[float]:
+    """At most ``parts - 1`` approximate quantiles of ``col``: one pruned scan, sketches only, no shuffle of rows."""
+    return sorted(set(df.approxQuantile(col, [i / parts for i in range(1, parts)], 0.002)))
 
-    The edges are at most ``parts - 1`` literals in the plan, so every recomputation
-    of a lost task sees the same buckets.  They steer balance only, not results.
+
+def with_value_bucket(df: DataFrame, col: str, edges: list[float], bucket: str = "_bucket") -> DataFrame:
+    """Add a range bucket over ``col``.
+
+    The edges are literals in the plan, so every recomputation of a lost task sees the same
+    buckets.  They steer balance only, not results.
     """
-    probs = [i / parts for i in range(1, parts)]
-    edges = sorted(set(df.approxQuantile(col, probs, 0.005)))
     if not edges:
         return df.withColumn(bucket, F.lit(0))
     splits = [float("-inf"), *edges, float("inf")]
@@ -53,6 +56,9 @@ def running(
     neighbouring row, also across a bucket border; they need a single, distinct order column.
     """
     keys, totals, previous, following = list(keys), totals or {}, previous or {}, following or {}
+    # the join below drops null keys anyway; said up front, both of its sides share one shuffle
+    for k in [*keys, bucket]:
+        df = df.where(F.col(k).isNotNull())
     way = F.desc if descending else F.asc
     first, last = (F.max_by, F.min_by) if descending else (F.min_by, F.max_by)
     per_bucket = df.groupBy(*keys, bucket).agg(
@@ -139,7 +145,7 @@ def group_percentiles(
     keys = list(keys)
     counts = df.groupBy(*keys, value).agg(F.count("*").alias("_n"))
     ranked = running(
-        with_value_bucket(counts, value), keys, "_bucket", [value], {"_upto": (F.sum, F.col("_n"))}
+        with_value_bucket(counts, value, value_edges(df, value)), keys, "_bucket", [value], {"_upto": (F.sum, F.col("_n"))}
     )
     totals = df.groupBy(*keys).agg(F.count(value).alias("_total"))
     located = ranked.join(totals, keys)

@@ -8,8 +8,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortlake.functions import affine as A
-from cohortlake.operators.volumes.slabs import COLUMNS, remap, reshaped, reslab, shape_of, voxels
+from cohortlake.operators.volumes.slabs import (
+    COLUMNS,
+    columns_reversed,
+    reshaped,
+    reslab,
+    rows_reversed,
+    shape_of,
+    transposed,
+    voxels,
+    window,
+)
 from cohortlake.operators.volumes.stats import foreground_box, to_grey
+from cohortlake.session import stacked
 
 AXES = ("nx", "ny", "nz")
 
@@ -19,15 +30,15 @@ def flip(slabs: DataFrame, axis: int) -> DataFrame:
     nx, ny = F.col("nx"), F.col("ny")
     if axis == 2:
         return slabs.withColumn("z", F.col("nz") - 1 - F.col("z"))
-    source = (lambda x, y: (nx - 1 - x, y)) if axis == 0 else (lambda x, y: (x, ny - 1 - y))
-    return slabs.withColumn("px", remap(F.col("px"), nx, ny, nx, ny, source))
+    mirrored = rows_reversed if axis == 0 else columns_reversed
+    return slabs.withColumn("px", mirrored(F.col("px"), nx, ny))
 
 
 def translate(slabs: DataFrame, dx: Column | int, dy: Column | int, dz: Column | int) -> DataFrame:
     """Shift by whole voxels; vacated voxels become 0.  Slices shifted out make room for blank ones."""
     nx, ny, nz = F.col("nx"), F.col("ny"), F.col("nz")
     moved = slabs.withColumn("_z", F.col("z") + dz).withColumn("_in", F.col("_z").between(0, nz - 1))
-    px = F.when(F.col("_in"), remap(F.col("px"), nx, ny, nx, ny, lambda x, y: (x - dx, y - dy))).otherwise(
+    px = F.when(F.col("_in"), window(F.col("px"), nx, ny, -dx, -dy, nx, ny)).otherwise(
         F.transform("px", lambda v: v * 0)
     )
     # pmod sends every slice that left at one end to the gap at the other end, as a blank one
@@ -38,7 +49,7 @@ def cut(slabs: DataFrame, origin: Sequence[Column], size: Sequence[Column]) -> D
     """Sub-box starting at ``origin`` with ``size`` voxels; no shuffle."""
     ox, oy, oz = origin
     kept = slabs.where((F.col("z") >= oz) & (F.col("z") < oz + size[2]))
-    px = remap(F.col("px"), F.col("nx"), F.col("ny"), size[0], size[1], lambda x, y: (x + ox, y + oy))
+    px = window(F.col("px"), F.col("nx"), F.col("ny"), ox, oy, size[0], size[1])
     return reshaped(kept, px, F.col("z") - oz, list(size))
 
 
@@ -49,7 +60,7 @@ def place(slabs: DataFrame, offset: Sequence[Column], size: Sequence[Column], fi
     and the input is read once.
     """
     ox, oy, oz = offset
-    px = remap(F.col("px"), F.col("nx"), F.col("ny"), size[0], size[1], lambda x, y: (x - ox, y - oy), fill)
+    px = window(F.col("px"), F.col("nx"), F.col("ny"), -ox, -oy, size[0], size[1], fill)
     here = F.col("z") + oz
     blank_z = F.filter(F.sequence(F.lit(0), (size[2] - 1).cast("int")), lambda z: (z < oz) | (z >= oz + F.col("nz")))
     own = F.array(here.cast("int"))
@@ -146,20 +157,18 @@ def permute(slabs: DataFrame, source: Sequence[Column], flipped: Sequence[Column
         F.when(source[0] == a, flipped[0]).when(source[1] == a, flipped[1]).otherwise(flipped[2]) for a in range(3)
     ]
     back = lambda a, v: F.when(turned[a], n[a] - 1 - v).otherwise(v)
-    same = (source[0] == 0) & (source[1] == 1) & (source[2] == 2) & ~flipped[0] & ~flipped[1]
-
-    def plane_source(x: Column, y: Column):
-        swapped = source[0] == 1
-        return back(0, F.when(swapped, y).otherwise(x)), back(1, F.when(swapped, x).otherwise(y))
-
-    px = F.when(same, F.col("px")).otherwise(remap(F.col("px"), n[0], n[1], size[0], size[1], plane_source))
+    # inside a slice: mirror along the input axes first, then exchange them if needed
+    px = F.col("px")
+    px = F.when(turned[0], rows_reversed(px, n[0], n[1])).otherwise(px)
+    px = F.when(turned[1], columns_reversed(px, n[0], n[1])).otherwise(px)
+    px = F.when(source[0] == 1, transposed(px, n[0], n[1])).otherwise(px)
     plane = reshaped(slabs.where(source[2] == 2), px, back(2, F.col("z")), [size[0], size[1], n[2]]).select(*COLUMNS)
     extra = [c for c in slabs.columns if c not in COLUMNS]
     v = voxels(slabs.where(source[2] != 2), ["nx", "nz", "ny", *extra])
     at = [back(a, F.col(k)) for a, k in enumerate("xyz")]
     coords = [pick(t, at).cast("int").alias(k) for t, k in enumerate("xyz")]
     turned_v = v.select("scan_id", "c", *coords, "v", *[s.alias(k) for s, k in zip(size, AXES)])
-    return plane.unionByName(reslab(turned_v))
+    return stacked(plane, reslab(turned_v))
 
 
 def rotate90(slabs: DataFrame, k: int) -> DataFrame:
@@ -237,7 +246,7 @@ def previews(slabs: DataFrame) -> DataFrame:
         lambda i: F.get(F.get(F.col("_l.line"), (i % F.col("cols")).cast("int")), F.floor(i / F.col("cols")).cast("int")),
     )
     planes = stacked.select("scan_id", "plane", "slice_idx", "rows", "cols", px.alias("px"))
-    return axial.unionByName(planes).select(
+    return stacked(axial, planes).select(
         "scan_id", "plane", "slice_idx", "rows", "cols", to_grey(F.col("px")).alias("image")
     )
 

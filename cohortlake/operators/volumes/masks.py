@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortlake.operators.volumes.slabs import by_blocks
+from cohortlake.operators.volumes.slabs import with_halo
 from cohortlake.operators.volumes.stats import otsu_threshold
 
 
@@ -31,7 +31,7 @@ def _shifted_any(cube: np.ndarray, first: int, wanted: list[int], radius: int) -
 
 
 def dilate(mask: DataFrame, radius: int = 1) -> DataFrame:
-    return by_blocks(mask, radius, lambda cube, first, wanted, _: _shifted_any(cube, first, wanted, radius))
+    return with_halo(mask, radius, lambda cube, first, wanted, _: _shifted_any(cube, first, wanted, radius))
 
 
 def erode(mask: DataFrame, radius: int = 1) -> DataFrame:
@@ -39,7 +39,7 @@ def erode(mask: DataFrame, radius: int = 1) -> DataFrame:
     def kernel(cube, first, wanted, _):
         return [1.0 - s for s in _shifted_any(1.0 - (cube > 0), first, wanted, radius)]
 
-    return by_blocks(mask, radius, kernel)
+    return with_halo(mask, radius, kernel)
 
 
 def closing(mask: DataFrame, radius: int = 1) -> DataFrame:

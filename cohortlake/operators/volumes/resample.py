@@ -1,37 +1,36 @@
 """Regridding: resample to a spacing, resize to a shape.
 
-Linear interpolation is separable.  Columns and rows are interpolated inside each slice first;
-then each slice goes to the few output slices it touches and two of them are blended.
+Interpolation is separable: blocks of output slices fetch the input slices they read, then each
+axis is interpolated in turn.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortlake.functions import affine as A
 from cohortlake.functions.metadata import voxel_spacing
-from cohortlake.operators.volumes.slabs import COLUMNS, shape_of
+from cohortlake.operators.volumes.slabs import COLUMNS, by_blocks, shape_of
+from cohortlake.session import stacked
 
 
-def _in_plane(px: Column, n: Sequence[Column], new: Sequence[Column], ratio: Sequence[Column], nearest: bool) -> Column:
-    """Slice on the new in-plane grid; positions beyond the last pixel's far half are 0."""
-    def pixel(i: Column) -> Column:
-        at = [F.floor(i / new[1]).cast("double") * ratio[0], (i % new[1]).cast("double") * ratio[1]]
-        inside = (at[0] < n[0] - 0.5) & (at[1] < n[1] - 0.5)
-        get = lambda x, y: F.get(px, (x * n[1] + y).cast("int"))
-        if nearest:
-            return F.when(inside, get(F.floor(at[0] + 0.5), F.floor(at[1] + 0.5))).otherwise(0.0)
-        lo = [F.floor(p) for p in at]
-        hi = [F.least(lo[k] + 1, n[k] - 1) for k in range(2)]
-        f = [at[k] - lo[k] for k in range(2)]
-        near = get(lo[0], lo[1]) * (1 - f[1]) + get(lo[0], hi[1]) * f[1]
-        far = get(hi[0], lo[1]) * (1 - f[1]) + get(hi[0], hi[1]) * f[1]
-        return F.when(inside, near * (1 - f[0]) + far * f[0]).otherwise(0.0)
+def _interpolated(cube: np.ndarray, axis: int, positions: np.ndarray, first: int, n: int, nearest: bool) -> np.ndarray:
+    """Sample ``cube`` along one axis; its index 0 is position ``first`` of an axis of ``n``.
 
-    return F.transform(F.sequence(F.lit(0), (new[0] * new[1] - 1).cast("int")), pixel)
+    A position past the last sample's far half reads 0; between, the last sample is held.
+    """
+    inside = positions < n - 0.5
+    shape = [-1 if a == axis else 1 for a in range(3)]
+    take = lambda k: np.take(cube, np.clip(k.astype(int) - first, 0, cube.shape[axis] - 1), axis=axis)
+    if nearest:
+        return take(np.minimum(np.floor(positions + 0.5), n - 1)) * inside.reshape(shape)
+    lo = np.minimum(np.floor(positions), n - 1)
+    part = np.minimum(positions - lo, 1.0).reshape(shape)
+    return (take(lo) * (1 - part) + take(np.minimum(lo + 1, n - 1)) * part) * inside.reshape(shape)
 
 
 def regrid(slabs: DataFrame, grid: DataFrame, nearest: bool = False) -> DataFrame:
@@ -39,50 +38,27 @@ def regrid(slabs: DataFrame, grid: DataFrame, nearest: bool = False) -> DataFram
 
     Scans whose size and ratio do not change pass through untouched.
     """
-    j = slabs.join(grid, "scan_id")
+    names = ["_rx", "_ry", "_rz"]
+    j = slabs.join(
+        grid.select("scan_id", "new_size", *[F.col("ratio")[k].alias(c) for k, c in enumerate(names)]), "scan_id"
+    )
     n = [F.col(c) for c in ("nx", "ny", "nz")]
     new = [F.col("new_size")[k] for k in range(3)]
-    r = [F.col("ratio")[k] for k in range(3)]
-    same = (n[0] == new[0]) & (n[1] == new[1]) & (n[2] == new[2]) & (r[0] == 1) & (r[1] == 1) & (r[2] == 1)
-    kept = j.where(same).select(*slabs.columns)
-    todo = j.where(~same)
-    flat = todo.withColumn("px", _in_plane(F.col("px"), n, new, r, nearest))
-
-    # output slices that read slice z, with weights; the range is one wider than needed and filtered
-    z = F.col("z")
-    lo = F.greatest(F.ceil((z - 1) / r[2]) - 1, F.lit(0))
-    hi = F.least(F.floor((z + 1) / r[2]) + 1, new[2] - 1)
-    touched = flat.where(lo <= hi).withColumn("z2", F.explode(F.sequence(lo, hi)))
-    at = F.col("z2") * r[2]
-    last = n[2] - 1
-    if nearest:
-        w = F.when((at < n[2] - 0.5) & (F.floor(at + 0.5) == z), 1.0).otherwise(0.0)
-    else:
-        base = F.floor(at)
-        w = (
-            F.when(at >= n[2] - 0.5, 0.0)
-            .when((z == last) & (at >= last), 1.0)
-            .when(z == base, 1 - (at - base))
-            .when(z == base + 1, at - base)
-            .otherwise(0.0)
-        )
-    weighted = touched.withColumn("w", w).where("w > 0")
-    item = F.struct("z", "w", "px")
-    blended = weighted.groupBy("scan_id", "c", "z2", "new_size").agg(F.array_sort(F.collect_list(item)).alias("s"))
-    first, second = F.element_at("s", 1), F.try_element_at("s", F.lit(2))
-    one = F.transform(first["px"], lambda v: v * first["w"])
-    px = F.when(F.size("s") == 1, one).otherwise(F.zip_with(one, second["px"], lambda a, v: a + v * second["w"]))
-    out = blended.select(
-        "scan_id", "c", F.col("z2").cast("int").alias("z"), *[new[k].alias(c) for k, c in enumerate(("nx", "ny", "nz"))],
-        px.alias("px"),
-    )
-    # output slices beyond the far half of the last slice read nothing
-    empty_z = F.filter(F.sequence(F.lit(0), new[2] - 1), lambda k: k * r[2] >= n[2] - 0.5)
-    blank = todo.where("z = 0").select(
-        "scan_id", "c", F.explode(empty_z).alias("z"), *[new[k].alias(c) for k, c in enumerate(("nx", "ny", "nz"))],
-        F.array_repeat(F.lit(0.0), new[0] * new[1]).alias("px"),
-    )
-    return kept.select(*COLUMNS).unionByName(out).unionByName(blank)
+    same = (n[0] == new[0]) & (n[1] == new[1]) & (n[2] == new[2])
+    for c in names:
+        same = same & (F.col(c) == 1)
+    kept = j.where(same).select(*COLUMNS)
+    # an input slice is read by output slices around z / ratio; the last one also covers the rest
+    z, rz = F.col("z"), F.col("_rz")
+    lo = F.ceil((z - 1) / rz) - 1
+    hi = F.when(z == n[2] - 1, new[2] - 1).otherwise(F.floor((z + 1) / rz) + 1)
+
+    def kernel(cube, first, wanted, info):
+        out = _interpolated(cube, 0, np.array(wanted) * info["_rz"], first, info["nz"], nearest)
+        out = _interpolated(out, 1, np.arange(info["_nx"]) * info["_rx"], 0, info["nx"], nearest)
+        return _interpolated(out, 2, np.arange(info["_ny"]) * info["_ry"], 0, info["ny"], nearest)
+
+    return stacked(kept, by_blocks(j.where(~same), lo, hi, kernel, names, new))
 
 
 def _current(slabs: DataFrame, affines: DataFrame) -> DataFrame:

@@ -29,17 +29,48 @@ def reslab(vox: DataFrame) -> DataFrame:
     return packed.withColumn("px", F.col("_s.v")).select(*COLUMNS)
 
 
-def remap(
-    px: Column, nx: Column, ny: Column, new_nx: Column, new_ny: Column,
-    source: Callable[[Column, Column], tuple[Column, Column]], fill: float | Column = 0.0,
+def window(
+    px: Column, nx: Column, ny: Column, ox: Column | int, oy: Column | int, sx: Column, sy: Column, fill: float = 0.0
 ) -> Column:
-    """New slice whose pixel (x, y) is the old pixel ``source(x, y)``, or ``fill`` outside the old slice."""
-    def pixel(i: Column) -> Column:
-        sx, sy = source(F.floor(i / new_ny).cast("int"), (i % new_ny).cast("int"))
-        inside = (sx >= 0) & (sx < nx) & (sy >= 0) & (sy < ny)
-        return F.when(inside, F.get(px, (sx * ny + sy).cast("int"))).otherwise(fill)
+    """The sx x sy pixels from (ox, oy) on, ``fill`` where they lie outside the slice.
 
-    return F.transform(F.sequence(F.lit(0), (new_nx * new_ny - 1).cast("int")), pixel)
+    Whole rows are sliced and joined, so the lambda runs once per row, not per pixel.
+    """
+    def as_int(c) -> Column:
+        return (c if isinstance(c, Column) else F.lit(c)).cast("int")
+
+    ox, oy, sx, sy = as_int(ox), as_int(oy), as_int(sx), as_int(sy)
+    left = F.least(F.greatest(-oy, F.lit(0)), sy)
+    start = F.greatest(oy, F.lit(0))
+    count = F.greatest(F.least(ny, oy + sy) - start, F.lit(0))
+    pixels = lambda n: F.array_repeat(F.lit(float(fill)), n)
+
+    def row(x: Column) -> Column:
+        r = x + ox
+        inside = F.concat(pixels(left), F.slice(px, r * ny + start + 1, count), pixels(sy - left - count))
+        return F.when((r >= 0) & (r < nx), inside).otherwise(pixels(sy))
+
+    return F.flatten(F.transform(F.sequence(F.lit(0), sx - 1), row))
+
+
+def rows_reversed(px: Column, nx: Column, ny: Column) -> Column:
+    """Slice mirrored along x."""
+    return F.flatten(F.transform(F.sequence(nx - 1, F.lit(0), F.lit(-1)), lambda x: F.slice(px, x * ny + 1, ny)))
+
+
+def columns_reversed(px: Column, nx: Column, ny: Column) -> Column:
+    """Slice mirrored along y."""
+    return rows_reversed(F.reverse(px), nx, ny)
+
+
+def transposed(px: Column, nx: Column, ny: Column) -> Column:
+    """Slice with x and y exchanged."""
+    return F.flatten(
+        F.transform(
+            F.sequence(F.lit(0), ny - 1),
+            lambda y: F.transform(F.sequence(F.lit(0), nx - 1), lambda x: F.get(px, x * ny + y)),
+        )
+    )
 
 
 def reshaped(slabs: DataFrame, px: Column, z: Column, size: list[Column]) -> DataFrame:
@@ -67,34 +98,36 @@ def standardised(slabs: DataFrame) -> DataFrame:
 
 
 def by_blocks(
-    slabs: DataFrame, halo: Column | int, kernel: Callable, params: list[str] | None = None, block: int = 32
+    slabs: DataFrame, lo: Column, hi: Column, kernel: Callable, params: list[str] | None = None,
+    size: list[Column] | None = None, block: int = 32,
 ) -> DataFrame:
-    """Run ``kernel`` on blocks of ``block`` slices plus ``halo`` slices on either side.
+    """Compute output slices in blocks of ``block``, each from the input slices it needs.
 
-    ``kernel(cube, first_z, wanted_z, info)`` gets a (slices, nx, ny) array starting at slice
-    ``first_z`` and returns one 2-D array per wanted z.  ``params`` are per-scan columns passed as
-    ``info``.  A group never exceeds block + 2 * halo slices, whatever the size of the scan.
+    ``lo`` and ``hi`` give the first and last output slice that reads an input slice.
+    ``kernel(cube, first_z, wanted_z, info)`` gets those input slices as a (slices, nx, ny) array
+    starting at slice ``first_z`` and returns one 2-D array per wanted z.  ``params`` are per-scan
+    columns passed on in ``info``; ``size`` is the output shape if it differs.  A group holds one
+    block's input only, whatever the size of the scan.
     """
     params = params or []
-    last = F.floor((F.col("nz") - 1) / block)
-    lo = F.greatest(F.floor((F.col("z") - halo) / block), F.lit(0))
-    hi = F.least(F.floor((F.col("z") + halo) / block), last)
-    sent = slabs.withColumn("_b", F.explode(F.sequence(lo, hi)))
+    size = size or [F.col(n) for n in ("nx", "ny", "nz")]
+    new = ["_nx", "_ny", "_nz"]
+    shaped = slabs.withColumns({n: s.cast("int") for n, s in zip(new, size)})
+    at = lambda z: F.floor(F.least(F.greatest(z, F.lit(0)), F.col("_nz") - 1) / block)
+    needed = (hi >= 0) & (lo < F.col("_nz")) & (lo <= hi)
+    sent = shaped.where(needed).withColumn("_b", F.explode(F.sequence(at(lo), at(hi))))
     kinds = dict(slabs.dtypes)
     schema = ", ".join(f"{c} {kinds[c]}" if c != "px" else "px array<double>" for c in COLUMNS)
+    used = [*BLOCK, "z", "nx", "ny", "nz", *new, *params, "px"]
 
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        head = pdf.iloc[0]
-        nx, ny, nz, b = int(head["nx"]), int(head["ny"]), int(head["nz"]), int(head["_b"])
-        cube = np.stack([np.asarray(p, dtype=float).reshape(nx, ny) for p in pdf["px"]])
-        wanted = list(range(b * block, min((b + 1) * block, nz)))
-        slices = kernel(cube, int(head["z"]), wanted, {"nx": nx, "ny": ny, "nz": nz, **{p: head[p] for p in params}})
-        return pd.DataFrame(
-            {
-                "scan_id": head["scan_id"], "c": head["c"], "z": wanted, "nx": nx, "ny": ny, "nz": nz,
-                "px": [s.ravel() for s in slices],
-            }
-        )
+    def solve(rows: dict, a: int, b: int, out: dict) -> None:
+        info = {n: rows[n][a] for n in ("nx", "ny", "nz", *new, *params)}
+        cube = np.stack(rows["px"][a:b]).astype(float).reshape(b - a, info["nx"], info["ny"])
+        first = rows["_b"][a] * block
+        wanted = list(range(first, min(first + block, info["_nz"])))
+        for z, picture in zip(wanted, kernel(cube, int(rows["z"][a]), wanted, info)):
+            for c, v in zip(COLUMNS, (rows["scan_id"][a], rows["c"][a], z, info["_nx"], info["_ny"], info["_nz"], picture.ravel())):
+                out[c].append(v)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         # rows arrive sorted by block; the last block of a batch may go on in the next one
@@ -102,11 +135,20 @@ def by_blocks(
         for pdf in batches:
             pdf = pdf if held is None else pd.concat([held, pdf], ignore_index=True)
             key = pdf[BLOCK]
-            starts = np.flatnonzero((key != key.shift()).any(axis=1))
-            for lo, hi in zip(starts, starts[1:]):
-                yield solve(pdf.iloc[lo:hi])
+            starts = np.flatnonzero((key != key.shift()).any(axis=1)).tolist()
+            rows, out = {c: pdf[c].tolist() for c in used}, {c: [] for c in COLUMNS}
+            for a, b in zip(starts, starts[1:]):
+                solve(rows, a, b, out)
             held = pdf.iloc[starts[-1] :]
+            yield pd.DataFrame(out)
         if held is not None:
-            yield solve(held)
+            out = {c: [] for c in COLUMNS}
+            solve({c: held[c].tolist() for c in used}, 0, len(held), out)
+            yield pd.DataFrame(out)
+
+    return sent.select(*used).repartition(*BLOCK).sortWithinPartitions(*BLOCK, "z").mapInPandas(run, schema)
+
 
-    return sent.repartition(*BLOCK).sortWithinPartitions(*BLOCK, "z").mapInPandas(run, schema)
+def with_halo(slabs: DataFrame, halo: Column | int, kernel: Callable, params: list[str] | None = None) -> DataFrame:
+    """:func:`by_blocks` for a neighbourhood of ``halo`` slices on either side."""
+    return by_blocks(slabs, F.col("z") - halo, F.col("z") + halo, kernel, params)

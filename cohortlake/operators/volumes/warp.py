@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cohortlake.operators.volumes.slabs import by_blocks
+from cohortlake.operators.volumes.slabs import with_halo
 
 
 def gaussian_weights(sigma: float, truncated: float = 4.0) -> list[float]:
@@ -37,7 +37,7 @@ def gaussian_smooth(slabs: DataFrame, sigma: float | tuple[str, str, str], top:
             out = _smooth_axis(out, gaussian_weights(s), axis)
         return [out[z - first] for z in wanted]
 
-    return by_blocks(slabs, halo, kernel, names)
+    return with_halo(slabs, halo, kernel, names)
 
 
 def rotation(rx: float, ry: float, rz: float) -> np.ndarray:
@@ -92,7 +92,7 @@ def affine_warp(slabs: DataFrame, params: DataFrame) -> DataFrame:
         return out
 
     joined = slabs.join(params.select("scan_id", *WARP), "scan_id")
-    return by_blocks(joined, _reach(), kernel, WARP)
+    return with_halo(joined, _reach(), kernel, WARP)
 
 
 def fixed_warp(slabs: DataFrame, **values: float) -> DataFrame:

@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 
 from cohortlake.functions import draws
 from cohortlake.operators.volumes import geometry, intensity, warp
-from cohortlake.operators.volumes.slabs import remap
-from cohortlake.session import materialised
+from cohortlake.operators.volumes.slabs import rows_reversed
+from cohortlake.session import materialised, stacked
 
 # fixed values: parameter ranges of the random transforms
 TEN_DEGREES = math.pi / 18
@@ -142,12 +142,12 @@ def _where_planned(slabs: DataFrame, params: DataFrame, px) -> DataFrame:
 
 def _apart(slabs: DataFrame, params: DataFrame, fn) -> DataFrame:
     """Send planned scans through ``fn`` and the others past it."""
-    return fn(slabs.join(params, "scan_id")).select(*slabs.columns).unionByName(slabs.join(params, "scan_id", "left_anti"))
+    return stacked(fn(slabs.join(params, "scan_id")).select(*slabs.columns), slabs.join(params, "scan_id", "left_anti"))
 
 
 def _flip(slabs, params, seed):
     nx, ny = F.col("nx"), F.col("ny")
-    return _where_planned(slabs, params, remap(F.col("px"), nx, ny, nx, ny, lambda x, y: (nx - 1 - x, y)))
+    return _where_planned(slabs, params, rows_reversed(F.col("px"), nx, ny))
 
 
 def _rotate(slabs, params, seed):
@@ -234,7 +234,7 @@ def random_shift_augmentation(
     whole = lambda name: F.floor(draws.between(-reach, reach + 1, F.lit(seed), sid, F.lit(name))).cast("int")
     nx, ny = F.col("nx"), F.col("ny")
     flipped = F.when(
-        fires("flip", flip_prob), remap(F.col("px"), nx, ny, nx, ny, lambda x, y: (nx - 1 - x, y))
+        fires("flip", flip_prob), rows_reversed(F.col("px"), nx, ny)
     ).otherwise(F.col("px"))
     out = slabs.withColumn("px", flipped)
     step = lambda name: F.when(fires("move", 0.5), whole(name)).otherwise(0)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -42,3 +43,13 @@ def materialised(df: DataFrame, name: str) -> DataFrame:
     path = fresh_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def stacked(*frames: DataFrame) -> DataFrame:
+    """Union by name of inputs that later steps join again.
+
+    Spark 4.1 lets a union pass on the partitioning of its inputs; when adaptive execution has
+    coalesced those differently, a join above it fails to plan.  That option is switched off.
+    """
+    frames[0].sparkSession.conf.set("spark.sql.unionOutputPartitioning", "false")
+    return reduce(DataFrame.unionByName, frames)
