@@ -18,9 +18,13 @@ def cell(affine: Column, r: int, c: int) -> Column:
 
 
 def matrix(cells: Sequence[Sequence[Column]]) -> Column:
-    """4x4 affine from its three upper rows."""
+    """4x4 affine from its three upper rows.
+
+    The outer transform keeps the cells one value: the optimizer copies the expressions of a plain
+    array constructor into every later use of a cell, and chained steps would multiply them.
+    """
     last = F.array(*[F.lit(v) for v in (0.0, 0.0, 0.0, 1.0)])
-    return F.array(*[F.array(*row) for row in cells], last)
+    return F.transform(F.array(*[F.array(*row) for row in cells], last), lambda row: row)
 
 
 def moved_origin(affine: Column, steps: Sequence[Column]) -> Column:

@@ -54,12 +54,12 @@ def decode_label(code: Column, names: dict[int, str] | None = None) -> Column:
 
 def voxel_spacing(affine: Column, fmt: Column) -> Column:
     """Lengths of the first three affine columns (0 becomes 1); 2-D images have unit spacing."""
-    def length(c: int) -> Column:
-        cells = [F.element_at(F.element_at(affine, r + 1), c + 1) for r in range(3)]
-        n = F.sqrt(cells[0] * cells[0] + cells[1] * cells[1] + cells[2] * cells[2])
-        return F.when(n > 0, n).otherwise(1.0)
+    def length(c: Column) -> Column:
+        total = F.aggregate(F.slice(affine, 1, 3), F.lit(0.0), lambda acc, row: acc + F.get(row, c) * F.get(row, c))
+        return F.coalesce(F.nullif(F.sqrt(total), F.lit(0.0)), F.lit(1.0))
 
-    return F.when(fmt == "image", F.array(*[F.lit(1.0)] * 3)).otherwise(F.array(*[length(c) for c in range(3)]))
+    lengths = F.transform(F.sequence(F.lit(0), F.lit(2)), length)
+    return F.when(fmt == "image", F.array_repeat(F.lit(1.0), F.lit(3))).otherwise(lengths)
 
 
 def tag(header: Column, name: str) -> Column:

@@ -118,7 +118,9 @@ def classification_report(cells: DataFrame, by: Sequence[str]) -> DataFrame:
     )
 
 
-def binary_summary(df: DataFrame, by: Sequence[str], y: str, score: str, threshold: float = 0.5) -> DataFrame:
+def binary_summary(
+    df: DataFrame, by: Sequence[str], y: str, score: str, threshold: float = 0.5, edges: list[float] | None = None
+) -> DataFrame:
     """One row per group: the seven measures used to compare runs and folds.
 
     Everything comes from one table of distinct scores: the ranking measures from its running
@@ -128,7 +130,7 @@ def binary_summary(df: DataFrame, by: Sequence[str], y: str, score: str, thresho
 
     high = F.col("score") >= threshold
     side = lambda c, cond: F.sum(F.when(cond, F.col(c)).otherwise(0))
-    sums = score_table(df, by, y, score).groupBy(*by).agg(
+    sums = score_table(df, by, y, score, edges).groupBy(*by).agg(
         *ranking_columns(),
         side("pos", high).alias("tp"), side("neg", high).alias("fp"),
         side("pos", ~high).alias("fn"), side("neg", ~high).alias("tn"),

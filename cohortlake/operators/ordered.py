@@ -18,9 +18,9 @@ from cohortlake.session import checkpointed
 HASH_PREFIX = 3  # hex digits: 4,096 buckets per group
 
 
-def value_edges(df: DataFrame, col: str, parts: int = 256) -> list[float]:
+def value_edges(df: DataFrame, col: str, parts: int = 128) -> list[float]:
     """At most ``parts - 1`` approximate quantiles of ``col``: one pruned scan, sketches only, no shuffle of rows."""
-    return sorted(set(df.approxQuantile(col, [i / parts for i in range(1, parts)], 0.002)))
+    return sorted(set(df.approxQuantile(col, [i / parts for i in range(1, parts)], 0.004)))
 
 
 def with_value_bucket(df: DataFrame, col: str, edges: list[float], bucket: str = "_bucket") -> DataFrame:

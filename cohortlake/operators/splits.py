@@ -126,13 +126,14 @@ def stratified_kfold(
 ) -> DataFrame:
     """Input rows plus ``fold``: position in (class, hash) order mod k, so fold sizes and class quotas balance.
 
-    Classes come in the order of their smallest subject.  With fewer than two classes, or a class smaller than k, plain folds: the first n % k are one larger.
+    Classes come in the order of their smallest subject.  With fewer than two classes, or a class
+    smaller than k, plain folds: the first n % k are one larger.
     """
     keep = [c for c in df.columns if c not in (subject, label)]
     labelled = _subject_labels(df, subject, label, keep).withColumn("_all", F.lit(0))
-    counts = labelled.groupBy("_all", label).agg(F.count("*").alias("_c"))
+    counts = labelled.groupBy("_all", label).agg(F.count("*").alias("_c"), F.min(subject).alias("_first"))
     whole = Window.partitionBy("_all")
-    before = Window.partitionBy("_all").orderBy(label).rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy("_all").orderBy("_first").rowsBetween(Window.unboundedPreceding, -1)
     counts = counts.select(
         label,
         F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_before"),

@@ -75,14 +75,17 @@ def _regridded(slabs: DataFrame, plan: DataFrame, nearest: bool):
     return out, moved, params
 
 
+def _floats(values: Sequence[float]):
+    return F.array(*[F.lit(float(v)) for v in values])
+
+
 def resample(slabs: DataFrame, affines: DataFrame, spacing: Sequence[float]):
     """(slabs, affines, params) at the target spacing; sizes round half to even; same origin."""
-    goal = [F.lit(float(s)) for s in spacing]
-    cur = _current(slabs, affines)
-    plan = cur.select(
+    extent = F.zip_with("size", "spacing", lambda n, s: n * s)
+    plan = _current(slabs, affines).select(
         "*",
-        F.array(*[F.bround(F.col("size")[k] * F.col("spacing")[k] / goal[k]).cast("int") for k in range(3)]).alias("new_size"),
-        F.array(*[goal[k] / F.col("spacing")[k] for k in range(3)]).alias("ratio"),
+        F.zip_with(extent, _floats(spacing), lambda e, t: F.bround(e / t).cast("int")).alias("new_size"),
+        F.zip_with(_floats(spacing), "spacing", lambda t, s: t / s).alias("ratio"),
     )
     return _regridded(slabs, plan, nearest=False)
 
@@ -91,11 +94,10 @@ def resize(slabs: DataFrame, affines: DataFrame, target: Sequence[int], interpol
     """(slabs, affines, params) at the target shape, physical extent kept; linear or nearest."""
     if interpolator not in ("linear", "nearest"):
         raise ValueError(f"interpolator {interpolator} is not offered; use linear or nearest")
-    cur = _current(slabs, affines)
-    plan = cur.select(
+    plan = _current(slabs, affines).select(
         "*",
         F.array(*[F.lit(int(t)) for t in target]).alias("new_size"),
-        F.array(*[F.col("size")[k] / F.lit(float(t)) for k, t in enumerate(target)]).alias("ratio"),
+        F.zip_with("size", _floats(target), lambda n, t: n / t).alias("ratio"),
     )
     return _regridded(slabs, plan, interpolator == "nearest")
 
@@ -106,7 +108,7 @@ def restore_grid(slabs: DataFrame, affines: DataFrame, params: DataFrame):
     plan = cur.select(
         "scan_id", "affine", "size", "spacing",
         F.col("original_shape").alias("new_size"),
-        F.array(*[F.col("original_spacing")[k] / F.col("spacing")[k] for k in range(3)]).alias("ratio"),
+        F.zip_with("original_spacing", "spacing", lambda old, s: old / s).alias("ratio"),
     )
     out, moved, _ = _regridded(slabs, plan, nearest=False)
     return out, moved

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from cohortlake.functions import losses, scoring
 from cohortlake.operators import calibration, curves, cv, metrics, thresholds, tta
+from cohortlake.operators.ordered import value_edges
 from cohortlake.operators.splits import stratified_kfold
 from cohortlake.workloads import standins as S
 from cohortlake.workloads.standins import with_
@@ -272,9 +273,11 @@ CV_COLS = list(cv.SUMMARY_COLUMNS.values())
 
 def out_of_fold_report(spark: SparkSession, sf: str, folds: int = 5) -> DataFrame:
     """Flagship: subjects -> stratified folds -> seven metrics per fold -> mean and deviation rows."""
-    subjects = S.predictions(spark, sf).groupBy("subject").agg(F.max("y").alias("y"), F.min("p").alias("p"))
+    scored = S.predictions(spark, sf)
+    edges = value_edges(scored, "p")
+    subjects = scored.groupBy("subject").agg(F.max("y").alias("y"), F.min("p").alias("p"))
     folded = stratified_kfold(subjects, "subject", "y", folds, seed=42)
-    per_fold = metrics.binary_summary(folded, ["fold"], "y", "p")
+    per_fold = metrics.binary_summary(folded, ["fold"], "y", "p", edges=edges)
     named = {v: k.removeprefix("best_val_") for k, v in cv.SUMMARY_COLUMNS.items()}
     per_fold = per_fold.select(F.col("fold").alias("Fold"), *[F.col(c).alias(n) for n, c in named.items()])
     return rounded(cv.cv_summary(per_fold, CV_COLS), *CV_COLS)
@@ -342,8 +345,9 @@ def _two_modes(spark, sf):
     base = df.groupBy("run", "subject").agg(F.max("y").alias("y"), F.min_by("p", F.struct("line", "p")).alias("p"))
     aug = df.groupBy("run", "subject").agg(F.max("y").alias("y"), r6(F.avg("p")).alias("p"))
     latency = df.groupBy("run").agg(F.countDistinct("subject").alias("a"), F.count("*").alias("b"))
-    one = metrics.binary_summary(base, ["run"], "y", "p").join(latency, "run")
-    many = metrics.binary_summary(aug, ["run"], "y", "p").join(latency, "run")
+    edges = value_edges(df, "p")
+    one = metrics.binary_summary(base, ["run"], "y", "p", edges=edges).join(latency, "run")
+    many = metrics.binary_summary(aug, ["run"], "y", "p", edges=edges).join(latency, "run")
     return tta.tta_comparison(
         one.withColumn("latency", F.col("a") / 1000), many.withColumn("latency", F.col("b") / 1000), ["run"], "latency"
     )
