@@ -237,7 +237,7 @@ def previews(slabs: DataFrame) -> DataFrame:
             )
         ).alias("s"),
     ).select("scan_id", "z", "nz", "s.*")
-    stacked = lines.groupBy("scan_id", "plane", "slice_idx", "rows", F.col("nz").alias("cols")).agg(
+    grouped = lines.groupBy("scan_id", "plane", "slice_idx", "rows", F.col("nz").alias("cols")).agg(
         F.array_sort(F.collect_list(F.struct("z", "line"))).alias("_l")
     )
     # lines are z-major; the picture is row-major in (x or y, z)
@@ -245,7 +245,7 @@ def previews(slabs: DataFrame) -> DataFrame:
         F.sequence(F.lit(0), F.col("rows") * F.col("cols") - 1),
         lambda i: F.get(F.get(F.col("_l.line"), (i % F.col("cols")).cast("int")), F.floor(i / F.col("cols")).cast("int")),
     )
-    planes = stacked.select("scan_id", "plane", "slice_idx", "rows", "cols", px.alias("px"))
+    planes = grouped.select("scan_id", "plane", "slice_idx", "rows", "cols", px.alias("px"))
     return stacked(axial, planes).select(
         "scan_id", "plane", "slice_idx", "rows", "cols", to_grey(F.col("px")).alias("image")
     )

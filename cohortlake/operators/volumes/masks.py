@@ -81,15 +81,17 @@ def apply_mask(slabs: DataFrame, mask: DataFrame) -> DataFrame:
 
 
 def dice(pred: DataFrame, target: DataFrame) -> DataFrame:
-    """(pair, dice) for two voxel tables (pair, x, y, z, v): 2|P and T| / (|P| + |T|), 1 if both are empty."""
-    key = ["pair", "x", "y", "z"]
-    p = pred.select(*key, F.col("v").alias("p"))
-    t = target.select(*key, F.col("v").alias("t"))
-    both = p.join(t, key, "full_outer").select(
-        "pair", F.coalesce("p", F.lit(0)).alias("p"), F.coalesce("t", F.lit(0)).alias("t")
+    """(scan_id, dice) of two 0/1 masks: 2|P and T| / (|P| + |T|), 1 if both are empty.
+
+    Slices are matched, not voxels; a slice that only one side has counts as empty on the other.
+    """
+    key = ["scan_id", "c", "z"]
+    both = pred.select(*key, F.col("px").alias("p")).join(target.select(*key, F.col("px").alias("t")), key, "full_outer")
+    total = lambda c: F.coalesce(F.aggregate(c, F.lit(0.0), lambda a, v: a + v), F.lit(0.0))
+    common = total(F.zip_with("p", "t", lambda a, b: (a * b).cast("double")))
+    sums = both.select("scan_id", common.alias("i"), (total(F.col("p")) + total(F.col("t"))).alias("n")).groupBy(
+        "scan_id"
+    ).agg(F.sum("i").alias("i"), F.sum("n").alias("n"))
+    return sums.select(
+        "scan_id", F.when(F.col("n") == 0, 1.0).otherwise(F.try_divide(2.0 * F.col("i"), F.col("n"))).alias("dice")
     )
-    sums = both.groupBy("pair").agg(
-        F.sum(F.col("p") * F.col("t")).alias("i"), F.sum("p").alias("sp"), F.sum("t").alias("st")
-    )
-    total = F.col("sp") + F.col("st")
-    return sums.select("pair", F.when(total == 0, 1.0).otherwise(F.try_divide(2.0 * F.col("i"), total)).alias("dice"))

@@ -91,6 +91,17 @@ def shape_of(slabs: DataFrame) -> DataFrame:
     )
 
 
+def stacked_channels(rows: DataFrame, order: list[str]) -> DataFrame:
+    """Slabs of single modalities (scan_id, modality, ...) -> channels 0.. in ``order``.
+
+    Only scans that have every modality; the others are reported by ``cohort.ragged_modalities``.
+    """
+    known = rows.where(F.col("modality").isin(order))
+    whole = known.where("z = 0").groupBy("scan_id").agg(F.countDistinct("modality").alias("n")).where(F.col("n") == len(order))
+    channel = F.array_position(F.array(*[F.lit(m) for m in order]), F.col("modality")) - 1
+    return known.join(whole, "scan_id", "left_semi").withColumn("c", channel.cast("int")).select(*COLUMNS)
+
+
 def standardised(slabs: DataFrame) -> DataFrame:
     """float32 voxels with a channel column (0 where there is none)."""
     out = slabs if "c" in slabs.columns else slabs.withColumn("c", F.lit(0))

@@ -25,6 +25,8 @@ CATALOG_SCHEMA = (
     "path string, shape array<int>, dtype string, spacing array<double>, affine array<array<double>>, "
     "header map<string,string>, error string"
 )
+# slices leave a task in batches of about this many pixels
+PIXELS_PER_BATCH = 1 << 22
 SLAB_SCHEMA = "scan_id string, c int, z int, nx int, ny int, nz int, px array<float>"
 
 
@@ -54,10 +56,10 @@ def detected(files: DataFrame) -> DataFrame:
     return out.withColumn("format_error", format_error(F.col("format"), name))
 
 
-def _header(raw: bytes) -> tuple[dict, bytes]:
-    """Parsed fields and the (unzipped) bytes of one file."""
+def _header(raw: bytes, limit: int = -1) -> tuple[dict, bytes]:
+    """Parsed fields and the (unzipped) bytes of one file, all of them or the first ``limit``."""
     if raw[:2] == b"\x1f\x8b":
-        raw = gzip.GzipFile(fileobj=io.BytesIO(raw)).read()
+        raw = gzip.GzipFile(fileobj=io.BytesIO(raw)).read(limit)
     two = raw[4:7] in (b"n+2", b"ni2")
     f = NIFTI2 if two else NIFTI1
     if len(raw) < f["size"]:
@@ -115,7 +117,7 @@ def catalog(files: DataFrame) -> DataFrame:
             rows = []
             for path, content in zip(pdf["path"], pdf["content"]):
                 try:
-                    info, _ = _header(bytes(content))
+                    info, _ = _header(bytes(content), NIFTI2["size"])
                     rows.append((path, info["shape"], info["dtype"], info["spacing"].tolist(), info["affine"].tolist(), info["fields"], None))
                 except Exception as e:
                     rows.append((path, None, None, None, None, None, f"{type(e).__name__}: {e}"))
@@ -129,7 +131,10 @@ def extract_slabs(files: DataFrame) -> DataFrame:
 
     A file is one task's read either way, but its voxels leave as slices, so no later step handles a whole volume.
     """
+    names = ["scan_id", "c", "z", "nx", "ny", "nz", "px"]
+
     def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows, pixels = [], 0
         for pdf in batches:
             for path, content in zip(pdf["path"], pdf["content"]):
                 try:
@@ -138,17 +143,19 @@ def extract_slabs(files: DataFrame) -> DataFrame:
                     flat = np.frombuffer(raw, info["raw_dtype"], int(np.prod(shape)), info["start"])
                 except Exception:
                     continue
-                cube = flat.reshape(shape, order="F").reshape(*shape[:3], -1)
+                cube = flat.reshape(shape, order="F").reshape(*shape[:3], -1, order="F")
                 nx, ny, nz, channels = cube.shape
-                for c in range(channels):
-                    for z in range(nz):
-                        px = cube[:, :, z, c].astype(np.float64)
-                        if info["slope"] != 0:
-                            px = px * info["slope"] + info["inter"]
-                        yield pd.DataFrame(
-                            {"scan_id": [path], "c": [c], "z": [z], "nx": [nx], "ny": [ny], "nz": [nz],
-                             "px": [px.astype(np.float32).ravel()]}
-                        )
+                for c, z in np.ndindex(channels, nz):
+                    px = cube[:, :, z, c].astype(np.float64)
+                    if info["slope"] != 0:
+                        px = px * info["slope"] + info["inter"]
+                    rows.append((path, c, z, nx, ny, nz, px.astype(np.float32).ravel()))
+                    pixels += px.size
+                    if pixels >= PIXELS_PER_BATCH:
+                        yield pd.DataFrame(rows, columns=names)
+                        rows, pixels = [], 0
+        if rows:
+            yield pd.DataFrame(rows, columns=names)
 
     return files.select("path", "content").mapInPandas(decode, SLAB_SCHEMA)
 

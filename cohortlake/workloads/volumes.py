@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 
 from cohortlake.functions import affine as A
 from cohortlake.functions import metadata as M
+from cohortlake.functions import paths as P
 from cohortlake.functions.formats import detect_format
-from cohortlake.operators import cohort
 from cohortlake.operators.volumes import geometry, intensity, masks, resample, slabs, stats, warp
 from cohortlake.plans import augment, preprocess, scoring
 from cohortlake.sources import files as file_source
@@ -258,10 +258,6 @@ def _(spark, sf):
 
 # --- geometry ---------------------------------------------------------------------------------
 
-_T = [f"(list_position(w,{t})-1)" for t in range(3)]
-_C = ["[x,y,z]"]
-
-
 def _re(t):
     """SQL for output coordinate t of a volume reoriented to RAS."""
     return f"CASE WHEN s[list_position(w,{t})]=-1 THEN 3-[x,y,z][list_position(w,{t})] ELSE [x,y,z][list_position(w,{t})] END"
@@ -426,32 +422,24 @@ def _(spark, sf):
 i AS (SELECT pair, count(*) c FROM (SELECT pair, x, y, z FROM p GROUP BY ALL HAVING count(*)=2) GROUP BY pair) SELECT q.pair, round(CASE WHEN coalesce(a+b,0)=0 THEN 1.0 ELSE 2*coalesce(c,0)/(a+b)::DOUBLE END,6) AS dice FROM (SELECT DISTINCT vec_id//2 AS pair FROM embeddings) q LEFT JOIN n USING (pair) LEFT JOIN i USING (pair)""")
 def _(spark, sf):
     limit = F.when(F.col("scan_id") % 20 < 2, 9.0).otherwise(0.05)
-    v = slabs.voxels(volumes(spark, sf)).withColumn("v", F.when(F.col("v") > limit, 1).otherwise(0))
-    side = lambda k: v.where(F.col("scan_id") % 2 == k).withColumn("pair", F.floor(F.col("scan_id") / 2))
-    return rounded(masks.dice(side(0), side(1)), "dice")
+    m = volumes(spark, sf).withColumn("px", F.transform("px", lambda v: F.when(v > limit, 1.0).otherwise(0.0)))
+    side = lambda k: m.where(F.col("scan_id") % 2 == k).withColumn("scan_id", F.floor(F.col("scan_id") / 2))
+    return rounded(masks.dice(side(0), side(1)), "dice").withColumnRenamed("scan_id", "pair")
 
 
 @query("J13_channel_stack", f"{V} SELECT scan_id//4 AS subject, x, y, z, " + ", ".join(f"round(max(v) FILTER (scan_id%4={c}),6)+0.0 AS {m}" for c, m in enumerate(("t1", "t1ce", "t2", "flair"))) + " FROM vox GROUP BY subject, x, y, z HAVING count(*)=4")
 def _(spark, sf):
-    names = F.array(*[F.lit(m) for m in ("t1", "t1ce", "t2", "flair")])
+    names = F.array(*[F.lit(m) for m in P.MODALITIES])
     rows = volumes(spark, sf).select(
-        F.floor(F.col("scan_id") / 4).alias("subject"), F.get(names, (F.col("scan_id") % 4).cast("int")).alias("modality"), "z", "nx", "ny", "nz", "px"
+        F.floor(F.col("scan_id") / 4).alias("scan_id"), F.get(names, (F.col("scan_id") % 4).cast("int")).alias("modality"), "z", "nx", "ny", "nz", "px"
     )
-    v = slabs.voxels(stack_channels(rows).withColumnRenamed("subject", "scan_id"))
+    v = slabs.voxels(slabs.stacked_channels(rows, P.MODALITIES))
     per = v.groupBy("scan_id", "x", "y", "z").agg(
-        *[F.max(F.when(F.col("c") == c, r6("v"))).alias(m) for c, m in enumerate(("t1", "t1ce", "t2", "flair"))]
+        *[F.max(F.when(F.col("c") == c, r6("v"))).alias(m) for c, m in enumerate(P.MODALITIES)]
     )
     return per.withColumnRenamed("scan_id", "subject")
 
 
-def stack_channels(rows: DataFrame) -> DataFrame:
-    """Modality slabs -> channels 0..3 in stacking order, for subjects that have all four."""
-    have = rows.where("z = 0").groupBy("subject").agg(F.map_from_entries(F.collect_list(F.struct("modality", "z"))).alias("channels"))
-    ragged = cohort.ragged_modalities(have.withColumnRenamed("subject", "subject_id")).select(F.col("subject_id").alias("subject"))
-    order = F.create_map(*[F.lit(v) for i, m in enumerate(("t1", "t1ce", "t2", "flair")) for v in (m, i)])
-    return rows.join(ragged, "subject", "left_anti").withColumn("c", order[F.col("modality")]).drop("modality")
-
-
 # --- augmentation transforms ------------------------------------------------------------------
 
 @query("V13_flip", f"{V}, o AS (SELECT scan_id, 3-x AS x, y, z, v FROM vox) {OUT}")
@@ -635,10 +623,6 @@ def _(spark, sf):
     return slabs.voxels(done.slabs).select("scan_id", "x", "y", "z", F.round(F.col("v").cast("double"), 4).alias("v"))
 
 
-# moments as exact six-decimal text on both sides
-HASH_OK = "SELECT scan_id, sha256('4,4,4_' || round(mu,6) || '_' || round(sd,6)) AS hash FROM st"
-
-
 @query("P27_V25_provenance", f"{V}, {STATS}, n AS (SELECT scan_id, (v-mu)/(sd+1e-8) v FROM vox JOIN st USING (scan_id)), s2 AS (SELECT scan_id, avg(v) mu, stddev_pop(v) sd FROM n GROUP BY scan_id) SELECT st.scan_id, 0 AS step_no, 'normalize' AS step, 'mode=z_score' AS params, st.sd > 1e-9 AS changed, true AS key_ok FROM st JOIN s2 USING (scan_id)")
 def _(spark, sf):
     vol = _volume_set(spark, sf)
