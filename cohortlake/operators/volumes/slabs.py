@@ -151,7 +151,8 @@ def by_blocks(
             for a, b in zip(starts, starts[1:]):
                 solve(rows, a, b, out)
             held = pdf.iloc[starts[-1] :]
-            yield pd.DataFrame(out)
+            if out["z"]:
+                yield pd.DataFrame(out)
         if held is not None:
             out = {c: [] for c in COLUMNS}
             solve({c: held[c].tolist() for c in used}, 0, len(held), out)
