@@ -22,6 +22,11 @@ def _with_size(ranked: DataFrame, keys: Sequence[str]) -> DataFrame:
     return ranked.join(ranked.groupBy(*keys).agg(F.count("*").alias("_n")), list(keys))
 
 
+def _class_key(label: str) -> Column:
+    """Non-null text key of a class, so that unlabelled subjects form a class of their own."""
+    return F.coalesce(F.concat(F.lit("="), F.col(label).cast("string")), F.lit("-"))
+
+
 def check_ratios(train: float, val: float, test: float) -> None:
     if not all(0.0 <= r <= 1.0 for r in (train, val, test)):
         raise ValueError("split ratios must lie between 0 and 1")
@@ -52,7 +57,7 @@ def kfold(df: DataFrame, subject: str, k: int = 5, seed: int = 42) -> DataFrame:
 
 def round_robin_kfold(df: DataFrame, subject: str, label: str, k: int = 5, seed: int = 42) -> DataFrame:
     """(subject, label, fold): the i-th member of every class goes to fold i mod k."""
-    ranked = hash_rank(df.select(subject, label), [label], subject, seed)
+    ranked = hash_rank(df.select(subject, label, _class_key(label).alias("_cls")), ["_cls"], subject, seed)
     return ranked.select(subject, label, ((F.col("rn") - 1) % k).cast("int").alias("fold"))
 
 
@@ -130,17 +135,17 @@ def stratified_kfold(
     smaller than k, plain folds: the first n % k are one larger.
     """
     keep = [c for c in df.columns if c not in (subject, label)]
-    labelled = _subject_labels(df, subject, label, keep).withColumn("_all", F.lit(0))
-    counts = labelled.groupBy("_all", label).agg(F.count("*").alias("_c"), F.min(subject).alias("_first"))
+    labelled = _subject_labels(df, subject, label, keep).withColumns({"_all": F.lit(0), "_cls": _class_key(label)})
+    counts = labelled.groupBy("_all", "_cls").agg(F.count("*").alias("_c"), F.min(subject).alias("_first"))
     whole = Window.partitionBy("_all")
     before = Window.partitionBy("_all").orderBy("_first").rowsBetween(Window.unboundedPreceding, -1)
     counts = counts.select(
-        label,
+        "_cls",
         F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_before"),
         F.sum("_c").over(whole).alias("_n"),
         ((F.count("*").over(whole) >= 2) & (F.min("_c").over(whole) >= k)).alias("_stratify"),
     )
-    ranked = hash_rank(labelled, [label], subject, seed).join(counts, label)
+    ranked = hash_rank(labelled, ["_cls"], subject, seed).join(counts, "_cls")
     balanced = (F.col("_before") + F.col("rn") - 1) % k
     small, extra = F.floor(F.col("_n") / k), F.col("_n") % k
     pos = F.col("_before") + F.col("rn") - 1

@@ -244,3 +244,10 @@ def test_balance_keeps_unknown(spark):
     df = spark.createDataFrame([("a",), (None,), ("a",)], "label string")
     assert {r["label"]: r["n"] for r in balance.class_balance(df, "label", keep_null=True).collect()} == {"a": 2, "Unknown": 1}
     assert {r["label"]: r["n"] for r in balance.class_balance(df, "label").collect()} == {"a": 2}
+
+
+def test_unlabelled_subjects_are_kept(spark):
+    df = spark.createDataFrame([(i, None if i % 5 == 0 else "ab"[i % 2]) for i in range(60)], "subject int, label string")
+    for folds in (splits.round_robin_kfold(df, "subject", "label", 5), splits.stratified_kfold(df, "subject", "label", 5)):
+        assert folds.count() == 60 and folds.where("label IS NULL").count() == 12
+    assert splits.stratified_split(df, "subject", "label").count() == 60
