@@ -98,16 +98,21 @@ def seeded_hash(seed: int, ident: Column | str) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}:"), F.col(ident).cast("string") if isinstance(ident, str) else ident))
 
 
-def hash_rank(df: DataFrame, keys: Sequence[str], ident: str, seed: int, out: str = "rn") -> DataFrame:
+def hash_rank(
+    df: DataFrame, keys: Sequence[str], ident: str, seed: int, out: str = "rn", total: str | None = None
+) -> DataFrame:
     """1-based rank of each row inside ``keys`` by :func:`seeded_hash`; also keeps the hash as ``_h``.
 
+    ``total`` names an extra column with the size of the group.
+
     Equal to ``row_number() over (partition by keys order by md5)``, computed in
     4,096 hash-prefix buckets per group so that one large class spreads over the cluster.
     """
     hashed = df.withColumn("_h", seeded_hash(seed, ident)).withColumn(
         "_hb", F.substring("_h", 1, HASH_PREFIX)
     )
-    ranked = running(hashed, keys, "_hb", ["_h", ident], {out: (F.sum, F.lit(1))})
+    sizes = {total: F.lit(1)} if total else None
+    ranked = running(hashed, keys, "_hb", ["_h", ident], {out: (F.sum, F.lit(1))}, totals=sizes)
     return ranked.withColumn(out, F.col(out).cast("bigint")).drop("_hb")
 
 

@@ -18,10 +18,6 @@ def _distinct(df: DataFrame, subject: str) -> DataFrame:
     return df.select(subject).distinct().withColumn("_all", F.lit(0))
 
 
-def _with_size(ranked: DataFrame, keys: Sequence[str]) -> DataFrame:
-    return ranked.join(ranked.groupBy(*keys).agg(F.count("*").alias("_n")), list(keys))
-
-
 def _class_key(label: str) -> Column:
     """Non-null text key of a class, so that unlabelled subjects form a class of their own."""
     return F.coalesce(F.concat(F.lit("="), F.col(label).cast("string")), F.lit("-"))
@@ -39,7 +35,7 @@ def random_split(
 ) -> DataFrame:
     """(subject, split): int(train * n) and int(val * n) subjects, the rest in test."""
     check_ratios(train, val, test)
-    ranked = _with_size(hash_rank(_distinct(df, subject), ["_all"], subject, seed), ["_all"])
+    ranked = hash_rank(_distinct(df, subject), ["_all"], subject, seed, total="_n")
     n_train, n_val = F.floor(F.lit(train) * F.col("_n")), F.floor(F.lit(val) * F.col("_n"))
     split = F.when(F.col("rn") <= n_train, "train").when(F.col("rn") <= n_train + n_val, "val").otherwise("test")
     return ranked.select(subject, split.alias("split"))
@@ -47,7 +43,7 @@ def random_split(
 
 def kfold(df: DataFrame, subject: str, k: int = 5, seed: int = 42) -> DataFrame:
     """(subject, fold): folds of n // k subjects, the last one takes the remainder."""
-    ranked = _with_size(hash_rank(_distinct(df, subject), ["_all"], subject, seed), ["_all"])
+    ranked = hash_rank(_distinct(df, subject), ["_all"], subject, seed, total="_n")
     size = F.floor(F.col("_n") / k)
     fold = F.when(size == 0, k - 1).otherwise(
         F.least(F.floor(F.try_divide(F.col("rn") - 1, size)), F.lit(k - 1))
@@ -100,23 +96,19 @@ def stratified_split(
     form the test part.  With fewer than two classes, or a class of one, classes are ignored.
     """
     held = val + test
-    labelled = _subject_labels(df, subject, label, []).withColumn("_all", F.lit(0))
-    counts = labelled.groupBy("_all", label).agg(F.count("*").alias("_c"))
+    labelled = _subject_labels(df, subject, label, []).withColumns({"_all": F.lit(0), "_cls": _class_key(label)})
+    counts = labelled.groupBy("_all", "_cls").agg(F.count("*").alias("_c"))
     whole = Window.partitionBy("_all")
-    counts = counts.withColumn("_stratify", (F.count("*").over(whole) >= 2) & (F.min("_c").over(whole) >= 2))
-    # a cohort too small to stratify becomes a single class
-    strata = counts.groupBy("_all", F.when(F.col("_stratify"), F.col(label)).alias("_label")).agg(F.sum("_c").alias("_c"))
-    n = F.sum("_c").over(whole)
-    sized = strata.withColumn("_n", n).withColumn("_held", F.ceil(F.lit(held) * F.col("_n")))
+    stratify = (F.count("*").over(whole) >= 2) & (F.min("_c").over(whole) >= 2)
+    # a cohort too small to stratify becomes a single stratum
+    classes = counts.select("_all", "_cls", "_c", F.when(stratify, F.col("_cls")).otherwise("").alias("_label"))
+    strata = classes.groupBy("_all", "_label").agg(F.sum("_c").alias("_c"))
+    sized = strata.withColumn("_n", F.sum("_c").over(whole)).withColumn("_held", F.ceil(F.lit(held) * F.col("_n")))
     sized = sized.withColumn("_test", F.ceil(F.lit(test / held) * F.col("_held")))
     sized = _allocate(sized, "_held", F.col("_c") / F.col("_n"), "_held")
     sized = _allocate(sized, "_test", F.col("_q__held") / F.col("_held"), "_test")
-    single = counts.groupBy("_all").agg(F.min("_stratify").alias("_stratify"))
-    members = labelled.join(single, "_all").withColumn("_label", F.when(F.col("_stratify"), F.col(label)))
-    members = members.withColumn("_stratum", F.coalesce(F.col("_label").cast("string"), F.lit("")))
-    quotas = sized.withColumn("_stratum", F.coalesce(F.col("_label").cast("string"), F.lit(""))).select(
-        "_stratum", "_q__held", "_q__test"
-    )
+    quotas = sized.select(F.col("_label").alias("_stratum"), "_q__held", "_q__test")
+    members = labelled.join(classes.select("_cls", F.col("_label").alias("_stratum")), "_cls")
     ranked = hash_rank(members.select(subject, label, "_stratum"), ["_stratum"], subject, seed)
     split = (
         F.when(F.col("rn") <= F.col("_q__test"), "test")

@@ -16,7 +16,7 @@ def shared_dir(spark: SparkSession) -> str:
     cluster session without the setting is an error.
     """
     sc = spark.sparkContext
-    named = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if named:
         if sc.getCheckpointDir() is None:
             sc.setCheckpointDir(named)
