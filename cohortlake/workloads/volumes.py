@@ -48,20 +48,16 @@ def rounded(df, *cols):
 
 def volumes(spark, sf) -> DataFrame:
     """Slabs of all volumes; scans with scan_id % 7 = 3 have blank borders, % 50 = 49 are flat."""
-    keep = f"({KEEP})"
-    value = lambda x, y, z: F.expr(
-        f"case when vec_id % 50 = 49 then 0.5D when vec_id % 7 = 3 and not {keep.replace('%X', str(x)).replace('%Y', str(y)).replace('%Z', str(z))} then 0.0D else cast(element_at(embedding, {x * 16 + y * 4 + z + 1}) as double) end"
-    )
-    px = [F.array(*[value(x, y, z) for x in range(4) for y in range(4)]) for z in range(4)]
-    rows = table(spark, sf, "embeddings").select(
-        F.col("vec_id").alias("scan_id"),
-        F.explode(F.array(*[F.struct(F.lit(z).alias("z"), p.alias("px")) for z, p in enumerate(px)])).alias("s"),
+    rows = table(spark, sf, "embeddings").select("vec_id", "embedding", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("z"))
+    px = F.expr(
+        f"""transform(sequence(0, 15), p -> case when vec_id % 50 = 49 then 0.5D when vec_id % 7 = 3 and not ({KEEP}) then 0.0D
+        else cast(element_at(embedding, cast(p div 4 as int) * 16 + p % 4 * 4 + z + 1) as double) end)"""
     )
     four = [F.lit(4).alias(n) for n in ("nx", "ny", "nz")]
-    return rows.select("scan_id", F.lit(0).alias("c"), "s.z", *four, "s.px")
+    return rows.select(F.col("vec_id").alias("scan_id"), F.lit(0).alias("c"), "z", *four, px.alias("px"))
 
 
-KEEP = "%X >= vec_id % 2 and %X <= 2 and %Y >= 1 and %Z <= 1 + vec_id % 3"
+KEEP = "p div 4 >= vec_id % 2 and p div 4 <= 2 and p % 4 >= 1 and z <= 1 + vec_id % 3"
 VOX = """vox AS (SELECT vec_id AS scan_id, (i//16)::INT AS x, ((i//4)%4)::INT AS y, (i%4)::INT AS z,
  CASE WHEN vec_id%50=49 THEN 0.5 WHEN vec_id%7=3 AND NOT (i//16>=vec_id%2 AND i//16<=2 AND (i//4)%4>=1 AND i%4<=1+vec_id%3) THEN 0.0 ELSE CAST(embedding[i+1] AS DOUBLE) END AS v FROM embeddings, unnest(range(64)) t(i))"""
 V = "WITH " + VOX
