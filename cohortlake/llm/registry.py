@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from cohortlake.llm import sharding
+from cohortlake.llm import packing, sharding, warc
 
-MODULES = (sharding,)
+MODULES = (sharding, packing, warc)
 
 QUERIES = {name: fn for m in MODULES for name, fn in m.QUERIES.items()}
 ORACLE = {name: sql for m in MODULES for name, sql in m.ORACLE.items()}
