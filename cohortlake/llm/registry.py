@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from cohortlake.llm import packing, sharding, warc
+from cohortlake.llm import language, packing, sharding, toxicity, warc
 
-MODULES = (sharding, packing, warc)
+MODULES = (sharding, packing, warc, toxicity, language)
 
 QUERIES = {name: fn for m in MODULES for name, fn in m.QUERIES.items()}
 ORACLE = {name: sql for m in MODULES for name, sql in m.ORACLE.items()}
