@@ -17,7 +17,7 @@ from cohortlake.llm.textkit import chunks, runs_hashed, word_bounds
 #: Labelled documents that the chain is fitted on, at most: the first by a hash of their id.
 SAMPLE = 20_000
 #: Tokens that a model of the chain may use, folds of the out-of-fold predictions, penalty, steps.
-FEATURES, FOLDS, PENALTY, STEPS, RATE = 2048, 3, 1e-4, 200, 0.15
+FEATURES, FOLDS, PENALTY, STEPS, RATE = 2048, 3, 1e-6, 300, 0.15
 #: Bytes of the openings of words that count as tokens.
 OPENINGS = (4, 5, 6)
 #: A document is rejected from this probability of the last category on.
