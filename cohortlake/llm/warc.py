@@ -24,43 +24,41 @@ READ = 8 * 1024 * 1024
 SHA256 = "sha256"
 
 
-def with_revisits(pages: DataFrame, ident: str, payload: Column, least: int = MIN_REVISIT) -> DataFrame:
-    """``pages`` plus _payload, payload_bytes, payload_digest, record_type and refers_to.
+def decided(pages: DataFrame, ident: str, url: str, payload: Column, least: int = MIN_REVISIT) -> DataFrame:
+    """One narrow row per page: _id, url, payload_bytes, payload_digest, record_type and refers_to.
 
     Of rows with equal payloads of at least ``least`` bytes those with the smallest id are responses, the
     others revisit it.  A null payload is empty.  A null id is never referred to: such rows are revisits
     if a row with an id has the payload, else responses.  Rows that repeat the smallest id are all
     responses.  The minimum is combined in the map tasks, and the look-up is salted, so a digest that a
-    third of all pages share does not meet in one task.
+    third of all pages share does not meet in one task.  Payloads do not travel here.
     """
     body = F.coalesce(payload, F.lit(""))
-    rows = pages.withColumn("_payload", body).withColumns(
-        {"payload_bytes": F.octet_length("_payload").cast("long"), "payload_digest": F.sha2(F.col("_payload").cast("binary"), 256)}
+    rows = pages.select(
+        F.col(ident).cast("long").alias("_id"), F.col(url).cast("string").alias("url"),
+        F.octet_length(body).cast("long").alias("payload_bytes"), F.sha2(body.cast("binary"), 256).alias("payload_digest"),
     )
     firsts = (
         rows.where(F.col("payload_bytes") >= least).groupBy(F.col("payload_digest").alias("_digest"))
-        .agg(F.min(ident).alias("_first"), F.count("*").alias("_copies"))
+        .agg(F.min("_id").alias("_first"), F.count("*").alias("_copies"))
         .where("_copies > 1 and _first is not null")
         .select("_digest", "_first", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"))
     )
-    salted = rows.withColumn("_at", F.pmod(F.xxhash64(ident), F.lit(SALTS)).cast("int"))
+    salted = rows.withColumn("_at", F.pmod(F.xxhash64("_id"), F.lit(SALTS)).cast("int"))
     met = salted.join(firsts, (F.col("payload_digest") == F.col("_digest")) & (F.col("_at") == F.col("_salt")), "left")
-    again = F.col("_first").isNotNull() & ~F.col(ident).eqNullSafe(F.col("_first"))
+    again = F.col("_first").isNotNull() & ~F.col("_id").eqNullSafe(F.col("_first"))
     return met.select(
-        *[rows[c] for c in pages.columns], "_payload", "payload_bytes", "payload_digest",
-        F.when(again, "revisit").otherwise("response").alias("record_type"),
-        F.when(again, F.col("_first")).alias("refers_to"),
+        *rows.columns, F.when(again, "revisit").otherwise("response").alias("record_type"), F.when(again, F.col("_first")).alias("refers_to")
     )
 
 
-def _record(ident: str, url: str) -> Column:
-    """One WARC record without its closing blank lines."""
+def _header() -> Column:
+    """The head of a WARC record, with its blank line, from the columns of :func:`decided`."""
     line = lambda name, value: F.concat(F.lit(f"{name}: "), value, F.lit("\r\n"))
     # a header value is one line
-    uri = F.regexp_replace(F.coalesce(F.col(url).cast("string"), F.lit("")), "[\r\n]", "")
+    uri = F.regexp_replace(F.coalesce("url", F.lit("")), "[\r\n]", "")
     urn = lambda c: F.concat(F.lit("<urn:page:"), F.coalesce(F.col(c).cast("string"), F.lit("")), F.lit(">"))
     revisit = F.col("record_type") == "revisit"
-    block = F.when(revisit, F.lit("")).otherwise(F.col("_payload"))
     return F.concat(
         F.lit("WARC/1.0\r\n"),
         line("WARC-Type", F.col("record_type")),
@@ -72,35 +70,45 @@ def _record(ident: str, url: str) -> Column:
             line("WARC-Refers-To", urn("refers_to")),
         )).otherwise(F.lit("")),
         line("WARC-Payload-Length", F.col("payload_bytes").cast("string")),
-        line("Content-Length", F.octet_length(block).cast("string")),
-        F.lit("\r\n"), block,
+        line("Content-Length", F.when(revisit, F.lit(0)).otherwise(F.col("payload_bytes")).cast("string")),
+        F.lit("\r\n"),
     )
 
 
-def write_archives(rows: DataFrame, ident: str, url: str, path: str, file_bytes: int = 64 << 20) -> DataFrame:
-    """Write one record per row of :func:`with_revisits` under ``path``/archives and the index under ``path``/index.
+def write_archives(pages: DataFrame, ident: str, url: str, payload: Column, path: str, file_bytes: int = 64 << 20) -> DataFrame:
+    """Write one record per page under ``path``/archives and the index under ``path``/index; return the index.
 
-    A row goes to a file by a hash of its id; there are as many files as ``file_bytes`` asks for.  Each
-    file is written by one task in the order of the index, so offsets are running sums of record lengths.
-    Spark's text writer commits the files, and a lost executor's part is written again.  The index has
-    one row per record: file, offset, length, url, payload_digest, record_type, page id.
+    Payloads are shuffled once, by a hash of id and digest, to as many tasks as ``file_bytes`` asks for.
+    Each task writes one file in the order of the index, so offsets are running sums of record lengths,
+    which the narrow rows of :func:`decided` give.  Spark's text writer commits the files, and a lost
+    executor's part is written again.  Index columns: file, offset, length, url, payload_digest,
+    record_type, page_id.
     """
-    spark = rows.sparkSession
-    records = stored(rows.withColumn("_id", F.col(ident)).select(
-        "_id", F.col(url).cast("string").alias("url"), "payload_digest", "record_type", _record(ident, url).alias("value"),
-    ), "records")
-    total = records.agg(F.sum(F.octet_length("value") + len(END))).first()[0] or 0
+    spark = pages.sparkSession
+    key = F.concat_ws("|", F.coalesce(F.col("_id").cast("string"), F.lit("")), "payload_digest").alias("_key")
+    stored_bytes = F.when(F.col("record_type") == "revisit", F.lit(0)).otherwise(F.col("payload_bytes"))
+    length = (F.octet_length(_header()) + stored_bytes + len(END)).cast("long")
+    narrow = stored(decided(pages, ident, url, payload).select("*", key, length.alias("length")), "decisions")
+    total = narrow.agg(F.sum("length")).first()[0] or 0
     files = max(1, -(-total // file_bytes), min(spark.sparkContext.defaultParallelism, total >> 20))
-    filed = records.withColumn("file", F.pmod(F.xxhash64("_id", "url"), F.lit(files)).cast("int"))
-    order = ["_id", "url", "payload_digest", "record_type"]
-    (
-        filed.repartition(files, "file").sortWithinPartitions("file", *order).select("file", "value")
-        .write.partitionBy("file").option("lineSep", END).text(f"{path}/archives")
-    )
-    size = (F.octet_length("value") + len(END)).cast("long")
-    sized = filed.select("file", *order, size.alias("length"))
-    before = Window.partitionBy("file").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    index = sized.withColumn("offset", F.coalesce(F.sum("length").over(before), F.lit(0)).cast("long"))
+
+    body = F.coalesce(payload, F.lit(""))
+    full = pages.select(
+        F.col(ident).cast("long").alias("_id"), F.col(url).cast("string").alias("url"), body.alias("_payload"),
+        F.octet_length(body).cast("long").alias("payload_bytes"), F.sha2(body.cast("binary"), 256).alias("payload_digest"),
+    ).withColumn("_key", key)
+    again = narrow.where("record_type = 'revisit'").select(F.col("_key").alias("_again"), "refers_to").distinct()
+    # both sides are dealt alike, so the join moves nothing more and its partitions are the files
+    met = full.repartition(files, "_key").join(again.repartition(files, "_again"), F.col("_key") == F.col("_again"), "left")
+    met = met.withColumn("record_type", F.when(F.col("refers_to").isNull(), "response").otherwise("revisit"))
+    block = F.when(F.col("record_type") == "revisit", F.lit("")).otherwise(F.col("_payload"))
+    records = met.select("_key", "url", F.concat(_header(), block).alias("value"))
+    records.sortWithinPartitions("_key", "url").select("value").write.option("lineSep", END).text(f"{path}/archives")
+
+    placed = narrow.repartition(files, "_key").withColumn("file", F.spark_partition_id())
+    before = Window.partitionBy("file").orderBy("_key", "url").rowsBetween(Window.unboundedPreceding, -1)
+    index = placed.withColumn("offset", F.coalesce(F.sum("length").over(before), F.lit(0)).cast("long"))
+    index = index.select("file", "offset", "length", "url", "payload_digest", "record_type", F.col("_id").alias("page_id"))
     index.write.parquet(f"{path}/index")
     return spark.read.parquet(f"{path}/index")
 
@@ -133,7 +141,7 @@ def read_records(selected: DataFrame, path: str) -> DataFrame:
     """
     spark = selected.sparkSession
     places = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(f"{path}/archives").select("path")
-    places = places.select(F.regexp_extract("path", "/file=([0-9]+)/", 1).cast("int").alias("_file"), "path")
+    places = places.select(F.regexp_extract("path", "part-([0-9]+)", 1).cast("int").alias("_file"), "path")
     stretch = F.floor(F.col("offset") / F.lit(READ))
     near = (
         selected.select("file", "offset", "length").join(places, F.col("file") == F.col("_file"))
@@ -175,7 +183,7 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pages written to archives and read back; equal payloads of 100 bytes or more become revisits."""
     pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
     path = fresh_path(spark, "warc")
-    index = write_archives(with_revisits(pages, "page_id", F.col("html")), "page_id", "url", path)
+    index = write_archives(pages, "page_id", "url", F.col("html"), path)
     return read_records(index, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
