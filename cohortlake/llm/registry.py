@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from cohortlake.llm import jaccard, language, mixing, packing, sharding, toxicity, warc
+from cohortlake.llm import fingerprints, jaccard, language, mixing, packing, sharding, suffixes, toxicity, warc
 
-MODULES = (sharding, jaccard, packing, warc, toxicity, language, mixing)
+MODULES = (sharding, jaccard, packing, warc, toxicity, language, suffixes, fingerprints, mixing)
 
 QUERIES = {name: fn for m in MODULES for name, fn in m.QUERIES.items()}
 ORACLE = {name: sql for m in MODULES for name, sql in m.ORACLE.items()}
