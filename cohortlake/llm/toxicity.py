@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -11,7 +12,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortlake.llm.common import table
+from cohortlake.llm.common import released, stored, table
 from cohortlake.llm.textkit import chunks, runs_hashed, word_bounds
 
 #: Labelled documents that the chain is fitted on, at most: the first by a hash of their id.
@@ -49,21 +50,70 @@ def _tokens(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray
         yield low, high, text[order], hashed[order]
 
 
-def _bags(rows: DataFrame, labels: Sequence[str]) -> DataFrame:
-    """The labels and the distinct token hashes of every text."""
+def _bags(rows: DataFrame, labels: Sequence[str], chosen: np.ndarray) -> DataFrame:
+    """Fold, labels and those distinct tokens of every text that are among ``chosen`` (sorted hashes)."""
+    given = rows.sparkSession.sparkContext.broadcast(chosen)  # a bounded number of tokens
 
     def bag(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = given.value
         for batch in batches:
             out: list[np.ndarray] = []
             for low, high, of, hashed in _tokens(batch["_text"]):
                 edges = np.searchsorted(of, np.arange(high - low + 1))
-                out += [np.unique(hashed[a:b]) for a, b in zip(edges, edges[1:], strict=False)]
+                for a, b in zip(edges, edges[1:], strict=False):
+                    own = np.unique(hashed[a:b])
+                    out.append(own[np.isin(own, known)])
             if out:
                 yield pa.RecordBatch.from_arrays(
-                    [*(batch[c] for c in labels), pa.array(out, pa.list_(pa.int64()))], names=[*labels, "tokens"]
+                    [batch["_fold"], *(batch[c] for c in labels), pa.array(out, pa.list_(pa.int64()))], names=["fold", *labels, "tokens"]
                 )
 
-    return rows.mapInArrow(bag, ", ".join([*(f"{c} int" for c in labels), "tokens array<long>"]))
+    return rows.mapInArrow(bag, ", ".join(["fold int", *(f"{c} int" for c in labels), "tokens array<long>"]))
+
+
+def _token_counts(rows: DataFrame, labels: Sequence[str]) -> DataFrame:
+    """Per token and fold: texts that hold it (n_<fold>), and those of them in each category (<label>_<fold>)."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fold = batch["_fold"].to_numpy()
+            marks = [np.ones(batch.num_rows, dtype=np.int64), *(batch[c].to_numpy().astype(np.int64) for c in labels)]
+            for low, _, of, hashed in _tokens(batch["_text"]):
+                order = np.lexsort((hashed, of))
+                text, token = of[order], hashed[order]
+                once = np.ones(len(text), dtype=bool)
+                once[1:] = (text[1:] != text[:-1]) | (token[1:] != token[:-1])
+                text, token = text[once] + low, token[once]
+                order = np.lexsort((fold[text], token))
+                text, token = text[order], token[order]
+                if not len(text):
+                    continue
+                head = np.ones(len(text), dtype=bool)
+                head[1:] = (token[1:] != token[:-1]) | (fold[text[1:]] != fold[text[:-1]])
+                at = np.flatnonzero(head)
+                sums = [pa.array(np.add.reduceat(m[text], at)) for m in marks]
+                yield pa.RecordBatch.from_arrays([pa.array(token[at]), pa.array(fold[text[at]]), *sums], names=["token", "fold", "n", *labels])
+
+    long = rows.mapInArrow(count, ", ".join(["token long", "fold int", "n long", *(f"{c} long" for c in labels)]))
+    return long.groupBy("token").agg(*[
+        F.sum(F.when(F.col("fold") == f, F.col(c)).otherwise(F.lit(0))).alias(f"{c}_{f}") for f in range(FOLDS) for c in ("n", *labels)
+    ])
+
+
+def _chosen(counts: DataFrame, totals: dict[int, dict[str, int]], label: str, without: int | None) -> np.ndarray:
+    """The ``FEATURES`` tokens whose log odds ratio for a category stands out most in all folds but ``without``.
+
+    Tokens that speak against a category are left out: harmless words around them don't outweigh harmful ones.
+    """
+    folds = [f for f in range(FOLDS) if f != without]
+    n, ones = (float(sum(totals.get(f, {}).get(c, 0) for f in folds)) for c in ("n", label))
+    inside = reduce(Column.__add__, [F.col(f"{label}_{f}") for f in folds])
+    seen = reduce(Column.__add__, [F.col(f"n_{f}") for f in folds])
+    outside = seen - inside
+    odds = F.log((inside + 0.5) / (ones - inside + 0.5)) - F.log((outside + 0.5) / (n - ones - outside + 0.5))
+    z = odds / F.sqrt(1 / (inside + 0.5) + 1 / (outside + 0.5))
+    best = counts.where(seen >= 3).select("token", z.alias("z")).where("z > 0").orderBy(F.desc("z"), "token").limit(FEATURES)
+    return np.sort(np.array([r["token"] for r in best.collect()], dtype=np.int64))
 
 
 @dataclass
@@ -87,24 +137,12 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def _fit_link(of: np.ndarray, hashed: np.ndarray, before: np.ndarray, goal: np.ndarray) -> Link:
-    """Logistic regression on the tokens that speak most clearly for the category, by Adam steps over all rows.
-
-    Tokens that speak against it are left out: harmless words around them don't outweigh harmful ones.
-    """
-    n, ones = len(goal), float(goal.sum())
-    vocabulary, token = np.unique(hashed, return_inverse=True)
-    inside = np.bincount(token, goal[of], minlength=len(vocabulary))
-    outside = np.bincount(token, minlength=len(vocabulary)) - inside
-    odds = np.log((inside + 0.5) / (ones - inside + 0.5)) - np.log((outside + 0.5) / (n - ones - outside + 0.5))
-    z = odds / np.sqrt(1 / (inside + 0.5) + 1 / (outside + 0.5))
-    z[inside + outside < 3] = 0
-    chosen = np.sort(np.argsort(-z, kind="stable")[: min(FEATURES, int((z > 0).sum()))])
-    place = np.full(len(vocabulary), -1)
-    place[chosen] = np.arange(len(chosen))
-    used = place[token] >= 0
-    rows, cols = of[used], place[token[used]]
-    width = len(chosen)
+def _fit_link(of: np.ndarray, hashed: np.ndarray, before: np.ndarray, goal: np.ndarray, chosen: np.ndarray) -> Link:
+    """Logistic regression on the chosen tokens and the earlier logits, by Adam steps over all rows."""
+    n, ones, width = len(goal), float(goal.sum()), len(chosen)
+    place = np.minimum(np.searchsorted(chosen, hashed), max(width - 1, 0))
+    used = chosen[place] == hashed if width else np.zeros(len(hashed), bool)
+    rows, cols = of[used], place[used]
     beta = np.zeros(width + before.shape[1] + 1)
     first, second = np.zeros_like(beta), np.zeros_like(beta)
     beta[-1] = np.log((ones + 0.5) / (n - ones + 0.5))
@@ -115,35 +153,35 @@ def _fit_link(of: np.ndarray, hashed: np.ndarray, before: np.ndarray, goal: np.n
         grad[:-1] += PENALTY * beta[:-1]
         first, second = 0.9 * first + 0.1 * grad, 0.999 * second + 0.001 * grad * grad
         beta -= RATE * (first / (1 - 0.9**t)) / (np.sqrt(second / (1 - 0.999**t)) + 1e-9)
-    return Link(vocabulary[chosen], beta[:width], beta[width:-1], float(beta[-1]))
+    return Link(chosen, beta[:width], beta[width:-1], float(beta[-1]))
 
 
-def fit_chain(bags: list, categories: Sequence[str]) -> list[Link]:
+def fit_chain(bags: list, categories: Sequence[str], chosen: dict[tuple[str, int | None], np.ndarray]) -> list[Link]:
     """Fit the categories one after the other on a bounded sample.
 
-    Each later model is trained on the earlier categories' *out-of-fold* logits: what those models say of
-    documents that they have not seen, as it will be when the chain is applied.
+    Each later model is trained on the earlier categories' *out-of-fold* logits: what models that have not
+    seen a document say of it, as it will be when the chain is applied.  ``chosen`` has the tokens of each
+    category for all folds (None) and without each fold, so the choice of tokens is out of fold too.
     """
     n = len(bags)
     if not n:
         raise ValueError("the chain needs labelled documents")
     of = np.repeat(np.arange(n), [len(r["tokens"]) for r in bags])
-    hashed = np.concatenate([np.asarray(r["tokens"], dtype=np.int64) for r in bags]) if n else np.zeros(0, np.int64)
-    fold = np.arange(n) % FOLDS
+    hashed = np.concatenate([np.asarray(r["tokens"], dtype=np.int64) for r in bags])
+    fold = np.array([r["fold"] for r in bags])
     before, chain = np.zeros((n, 0)), []
     for name in categories:
         goal = np.array([r[name] for r in bags], dtype=float)
-        chain.append(_fit_link(of, hashed, before, goal))
+        chain.append(_fit_link(of, hashed, before, goal, chosen[name, None]))
         unseen = np.zeros(n)
         for f in range(FOLDS):
             rest = np.flatnonzero(fold != f)
-            if not len(rest):
-                continue
             number = np.full(n, -1)
             number[rest] = np.arange(len(rest))
             keep = number[of] >= 0
-            link = _fit_link(number[of[keep]], hashed[keep], before[rest], goal[rest])
-            unseen[fold == f] = link.logits(of, hashed, n, before)[fold == f]
+            if len(rest):
+                link = _fit_link(number[of[keep]], hashed[keep], before[rest], goal[rest], chosen[name, f])
+                unseen[fold == f] = link.logits(of, hashed, n, before)[fold == f]
         before = np.column_stack([before, np.clip(unseen, -8, 8)])
     return chain
 
@@ -175,13 +213,18 @@ def trained(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], s
     known = known.dropna().groupBy("_id").agg(*[F.max(n).alias(n) for n in categories])
     some = known.orderBy(F.xxhash64("_id"), "_id").limit(sample)  # bounded, so it can be sent to every task
     rows = docs.where("text is not null").join(F.broadcast(some), F.col("doc_id") == F.col("_id"))
-    rows = rows.select(*categories, F.col("text").alias("_text"), F.col("doc_id").alias("_id"))
-    return fit_chain(sorted_bags(rows, list(categories)), list(categories))
-
-
-def sorted_bags(rows: DataFrame, categories: Sequence[str]) -> list:
-    """Collected bags in an order that does not depend on how the table is cut into tasks."""
-    return sorted(_bags(rows, categories).collect(), key=lambda r: (r["tokens"], *(r[c] for c in categories)))
+    fold = F.pmod(F.xxhash64("_id", F.lit(FOLDS)), F.lit(FOLDS)).cast("int").alias("_fold")
+    rows = stored(rows.select(*categories, F.col("text").alias("_text"), fold), "labelled")
+    names = list(categories)
+    counts = stored(_token_counts(rows, names), "tokens")
+    sums = rows.groupBy("_fold").agg(F.count("*").alias("n"), *[F.sum(c).alias(c) for c in names]).collect()  # one row per fold
+    totals = {r["_fold"]: r.asDict() for r in sums}
+    chosen = {(c, f): _chosen(counts, totals, c, f) for c in names for f in (None, *range(FOLDS))}
+    bags = _bags(rows, names, np.unique(np.concatenate(list(chosen.values())))).collect()
+    released(rows, counts)
+    # an order that does not depend on how the table is cut into tasks
+    bags.sort(key=lambda r: (r["fold"], r["tokens"], *(r[c] for c in names)))
+    return fit_chain(bags, names, chosen)
 
 
 def rejected(docs: DataFrame, chain: Sequence[Link], categories: Sequence[str], threshold: float = THRESHOLD) -> DataFrame:
