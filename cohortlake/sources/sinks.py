@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from cohortlake.functions.metadata import decode_label, fixed
 from cohortlake.operators.runs import COMPARISON_COLUMNS, upsert_comparison
-from cohortlake.session import fresh_path
+from cohortlake.session import delete, file_exists, file_system, fresh_path
 
 # fixed values: header of the predictions file
 PREDICTION_COLUMNS = [
@@ -53,31 +53,48 @@ def write_documents(df: DataFrame, name: str, doc: str, path: str | None = None)
 
 class ComparisonTable:
     """Comparison rows keyed by Experiment.  Every upsert writes a new version folder, so a failed
-    write leaves the last good version readable."""
+    write leaves the last good version readable.  The newest complete version is looked up on storage:
+    a table that is opened again goes on from there, and no version is ever overwritten."""
 
     def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path, self.version = spark, path.rstrip("/"), 0
+        self.spark, self.path = spark, path.rstrip("/")
+
+    def _versions(self) -> list[tuple[int, bool]]:
+        """(number, complete) of the version folders."""
+        fs, at = file_system(self.spark, self.path)
+        names = [f.getPath().getName() for f in fs.listStatus(at)] if fs.exists(at) else []
+        numbers = [int(n[1:]) for n in names if n[:1] == "v" and n[1:].isdigit()]
+        return [(n, file_exists(self.spark, f"{self.path}/v{n}/_SUCCESS")) for n in sorted(numbers)]
+
+    @property
+    def version(self) -> int:
+        return max((n for n, whole in self._versions() if whole), default=0)
 
     def read(self) -> DataFrame:
         schema = ", ".join(f"{c} string" for c in COMPARISON_COLUMNS)
-        if self.version == 0:
+        version = self.version
+        if version == 0:
             return self.spark.createDataFrame([], schema)
-        return self.spark.read.csv(f"{self.path}/v{self.version}", header=True, schema=schema)
+        return self.spark.read.csv(f"{self.path}/v{version}", header=True, schema=schema)
 
     def upsert(self, new: DataFrame) -> None:
-        write_csv(upsert_comparison(self.read(), new), "comparison", f"{self.path}/v{self.version + 1}")
-        self.version += 1
+        following = 1 + max((n for n, _ in self._versions()), default=0)
+        upsert_comparison(self.read(), new).write.mode("error").csv(f"{self.path}/v{following}", header=True)
 
 
 def write_volumes(slabs: DataFrame, path: str, cache_version: str, clear: bool = False) -> str:
-    """Processed slabs under ``cache_version``.  Only the versions present in the data are replaced.
+    """Processed slabs under ``cache_version``; other versions are left alone.
 
-    ``scan_id`` buckets, not scans, are the partition folders, so the folder count stays bounded.
+    ``clear`` removes the whole version first.  Otherwise only scans that the version lacks are added, so a
+    rerun changes nothing.  ``scan_id`` buckets, not scans, are the partition folders, so their count stays bounded.
     """
-    out = slabs.withColumn("cache_version", F.lit(cache_version)).withColumn(
-        "scan_bucket", F.pmod(F.xxhash64(F.col("scan_id").cast("string")), F.lit(256)).cast("int")
-    )
-    out.repartition("scan_bucket", "z").write.mode("overwrite" if clear else "append").option(
-        "partitionOverwriteMode", "dynamic"
-    ).partitionBy("cache_version", "scan_bucket").parquet(path)
+    spark = slabs.sparkSession
+    folder = f"{path.rstrip('/')}/cache_version={cache_version}"
+    if clear:
+        delete(spark, folder)
+    elif file_exists(spark, folder):
+        there = spark.read.parquet(folder).select("scan_id").distinct()
+        slabs = slabs.join(there, "scan_id", "left_anti")
+    out = slabs.withColumn("scan_bucket", F.pmod(F.xxhash64(F.col("scan_id").cast("string")), F.lit(256)).cast("int"))
+    out.repartition("scan_bucket", "z").write.mode("append").partitionBy("scan_bucket").parquet(folder)
     return path

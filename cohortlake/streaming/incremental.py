@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,75 +14,89 @@ from cohortlake.session import fresh_path
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def stream_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """Stream over ``<folder>/<name>*.parquet`` with the schema of the files already there."""
-    schema = spark.read.parquet(f"{folder}/{name}.parquet").schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}*.parquet").parquet(folder)
+def stream_table(spark: SparkSession, folder: str, name: str = "", files: int = 1000) -> DataFrame:
+    """Stream over ``<folder>/<name>*.parquet`` with the schema of the files already there, ``files`` at a time."""
+    one = f"{folder}/{name}.parquet" if name else folder
+    reader = spark.readStream.schema(spark.read.parquet(one).schema).option("maxFilesPerTrigger", files)
+    return reader.option("pathGlobFilter", f"{name}*.parquet").parquet(folder)
 
 
-def _drain(writer, spark: SparkSession, name: str):
-    """Run everything available, then stop; offsets and state live in the shared folder."""
-    query = writer.option("checkpointLocation", fresh_path(spark, f"{name}-offsets")).trigger(availableNow=True).start()
+def _drain(writer, path: str):
+    """Run everything available, then stop.  Offsets and state belong to the output path, so a later run goes on from here."""
+    query = writer.option("checkpointLocation", f"{path.rstrip('/')}/_offsets").trigger(availableNow=True).start()
     query.awaitTermination()
 
 
-def new_content(stream: DataFrame, content: Column, event_time: str, horizon: str) -> DataFrame:
-    """Add ``fingerprint`` and keep one row per content inside the ``horizon``; state beyond it is dropped."""
-    return (
-        stream.withColumn("fingerprint", F.sha2(content, 256))
-        .withColumn(event_time, F.col(event_time).cast("timestamp"))
-        .withWatermark(event_time, horizon)
-        .dropDuplicatesWithinWatermark(["fingerprint"])
-    )
-
+def ingest_new(stream: DataFrame, content: Column, path: str | None = None, keep: Sequence[str] = ()) -> DataFrame:
+    """Append unseen content to a parquet table and return all its fingerprints.
 
-def ingest_new(
-    stream: DataFrame, content: Column, event_time: str, horizon: str, path: str | None = None
-) -> DataFrame:
-    """Append unseen content to a parquet table (exactly once through the file sink) and return the fingerprints."""
+    Each trigger drops repeats inside itself and whatever the table already holds, and writes one batch
+    folder.  A batch that is tried again replaces its own folder and is compared with the others only.
+    Nothing is kept in memory between triggers, and content is known for good, however old it is.
+    """
     spark = stream.sparkSession
     path = path or fresh_path(spark, "ingest")
-    rows = new_content(stream, content, event_time, horizon).select("fingerprint", event_time)
-    _drain(rows.writeStream.format("parquet").option("path", path).outputMode("append"), spark, "ingest")
-    return spark.read.schema(f"fingerprint string, {event_time} timestamp").parquet(path).select("fingerprint")
+    rows = stream.select(F.sha2(content, 256).alias("fingerprint"), *keep)
+    schema = ", ".join([f"{c} {t}" for c, t in rows.dtypes] + ["batch bigint"])
+
+    def publish(batch: DataFrame, batch_id: int) -> None:
+        fresh = batch.dropDuplicates(["fingerprint"])
+        if batch_id:
+            known = batch.sparkSession.read.schema(schema).parquet(path).where(F.col("batch") != batch_id)
+            fresh = fresh.join(known.select("fingerprint"), "fingerprint", "left_anti")
+        fresh.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+
+    _drain(rows.writeStream.foreachBatch(publish), path)
+    return spark.read.schema(schema).parquet(path).drop("batch")
 
 
 def running_balance(stream: DataFrame, label: str, path: str | None = None) -> DataFrame:
-    """Rows per class so far.  Each trigger replaces the (few) class counts with a new batch folder."""
+    """Rows per class so far, over all runs on ``path``.  Each trigger writes the (few) class counts to a new batch folder."""
     spark = stream.sparkSession
     path = path or fresh_path(spark, "balance")
     counts = stream.groupBy(label).agg(F.count("*").alias("n"))
 
     def publish(batch: DataFrame, batch_id: int) -> None:
-        batch.withColumn("batch", F.lit(batch_id)).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
-    _drain(counts.writeStream.outputMode("complete").foreachBatch(publish), spark, "balance")
-    seen = spark.read.parquet(path)
+    _drain(counts.writeStream.outputMode("complete").foreachBatch(publish), path)
+    seen = spark.read.schema(f"{label} {dict(stream.dtypes)[label]}, n bigint, batch bigint").parquet(path)
     return seen.groupBy(label).agg(F.max_by("n", "batch").alias("n"))
 
 
 class EarlyStopMonitor(StatefulProcessor):
-    """Per run: best accepted score, scored epochs waited, and the stop epoch once patience is used up."""
+    """Per run: best accepted score, scored epochs waited, and the stop epoch once patience is used up.
+
+    Scores are kept in the state store as well: if an epoch arrives after later ones of its run, the run is
+    walked again from its start, so the answer does not depend on how the input is cut into triggers.
+    """
 
     def __init__(self, patience: int, min_delta: float):
         self.patience, self.min_delta = patience, min_delta
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("watch", "best double, wait int, stop bigint")
+        self.state = handle.getValueState("watch", "best double, wait int, stop bigint, last bigint")
+        self.scores = handle.getListState("scores", "epoch bigint, metric double")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        best, wait, stop = self.state.get() if self.state.exists() else (float("inf"), 0, None)
         # one trigger's rows of one run; the trigger size bounds them
-        for epoch, metric in sorted(
-            (e, m) for pdf in rows for e, m in zip(pdf["epoch"], pdf["metric"]) if pd.notna(m)
-        ):
+        new = sorted((int(e), float(m)) for pdf in rows for e, m in zip(pdf["epoch"], pdf["metric"]) if pd.notna(m))
+        best, wait, stop, last = self.state.get() if self.state.exists() else (float("inf"), 0, None, None)
+        todo = new
+        if new and last is not None and new[0][0] <= last:
+            best, wait, stop = float("inf"), 0, None
+            todo = sorted([*((int(e), float(m)) for e, m in self.scores.get()), *new])
+        for epoch, metric in todo:
             if metric < best - self.min_delta:
                 best, wait = metric, 0
             else:
                 wait += 1
                 if wait >= self.patience and stop is None:
-                    stop = int(epoch)
-        self.state.update((float(best), int(wait), stop))
+                    stop = epoch
+        if new:
+            self.scores.appendList(new)
+            last = max(new[-1][0], last if last is not None else new[-1][0])
+        self.state.update((float(best), int(wait), stop, last))
         yield pd.DataFrame({"run": [key[0]], "stop_epoch": pd.array([stop], dtype="Int64")})
 
     def close(self) -> None:
@@ -92,10 +106,11 @@ class EarlyStopMonitor(StatefulProcessor):
 def early_stop_monitor(
     stream: DataFrame, patience: int, min_delta: float = 0.0, path: str | None = None
 ) -> DataFrame:
-    """(run, stop_epoch) after the available input; null while a run may go on."""
+    """(run, stop_epoch) after the input available so far, over all runs on ``path``; null while a run may go on."""
     spark = stream.sparkSession
     path = path or fresh_path(spark, "monitor")
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    provider = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(provider)
     watched = stream.groupBy("run").transformWithStateInPandas(
         EarlyStopMonitor(patience, min_delta), "run bigint, stop_epoch bigint", "Update", "None"
     )
@@ -103,6 +118,11 @@ def early_stop_monitor(
     def publish(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
-    _drain(watched.writeStream.outputMode("update").foreachBatch(publish), spark, "monitor")
-    seen = spark.read.schema("run bigint, stop_epoch bigint, batch int").parquet(path)
-    return seen.groupBy("run").agg(F.max_by("stop_epoch", "batch").alias("stop_epoch"))
+    try:
+        spark.conf.set(provider, ROCKSDB)  # for this query only
+        _drain(watched.writeStream.outputMode("update").foreachBatch(publish), path)
+    finally:
+        spark.conf.set(provider, before)
+    seen = spark.read.schema("run bigint, stop_epoch bigint, batch bigint").parquet(path)
+    # the latest batch of a run tells; a null there is an answer too
+    return seen.groupBy("run").agg(F.max_by(F.struct("stop_epoch"), F.col("batch")).alias("_s")).select("run", "_s.stop_epoch")

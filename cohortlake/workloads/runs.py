@@ -129,10 +129,10 @@ o AS (SELECT 'exp_' || p_partkey AS e, p_brand AS a, 'N/A' AS l, printf('%.4f',
 SELECT e AS Experiment, a AS Architecture, l AS Loss_Function, v AS Val_Loss, """ + ", ".join(f"'N/A' AS {c}" for c in runs.COMPARISON_COLUMNS[4:]) + """ FROM (SELECT * FROM n UNION ALL SELECT * FROM o WHERE e NOT IN (SELECT e FROM n))""")
 def _(spark, sf):
     old, new = experiments(spark, sf)
-    store = sinks.ComparisonTable(spark, sinks.fresh_path(spark, "comparison"))
-    store.upsert(old)
-    store.upsert(new)
-    return store.read()
+    path = sinks.fresh_path(spark, "comparison")
+    sinks.ComparisonTable(spark, path).upsert(old)
+    sinks.ComparisonTable(spark, path).upsert(new)  # opened again
+    return sinks.ComparisonTable(spark, path).read()
 
 
 @query("K04_ranked_comparison", """SELECT p_brand AS grp, name, round(score,6) AS score, CAST(size AS BIGINT) AS size FROM (SELECT p_brand, 'exp_' || p_partkey AS name, p_retailprice AS score, p_size AS size,
@@ -350,23 +350,36 @@ def _(spark, sf):
 
 # --- streams ----------------------------------------------------------------------------------
 
+def _in_two_parts(spark, sf, key, run):
+    """Call ``run(folder)`` on half of the events, and again when the other half has arrived."""
+    events, folder = S.table(spark, sf, "events"), sinks.fresh_path(spark, "arrivals")
+    for half in (0, 1):
+        events.where(F.pmod(F.xxhash64(key), F.lit(2)) == half).write.mode("append").parquet(folder)
+        out = run(incremental.stream_table(spark, folder))
+    return out
+
+
 @query("T01_incremental_ingest", "SELECT DISTINCT sha256(user_id || '_' || event_type || '_' || props) AS fingerprint FROM events")
 def _(spark, sf):
-    return incremental.ingest_new(
-        incremental.stream_table(spark, sf, "events"), F.concat_ws("_", F.col("user_id").cast("string"), "event_type", "props"), "ts", "3650 days"
-    )
+    path = sinks.fresh_path(spark, "ingest")
+    content = F.concat_ws("_", F.col("user_id").cast("string"), "event_type", "props")
+    return _in_two_parts(spark, sf, "event_id", lambda rows: incremental.ingest_new(rows, content, path))
 
 
 @query("T02_running_balance", "SELECT event_type AS label, count(*) AS n FROM events GROUP BY event_type")
 def _(spark, sf):
-    stream = incremental.stream_table(spark, sf, "events").select(F.col("event_type").alias("label"))
-    return incremental.running_balance(stream, "label")
+    path = sinks.fresh_path(spark, "balance")
+    labels = lambda rows: rows.select(F.col("event_type").alias("label"))
+    return _in_two_parts(spark, sf, "event_id", lambda rows: incremental.running_balance(labels(rows), "label", path))
 
 
 @query("T03_early_stop_monitor", _early("2.5", 8))
 def _(spark, sf):
-    stream = incremental.stream_table(spark, sf, "events").select(
+    path = sinks.fresh_path(spark, "monitor")
+    epochs = lambda rows: rows.select(
         F.col("user_id").alias("run"), F.col("event_id").alias("epoch"),
         F.when(F.col("event_id") % 19 != 0, F.col("value")).alias("metric"),
     )
-    return incremental.early_stop_monitor(stream, patience=8, min_delta=2.5)
+    return _in_two_parts(
+        spark, sf, "event_id", lambda rows: incremental.early_stop_monitor(epochs(rows), patience=8, min_delta=2.5, path=path)
+    )

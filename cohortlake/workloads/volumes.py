@@ -651,7 +651,10 @@ def _(spark, sf):
 
 @query("S15_versioned_sink", f"{V} SELECT scan_id, z, round(sum(v),5)+0.0 AS total FROM vox GROUP BY scan_id, z")
 def _(spark, sf):
-    path = sinks.write_volumes(volumes(spark, sf), fresh_path(spark, "volumes"), "v1")
+    path, rows = fresh_path(spark, "volumes"), volumes(spark, sf)
+    sinks.write_volumes(rows, path, "v1")
+    sinks.write_volumes(rows.where("scan_id % 2 = 0"), path, "v1", clear=True)  # half of it is gone
+    sinks.write_volumes(rows, path, "v1")  # and comes back, the rest is skipped
     back = spark.read.parquet(path).where("cache_version = 'v1'")
     total = F.aggregate("px", F.lit(0.0), lambda a, v: a + v)
     return back.select("scan_id", "z", (F.round(total, 5) + 0.0).alias("total"))
