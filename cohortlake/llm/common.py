@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cohortlake.session import fresh_path, materialised
@@ -32,6 +32,14 @@ def released(*frames: DataFrame) -> None:
             path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, made longer until ``df`` has no such column."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def buckets_for(rows: int, per: int = BUCKET_ROWS) -> int:
     return max(1, -(-rows // per))
 
@@ -126,8 +134,4 @@ def components(edges: DataFrame) -> DataFrame:
     return now.unionByName(roots).select(F.col("u").alias("node"), F.col("v").alias("label"))
 
 
-def digest64(*cols: Column | str) -> Column:
-    return F.xxhash64(*cols)
-
-
-__all__ = ["buckets_for", "components", "digest64", "fresh_path", "numbered", "released", "stored", "table"]
+__all__ = ["buckets_for", "components", "fresh_path", "numbered", "released", "stored", "table", "unused"]

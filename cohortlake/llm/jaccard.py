@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from cohortlake.llm.common import components, stored, table
+from cohortlake.llm.common import components, stored, table, unused
 from cohortlake.llm.textkit import LOWER, SPACE, chunks, mixed, runs_hashed, word_bounds
 
 WORDS = 5
@@ -346,12 +346,12 @@ def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 def first_of_groups(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: of each component the documents whose id is its smallest, with all their columns.
 
-    Documents with a null id or without shingles stay.  Of rows that repeat an id within a component one stays.
+    Documents with a null id or without shingles stay, and so do rows that repeat the smallest id.
     """
     groups = joined(docs.select("doc_id", "text"))
-    gone = groups.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    kept = docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
-    return kept
+    key = unused(docs, "_gone")
+    gone = groups.where("doc_id <> component_id").select(F.col("doc_id").alias(key)).distinct()
+    return docs.join(gone, F.col("doc_id") == F.col(key), "left_anti")
 
 
 QUERIES = {"op2_ngram_jaccard": op2_ngram_jaccard}

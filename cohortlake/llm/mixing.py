@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cohortlake.llm.common import stored, table
+from cohortlake.llm.common import stored, table, unused
 
 #: Tokens that one block of a source holds, about; a source has as many blocks as its tokens ask for.
 BLOCK_TOKENS = 250_000
@@ -159,14 +159,14 @@ def op10_temperature_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def remixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: the documents of the mix, with their columns; a document that is seen twice is two rows."""
-    names = list(docs.columns)
-    times = mixed(docs, text_tokens()).groupBy("_id").agg(F.count("*").alias("_n"))
-    own = docs.groupBy(F.col("doc_id").alias("_k")).agg(F.count("*").alias("_rows"))
+    names, key, times, copy = list(docs.columns), *(unused(docs, n) for n in ("_key", "_times", "_copy"))
+    seen = mixed(docs, text_tokens()).groupBy("_id").agg(F.count("*").alias("_n"))
+    own = docs.groupBy(F.col("doc_id").alias(key)).agg(F.count("*").alias("_rows"))
     # rows that repeat an id share its occurrences: as whole as before, and each at least once
     each = F.greatest(F.round(F.col("_n") / F.col("_rows")).cast("int"), F.lit(1))
-    copies = times.join(own, F.col("_id").eqNullSafe(F.col("_k"))).select("_id", each.alias("_times"))
-    met = docs.join(copies, F.col("doc_id").eqNullSafe(F.col("_id")))
-    return met.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*names)
+    copies = own.join(seen, F.col(key).eqNullSafe(F.col("_id"))).select(key, each.alias(times))
+    met = docs.join(copies, F.col("doc_id").eqNullSafe(F.col(key)))
+    return met.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(times)))).select(*names)
 
 
 QUERIES = {"op10_temperature_mix": op10_temperature_mix}

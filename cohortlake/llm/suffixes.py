@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cohortlake.llm.common import released, stored, table
+from cohortlake.llm.common import released, stored, table, unused
 from cohortlake.llm.textkit import BASE, CODES, INVERSE, chunks, mixed, prefix_hashes
 
 #: Bytes of a repeated string, and of the anchors by which its occurrences find each other.
@@ -453,13 +453,14 @@ def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     A character of which only some bytes are left goes with them.  Null texts stay null.
     """
     _, changes = repeats(docs.select("doc_id", "text"), keep_text=True)
-    found = changes.select(F.col("k").alias("_k"), F.col("kept").alias("_kept"))
-    body = F.coalesce(F.col("text"), F.lit(""))
-    met = docs.join(found, (_key(body) == F.col("_k")) & (F.octet_length(body) >= LENGTH), "left")
-    text = F.coalesce("_kept", "text")
+    key, kept = unused(docs, "_k"), unused(docs, "_kept")
+    found = changes.select(F.col("k").alias(key), F.col("kept").alias(kept))
+    body = F.coalesce(docs["text"], F.lit(""))
+    met = docs.join(found, (_key(body) == F.col(key)) & (F.octet_length(body) >= LENGTH), "left")
+    text = F.coalesce(F.col(kept), F.col("text"))
     out = {c: F.col(c) for c in docs.columns} | {"text": text}
     if "n_chars" in docs.columns:
-        out["n_chars"] = F.when(F.col("_k").isNull(), F.col("n_chars")).otherwise(F.length(text).cast(docs.schema["n_chars"].dataType))
+        out["n_chars"] = F.when(F.col(key).isNull(), F.col("n_chars")).otherwise(F.length(text).cast(docs.schema["n_chars"].dataType))
     return met.select(*[c.alias(n) for n, c in out.items()])
 
 
