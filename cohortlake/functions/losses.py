@@ -71,17 +71,21 @@ def reduced(loss: Column, reduction: str) -> Column:
     return F.avg(loss) if reduction == "mean" else F.sum(loss)
 
 
+# fixed values: accepted loss names, without hyphens and underscores
+LOSSES = {
+    "ce": lambda z, y, o: F.avg(cross_entropy(z, y)),
+    "weightedce": lambda z, y, o: weighted_cross_entropy(z, y, o["alpha"]),
+    "cels": lambda z, y, o: F.avg(smoothed_cross_entropy(z, y, o["smoothing"])),
+    "focal": lambda z, y, o: F.avg(focal(z, y, o["alpha"], o["gamma"])),
+    "focalls": lambda z, y, o: F.avg(focal(z, y, o["alpha"], o["gamma"], o["smoothing"])),
+}
+
+
 def batch_loss(name: str, logits: Column, y: Column, alpha=None, gamma: float = 2.0, smoothing: float = 0.0) -> Column:
-    """Aggregate column for a loss by name: ce, weighted_ce, ce_ls, focal, focal_ls."""
-    kind = name.lower().replace("-", "").replace("_", "")
-    if kind == "ce":
-        return F.avg(cross_entropy(logits, y))
-    if kind == "weightedce":
-        return weighted_cross_entropy(logits, y, alpha)
-    if kind == "cels":
-        return F.avg(smoothed_cross_entropy(logits, y, smoothing))
-    if kind == "focal":
-        return F.avg(focal(logits, y, alpha, gamma))
-    if kind == "focalls":
-        return F.avg(focal(logits, y, alpha, gamma, smoothing))
-    raise ValueError(f"unknown loss {name}")
+    """Aggregate column for a loss by its name, in any case and with any hyphens or underscores."""
+    spelled = "".join(c for c in name if c.isalnum()).casefold()
+    try:
+        made = LOSSES[spelled]
+    except KeyError:
+        raise ValueError(f"unknown loss {name}, not one of {', '.join(LOSSES)}") from None
+    return made(logits, y, {"alpha": alpha, "gamma": gamma, "smoothing": smoothing})

@@ -54,38 +54,38 @@ def running(
     ``(F.sum | F.max | F.min, input)``; with ``inclusive=False`` the current row is left out.
     ``totals`` adds whole-group sums.  ``previous`` and ``following`` add a value of the
     neighbouring row, also across a bucket border; they need a single, distinct order column.
+    Rows with a null key form a group of their own; a null order value comes first (last if descending).
     """
     keys, totals, previous, following = list(keys), totals or {}, previous or {}, following or {}
-    # the join below drops null keys anyway; said up front, both of its sides share one shuffle
-    for k in [*keys, bucket]:
-        df = df.where(F.col(k).isNotNull())
+    # a struct with null fields equals another one, so null groups are kept, and all steps share one shuffle
+    df, columns = df.withColumn("_at", F.struct(*keys, bucket)), df.columns
+    fields = [F.col("_at")[k] for k in keys]
     way = F.desc if descending else F.asc
     first, last = (F.max_by, F.min_by) if descending else (F.min_by, F.max_by)
-    per_bucket = df.groupBy(*keys, bucket).agg(
+    per_bucket = df.groupBy("_at").agg(
         *[fn(c).alias(f"_t_{o}") for o, (fn, c) in aggs.items()],
         *[F.sum(c).alias(f"_t_{o}") for o, c in totals.items()],
         *[last(c, F.col(order[0])).alias(f"_t_{o}") for o, c in previous.items()],
         *[first(c, F.col(order[0])).alias(f"_t_{o}") for o, c in following.items()],
     )
-    buckets = Window.partitionBy(*keys).orderBy(way(bucket))
-    earlier, whole = buckets.rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy(*keys)
+    buckets = Window.partitionBy(*fields).orderBy(F.col("_at")[bucket].desc() if descending else F.col("_at")[bucket].asc())
+    earlier, whole = buckets.rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy(*fields)
     carry = per_bucket.select(
-        *keys,
-        bucket,
+        "_at",
         *[fn(F.col(f"_t_{o}")).over(earlier).alias(f"_c_{o}") for o, (fn, _) in aggs.items()],
         *[F.sum(f"_t_{o}").over(whole).alias(f"_c_{o}") for o in totals],
         *[F.lag(f"_t_{o}").over(buckets).alias(f"_c_{o}") for o in previous],
         *[F.lead(f"_t_{o}").over(buckets).alias(f"_c_{o}") for o in following],
     )
-    inside = Window.partitionBy(*keys, bucket).orderBy(*[way(c) for c in order])
+    inside = Window.partitionBy("_at").orderBy(*[way(c) for c in order])
     here = inside.rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
     merge = {
         F.sum: lambda a, b: F.coalesce(a, F.lit(0)) + F.coalesce(b, F.lit(0)),
         F.max: F.greatest,
         F.min: F.least,
     }
-    return df.join(carry, [*keys, bucket]).select(
-        *df.columns,
+    return df.join(carry, "_at").select(
+        *columns,
         *[merge[fn](F.col(f"_c_{o}"), fn(c).over(here)).alias(o) for o, (fn, c) in aggs.items()],
         *[F.col(f"_c_{o}").alias(o) for o in totals],
         *[F.coalesce(F.lag(c).over(inside), F.col(f"_c_{o}")).alias(o) for o, c in previous.items()],

@@ -39,7 +39,7 @@ def translate(slabs: DataFrame, dx: Column | int, dy: Column | int, dz: Column |
     nx, ny, nz = F.col("nx"), F.col("ny"), F.col("nz")
     moved = slabs.withColumn("_z", F.col("z") + dz).withColumn("_in", F.col("_z").between(0, nz - 1))
     px = F.when(F.col("_in"), window(F.col("px"), nx, ny, -dx, -dy, nx, ny)).otherwise(
-        F.transform("px", lambda v: v * 0)
+        F.array_repeat(F.lit(0.0), F.size("px")).cast(dict(slabs.dtypes)["px"])
     )
     # pmod sends every slice that left at one end to the gap at the other end, as a blank one
     return moved.withColumn("px", px).withColumn("z", F.pmod(F.col("_z"), nz).cast("int")).select(*slabs.columns)
@@ -56,20 +56,19 @@ def cut(slabs: DataFrame, origin: Sequence[Column], size: Sequence[Column]) -> D
 def place(slabs: DataFrame, offset: Sequence[Column], size: Sequence[Column], fill: float = 0.0) -> DataFrame:
     """Volume set at ``offset`` into a box of ``size`` voxels of ``fill``.
 
-    The first slice row of each channel also emits the blank slices, so nothing is shuffled
-    and the input is read once.
+    Blank slices come from one narrow row per scan and channel, so no pixels are shuffled and a scan that
+    lacks its first slice gets them too.
     """
     ox, oy, oz = offset
     px = window(F.col("px"), F.col("nx"), F.col("ny"), -ox, -oy, size[0], size[1], fill)
     here = F.col("z") + oz
     blank_z = F.filter(F.sequence(F.lit(0), (size[2] - 1).cast("int")), lambda z: (z < oz) | (z >= oz + F.col("nz")))
-    own = F.array(here.cast("int"))
-    rows = slabs.withColumn("_at", here).withColumn(
-        "_to", F.explode(F.when(F.col("z") == 0, F.concat(own, blank_z)).otherwise(own))
-    )
+    kept = reshaped(slabs, px, here, list(size)).select(*slabs.columns)
+    others = [c for c in slabs.columns if c not in ("scan_id", "c", "z", "px")]
+    scans = slabs.groupBy("scan_id", "c").agg(*[F.first(c).alias(c) for c in others]).withColumn("z", F.explode(blank_z))
     blank = F.array_repeat(F.lit(float(fill)), (size[0] * size[1]).cast("int"))
-    out = reshaped(rows, F.when(F.col("_to") == F.col("_at"), px).otherwise(blank), F.col("_to"), list(size))
-    return out.select(*slabs.columns)
+    empty = reshaped(scans.withColumn("px", F.array().cast("array<double>")), blank, F.col("z"), list(size))
+    return stacked(kept, empty.select(*slabs.columns))
 
 
 def _joined(slabs: DataFrame, per_scan: DataFrame) -> DataFrame:

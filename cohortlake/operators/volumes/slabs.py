@@ -84,10 +84,17 @@ def reshaped(slabs: DataFrame, px: Column, z: Column, size: list[Column]) -> Dat
     return out.select(*[F.col(f"_{c}").alias(c) if c in new else F.col(c) for c in slabs.columns])
 
 
+def scans_of(slabs: DataFrame, *columns: str) -> DataFrame:
+    """One row per scan with the given per-scan columns, whichever slices the scan has."""
+    if not columns:
+        return slabs.select("scan_id").distinct()
+    return slabs.groupBy("scan_id").agg(*[F.first(c).alias(c) for c in columns])
+
+
 def shape_of(slabs: DataFrame) -> DataFrame:
-    """(scan_id, nx, ny, nz, channels) from the first slice of every channel."""
-    return slabs.where("z = 0").groupBy("scan_id").agg(
-        F.first("nx").alias("nx"), F.first("ny").alias("ny"), F.first("nz").alias("nz"), F.count("*").alias("channels")
+    """(scan_id, nx, ny, nz, channels), whichever slices the scan has."""
+    return slabs.groupBy("scan_id").agg(
+        F.first("nx").alias("nx"), F.first("ny").alias("ny"), F.first("nz").alias("nz"), F.countDistinct("c").alias("channels")
     )
 
 
@@ -97,7 +104,7 @@ def stacked_channels(rows: DataFrame, order: list[str]) -> DataFrame:
     Only scans that have every modality; the others are reported by ``cohort.ragged_modalities``.
     """
     known = rows.where(F.col("modality").isin(order))
-    whole = known.where("z = 0").groupBy("scan_id").agg(F.countDistinct("modality").alias("n")).where(F.col("n") == len(order))
+    whole = known.groupBy("scan_id").agg(F.countDistinct("modality").alias("n")).where(F.col("n") == len(order))
     channel = F.array_position(F.array(*[F.lit(m) for m in order]), F.col("modality")) - 1
     return known.join(whole, "scan_id", "left_semi").withColumn("c", channel.cast("int")).select(*COLUMNS)
 

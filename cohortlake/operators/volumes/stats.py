@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortlake.operators.ordered import group_percentiles
-from cohortlake.operators.volumes.slabs import voxels
+from cohortlake.operators.volumes.slabs import scans_of, voxels
 
 
 def volume_statistics(slabs: DataFrame) -> DataFrame:
@@ -20,9 +20,7 @@ def volume_statistics(slabs: DataFrame) -> DataFrame:
 def shape_text(slabs: DataFrame) -> DataFrame:
     """scan_id, shape ([x, y, z]) and dtype name."""
     kind = {"array<float>": "float32", "array<double>": "float64"}.get(dict(slabs.dtypes)["px"], "other")
-    return slabs.where("z = 0 AND c = 0").select(
-        "scan_id", F.array("nx", "ny", "nz").alias("shape"), F.lit(kind).alias("dtype")
-    )
+    return scans_of(slabs, "nx", "ny", "nz").select("scan_id", F.array("nx", "ny", "nz").alias("shape"), F.lit(kind).alias("dtype"))
 
 
 def slice_statistics(slabs: DataFrame) -> DataFrame:
@@ -50,8 +48,7 @@ def tissue_contrast(slabs: DataFrame, exact: bool = True) -> DataFrame:
             F.percentile_approx("v", 0.1).alias("p10"), F.percentile_approx("v", 0.9).alias("p90")
         )
     ratio = (F.col("p90") - F.col("p10")) / (F.col("p90") + F.col("p10") + 1e-5)
-    scans = slabs.where("z = 0 AND c = 0").select("scan_id")
-    return scans.join(p.select("scan_id", ratio.alias("contrast")), "scan_id", "left").fillna(0.0, ["contrast"])
+    return scans_of(slabs).join(p.select("scan_id", ratio.alias("contrast")), "scan_id", "left").fillna(0.0, ["contrast"])
 
 
 def to_grey(px: Column) -> Column:
@@ -99,8 +96,7 @@ def slice_gaps(slabs: DataFrame, factor: float = 8.0, at_least: int = 5) -> Data
         F.max("diff").alias("top"), F.median("diff").alias("mid"), F.first("nz").alias("nz")
     )
     gap = (F.col("nz") >= at_least) & (F.col("mid") != 0) & (F.col("top") > factor * F.col("mid"))
-    scans = slabs.where("z = 0 AND c = 0").select("scan_id")
-    return scans.join(d.select("scan_id", gap.alias("missing_slices")), "scan_id", "left").fillna(False, ["missing_slices"])
+    return scans_of(slabs).join(d.select("scan_id", gap.alias("missing_slices")), "scan_id", "left").fillna(False, ["missing_slices"])
 
 
 def foreground_box(slabs: DataFrame) -> DataFrame:
@@ -128,9 +124,10 @@ def overall_quality(snr: Column, blur: Column, motion: Column, contrast: Column)
 
 def quality_report(slabs: DataFrame, spacing: DataFrame, motion: float = 0.15) -> DataFrame:
     """All quality measures per scan; ``spacing`` holds scan_id and spacing array<double>."""
-    parts = slabs.where("z = 0 AND c = 0").select("scan_id", F.col("nz").alias("slice_count"))
+    parts = scans_of(slabs, "nz").withColumnRenamed("nz", "slice_count")
     for p in (signal_range(volume_statistics(slabs)), blur_index(slabs), tissue_contrast(slabs), slice_gaps(slabs), spacing):
-        parts = parts.join(p, "scan_id")
+        parts = parts.join(p, "scan_id", "left")  # a scan whose central slice is missing has no blur
+    parts = parts.fillna(0.0, ["blur"])
     return parts.select(
         "scan_id", F.col("snr").alias("noise_score"), F.col("blur").alias("blur_score"),
         F.lit(motion).alias("motion_score"), F.col("contrast").alias("contrast_score"), "dynamic_range",

@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cohortlake.operators.volumes.slabs import with_halo
+from cohortlake.operators.volumes.slabs import scans_of, with_halo
 
 
 def gaussian_weights(sigma: float, truncated: float = 4.0) -> list[float]:
@@ -25,10 +25,14 @@ def _smooth_axis(cube: np.ndarray, weights: list[float], axis: int) -> np.ndarra
     return sum(w * np.take(padded, range(k, k + n), axis=axis) for k, w in enumerate(weights))
 
 
-def gaussian_smooth(slabs: DataFrame, sigma: float | tuple[str, str, str], top: float = 1.5) -> DataFrame:
-    """Separable smoothing with zeros outside.  ``sigma`` is one number, or three per-scan columns of at most ``top``."""
+def gaussian_smooth(slabs: DataFrame, sigma: float | tuple[str, str, str]) -> DataFrame:
+    """Separable smoothing with zeros outside.  ``sigma`` is one number, or three per-scan columns.
+
+    A block gets as many neighbouring slices as the kernel of its scan is long, so no tail is lost.
+    """
     names = list(sigma) if isinstance(sigma, tuple) else []
-    halo = len(gaussian_weights(top if names else sigma)) // 2
+    tail = F.floor(F.greatest(F.col(names[2]) * 4.0, F.lit(0.5)) + 0.5).cast("int") if names else None
+    halo = tail if names else len(gaussian_weights(sigma)) // 2
 
     def kernel(cube, first, wanted, info):
         sx, sy, sz = (info[c] for c in names) if names else (sigma,) * 3
@@ -98,7 +102,7 @@ def affine_warp(slabs: DataFrame, params: DataFrame) -> DataFrame:
 def fixed_warp(slabs: DataFrame, **values: float) -> DataFrame:
     """:func:`affine_warp` with the same parameters for every scan; absent ones are neutral."""
     neutral = {c: 1.0 if c.startswith("s") else 0.0 for c in WARP} | values
-    scans = slabs.where("z = 0 AND c = 0").select("scan_id", *[F.lit(float(v)).alias(c) for c, v in neutral.items()])
+    scans = scans_of(slabs).select("scan_id", *[F.lit(float(v)).alias(c) for c, v in neutral.items()])
     return affine_warp(slabs, scans)
 
 

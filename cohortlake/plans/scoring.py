@@ -30,15 +30,3 @@ def score(
     schema = ", ".join(f"{k} {kinds[k]}" for k in keys) + ", logits array<double>"
     scored = rows.select(*keys, features).mapInPandas(run, schema).withColumn("probs", softmax(F.col("logits")))
     return scored.withColumn("pred", F.when(F.col("probs")[1] >= threshold, 1).otherwise(0))
-
-
-def onnx_model(content: bytes) -> Callable[[], Callable[[np.ndarray], np.ndarray]]:
-    """Loader for a serialised ONNX network, opened once per task."""
-    def load():
-        import onnxruntime
-
-        net = onnxruntime.InferenceSession(content, providers=["CPUExecutionProvider"])
-        name = net.get_inputs()[0].name
-        return lambda x: net.run(None, {name: x.astype(np.float32)})[0]
-
-    return load

@@ -67,7 +67,7 @@ RAW = {
 
 
 def raw_phenotype(spark, sf):
-    return table(spark, sf, "customer").where("c_acctbal >= -500").selectExpr(*[f"{e} AS {n}" for n, e in RAW.items()])
+    return table(spark, sf, "customer").selectExpr(*[f"{e} AS {n}" for n, e in RAW.items()])
 
 
 def phenotype(spark, sf):
@@ -75,7 +75,7 @@ def phenotype(spark, sf):
 
 
 _NUM = "CASE WHEN trim({c}) NOT IN ('-9999','-9999.0','NaN','nan','') THEN try_cast(trim({c}) AS DOUBLE) END"
-PHENO = "raw AS (SELECT " + ", ".join(f"{e} AS {n}" for n, e in RAW.items()) + f""" FROM customer WHERE c_acctbal >= -500),
+PHENO = "raw AS (SELECT " + ", ".join(f"{e} AS {n}" for n, e in RAW.items()) + f""" FROM customer),
 pheno AS (SELECT CAST(SUB_ID AS BIGINT) AS sub_key, trim(SITE_ID) AS site, CASE DX_GROUP WHEN 1 THEN 'ASD' WHEN 2 THEN 'CONTROL' END AS label,
  {_NUM.format(c='AGE_AT_SCAN')} AS age, CASE SEX WHEN 1 THEN 'Male' WHEN 2 THEN 'Female' END AS sex, {_NUM.format(c='FIQ')} AS fiq, {_NUM.format(c='VIQ')} AS viq
  FROM (SELECT *, row_number() OVER (PARTITION BY SUB_ID ORDER BY row_no DESC) rn FROM raw) WHERE rn=1)"""
@@ -279,9 +279,10 @@ def _(spark, sf):
     return phenotype(spark, sf).drop("piq", "scanner_site")
 
 
-@query("J02_orphan_scans", "WITH " + INDEX + " SELECT subject_id, path, CASE WHEN NOT has_phenotype THEN 'no phenotype row' ELSE 'no diagnosis label' END AS rule FROM idx WHERE NOT has_phenotype OR label IS NULL")
+@query("J02_orphan_scans", "WITH " + INDEX.replace("FROM customer)", "FROM customer WHERE c_custkey % 10 <> 3)") + " SELECT subject_id, path, CASE WHEN NOT has_phenotype THEN 'no phenotype row' ELSE 'no diagnosis label' END AS rule FROM idx WHERE NOT has_phenotype OR label IS NULL")
 def _(spark, sf):
-    return cohort.orphan_scans(index(spark, sf))
+    known = cohort.clean_phenotype(raw_phenotype(spark, sf).where("row_no % 10 <> 3"), "row_no")  # the others are orphans
+    return cohort.orphan_scans(cohort.build_index(files(spark, sf).select("path"), known))
 
 
 def subjects(spark, sf):

@@ -156,17 +156,21 @@ pts AS (SELECT run, p AS threshold, tp/n_p AS tpr, fp/n_n AS fpr FROM n WHERE rn
 """
 
 
-@query("W10_roc_curve", _auc("preds") + ROC_SQL + "SELECT run, round(threshold,6) AS threshold, round(tpr,6) AS tpr, round(fpr,6) AS fpr FROM pts WHERE isfinite(threshold)")
+def _roc_rows(preds):
+    """All points of the curve; the opening one has an infinite threshold, so thresholds are text."""
+    points = rounded(curves.roc_points(preds, ["run"], "y", "p"), "tpr", "fpr")
+    inf = F.col("threshold") == float("inf")
+    return points.withColumn("threshold", F.when(inf, "inf").otherwise(F.format_string("%.8f", "threshold")))
+
+
+@query("W10_roc_curve", _auc("preds") + ROC_SQL + "SELECT run, printf('%.8f', threshold) AS threshold, round(tpr,6) AS tpr, round(fpr,6) AS fpr FROM pts")
 def _(spark, sf):
-    points = curves.roc_points(S.predictions(spark, sf), ["run"], "y", "p").where(F.col("threshold") < float("inf"))
-    return rounded(points, "threshold", "tpr", "fpr")
+    return _roc_rows(S.predictions(spark, sf))
 
 
 @query("W10_roc_curve_fine_scores", _auc("fine") + ROC_SQL + "SELECT run, printf('%.8f', threshold) AS threshold, round(tpr,6) AS tpr, round(fpr,6) AS fpr FROM pts")
 def _(spark, sf):
-    points = rounded(curves.roc_points(S.fine_predictions(spark, sf), ["run"], "y", "p"), "tpr", "fpr")
-    inf = F.col("threshold") == float("inf")
-    return points.withColumn("threshold", F.when(inf, "inf").otherwise(F.format_string("%.8f", "threshold")))
+    return _roc_rows(S.fine_predictions(spark, sf))
 
 
 @query("W11_pr_curve", _auc("docs") + """SELECT c.run, round(p,6) AS threshold, round(tp/(tp+fp),6) AS precision, round(CASE WHEN a.n_p>0 THEN tp/a.n_p ELSE 1 END,6) AS recall FROM c JOIN a USING (run)
@@ -288,10 +292,10 @@ def _(spark, sf):
     return out_of_fold_report(spark, sf)
 
 
-@query("S10_U01_out_of_fold_union", with_("preds") + """SELECT (line - 1)::INT AS "Fold", run, count(*) AS n, CAST(sum(y) AS BIGINT) AS positives, round(avg(p),6) AS mean_p FROM preds WHERE line<=5 GROUP BY line, run""")
+@query("S10_U01_out_of_fold_union", with_("preds") + """SELECT (line - 1)::INT AS "Fold", run, count(*) AS n, CAST(sum(y) AS BIGINT) AS positives, round(avg(p),6) AS mean_p FROM preds GROUP BY line, run""")
 def _(spark, sf):
     df = S.predictions(spark, sf)
-    folds = {i: df.where(F.col("line") == i + 1).drop("line") for i in range(5)}
+    folds = {i: df.where(F.col("line") == i + 1).drop("line") for i in range(7)}
     return cv.union_folds(folds).groupBy("Fold", "run").agg(
         F.count("*").alias("n"), F.sum("y").alias("positives"), r6(F.avg("p")).alias("mean_p")
     )
@@ -410,7 +414,7 @@ def _(spark, sf):
 
 @query("R07_X06_prediction_record", SOFT + "SELECT CAST(vec_id AS VARCHAR) AS patient_id, 'probe' AS model_name, 'class_' || k AS class_name, round(pr,6) AS probability, round(max(pr) OVER (PARTITION BY vec_id),6) AS confidence FROM sm")
 def _(spark, sf):
-    names = [f"class_{k}" for k in range(10)]
+    names = [f"class_{k}" for k in range(64)]
     rec = scoring.prediction_record(F.col("vec_id").cast("string"), "probe", names, F.col("logits"))
     df = S.logits(spark, sf).select(rec.alias("r")).select(
         "r.patient_id", "r.model_name", F.explode("r.probabilities").alias("c"), "r.metrics"
@@ -428,7 +432,7 @@ def _(spark, sf):
 
 
 # weights 1, 1.1, 1.2 ... stand for inverse class frequencies
-WEIGHTS = [1 + k / 10 for k in range(10)]
+WEIGHTS = [1 + k / 10 for k in range(64)]
 
 
 @query("P20_weighted_cross_entropy", SOFT + "SELECT y, round(sum((1+k/10.0::DOUBLE)*-logp)/sum(1+k/10.0::DOUBLE),6) AS loss FROM sm WHERE k=y GROUP BY y UNION ALL SELECT -1, round(sum((1+k/10.0::DOUBLE)*-logp)/sum(1+k/10.0::DOUBLE),6) FROM sm WHERE k=y")
@@ -439,7 +443,7 @@ def _(spark, sf):
     return per.unionByName(df.agg(r6(loss).alias("loss")).withColumn("y", F.lit(-1)))
 
 
-@query("P21_label_smoothed_cross_entropy", SOFT + "SELECT y, round(avg(l),6) AS loss FROM (SELECT vec_id, y, 0.9*-max(logp) FILTER (k=y) + 0.01*sum(-logp) AS l FROM sm GROUP BY vec_id, y) GROUP BY y")
+@query("P21_label_smoothed_cross_entropy", SOFT + "SELECT y, round(avg(l),6) AS loss FROM (SELECT vec_id, y, 0.9*-max(logp) FILTER (k=y) + 0.0015625*sum(-logp) AS l FROM sm GROUP BY vec_id, y) GROUP BY y")
 def _(spark, sf):
     loss = losses.batch_loss("ce_ls", F.col("logits"), F.col("y"), smoothing=0.1)
     return S.logits(spark, sf).groupBy("y").agg(r6(loss).alias("loss"))
@@ -459,7 +463,7 @@ def _(spark, sf):
     )
 
 
-@query("P23_focal_label_smoothing", SOFT + "SELECT vec_id, round(sum(pow(1-pr,2)*-logp*(CASE WHEN k=y THEN 0.91 ELSE 0.01 END)),6) AS loss FROM sm GROUP BY vec_id")
+@query("P23_focal_label_smoothing", SOFT + "SELECT vec_id, round(sum(pow(1-pr,2)*-logp*(CASE WHEN k=y THEN 0.9015625 ELSE 0.0015625 END)),6) AS loss FROM sm GROUP BY vec_id")
 def _(spark, sf):
     loss = losses.focal(F.col("logits"), F.col("y"), smoothing=0.1)
     return S.logits(spark, sf).select("vec_id", r6(loss).alias("loss"))

@@ -57,8 +57,8 @@ def multiclass(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def logits(spark: SparkSession, sf: str, n: int = 10) -> DataFrame:
-    """vec_id, y, logits array<double> of n classes."""
+def logits(spark: SparkSession, sf: str, n: int = 64) -> DataFrame:
+    """vec_id, y, logits array<double> of n classes: the whole vector unless a query asks for two."""
     return table(spark, sf, "embeddings").select(
         "vec_id",
         (F.col("label") % n).alias("y"),
@@ -94,8 +94,8 @@ SQL = {
   (CAST(l_quantity AS INT) % 50)/50.0::DOUBLE AS s0,
   (CAST(l_quantity AS INT)*2 % 50)/50.0::DOUBLE AS s1,
   (CAST(l_quantity AS INT)*3 % 50)/50.0::DOUBLE AS s2 FROM lineitem)""",
-    "logits": """logits AS (SELECT vec_id, label % 10 AS y, k, CAST(embedding[k+1] AS DOUBLE) AS v
-  FROM embeddings, unnest(range(10)) AS t(k))""",
+    "logits": """logits AS (SELECT vec_id, label % 64 AS y, k, CAST(embedding[k+1] AS DOUBLE) AS v
+  FROM embeddings, unnest(range(64)) AS t(k))""",
     "tta": """tta AS (SELECT l_orderkey AS subject, l_linenumber*100 + l_partkey % 100 AS run, cls,
   CASE WHEN cls=1 THEN l_discount*10 ELSE 1 - l_discount*10 END AS prob
   FROM lineitem, unnest([0,1]) AS t(cls))""",
