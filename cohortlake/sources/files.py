@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gzip
 import io
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -56,10 +57,10 @@ def detected(files: DataFrame) -> DataFrame:
     return out.withColumn("format_error", format_error(F.col("format"), name))
 
 
-def _header(raw: bytes, limit: int = -1) -> tuple[dict, bytes]:
-    """Parsed fields and the (unzipped) bytes of one file, all of them or the first ``limit``."""
+def _header(raw: bytes) -> tuple[dict, bytes]:
+    """Parsed fields and the (unzipped) bytes of one file."""
     if raw[:2] == b"\x1f\x8b":
-        raw = gzip.GzipFile(fileobj=io.BytesIO(raw)).read(limit)
+        raw = gzip.GzipFile(fileobj=io.BytesIO(raw)).read()
     two = raw[4:7] in (b"n+2", b"ni2")
     f = NIFTI2 if two else NIFTI1
     if len(raw) < f["size"]:
@@ -110,28 +111,52 @@ def _quaternion(q: np.ndarray, pix: np.ndarray) -> np.ndarray:
     return out
 
 
+# bytes of a file that the catalogue looks at: more than a header, also of a compressed file
+HEAD = 1 << 16
+
+
 def catalog(files: DataFrame) -> DataFrame:
-    """One header row per (path, content); a file that cannot be parsed gets ``error`` instead of failing the job."""
+    """One header row per (path, content); ``error`` says what is wrong with a file instead of failing the job.
+
+    Only the first bytes leave the JVM, with the size of the file: its length, or for a compressed file what
+    its last four bytes give as the unpacked length.  A file whose voxels are cut short keeps its header and has an error.
+    """
+    gz = F.substring("content", 1, 2) == F.lit(b"\x1f\x8b")
+    tail = F.conv(F.hex(F.substring("content", -4, 4)), 16, 10).cast("long")
+    # little-endian trailer
+    low = lambda n: F.shiftright(tail, n).bitwiseAND(F.lit(255))
+    unpacked = F.shiftleft(low(0), 24) + F.shiftleft(low(8), 16) + F.shiftleft(low(16), 8) + low(24)
+    length = F.octet_length("content").cast("long")
+    rows = files.select("path", F.substring("content", 1, HEAD).alias("head"), F.when(gz, unpacked).otherwise(length).alias("size"), gz.alias("gz"))
+
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = []
-            for path, content in zip(pdf["path"], pdf["content"]):
+            for path, head, size, packed in zip(pdf["path"], pdf["head"], pdf["size"], pdf["gz"]):
                 try:
-                    info, _ = _header(bytes(content), NIFTI2["size"])
-                    rows.append((path, info["shape"], info["dtype"], info["spacing"].tolist(), info["affine"].tolist(), info["fields"], None))
+                    raw = zlib.decompressobj(31).decompress(bytes(head), NIFTI2["size"]) if packed else bytes(head)
+                    info, _ = _header(raw)
+                    need = info["start"] + int(np.prod(info["shape"])) * np.dtype(info["raw_dtype"]).itemsize
+                    # the trailer holds the length modulo 2**32
+                    short = size < need if not packed or need < 1 << 32 else size != need % (1 << 32)
+                    error = "ValueError: voxel data is cut short" if short else None
+                    rows.append((path, info["shape"], info["dtype"], info["spacing"].tolist(), info["affine"].tolist(), info["fields"], error))
                 except Exception as e:
                     rows.append((path, None, None, None, None, None, f"{type(e).__name__}: {e}"))
             yield pd.DataFrame(rows, columns=["path", "shape", "dtype", "spacing", "affine", "header", "error"])
 
-    return files.select("path", "content").mapInPandas(parse, CATALOG_SCHEMA)
+    return rows.mapInPandas(parse, CATALOG_SCHEMA)
 
 
-def extract_slabs(files: DataFrame) -> DataFrame:
-    """One row per (channel, z) slice of each readable file; unreadable ones yield nothing (see :func:`catalog`).
+def extract(files: DataFrame) -> DataFrame:
+    """One row per (channel, z) slice of each readable file, and one row with ``error`` for every other file.
 
     A file is one task's read either way, but its voxels leave as slices, so no later step handles a whole volume.
     """
-    names = ["scan_id", "c", "z", "nx", "ny", "nz", "px"]
+    names = ["scan_id", "c", "z", "nx", "ny", "nz", "px", "error"]
+
+    def frame(rows: list) -> pd.DataFrame:
+        return pd.DataFrame(rows, columns=names).astype({c: "Int32" for c in names[1:6]})
 
     def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rows, pixels = [], 0
@@ -141,7 +166,8 @@ def extract_slabs(files: DataFrame) -> DataFrame:
                     info, raw = _header(bytes(content))
                     shape = (info["shape"] + [1, 1])[: max(3, len(info["shape"]))]
                     flat = np.frombuffer(raw, info["raw_dtype"], int(np.prod(shape)), info["start"])
-                except Exception:
+                except Exception as e:
+                    rows.append((path, *[None] * 6, f"{type(e).__name__}: {e}"))
                     continue
                 cube = flat.reshape(shape, order="F").reshape(*shape[:3], -1, order="F")
                 nx, ny, nz, channels = cube.shape
@@ -149,15 +175,25 @@ def extract_slabs(files: DataFrame) -> DataFrame:
                     px = cube[:, :, z, c].astype(np.float64)
                     if info["slope"] != 0:
                         px = px * info["slope"] + info["inter"]
-                    rows.append((path, c, z, nx, ny, nz, px.astype(np.float32).ravel()))
+                    rows.append((path, c, z, nx, ny, nz, px.astype(np.float32).ravel(), None))
                     pixels += px.size
                     if pixels >= PIXELS_PER_BATCH:
-                        yield pd.DataFrame(rows, columns=names)
+                        yield frame(rows)
                         rows, pixels = [], 0
         if rows:
-            yield pd.DataFrame(rows, columns=names)
+            yield frame(rows)
+
+    return files.select("path", "content").mapInPandas(decode, SLAB_SCHEMA + ", error string")
+
+
+def extract_slabs(files: DataFrame) -> DataFrame:
+    """The slices of :func:`extract`; files that could not be read are listed by :func:`extraction_errors`."""
+    return extract(files).where("error is null").drop("error")
+
 
-    return files.select("path", "content").mapInPandas(decode, SLAB_SCHEMA)
+def extraction_errors(files: DataFrame) -> DataFrame:
+    """(scan_id, error) of files without slices."""
+    return extract(files).where("error is not null").select("scan_id", "error")
 
 
 def read_images(spark: SparkSession, path: str) -> DataFrame:

@@ -663,7 +663,7 @@ def _(spark, sf):
 # --- files ------------------------------------------------------------------------------------
 
 def _encode(batches):
-    """Embedding rows -> NIfTI-1 bytes; every tenth file is cut short, every third gzipped."""
+    """Embedding rows -> NIfTI-1 bytes; of ten files one ends inside its header and one inside its voxels, every third is gzipped."""
     import gzip
 
     for pdf in batches:
@@ -680,7 +680,7 @@ def _encode(batches):
             head[344:348] = b"n+1\0"
             cube = np.asarray(emb, dtype="<f4").reshape(4, 4, 4)
             raw = bytes(head) + cube.tobytes(order="F")
-            raw = raw[:100] if vid % 10 == 9 else raw
+            raw = raw[:100] if vid % 10 == 9 else raw[:-20] if vid % 10 == 8 else raw
             packed = vid % 3 == 0
             paths.append(f"/scans/v{vid}.nii" + (".gz" if packed else ""))
             contents.append(gzip.compress(raw, mtime=0) if packed else raw)
@@ -694,7 +694,7 @@ def nifti_files(spark, sf):
 NAME = "'/scans/v' || vec_id || '.nii' || CASE WHEN vec_id%3=0 THEN '.gz' ELSE '' END"
 
 
-@query("S03_header_catalog", f"SELECT {NAME} AS path, CASE WHEN vec_id%10<>9 THEN '4x4x4' END AS shape, CASE WHEN vec_id%10<>9 THEN 'float32' END AS dtype, CASE WHEN vec_id%10<>9 THEN 4.5 END::DOUBLE AS spacing_sum, CASE WHEN vec_id%10<>9 THEN vec_id%7 END::DOUBLE AS origin_x, vec_id%10=9 AS failed FROM embeddings")
+@query("S03_header_catalog", f"SELECT {NAME} AS path, CASE WHEN vec_id%10<>9 THEN '4x4x4' END AS shape, CASE WHEN vec_id%10<>9 THEN 'float32' END AS dtype, CASE WHEN vec_id%10<>9 THEN 4.5 END::DOUBLE AS spacing_sum, CASE WHEN vec_id%10<>9 THEN vec_id%7 END::DOUBLE AS origin_x, vec_id%10>=8 AS failed FROM embeddings")
 def _(spark, sf):
     c = file_source.catalog(nifti_files(spark, sf))
     return c.select(
@@ -704,12 +704,17 @@ def _(spark, sf):
     )
 
 
-@query("S04_slab_extraction", f"SELECT {NAME} AS path, (i//16)::INT AS x, ((i//4)%4)::INT AS y, (i%4)::INT AS z, round(CAST(embedding[i+1] AS DOUBLE),6)+0.0 AS v FROM embeddings, unnest(range(64)) t(i) WHERE vec_id%10<>9")
+@query("S04_slab_extraction", f"SELECT {NAME} AS path, (i//16)::INT AS x, ((i//4)%4)::INT AS y, (i%4)::INT AS z, round(CAST(embedding[i+1] AS DOUBLE),6)+0.0 AS v FROM embeddings, unnest(range(64)) t(i) WHERE vec_id%10<8")
 def _(spark, sf):
     s = file_source.extract_slabs(nifti_files(spark, sf))
     return slabs.voxels(s).select(F.col("scan_id").alias("path"), "x", "y", "z", r6(F.col("v").cast("double")).alias("v"))
 
 
+@query("S04_extraction_errors", f"SELECT {NAME} AS path FROM embeddings WHERE vec_id%10>=8")
+def _(spark, sf):
+    return file_source.extraction_errors(nifti_files(spark, sf)).select(F.col("scan_id").alias("path"))
+
+
 # leading bytes per page, the page text as the body
 MAGIC = ["89504E470D0A1A0A", "FFD8FFE0", "00" * 128 + "4449434D", "00" * 344 + "6E2B3100", "00" * 344 + "6E693100", "00000000" + "6E2B3200", "00000000" + "6E693200", ""]
 EXT = [".nii", ".png", ".dcm", ".bin", ".JPG", ".nii.gz"]
@@ -747,7 +752,7 @@ def _(spark, sf):
     return file_source.discover_scans(table(spark, sf, "orders").select(F.expr(LIST).alias("path")))
 
 
-@query("C01_file_checks", f"SELECT {NAME} AS path, vec_id%8<>0 AS exists, vec_id%8<>0 AND vec_id%10<>9 AS readable, NOT (vec_id%8<>0 AND vec_id%10<>9) AS corrupt FROM embeddings")
+@query("C01_file_checks", f"SELECT {NAME} AS path, vec_id%8<>0 AS exists, vec_id%8<>0 AND vec_id%10<8 AS readable, NOT (vec_id%8<>0 AND vec_id%10<8) AS corrupt FROM embeddings")
 def _(spark, sf):
     found = nifti_files(spark, sf).where("cast(regexp_extract(path, 'v([0-9]+)', 1) as bigint) % 8 <> 0").select("path")
     return file_source.file_checks(found, file_source.catalog(nifti_files(spark, sf)))
