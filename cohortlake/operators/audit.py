@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortlake.operators.balance import as_map
+from cohortlake.operators.balance import at_total, histogram
 
 
 def valid_scans(scans: DataFrame) -> DataFrame:
@@ -47,29 +47,35 @@ def missing_metadata(scans: DataFrame) -> DataFrame:
     return valid_scans(scans).agg(F.count_if(pid.isin("", "Anonymous_Patient")).alias("missing_metadata_count"))
 
 
-def _one(df: DataFrame, key: str, value: str, name: str) -> DataFrame:
-    return as_map(df.withColumn("_all", F.lit(0)), ["_all"], key, value).withColumnRenamed("balance", name)
-
-
 def audit_report(scans: DataFrame) -> DataFrame:
-    """One row with every rollup.  The corrupt list itself stays a table (:func:`corrupt_files`)."""
-    flag = F.lit(0).alias("_all")
+    """One row with every rollup.  The corrupt list itself stays a table (:func:`corrupt_files`).
+
+    Totals, classes and manufacturers are grouping sets of one pass over the scans.
+    """
     ok = F.coalesce(F.col("valid"), F.lit(False))
     pid = F.coalesce(F.col("patient_id"), F.lit(""))
-    totals = scans.agg(
+    made = F.coalesce(F.nullif(F.col("manufacturer"), F.lit("")), F.lit("Unknown"))
+    rows = scans.withColumns({"_ok": ok, "_made": made, "_class": F.col("class")})
+    lists = {"formats_present": "format", "unique_dimensions": "dims"}
+    sets = rows.groupingSets([["_class"], ["_made"], []], "_class", "_made").agg(
+        F.grouping_id().alias("_level"),
         F.countDistinct("subject").alias("total_subjects"),
         F.count("*").alias("total_files"),
-        F.count_if(~ok).alias("corrupt_count"),
-        F.array_sort(F.collect_set(F.when(ok, F.col("format")))).alias("formats_present"),
-        F.array_sort(F.collect_set(F.when(ok, F.col("dims")))).alias("unique_dimensions"),
-        F.count_if(ok & pid.isin("", "Anonymous_Patient")).alias("missing_metadata_count"),
+        F.count_if(F.col("_ok")).alias("_valid"),
+        F.count_if(~F.col("_ok")).alias("corrupt_count"),
+        *[F.array_sort(F.collect_set(F.when(F.col("_ok"), F.col(c)))).alias(n) for n, c in lists.items()],
+        F.count_if(F.col("_ok") & pid.isin("", "Anonymous_Patient")).alias("missing_metadata_count"),
         *[
-            F.array(*[fn(F.when(ok, F.col("spacing")[i])) for i in range(3)]).alias(f"{n}_spacing")
+            F.array(*[fn(F.when(F.col("_ok"), F.col("spacing")[i])) for i in range(3)]).alias(f"{n}_spacing")
             for n, fn in (("min", F.min), ("max", F.max), ("mean", F.avg))
         ],
-    ).select("*", flag)
-    return (
-        totals.join(_one(class_counts(scans), "class", "n", "class_balance"), "_all", "left")
-        .join(_one(manufacturer_histogram(scans), "manufacturer", "n", "scanner_manufacturers"), "_all", "left")
-        .drop("_all")
+    )
+    total = F.col("_level") == 3
+    some = F.col("_valid") > 0
+    counts = ["total_subjects", "total_files", "corrupt_count", "missing_metadata_count"]
+    return sets.agg(
+        *[F.coalesce(at_total(total, c), F.lit(0).cast("bigint")).alias(c) for c in counts],
+        *[at_total(total, c) for c in (*lists, "min_spacing", "max_spacing", "mean_spacing")],
+        histogram("class_balance", (F.col("_level") == 1) & some & F.col("_class").isNotNull(), F.col("_class"), "_valid"),
+        histogram("scanner_manufacturers", (F.col("_level") == 2) & some, F.col("_made"), "_valid"),
     )

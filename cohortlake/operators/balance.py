@@ -41,20 +41,28 @@ def membership_balance(members: DataFrame, cohort: DataFrame, by: Sequence[str],
     return counts.withColumn("total", F.sum("n").over(Window.partitionBy(*by)))
 
 
-def as_map(df: DataFrame, by: Sequence[str], key: str, value: str) -> DataFrame:
-    """Collapse (key, value) rows of each group to one map column ``balance``."""
-    entries = F.array_sort(F.collect_list(F.struct(key, value)))
-    return df.groupBy(*by).agg(F.map_from_entries(entries).alias("balance"))
-
-
 def count_where(cond: Column) -> Column:
     return F.count_if(cond).cast("bigint")
 
 
+def histogram(name: str, is_level: Column, key: Column, n: str = "n") -> Column:
+    """Map column from the rows of one grouping set."""
+    return F.map_from_entries(F.array_sort(F.collect_list(F.when(is_level, F.struct(key.alias("k"), F.col(n).alias("v")))))).alias(name)
+
+
+def at_total(total: Column, column: str) -> Column:
+    """Value of the one row of the empty grouping set."""
+    return F.max(F.when(total, F.col(column))).alias(column)
+
+
 def cohort_statistics(index: DataFrame) -> DataFrame:
-    """One row: scans, subjects, per-diagnosis and per-sex counts, mean age, site histogram."""
-    sites = F.coalesce(F.col("site").cast("string"), F.lit("Unknown"))
-    whole = index.agg(
+    """One row: scans, subjects, per-diagnosis and per-sex counts, mean age, site histogram.
+
+    Totals and sites are two grouping sets of one pass; their rows are then folded to one.
+    """
+    rows = index.withColumn("_site", F.coalesce(F.col("site").cast("string"), F.lit("Unknown")))
+    sets = rows.groupingSets([["_site"], []], "_site").agg(
+        F.grouping_id().alias("_level"),
         F.count("*").alias("total_mri_scans"),
         F.countDistinct("subject_id").alias("indexed_subjects"),
         count_where(F.col("label") == "ASD").alias("asd_count"),
@@ -62,23 +70,24 @@ def cohort_statistics(index: DataFrame) -> DataFrame:
         count_where(F.col("sex") == "Male").alias("male_count"),
         count_where(F.col("sex") == "Female").alias("female_count"),
         F.coalesce(F.avg("age"), F.lit(0.0)).alias("mean_age"),
-    ).withColumn("_all", F.lit(0))
-    hist = as_map(
-        index.groupBy(sites.alias("site")).agg(F.count("*").alias("n")).withColumn("_all", F.lit(0)),
-        ["_all"], "site", "n",
-    ).withColumnRenamed("balance", "site_distribution")
-    return whole.join(hist, "_all", "left").drop("_all")
+    )
+    total = F.col("_level") == 1
+    counts = ["total_mri_scans", "indexed_subjects", "asd_count", "control_count", "male_count", "female_count"]
+    # an empty index has no grouping-set rows
+    return sets.agg(
+        *[F.coalesce(at_total(total, c), F.lit(0).cast("bigint")).alias(c) for c in counts],
+        F.coalesce(at_total(total, "mean_age"), F.lit(0.0)).alias("mean_age"),
+        histogram("site_distribution", ~total, F.col("_site"), "total_mri_scans"),
+    )
 
 
 def dataset_summary(index: DataFrame, name: str) -> DataFrame:
     """One row: name, files, distinct subjects, class distribution (null labels left out)."""
-    whole = index.agg(
-        F.count("*").alias("total_files"), F.countDistinct("subject_id").alias("unique_subjects")
-    ).withColumn("_all", F.lit(0))
-    classes = as_map(
-        class_balance(index, "label").withColumn("_all", F.lit(0)), ["_all"], "label", "n"
-    ).withColumnRenamed("balance", "class_distribution")
-    return whole.join(classes, "_all", "left").select(
-        F.lit(name).alias("dataset_name"), "total_files", "unique_subjects",
-        F.coalesce("class_distribution", F.create_map().cast("map<string,bigint>")).alias("class_distribution"),
+    sets = index.groupingSets([["label"], []], "label").agg(
+        F.grouping_id().alias("_level"), F.count("*").alias("total_files"), F.countDistinct("subject_id").alias("unique_subjects")
     )
+    total = F.col("_level") == 1
+    return sets.agg(
+        *[F.coalesce(at_total(total, c), F.lit(0).cast("bigint")).alias(c) for c in ("total_files", "unique_subjects")],
+        histogram("class_distribution", ~total & F.col("label").isNotNull(), F.col("label"), "total_files"),
+    ).select(F.lit(name).alias("dataset_name"), "total_files", "unique_subjects", "class_distribution")

@@ -101,21 +101,20 @@ def sensitivity_specificity(cells: DataFrame, by: Sequence[str]) -> DataFrame:
 def classification_report(cells: DataFrame, by: Sequence[str]) -> DataFrame:
     """Rows: one per class, then ``accuracy``, ``macro avg`` and ``weighted avg``."""
     per_class = class_scores(cells, by)
-    cols = ("precision", "recall", "f1", "support")
-    rows = per_class.select(*by, F.col("label").cast("string").alias("label"), *cols)
-    weight = lambda c: ratio(F.sum(F.col(c) * F.col("support")), F.sum("support")).alias(c)
-    total = F.sum("support").alias("support")
-    macro = per_class.groupBy(*by).agg(*[F.avg(c).alias(c) for c in cols[:3]], total)
-    weighted = per_class.groupBy(*by).agg(*[weight(c) for c in cols[:3]], total)
-    overall = per_class.groupBy(*by).agg(ratio(F.sum("tp"), F.sum("support")).alias("precision"), total)
-    overall = overall.select(
-        *by, F.lit("accuracy").alias("label"), "precision",
-        F.col("precision").alias("recall"), F.col("precision").alias("f1"), "support",
+    cols = ("precision", "recall", "f1")
+    line = lambda name, values, support: F.struct(
+        name.alias("label"), *[v.cast("double").alias(c) for c, v in zip(cols, values)], support.cast("bigint").alias("support")
     )
-    named = lambda d, n: d.select(*by, F.lit(n).alias("label"), *cols)
-    return rows.unionByName(overall).unionByName(named(macro, "macro avg")).unionByName(
-        named(weighted, "weighted avg")
+    total = F.sum("support")
+    right = ratio(F.sum("tp"), total)
+    # the rows of the (few) classes and their summaries come from one aggregate
+    whole = per_class.groupBy(*by).agg(
+        F.collect_list(line(F.col("label").cast("string"), [F.col(c) for c in cols], F.col("support"))).alias("rows"),
+        line(F.lit("accuracy"), [right] * 3, total).alias("overall"),
+        line(F.lit("macro avg"), [F.avg(c) for c in cols], total).alias("macro"),
+        line(F.lit("weighted avg"), [ratio(F.sum(F.col(c) * F.col("support")), total) for c in cols], total).alias("weighted"),
     )
+    return whole.select(*by, F.inline(F.concat("rows", F.array("overall", "macro", "weighted"))))
 
 
 def binary_summary(
