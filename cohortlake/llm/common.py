@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
@@ -32,6 +33,12 @@ def released(*frames: DataFrame) -> None:
             path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def tidy(spark: SparkSession) -> None:
+    """Let Spark drop the shuffle files of finished steps: it does so when the driver collects garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def unused(df: DataFrame, name: str) -> str:
     """``name``, made longer until ``df`` has no such column."""
     taken = {c.lower() for c in df.columns}
@@ -96,14 +103,18 @@ def _forest(pairs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of the edges (u long, v long): one row (node, label), label the smallest node.
 
-    Every task first shrinks its own edges to stars.  Then large-star and small-star steps alternate
-    until nothing changes; each step is a grouped minimum and a join, and its result is written to the
-    shared folder.  Nodes without a proper edge are absent from the result.
+    Every task first shrinks its own edges to stars.  Then large-star and small-star steps alternate until
+    all that is left are stars; each step is a grouped minimum and a join, and its result is written to
+    the shared folder.  Nodes without a proper edge are absent from the result.
     """
     spark = edges.sparkSession
 
-    def size(df: DataFrame):
-        return df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+    def unfinished(df: DataFrame) -> bool:
+        """Whether some node has two parents, or is a parent and a child."""
+        ends = df.select(F.col("u").alias("n"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(
+            df.select(F.col("v").alias("n"), F.lit(0).alias("up"), F.lit(1).alias("down"))
+        )
+        return not ends.groupBy("n").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 or (up > 0 and down > 0)").isEmpty()
 
     def star(df: DataFrame, both: bool) -> DataFrame:
         near = df.unionByName(df.select(F.col("v").alias("u"), F.col("u").alias("v"))) if both else df
@@ -114,24 +125,19 @@ def components(edges: DataFrame) -> DataFrame:
             out = met.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         else:
             out = met.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select(F.col("c").alias("u"), F.col("m").alias("v")))
-        return out.where("u > v").distinct()
+        return out.where("u > v")
 
     spark.conf.set("spark.sql.unionOutputPartitioning", "false")
     oriented = edges.where("u is not null and v is not null and u <> v").select(
         F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")
     )
     now = stored(oriented.mapInPandas(_forest, "u long, v long").distinct(), "edges")
-    seen = size(now)
-    while seen[0]:
+    while unfinished(now):
         then = stored(star(star(now, True), False).mapInPandas(_forest, "u long, v long").distinct(), "edges")
-        found = size(then)
         released(now)
         now = then
-        if found == seen:
-            break
-        seen = found
     roots = now.select(F.col("v").alias("u"), "v").distinct()
     return now.unionByName(roots).select(F.col("u").alias("node"), F.col("v").alias("label"))
 
 
-__all__ = ["buckets_for", "components", "fresh_path", "numbered", "released", "stored", "table", "unused"]
+__all__ = ["buckets_for", "components", "fresh_path", "numbered", "released", "stored", "table", "tidy", "unused"]

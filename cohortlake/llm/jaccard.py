@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from cohortlake.llm.common import components, stored, table, unused
+from cohortlake.llm.common import components, stored, table, tidy, unused
 from cohortlake.llm.textkit import LOWER, SPACE, chunks, mixed, runs_hashed, word_bounds
 
 WORDS = 5
@@ -26,6 +26,11 @@ FAN_IN = 64
 #: Nodes that may share a prefix shingle before they are thinned out round a pivot, and how often that is done.
 CROWD, ROUNDS = 64, 3
 
+#: Longs of a set's parity bitmap, by the size up to which it is used.
+BITMAPS = ((2048, 16), (8192, 64), (None, 256))
+#: Bits of the filter that tells tasks which sets are wanted (16 MB), and of its parts.
+WANTED_BITS, WANTED_PART = 27, 16
+
 _STEP = np.uint64(0xA0761D6478BD642F | 1)
 
 
@@ -69,8 +74,15 @@ def _nodes(edges: np.ndarray, hashed: np.ndarray) -> np.ndarray:
     return mixed((total[edges[1:]] - total[edges[:-1]]) + size * np.uint64(0x2545F4914F6CDD1D)).view(np.int64)
 
 
+def bitmap(own: np.ndarray) -> np.ndarray:
+    """Parity bitmap of a set: every shingle flips one bit.  Where two bitmaps differ, so do the sets."""
+    longs = next(w for most, w in BITMAPS if most is None or len(own) <= most)
+    odd = np.bincount((own >> np.uint64(8)) % np.uint64(64 * longs), minlength=64 * longs).astype(np.uint8) & 1
+    return np.packbits(odd, bitorder="little").view(np.int64)
+
+
 def _counted(docs: DataFrame) -> DataFrame:
-    """One pass over the texts: a row (doc_id, n, node) per document, and per task the counts of its shingles.
+    """One pass over the texts: a row (doc_id, n, node, bits) per document, and per task the counts of its shingles.
 
     A count row is (part, body): the low bytes of 2**PART_BITS cells, then the cells of 255 and more with
     what they hold beyond.
@@ -81,14 +93,15 @@ def _counted(docs: DataFrame) -> DataFrame:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            n, node = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.int64)
+            n, node, bits = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.int64), []
             for low, high, edges, hashed in shingle_sets(batch["_text"]):
                 n[low:high], node[low:high] = np.diff(edges), _nodes(edges, hashed)
+                bits += [bitmap(hashed[a:b]) for a, b in zip(edges, edges[1:], strict=False)]
                 np.add.at(cells, (hashed >> np.uint64(64 - COUNT_BITS)).astype(np.int64), 1)
             none = pa.nulls(batch.num_rows, pa.int32())
             yield pa.RecordBatch.from_arrays(
-                [batch["_id"], pa.array(n), pa.array(node, mask=n == 0), none, pa.nulls(batch.num_rows, pa.binary())],
-                names=["doc_id", "n", "node", "part", "body"],
+                [batch["_id"], pa.array(n), pa.array(node, mask=n == 0), pa.array(bits, pa.list_(pa.int64())), none, pa.nulls(batch.num_rows, pa.binary())],
+                names=names,
             )
         parts, bodies = [], []
         for part, own in enumerate(cells.reshape(-1, 1 << PART_BITS)):
@@ -97,11 +110,12 @@ def _counted(docs: DataFrame) -> DataFrame:
                 bodies.append(_packed(own))
         m = len(parts)
         yield pa.RecordBatch.from_arrays(
-            [pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.array(parts, pa.int32()), pa.array(bodies, pa.binary())],
-            names=["doc_id", "n", "node", "part", "body"],
+            [*[pa.nulls(m, pa.int64())] * 3, pa.nulls(m, pa.list_(pa.int64())), pa.array(parts, pa.int32()), pa.array(bodies, pa.binary())],
+            names=names,
         )
 
-    return docs.mapInArrow(run, "doc_id long, n long, node long, part int, body binary")
+    names = ["doc_id", "n", "node", "bits", "part", "body"]
+    return docs.mapInArrow(run, "doc_id long, n long, node long, bits array<long>, part int, body binary")
 
 
 def _packed(own: np.ndarray) -> bytes:
@@ -175,19 +189,38 @@ def _prefixes(texts: DataFrame, ranks) -> DataFrame:
     return texts.mapInArrow(run, "token long, node long, n int, pos int")
 
 
-def _sets(texts: DataFrame) -> DataFrame:
-    """(node, shingles): sorted shingle hashes of the wanted nodes' texts."""
+def _wanted(nodes: DataFrame) -> np.ndarray:
+    """A bit for every value that the upper bits of a wanted node take: a filter of fixed size."""
+
+    def mark(pdf: pd.DataFrame) -> pd.DataFrame:
+        bits = np.zeros(1 << WANTED_PART, dtype=bool)
+        bits[pdf["cell"].to_numpy() & ((1 << WANTED_PART) - 1)] = True
+        return pd.DataFrame({"part": [int(pdf["cell"].iloc[0]) >> WANTED_PART], "body": [np.packbits(bits).tobytes()]})
+
+    cell = F.shiftrightunsigned("node", 64 - WANTED_BITS).alias("cell")
+    marked = nodes.select(cell).distinct().groupBy(F.shiftright("cell", WANTED_PART)).applyInPandas(mark, "part int, body binary")
+    out = np.zeros(1 << (WANTED_BITS - 3), dtype=np.uint8).reshape(-1, 1 << (WANTED_PART - 3))
+    for r in marked.collect():  # at most as many rows as the filter has parts
+        out[r["part"]] = np.frombuffer(r["body"], np.uint8)
+    return out.ravel()
+
+
+def _sets(texts: DataFrame, wanted) -> DataFrame:
+    """(node, shingles): sorted shingle hashes of all nodes that pass the filter; the texts themselves stay where they are."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        marks = wanted.value
         for batch in batches:
-            want = batch["_want"].to_numpy(zero_copy_only=False)
-            for low, high, edges, hashed in shingle_sets(batch["_text"]):
-                node = _nodes(edges, hashed)
-                good = np.flatnonzero(node == want[low:high])  # an id may stand for several texts
+            seen: set[int] = set()
+            for _, _, edges, hashed in shingle_sets(batch["_text"]):
+                node, size = _nodes(edges, hashed), np.diff(edges)
+                cell = node.view(np.uint64) >> np.uint64(64 - WANTED_BITS)
+                hit = (marks[cell >> np.uint64(3)] >> (np.uint8(7) - (cell & np.uint64(7)).astype(np.uint8))) & 1
+                good = [i for i in np.flatnonzero((hit > 0) & (size > 0)) if not (node[i] in seen or seen.add(node[i]))]
                 sets = [hashed[edges[i] : edges[i + 1]].tobytes() for i in good]
                 yield pa.RecordBatch.from_arrays([pa.array(node[good]), pa.array(sets, pa.binary())], names=["node", "shingles"])
 
-    return texts.mapInArrow(run, "node long, shingles binary").dropDuplicates(["node"])
+    return texts.mapInArrow(run, "node long, shingles binary")
 
 
 @F.pandas_udf(LongType())
@@ -221,54 +254,93 @@ def _shared_if_close(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series(out)
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, exact: bool) -> DataFrame:
-    """(a, b, jaccard, linked) of pairs of nodes; without ``exact`` unlinked pairs may lack their similarity."""
-    one = sets.select(F.col("node").alias("a"), F.col("shingles").alias("_x"))
-    two = sets.select(F.col("node").alias("b"), F.col("shingles").alias("_y"))
-    both = (_shared if exact else _shared_if_close)("_x", "_y")
-    met = pairs.join(one, "a").join(two, "b").withColumn("_i", both)
-    size = (F.octet_length("_x") + F.octet_length("_y")) / 8
-    union = (size - F.col("_i")).cast("long")
-    return met.select(
-        "a", "b", (F.col("_i") / union).alias("jaccard"), ((F.col("_i") >= 0) & (100 * F.col("_i") >= PERCENT * union)).alias("linked")
-    )
+def _most(x: str, y: str, n: str, m: str):
+    """Upper bound of the shingles that two sets share: every bit in which their bitmaps differ is a shingle of one only.
+
+    Null where the bitmaps have different lengths.
+    """
+    differ = F.aggregate(F.zip_with(x, y, lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda s, v: s + v)
+    return F.floor((F.col(n) + F.col(m) - differ) / 2).cast("long")
+
+
+def _may_link(most, n: str, m: str):
+    return F.coalesce(100 * most >= PERCENT * (F.col(n) + F.col(m) - most), F.lit(True))
 
 
 def _close_in_size(n: str, m: str):
     return 100 * F.least(n, m) >= PERCENT * F.greatest(n, m)
 
 
-def linked_nodes(prefixes: DataFrame, sets_of, spark: SparkSession) -> DataFrame:
+class _Verifier:
+    """Similarities of pairs of nodes: bitmaps first, then the sets of what is left.
+
+    ``nodes`` holds (node, n, bits), ``sets_of(nodes)`` gives (node, shingles).  Sets are fetched once per node.
+    """
+
+    def __init__(self, nodes: DataFrame, sets_of):
+        self.nodes, self.sets_of, self.sets = nodes, sets_of, []
+
+    def __call__(self, pairs: DataFrame, exact: bool) -> DataFrame:
+        """(a, b, jaccard, linked); the similarity of unlinked pairs may be an upper bound, or null without ``exact``."""
+        side = lambda k, n, x: self.nodes.select(F.col("node").alias(k), F.col("n").alias(n), F.col("bits").alias(x))
+        most = _most("_x", "_y", "_n", "_m")
+        met = pairs.join(side("a", "_n", "_x"), "a").join(side("b", "_m", "_y"), "b").withColumn("_most", most)
+        bound = F.col("_most") / (F.col("_n") + F.col("_m") - F.col("_most"))
+        bounds = stored(met.select("a", "b", bound.alias("jaccard"), _may_link(F.col("_most"), "_n", "_m").alias("close")), "bounds")
+        todo = bounds.where("close").select("a", "b")
+        fresh = todo.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        for known in self.sets:
+            fresh = fresh.join(known, "node", "left_anti")
+        fresh = stored(fresh, "wanted")
+        if not fresh.isEmpty():
+            self.sets.append(stored(self.sets_of(fresh), "sets"))
+        far = bounds.where("not close").select("a", "b", "jaccard", F.lit(False).alias("linked"))
+        if not self.sets:
+            return far
+        sets = reduce(DataFrame.unionByName, self.sets)
+        one = sets.select(F.col("node").alias("a"), F.col("shingles").alias("_x"))
+        two = sets.select(F.col("node").alias("b"), F.col("shingles").alias("_y"))
+        both = (_shared if exact else _shared_if_close)("_x", "_y")
+        done = todo.join(one, "a").join(two, "b").withColumn("_i", both)
+        union = ((F.octet_length("_x") + F.octet_length("_y")) / 8 - F.col("_i")).cast("long")
+        linked = (F.col("_i") >= 0) & (100 * F.col("_i") >= PERCENT * union)
+        ratio = F.when(F.col("_i") >= 0, F.col("_i") / union)
+        out = stored(done.select("a", "b", ratio.alias("jaccard"), linked.alias("linked")), "verified")
+        tidy(pairs.sparkSession)
+        return far.unionByName(out)
+
+
+def linked_nodes(prefixes: DataFrame, nodes: DataFrame, sets_of, spark: SparkSession) -> DataFrame:
     """(node, label) for all nodes with links, label the same for nodes that links connect.
 
-    ``prefixes`` holds (token, node, n, pos); ``sets_of(nodes)`` gives (node, shingles).
+    ``prefixes`` holds (token, node, n, pos), ``nodes`` (node, n, bits); ``sets_of(nodes)`` gives (node, shingles).
 
     All nodes that share a prefix shingle are candidates.  Instead of emitting every pair of such a crowd,
     each crowd compares its nodes with one pivot.  What links to the pivot is connected through it; and as
     1 - Jaccard is a metric, a linked node x can only link to an unlinked node y if
     d(y, pivot) <= d(x, pivot) + 0.2.  Linked nodes that are too near the pivot for any y leave the
     crowd, and crowds whose nodes are all connected are done.  Crowds still above ``CROWD`` nodes go
-    round again with another pivot, ``ROUNDS`` times; the rest are compared pair by pair, after length and
-    positional filters, only where nodes are not connected yet.  No link between components is lost.
+    round again with another pivot, ``ROUNDS`` times; the rest are compared pair by pair, after length,
+    positional and bitmap filters, only where nodes are not connected yet.  No link between components is lost.
     """
     spark.conf.set("spark.sql.unionOutputPartitioning", "false")
     dealt = prefixes.repartition("token")
-    shared = dealt.groupBy("token").agg(F.min("node").alias("_lo"), F.max("node").alias("_hi")).where("_lo < _hi").select("token")
+    # the aggregate asks for all columns, so that it and the join share the one exchange
+    shared = dealt.groupBy("token").agg(F.min("node").alias("_lo"), F.max("node").alias("_hi"), F.max("n").alias("_n"), F.max("pos").alias("_p"))
+    shared = shared.where("_lo < _hi and _n >= 0 and _p >= 0").select("token")
     crowd = stored(dealt.join(shared, "token").dropDuplicates(["token", "node"]), "crowds")
-    sets = stored(sets_of(crowd.select("node").distinct()), "sets")
+    tidy(spark)
+    verify = _Verifier(nodes, sets_of)
     known: list[DataFrame] = []
     small: list[DataFrame] = []
 
     def all_known() -> DataFrame:
         return reduce(DataFrame.unionByName, known)
 
-    def labelled(rows: DataFrame) -> DataFrame:
-        links = all_known().where("linked").select(F.col("a").alias("u"), F.col("b").alias("v"))
-        labels = components(links).select(F.col("node").alias("_node"), F.col("label").alias("_label"))
-        return rows.join(labels, F.col("node") == F.col("_node"), "left").select(
-            *rows.columns, F.coalesce("_label", "node").alias("label")
-        )
+    def links(of: list[DataFrame]) -> DataFrame:
+        return reduce(DataFrame.unionByName, of).where("linked").select(F.col("a").alias("u"), F.col("b").alias("v"))
 
+    labels: DataFrame | None = None
     for turn in range(ROUNDS):
         pivots = crowd.groupBy("token").agg(F.min_by(F.struct("node", "n"), F.xxhash64("node", F.lit(turn))).alias("_p"))
         pivots = pivots.select("token", F.col("_p.node").alias("_pivot"), F.col("_p.n").alias("_pn"))
@@ -277,7 +349,7 @@ def linked_nodes(prefixes: DataFrame, sets_of, spark: SparkSession) -> DataFrame
         pairs = rows.where(_close_in_size("n", "_pn")).select("a", "b").distinct()
         if known:
             pairs = pairs.join(all_known().select("a", "b"), ["a", "b"], "left_anti")
-        known.append(stored(_verified(pairs, sets, True), "verified"))
+        known.append(verify(pairs, True))
         near = rows.join(all_known(), ["a", "b"], "left").withColumn(
             "_d", 1 - F.coalesce("jaccard", F.least("n", "_pn") / F.greatest("n", "_pn"))
         )
@@ -285,51 +357,57 @@ def linked_nodes(prefixes: DataFrame, sets_of, spark: SparkSession) -> DataFrame
         edge = near.groupBy("token").agg(F.min(F.when(~F.col("linked"), F.col("_d"))).alias("_edge")).where("_edge is not null")
         limit = F.col("_edge") - (1 - PERCENT / 100) - 1e-9
         left = near.join(edge, "token").where(~F.col("linked") | (F.col("_d") >= limit)).select("token", "node", "n", "pos")
-        left = stored(labelled(left), "left")
+        if labels is None:  # most of what links is connected after the first turn
+            labels = stored(components(links(known)), "labels")
+        of = labels.select(F.col("node").alias("_node"), F.col("label").alias("_label"))
+        left = left.join(of, F.col("node") == F.col("_node"), "left")
+        left = stored(left.select("token", "node", "n", "pos", F.coalesce("_label", "node").alias("label")), "left")
         several = left.groupBy("token").agg(F.min("label").alias("_a"), F.max("label").alias("_b"), F.count("*").alias("_c")).where("_a < _b")
         left = left.join(several.select("token", "_c"), "token")
         small.append(left.where(F.col("_c") <= CROWD).drop("_c"))
         crowd = stored(left.where(F.col("_c") > CROWD).drop("_c"), "crowds")
+        tidy(spark)
         if crowd.isEmpty():
             break
     else:
         small.append(crowd)
     rest = reduce(DataFrame.unionByName, small).select("token", "node", "n", "pos", "label")
-    rest = stored(rest, "rest")
-    other = rest.select("token", *[F.col(c).alias(f"_{c}") for c in ("node", "n", "pos", "label")])
+    bits = nodes.select(F.col("node").alias("_k"), "bits")
+    rest = stored(rest.join(bits, F.col("node") == F.col("_k")).drop("_k"), "rest")
+    other = rest.select("token", *[F.col(c).alias(f"_{c}") for c in ("node", "n", "pos", "label", "bits")])
     # the first shingle that both prefixes share has none before it in common
     most = 1 + F.least(F.col("n") - 1 - F.col("pos"), F.col("_n") - 1 - F.col("_pos"))
-    pairs = (
-        rest.join(other, "token").where("node < _node and label <> _label").where(_close_in_size("n", "_n"))
-        .where(100 * most >= PERCENT * (F.col("n") + F.col("_n") - most))
-        .select(F.col("node").alias("a"), F.col("_node").alias("b")).distinct()
-        .join(all_known().select("a", "b"), ["a", "b"], "left_anti")
+    meet = (
+        (rest["token"] == other["token"]) & (F.col("node") < F.col("_node")) & (F.col("label") != F.col("_label"))
+        & _close_in_size("n", "_n") & (100 * most >= PERCENT * (F.col("n") + F.col("_n") - most))
+        & _may_link(_most("bits", "_bits", "n", "_n"), "n", "_n")
     )
-    known.append(stored(_verified(pairs, sets, False), "verified"))
-    return components(all_known().where("linked").select(F.col("a").alias("u"), F.col("b").alias("v")))
+    pairs = rest.join(other, meet).select(F.col("node").alias("a"), F.col("_node").alias("b")).distinct()
+    known.append(verify(pairs.join(all_known().select("a", "b"), ["a", "b"], "left_anti"), False))
+    return components(links(known[1:]).unionByName(labels.select(F.col("node").alias("u"), F.col("label").alias("v"))))
 
 
 def joined(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, component_id, rep) of every document of (doc_id, text).
+    """(doc_id, n_shingles, component_id) of every document of (doc_id, text).
 
     Sets are compared by 64-bit shingle hashes.  Equal sets are one node, so exact copies cost nothing but
     their row.  An empty set links with nothing, not even with another empty one.  A row with a null
-    doc_id takes part through the equal sets of rows with an id; its component_id is null if there are
-    none.  Rows that repeat an id are kept; if their texts differ, each is linked by its own text.
+    doc_id is linked like any other; its component_id is null if no row of the component has an id.  Rows that repeat an id are kept; if their texts differ, each is linked by its own text.
     """
     spark = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("long").alias("_id"), F.col("text").alias("_text"))
     first = stored(_counted(texts), "counts")
     rows = first.where("part is null").select("doc_id", "n", "node")
     ranks = spark.sparkContext.broadcast(rare_first(first.where("part is not null").select("part", "body"), texts.rdd.getNumPartitions()))
-    reps = stored(rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("_rep")), "nodes")
+    alike = first.where("node is not null").groupBy("node")
+    reps = stored(alike.agg(F.min("doc_id").alias("_rep"), F.max("n").alias("n"), F.first("bits").alias("bits")), "nodes")
 
     def sets_of(nodes: DataFrame) -> DataFrame:
-        want = reps.join(nodes, "node").where("_rep is not null").select("_rep", F.col("node").alias("_want"))
-        return _sets(texts.join(want, F.col("_id") == F.col("_rep")).select("_text", "_want"))
+        found = _sets(texts.select("_text"), spark.sparkContext.broadcast(_wanted(nodes)))
+        return found.join(nodes, "node", "left_semi").dropDuplicates(["node"])
 
-    labels = linked_nodes(_prefixes(texts.select("_text"), ranks), sets_of, spark)
-    grouped = reps.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    labels = linked_nodes(_prefixes(texts.select("_text"), ranks), reps.select("node", "n", "bits"), sets_of, spark)
+    grouped = reps.select("node", "_rep").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     low = grouped.groupBy("label").agg(F.min("_rep").alias("component_id"))
     of = stored(grouped.join(low, "label").select(F.col("node").alias("_node"), "component_id"), "components")
     return rows.join(of, F.col("node") == F.col("_node"), "left").select(

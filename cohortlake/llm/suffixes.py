@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import hashlib
 from collections.abc import Iterator
 
@@ -11,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cohortlake.llm.common import released, stored, table, unused
+from cohortlake.llm.common import released, stored, table, tidy, unused
 from cohortlake.llm.textkit import BASE, CODES, INVERSE, chunks, mixed, prefix_hashes
 
 #: Bytes of a repeated string, and of the anchors by which its occurrences find each other.
@@ -22,12 +21,6 @@ SPAN = LENGTH - GRAM + 1
 SORTED, HOT = 20_000, 20_000
 
 
-def _tidy(spark: SparkSession) -> None:
-    """Let Spark drop the shuffle files of finished steps: it does so when the driver collects garbage."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def _key(text: Column) -> Column:
     return F.xxhash64(text)
 
@@ -403,7 +396,7 @@ def repeats(docs: DataFrame, keep_text: bool = False) -> tuple[DataFrame, DataFr
     runs = _runs(rows.where(F.octet_length("text") >= LENGTH).select("k", "text"))
     counted = runs.withColumns({"n": F.sum("m").over(whole), "rn": F.row_number().over(whole.orderBy("k", "place"))})
     known = stored(counted.select("g", "ctx", "k", "place", "more", "n", "rn"), "runs")
-    _tidy(spark)
+    tidy(spark)
     covered = _spread(known.where("n > 1").select("k", "place", "more"))
 
     # one row for each different stretch of an anchor; those of anchors with several are compared
@@ -414,7 +407,7 @@ def repeats(docs: DataFrame, keep_text: bool = False) -> tuple[DataFrame, DataFr
     want = wanted.join(ids.select("k", "_id"), "k")
     texts = rows.join(want, ["k", "_id"]).select("k", "text", "_runs")
     fetched = stored(_stretches(texts), "stretches")
-    _tidy(spark)
+    tidy(spark)
     dealt = fetched.where("not hot").select("g", "k", "place", "alone", "stretch").repartition("g").sortWithinPartitions("g")
     strings = _strings(fetched.where("hot").select("k", "place", "alone", "stretch"))
     often = strings.groupBy("hash").agg(F.count("*").alias("c")).where("c > 1").select("hash")
@@ -425,7 +418,7 @@ def repeats(docs: DataFrame, keep_text: bool = False) -> tuple[DataFrame, DataFr
     lists = found.join(copied, "k", "left_anti").groupBy("k").agg(F.collect_set(F.struct("lo", "hi")).alias("_spans"))
     spans = stored(lists.join(ids.select("k", "_id"), "k"), "spans")
     released(known, wanted, fetched)
-    _tidy(spark)
+    tidy(spark)
     changed = _cut(rows.join(spans, ["k", "_id"]).select("k", "text", "_spans"), keep_text)
     gone = ids.where("copies > 1").select(
         "k", F.lit(None).cast("long").alias("n_removed"), F.lit(1).cast("long").alias("n_spans"),
