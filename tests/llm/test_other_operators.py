@@ -5,7 +5,7 @@ import hashlib
 
 import numpy as np
 import pytest
-from conftest import words
+from texts import words
 from pyspark.sql import functions as F
 
 from cohortlake.llm import graphs, language, registry, warc

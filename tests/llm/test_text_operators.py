@@ -7,7 +7,7 @@ import zlib
 
 import numpy as np
 import pytest
-from conftest import words
+from texts import words
 from pyspark.sql import functions as F
 
 from cohortlake.llm import fingerprints, jaccard, mixing, packing, sharding, suffixes, toxicity
