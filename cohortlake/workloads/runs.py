@@ -104,6 +104,28 @@ def _(spark, sf):
     )
 
 
+_FOLD = "avg(p_retailprice)/2500.0::DOUBLE"
+
+
+@query("A33_U01_fold_documents_report", f"""WITH f AS (SELECT p_partkey % 5 AS fold, {_FOLD} AS acc, max(p_size)/100.0::DOUBLE AS auc FROM part GROUP BY 1),
+r AS (SELECT CAST(fold AS VARCHAR) AS "Fold", acc AS "Accuracy", CASE WHEN fold<>3 THEN auc ELSE 0 END AS "ROC_AUC" FROM f)
+SELECT "Fold", round("Accuracy",6) AS "Accuracy", round("ROC_AUC",6) AS "ROC_AUC", 0.0::DOUBLE AS "Macro_F1" FROM r
+UNION ALL SELECT 'Mean', round(avg("Accuracy"),6), round(avg("ROC_AUC"),6), 0.0 FROM r UNION ALL SELECT 'Std', round(stddev_samp("Accuracy"),6), round(stddev_samp("ROC_AUC"),6), 0.0 FROM r""")
+def _(spark, sf):
+    from cohortlake.operators import cv
+
+    part = table(spark, sf, "part").groupBy((F.col("p_partkey") % 5).alias("fold")).agg(
+        (F.avg("p_retailprice") / 2500).alias("best_val_accuracy"), (F.max("p_size") / 100).alias("_auc")
+    )
+    # fold 3 has no ROC AUC; a sixth document is broken
+    doc = F.to_json(F.struct("best_val_accuracy", F.when(F.col("fold") != 3, F.col("_auc")).alias("best_val_roc_auc")))
+    docs = part.select(F.concat(F.lit("run_fold_"), F.col("fold").cast("string")).alias("run"), doc.alias("doc"))
+    docs = docs.unionByName(docs.limit(1).select(F.lit("run_fold_9").alias("run"), F.lit("{broken").alias("doc")))
+    path = sinks.write_documents(docs, "run", "doc")
+    rep = cv.report_from_documents(tables.read_run_documents(spark, path), 5)
+    return rep.select("Fold", *[r6(F.col(c)).alias(c) for c in ("Accuracy", "ROC_AUC", "Macro_F1")])
+
+
 @query("R05_event_properties", "SELECT event_id, CAST(regexp_extract(props, '\"k\": ([0-9]+)', 1) AS BIGINT) AS k, 'none' AS other FROM events")
 def _(spark, sf):
     meta = table(spark, sf, "events").withColumn("meta", F.from_json("props", "map<string,string>"))

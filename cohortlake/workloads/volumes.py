@@ -587,7 +587,20 @@ def _(spark, sf):
     return vox_out(augment.apply_plan(volumes(spark, sf), plan, [n for n, _, _ in augment.PROFILES["strong"]]))
 
 
-@query("V14_random_shift_augmentation")
+def _draw(name):
+    return _u(f"'42:' || scan_id || ':{name}'", 0)
+
+
+_CELL = "'42:' || a.scan_id || ':0:' || a.z || ':' || (a.x*4+a.y)"
+
+
+@query("V14_random_shift_augmentation", f"""{V}, dr AS (SELECT scan_id, {_draw('flip')} < 0.5 AS fl, {_draw('move')} < 0.5 AS mv, {_draw('noise')} < 0.5 AS ns, {_draw('level')} < 0.5 AS lv,
+ CAST(floor(-1 + {_draw('dx')}*3) AS INT) AS sx, CAST(floor(-1 + {_draw('dy')}*3) AS INT) AS sy, CAST(floor(-1 + {_draw('dz')}*3) AS INT) AS sz,
+ 0.95 + {_draw('scale')}*0.1 AS sc, -0.05 + {_draw('shift')}*0.1 AS sh FROM (SELECT DISTINCT scan_id FROM vox)),
+k AS (SELECT scan_id, fl, CASE WHEN mv THEN sx ELSE 0 END AS dx, CASE WHEN mv THEN sy ELSE 0 END AS dy, CASE WHEN mv THEN sz ELSE 0 END AS dz,
+ CASE WHEN ns THEN 0.01 ELSE 0 END AS sd, CASE WHEN lv THEN sc ELSE 1 END AS sc, CASE WHEN lv THEN sh ELSE 0 END AS sh FROM dr),
+o AS (SELECT a.scan_id, a.x, a.y, a.z, (coalesce(b.v, 0.0) + sd*sqrt(-2*ln({_u(_CELL, 0)}))*cos(2*pi()*({_u(_CELL, 1)})))*sc + sh AS v
+ FROM vox a JOIN k ON k.scan_id=a.scan_id LEFT JOIN vox b ON b.scan_id=a.scan_id AND b.x=CASE WHEN fl THEN 3-(a.x-dx) ELSE a.x-dx END AND b.y=a.y-dy AND b.z=a.z-dz) {OUT}""")
 def _(spark, sf):
     return vox_out(augment.random_shift_augmentation(volumes(spark, sf), reach=1))
 
