@@ -43,26 +43,34 @@ def scaled_axes(affine: Column, factors: Sequence[Column]) -> Column:
     )
 
 
+def _codes(affines: np.ndarray) -> list[str]:
+    """Orientation letters of a stack of 4 x 4 affines."""
+    axes = affines[:, :3, :3]
+    size = np.sqrt((axes**2).sum(axis=1, keepdims=True))
+    u, s, vt = np.linalg.svd(axes / np.where(size > 0, size, 1.0))
+    keep = s > s.max(axis=1, keepdims=True) * 3 * np.finfo(float).eps
+    rot = (u * keep[:, None, :]) @ vt  # nearest rotation, so shear does not tilt the choice
+    every, out = np.arange(len(rot)), np.full(len(rot), "", dtype=object)
+    letters = np.array([["L", "R"], ["P", "A"], ["I", "S"]], dtype=object)
+    for axis in range(3):
+        world = np.abs(rot[:, :, axis]).argmax(axis=1)
+        out = out + letters[world, (rot[every, world, axis] >= 0).astype(int)]
+        rot[every, world] = 0
+    return out.tolist()
+
+
 def orientation(affine: Column) -> Column:
     """Three-letter orientation of the voxel axes: the closest axis-aligned frame (one affine per scan)."""
-    def code(rows) -> str:
-        axes = np.array([list(r) for r in rows], dtype=float)[:3, :3]
-        size = np.sqrt((axes**2).sum(axis=0))
-        u, s, vt = np.linalg.svd(axes / np.where(size > 0, size, 1.0))
-        keep = s > s.max() * 3 * np.finfo(float).eps
-        rot = u[:, keep] @ vt[keep]  # nearest rotation, so shear does not tilt the choice
-        out = ""
-        for axis in range(3):
-            world = int(np.abs(rot[:, axis]).argmax())
-            out += {0: "LR", 1: "PA", 2: "IS"}[world][int(rot[world, axis] >= 0)]
-            rot[world] = 0
-        return out
-
     @F.pandas_udf("string")
     def codes(col: pd.Series) -> pd.Series:
-        return col.map(code)
+        known = col.notna()
+        out = pd.Series([None] * len(col), index=col.index, dtype=object)
+        if known.any():
+            out[known] = _codes(np.array([[list(r) for r in rows] for rows in col[known]], dtype=float))
+        return out
 
-    return codes(affine)
+    # so marked, Spark works it out once per row and does not copy it into every expression that uses it
+    return codes.asNondeterministic()(affine)
 
 
 def axis_source(codes: Column, target: Column, t: int) -> Column:

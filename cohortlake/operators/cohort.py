@@ -104,9 +104,11 @@ def in_split(df: DataFrame, splits: DataFrame, split: str, subject: str = "subje
     return members_of(df, splits.where(F.col("split") == split).select(subject), subject)
 
 
-def in_fold(df: DataFrame, folds: DataFrame, fold: int, role: str, subject: str = "subject_id") -> DataFrame:
-    """Rows in one role of one fold; the fold must exist."""
-    top = folds.agg(F.max("fold")).first()[0]
+def in_fold(
+    df: DataFrame, folds: DataFrame, fold: int, role: str, subject: str = "subject_id", k: int | None = None
+) -> DataFrame:
+    """Rows in one role of one fold; the fold must exist.  With the number of folds ``k`` no job is needed to check that."""
+    top = k - 1 if k is not None else folds.agg(F.max("fold")).first()[0]
     if top is None or not 0 <= fold <= top:
         raise ValueError(f"fold {fold} is outside 0..{top}")
     return members_of(df, folds.where((F.col("fold") == fold) & (F.col("role") == role)).select(subject), subject)
@@ -174,32 +176,27 @@ def missing_modalities(index: DataFrame) -> DataFrame:
 def index_violations(index: DataFrame, found: DataFrame | None = None) -> DataFrame:
     """(rule_no, rule, entry) rows for every broken index rule.
 
-    Rules: required fields present, path found, subject unique, path unique.
+    Rules: required fields present, path found, subject unique, path unique.  Every row lists what it breaks
+    and what it claims to be unique; one grouped count then settles all rules.
     """
     key = F.coalesce(F.col("subject_id").cast("string"), F.col("path"), F.lit("?"))
-    rows = []
-    for f in REQUIRED_INDEX:
-        rows.append(
-            index.where(F.coalesce(F.col(f).cast("string"), F.lit("")) == "").select(
-                F.lit(1).alias("rule_no"), F.lit(f"missing field {f}").alias("rule"), key.alias("entry")
-            )
-        )
+    entry = lambda no, rule, value: F.struct(
+        F.lit(no).alias("rule_no"), F.lit(rule).alias("rule"), value.cast("string").alias("entry")
+    )
+    rows = index
     if found is not None:
-        rows.append(
-            index.join(found, "path", "left_anti").select(
-                F.lit(2).alias("rule_no"), F.lit("path does not exist").alias("rule"), F.col("path").alias("entry")
-            )
-        )
+        there = found.select(F.col("path").alias("_there")).distinct()
+        rows = index.join(there, F.col("path") == F.col("_there"), "left")
+    listed = [F.when(F.coalesce(F.col(f).cast("string"), F.lit("")) == "", entry(1, f"missing field {f}", key)) for f in REQUIRED_INDEX]
+    if found is not None:
+        listed.append(F.when(F.col("_there").isNull(), entry(2, "path does not exist", F.col("path"))))
     for no, c, rule in ((3, "subject_id", "duplicate subject"), (4, "path", "duplicate path")):
-        rows.append(
-            index.where(F.col(c).isNotNull()).groupBy(c).count().where("count > 1").select(
-                F.lit(no).alias("rule_no"), F.lit(rule).alias("rule"), F.col(c).cast("string").alias("entry")
-            )
-        )
-    out = rows[0]
-    for r in rows[1:]:
-        out = out.unionByName(r)
-    return out
+        listed.append(F.when(F.col(c).isNotNull(), entry(no, rule, F.col(c))))
+    every = rows.select(F.explode(F.filter(F.array(*listed), lambda e: e.isNotNull())).alias("e")).select("e.*")
+    counted = every.groupBy("rule_no", "rule", "entry").agg(F.count("*").cast("int").alias("_n"))
+    # a broken row counts each time, a value that should be unique once
+    times = F.when(F.col("rule_no") <= 2, F.col("_n")).otherwise(F.when(F.col("_n") > 1, 1).otherwise(0))
+    return counted.select("rule_no", "rule", "entry", F.explode(F.array_repeat(F.lit(1), times)).alias("_t")).drop("_t")
 
 
 def validate_index(index: DataFrame, found: DataFrame | None = None) -> DataFrame:

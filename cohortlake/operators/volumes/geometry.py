@@ -12,11 +12,9 @@ from cohortlake.operators.volumes.slabs import (
     COLUMNS,
     columns_reversed,
     reshaped,
-    reslab,
     rows_reversed,
     shape_of,
     transposed,
-    voxels,
     window,
 )
 from cohortlake.operators.volumes.stats import foreground_box, to_grey
@@ -146,7 +144,9 @@ def unpad(slabs: DataFrame, affines: DataFrame, params: DataFrame):
 def permute(slabs: DataFrame, source: Sequence[Column], flipped: Sequence[Column]) -> DataFrame:
     """Output axis t takes input axis ``source[t]``, reversed where ``flipped[t]``.
 
-    Scans whose slice axis stays in place are rewritten row by row; only the others are regrouped by slice.
+    Scans whose slice axis stays in place are rewritten row by row.  The others are sent as lines: a slice falls
+    apart along the axis that becomes the slice axis, and each output slice is put together from one line
+    of every input slice.
     """
     n = [F.col(c) for c in AXES]
     pick = lambda t, opts: F.when(source[t] == 0, opts[0]).when(source[t] == 1, opts[1]).otherwise(opts[2])
@@ -162,12 +162,30 @@ def permute(slabs: DataFrame, source: Sequence[Column], flipped: Sequence[Column
     px = F.when(turned[1], columns_reversed(px, n[0], n[1])).otherwise(px)
     px = F.when(source[0] == 1, transposed(px, n[0], n[1])).otherwise(px)
     plane = reshaped(slabs.where(source[2] == 2), px, back(2, F.col("z")), [size[0], size[1], n[2]]).select(*COLUMNS)
-    extra = [c for c in slabs.columns if c not in COLUMNS]
-    v = voxels(slabs.where(source[2] != 2), ["nx", "nz", "ny", *extra])
-    at = [back(a, F.col(k)) for a, k in enumerate("xyz")]
-    coords = [pick(t, at).cast("int").alias(k) for t, k in enumerate("xyz")]
-    turned_v = v.select("scan_id", "c", *coords, "v", *[s.alias(k) for s, k in zip(size, AXES)])
-    return stacked(plane, reslab(turned_v))
+    along_x = source[2] == 0  # else along y
+    length = F.when(along_x, n[1]).otherwise(n[0]).cast("int")
+    count = F.when(along_x, n[0]).otherwise(n[1]).cast("int")
+    line_turned = F.when(along_x, turned[1]).otherwise(turned[0])
+    ready = slabs.where(source[2] != 2).select(
+        "scan_id", "c", back(2, F.col("z")).cast("int").alias("_pos"), n[2].alias("_depth"), length.alias("_len"), count.alias("_count"),
+        F.when(along_x, F.col("px")).otherwise(transposed(F.col("px"), n[0], n[1])).alias("_rows"),
+        F.when(along_x, turned[0]).otherwise(turned[1]).alias("_back"), line_turned.alias("_rev"), (source[0] == 2).alias("_first"),
+        *[s.cast("int").alias(f"_{k}") for s, k in zip(size, AXES)],
+    )
+    lines = ready.select("*", F.explode(F.sequence(F.lit(0), F.col("_count") - 1)).alias("_k"))
+    line = F.slice("_rows", F.col("_k") * F.col("_len") + 1, F.col("_len"))
+    lines = lines.select(
+        "scan_id", "c", F.when(F.col("_back"), F.col("_count") - 1 - F.col("_k")).otherwise(F.col("_k")).alias("z"),
+        *[f"_{k}" for k in AXES], "_depth", "_len", "_first",
+        F.struct("_pos", F.when(F.col("_rev"), F.reverse(line)).otherwise(line).alias("line")).alias("_line"),
+    )
+    whole = lines.groupBy("scan_id", "c", "z", *[f"_{k}" for k in AXES], "_depth", "_len", "_first").agg(
+        F.array_sort(F.collect_list("_line")).alias("_lines")
+    )
+    stack = whole.withColumn("_px", F.flatten(F.col("_lines.line")))  # input slices down, the line across
+    px = F.when(F.col("_first"), F.col("_px")).otherwise(transposed(F.col("_px"), F.col("_depth"), F.col("_len")))
+    turned_slabs = stack.select("scan_id", "c", "z", *[F.col(f"_{k}").alias(k) for k in AXES], px.alias("px"))
+    return stacked(plane, turned_slabs)
 
 
 def rotate90(slabs: DataFrame, k: int) -> DataFrame:

@@ -450,7 +450,7 @@ def _(spark, sf):
 
 @query("F02_S08_fold_filter", f"WITH {ROLES} SELECT subject_id, label FROM s WHERE subject_id IN (SELECT subject_id FROM roles WHERE fold=2 AND role='val')")
 def _(spark, sf):
-    return cohort.in_fold(subjects(spark, sf).drop("site"), _roles(spark, sf), 2, "val")
+    return cohort.in_fold(subjects(spark, sf).drop("site"), _roles(spark, sf), 2, "val", k=5)
 
 
 # --- balance and summaries --------------------------------------------------------------------

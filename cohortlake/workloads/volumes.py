@@ -429,11 +429,15 @@ def _(spark, sf):
     rows = volumes(spark, sf).select(
         F.floor(F.col("scan_id") / 4).alias("scan_id"), F.get(names, (F.col("scan_id") % 4).cast("int")).alias("modality"), "z", "nx", "ny", "nz", "px"
     )
-    v = slabs.voxels(slabs.stacked_channels(rows, P.MODALITIES))
-    per = v.groupBy("scan_id", "x", "y", "z").agg(
-        *[F.max(F.when(F.col("c") == c, r6("v"))).alias(m) for c, m in enumerate(P.MODALITIES)]
+    # whole slices side by side, then voxel by voxel without a shuffle
+    side = slabs.stacked_channels(rows, P.MODALITIES).groupBy("scan_id", "z", "ny").agg(
+        *[F.first(F.when(F.col("c") == c, F.col("px")), ignorenulls=True).alias(m) for c, m in enumerate(P.MODALITIES)]
+    )
+    vox = side.select("scan_id", "z", "ny", F.posexplode(F.arrays_zip(*P.MODALITIES)).alias("i", "v"))
+    return vox.select(
+        F.col("scan_id").alias("subject"), F.floor(F.col("i") / F.col("ny")).cast("int").alias("x"),
+        (F.col("i") % F.col("ny")).cast("int").alias("y"), "z", *[r6(F.col(f"v.{m}")).alias(m) for m in P.MODALITIES],
     )
-    return per.withColumnRenamed("scan_id", "subject")
 
 
 # --- augmentation transforms ------------------------------------------------------------------
