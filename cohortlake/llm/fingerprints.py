@@ -111,13 +111,16 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(either == 0, F.lit(1.0)).otherwise(F.sqrt(same / either))
 
 
-def with_next(docs: DataFrame, ident: str, columns: list[str]) -> DataFrame:
-    """``docs`` plus _next_<column> of the row with the next id; the first row follows the last.
+def with_next(docs: DataFrame, ident: str, columns: list[str], derived: dict[str, Column] | None = None) -> DataFrame:
+    """``ident``, ``columns`` and ``derived`` of every row, plus _next_<column> of the row with the next id; the first follows the last.
 
     Rows are dealt once, to buckets of ids: quantiles of the ids cut the table into ``RANGES``, and each range is cut
     evenly.  The next row is the following one in the bucket; only the last row of a bucket looks up the
-    first of the next bucket.  Null ids come first, equal ids in the order of a hash of the row.
+    first of the next bucket, which is found without moving the others.  ``derived`` columns, functions
+    of ``columns``, are worked out once per row.  Null ids come first, equal ids in the order of a hash of the row.
     """
+    derived = derived or {}
+    docs = docs.select(ident, *columns)
     rows = docs.count()
     probs = [i / RANGES for i in range(1, RANGES)]
     found = docs.agg(F.min(ident), F.max(ident), F.percentile_approx(ident, probs)).first()
@@ -127,7 +130,7 @@ def with_next(docs: DataFrame, ident: str, columns: list[str]) -> DataFrame:
     cut = F.array(*[F.lit(e).cast("long") for e in edges])
     to = F.array(*[F.lit(e).cast("long") for e in ends])
     value = F.col(ident).cast("long")
-    part = F.size(F.filter(cut, lambda e: e <= value)) - 1  # null: -1 - 1
+    part = F.size(F.filter(cut, lambda e: e <= value)) - 1
     part = F.when(value.isNull(), F.lit(-1)).otherwise(part)
     share = (value - F.get(cut, part)) * inside / F.greatest(F.get(to, part) - F.get(cut, part), F.lit(1))
     dealt = docs.withColumn("_part", part).withColumn(
@@ -135,9 +138,9 @@ def with_next(docs: DataFrame, ident: str, columns: list[str]) -> DataFrame:
     )
     order = [F.col(ident).asc_nulls_first(), F.xxhash64(*columns)]
     within = Window.partitionBy("_bucket").orderBy(*order)
-    ahead = dealt.withColumns({
-        **{f"_next_{c}": F.lead(c).over(within) for c in columns},
-        "_rank": F.row_number().over(within), "_more": F.lead(F.lit(1)).over(within),
+    names = [*columns, *derived]
+    ahead = dealt.withColumns(derived).withColumns({
+        **{f"_next_{c}": F.lead(c).over(within) for c in names}, "_more": F.lead(F.lit(1)).over(within),
     })
     buckets = dealt.select("_part", "_bucket").distinct()
     parts = sorted(buckets.groupBy("_part").agg(F.min("_bucket").alias("_first")).collect(), key=lambda r: r["_part"])
@@ -148,12 +151,12 @@ def with_next(docs: DataFrame, ident: str, columns: list[str]) -> DataFrame:
     follow = buckets.select(
         F.col("_bucket").alias("_from"), F.coalesce(F.lead("_bucket").over(Window.partitionBy("_part").orderBy("_bucket")), beyond).alias("_to")
     )
-    heads = ahead.where("_rank = 1").select(F.col("_bucket").alias("_head"), *[F.col(c).alias(f"_h_{c}") for c in columns])
-    last = ahead.where("_more is null").join(follow, F.col("_bucket") == F.col("_from")).join(heads, F.col("_to") == F.col("_head"))
-    names = docs.columns
-    docs.sparkSession.conf.set("spark.sql.unionOutputPartitioning", "false")
-    return ahead.where("_more is not null").select(*names, *[f"_next_{c}" for c in columns]).unionByName(
-        last.select(*names, *[F.col(f"_h_{c}").alias(f"_next_{c}") for c in columns])
+    first = dealt.withColumn("_rank", F.row_number().over(within)).where("_rank = 1").withColumns(derived)
+    heads = follow.join(first.withColumnRenamed("_bucket", "_head"), F.col("_to") == F.col("_head"))
+    heads = heads.select("_from", *[F.col(c).alias(f"_h_{c}") for c in names])
+    met = ahead.join(heads, F.col("_bucket") == F.col("_from"), "left")
+    return met.select(
+        ident, *names, *[F.when(F.col("_more").isNull(), F.col(f"_h_{c}")).otherwise(F.col(f"_next_{c}")).alias(f"_next_{c}") for c in names]
     )
 
 
@@ -164,8 +167,8 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     document's first characters.  Null texts are empty; of a single document the next is itself.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).withColumn("sign", order_minhash(F.col("text")))
-    met = with_next(rows, "doc_id", ["text", "sign"])
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
+    met = with_next(rows, "doc_id", ["text"], {"sign": order_minhash(F.col("text"))})
     n = F.length("text")
     cut = F.floor(n / 4).cast("int")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), n - cut), F.substring(F.col("_next_text"), F.lit(1), cut))
