@@ -167,8 +167,8 @@ def early_stop(
     """(run, stop_epoch): the epoch at which training would stop; null if it never does.
 
     A score counts only if it beats the last accepted one by more than ``min_delta``.  Accepted
-    scores are always strict records, so windows first reduce each run to its records; only those
-    are walked in order, as a stream with two numbers of state.  The stop is ``patience`` scored
+    scores are always strict records, so windows first reduce each run to its records.  Without a margin
+    those are the accepted scores; with one they are walked in order, as a stream with two numbers of state.  The stop is ``patience`` scored
     epochs after the last accepted score whose successor comes later than that.
     """
     sign = 1.0 if mode == "min" else -1.0
@@ -195,7 +195,8 @@ def early_stop(
             yield pdf.loc[keep, [run, "_pos"]]
 
     kind = dict(epochs.dtypes)[run]
-    taken = (
+    # without a margin every record is accepted, and nothing has to be walked
+    taken = records.select(run, "_pos") if min_delta == 0 else (
         records.repartition(run)
         .sortWithinPartitions(run, "_pos")
         .mapInPandas(accepted, f"{run} {kind}, _pos bigint")

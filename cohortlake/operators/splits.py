@@ -93,8 +93,9 @@ def stratified_split(
     """(subject, label, split) with class quotas by largest remainder.
 
     ``ceil((val + test) * n)`` subjects leave train, ``ceil(test / (val + test))`` of those
-    form the test part.  With fewer than two classes, or a class of one, classes are ignored.
+    form the test part; with no held-out share all are in train.  With fewer than two classes, or a class of one, classes are ignored.
     """
+    check_ratios(train, val, test)
     held = val + test
     labelled = _subject_labels(df, subject, label, []).withColumns({"_all": F.lit(0), "_cls": _class_key(label)})
     counts = labelled.groupBy("_all", "_cls").agg(F.count("*").alias("_c"))
@@ -104,9 +105,9 @@ def stratified_split(
     classes = counts.select("_all", "_cls", "_c", F.when(stratify, F.col("_cls")).otherwise("").alias("_label"))
     strata = classes.groupBy("_all", "_label").agg(F.sum("_c").alias("_c"))
     sized = strata.withColumn("_n", F.sum("_c").over(whole)).withColumn("_held", F.ceil(F.lit(held) * F.col("_n")))
-    sized = sized.withColumn("_test", F.ceil(F.lit(test / held) * F.col("_held")))
+    sized = sized.withColumn("_test", F.ceil(F.lit(test / held if held else 0.0) * F.col("_held")))
     sized = _allocate(sized, "_held", F.col("_c") / F.col("_n"), "_held")
-    sized = _allocate(sized, "_test", F.col("_q__held") / F.col("_held"), "_test")
+    sized = _allocate(sized, "_test", F.coalesce(F.try_divide(F.col("_q__held"), F.col("_held")), F.lit(0.0)), "_test")
     quotas = sized.select(F.col("_label").alias("_stratum"), "_q__held", "_q__test")
     members = labelled.join(classes.select("_cls", F.col("_label").alias("_stratum")), "_cls")
     ranked = hash_rank(members.select(subject, label, "_stratum"), ["_stratum"], subject, seed)

@@ -30,12 +30,12 @@ def gaussian_smooth(slabs: DataFrame, sigma: float | tuple[str, str, str]) -> Da
 
     A block gets as many neighbouring slices as the kernel of its scan is long, so no tail is lost.
     """
-    names = list(sigma) if isinstance(sigma, tuple) else []
-    tail = F.floor(F.greatest(F.col(names[2]) * 4.0, F.lit(0.5)) + 0.5).cast("int") if names else None
+    names = list(dict.fromkeys(sigma)) if isinstance(sigma, tuple) else []
+    tail = F.floor(F.greatest(F.col(sigma[2]) * 4.0, F.lit(0.5)) + 0.5).cast("int") if names else None
     halo = tail if names else len(gaussian_weights(sigma)) // 2
 
     def kernel(cube, first, wanted, info):
-        sx, sy, sz = (info[c] for c in names) if names else (sigma,) * 3
+        sx, sy, sz = (info[c] for c in sigma) if names else (sigma,) * 3
         out = _smooth_axis(cube, gaussian_weights(sz), 0)
         for s, axis in ((sx, 1), (sy, 2)):
             out = _smooth_axis(out, gaussian_weights(s), axis)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cohortlake.session import file_exists
 from cohortlake.operators.cohort import OPTIONAL_PHENOTYPE, REQUIRED_PHENOTYPE, check_phenotype_columns
 
 INDEX_SCHEMA = (
@@ -63,8 +64,15 @@ def read_run_documents(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema("run string, doc string").parquet(path)
 
 
-def read_fold_predictions(spark: SparkSession, root: str) -> DataFrame:
-    """``<root>/fold_<i>/predictions.csv`` files in one table with ``Fold``; absent folds are simply not there."""
+def read_fold_predictions(spark: SparkSession, root: str, folds: int | None = None) -> DataFrame:
+    """``<root>/fold_<i>/predictions.csv`` files in one table with ``Fold``.
+
+    With the number of ``folds`` the listing is checked: missing folds are an error that names them.
+    """
+    if folds is not None:
+        missing = [i for i in range(folds) if not file_exists(spark, f"{root.rstrip('/')}/fold_{i}/predictions.csv")]
+        if missing:
+            raise ValueError(f"no predictions for folds {', '.join(map(str, missing))}")
     df = spark.read.csv(f"{root}/fold_*/predictions.csv", header=True, schema=PREDICTION_SCHEMA)
     return df.withColumn("Fold", F.regexp_extract(F.input_file_name(), r"fold_(\d+)/", 1).cast("int"))
 

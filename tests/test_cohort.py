@@ -251,3 +251,21 @@ def test_unlabelled_subjects_are_kept(spark):
     for folds in (splits.round_robin_kfold(df, "subject", "label", 5), splits.stratified_kfold(df, "subject", "label", 5)):
         assert folds.count() == 60 and folds.where("label IS NULL").count() == 12
     assert splits.stratified_split(df, "subject", "label").count() == 60
+
+
+def test_split_without_held_out_part(spark):
+    from cohortlake.operators import splits
+
+    df = spark.createDataFrame([(i, "ab"[i % 2]) for i in range(20)] + [(99, None)], "s long, y string")
+    assert {r.split for r in splits.stratified_split(df, "s", "y", 1.0, 0.0, 0.0).collect()} == {"train"}
+    with pytest.raises(ValueError):
+        splits.stratified_split(df, "s", "y", 0.5, 0.1, 0.1)
+
+
+def test_running_keeps_null_groups(spark):
+    from cohortlake.operators import runs
+
+    rows = [(1, None, 0.5, "COMPLETE"), (2, None, 0.7, "COMPLETE"), (1, "a", 0.1, "COMPLETE")]
+    df = spark.createDataFrame(rows, "trial_number long, study string, value double, state string")
+    got = {(r.study, r.trial_number): r.best_so_far for r in runs.running_best(df, ["study"]).collect()}
+    assert got == {(None, 1): 0.5, (None, 2): 0.7, ("a", 1): 0.1}

@@ -319,3 +319,30 @@ def test_fixed_text_matches_exact_rounding(spark):
     df = spark.createDataFrame([(v,) for v in values], "v double")
     got = [tuple(r) for r in df.select(fixed_text(F.col("v"), 4), fixed_text(F.col("v"), 0)).collect()]
     assert got == [(None, None) if v is None else (f"{v:.4f}", f"{v:.0f}") for v in values]
+
+
+def test_scan_without_its_first_slice_is_reported(spark):
+    from cohortlake.operators.volumes import stats
+
+    rows = [("whole", 0, z, 2, 2, 6, [float(z + i) for i in range(4)]) for z in range(6)]
+    rows += [("beheaded", 0, z, 2, 2, 6, [float(z + i) for i in range(4)]) for z in range(1, 6)]
+    slabs = spark.createDataFrame(rows, "scan_id string, c int, z int, nx int, ny int, nz int, px array<double>")
+    spacing = spark.createDataFrame([(s, [1.0, 1.0, 1.0]) for s in ("whole", "beheaded")], "scan_id string, spacing array<double>")
+    assert {r.scan_id for r in stats.quality_report(slabs, spacing).collect()} == {"whole", "beheaded"}
+    assert {r.scan_id for r in stats.shape_text(slabs).collect()} == {"whole", "beheaded"}
+    one = [F.lit(1)] * 3
+    padded = geometry.place(slabs, one, [F.col(n) + 2 for n in ("nx", "ny", "nz")])
+    assert {r.scan_id: r["count"] for r in padded.groupBy("scan_id").count().collect()} == {"whole": 8, "beheaded": 7}
+
+
+def test_long_kernels_reach_over_block_borders(spark):
+    n = 100
+    rows = [("a", 0, z, 1, 1, n, [1.0 if z == 20 else 0.0], 4.0) for z in range(n)]
+    slabs = spark.createDataFrame(rows, "scan_id string, c int, z int, nx int, ny int, nz int, px array<double>, s double")
+    got = {r.z: r.px[0] for r in warp.gaussian_smooth(slabs, ("s", "s", "s")).collect()}
+    want = np.array(warp.gaussian_weights(4.0))
+    centre = warp.gaussian_weights(4.0)[len(want) // 2]
+    for z in range(n):
+        k = z - 20 + len(want) // 2
+        expected = want[k] * centre * centre if 0 <= k < len(want) else 0.0
+        assert abs(got[z] - expected) < 1e-9, z
