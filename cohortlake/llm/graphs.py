@@ -83,10 +83,12 @@ def _dealt(vectors: DataFrame, at, keep: int) -> DataFrame:
 
 
 def robust_pruned(x: np.ndarray, degree: int = DEGREE, alpha: float = ALPHA) -> np.ndarray:
-    """Out-edges of unit vectors, -1 where there are fewer than ``degree``.
+    """Edges of unit vectors, one row each, filled up with -1.
 
     Candidates of a vector are its nearest ones.  Robust pruning takes the nearest, drops all that are
-    ``alpha`` times closer to it than to the vector, and goes on, so that edges point in different directions.
+    ``alpha`` times closer to it than to the vector, and goes on, so that edges point in different directions;
+    at most ``degree`` are kept.  Then every edge is added the other way round too: in a tight group
+    pruning leaves most members without an edge that leads to them.
     """
     n = len(x)
     edges = np.full((n, degree), -1, dtype=np.int32)
@@ -112,7 +114,14 @@ def robust_pruned(x: np.ndarray, degree: int = DEGREE, alpha: float = ALPHA) ->
             drop = alpha * between[rows, i] <= far
             drop[:, : i + 1] = False
             alive &= ~(drop & use[:, None])
-    return edges
+    a, k = np.nonzero(edges >= 0)
+    b = edges[a, k]
+    pairs = np.unique(np.concatenate([a * n + b, b * n + a]))
+    a, b = np.divmod(pairs, n)
+    places = np.arange(len(a)) - np.searchsorted(a, a)
+    out = np.full((n, int(places.max()) + 1), -1, dtype=np.int32)
+    out[a, places] = b
+    return out
 
 
 def medoids(x: np.ndarray, count: int = ENTRIES) -> np.ndarray:

@@ -50,17 +50,13 @@ def _grams(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray,
         yield at, (hashed >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)
 
 
-def _lowered(column: pa.Array) -> pa.Array:
-    return pc.utf8_lower(column)
-
-
 def _bags(docs: DataFrame, label: str) -> DataFrame:
     """(label, buckets, counts) per document: what training needs, of bounded size whatever the text."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, counts = [], []
-            for low, high, data, offsets in chunks(_lowered(batch["_text"])):
+            for low, high, data, offsets in chunks(pc.utf8_lower(batch["_text"])):
                 for i in range(high - low):
                     own = data[offsets[i] : offsets[i + 1]]
                     found = [b for _, b in _grams(own, np.array([0, len(own)]))]
@@ -156,7 +152,7 @@ def identified(docs: DataFrame, model: Model) -> DataFrame:
                 continue
             n, k = batch.num_rows, len(model.languages)
             total, seen = np.zeros((n, k)), np.zeros(n)
-            for low, high, data, offsets in chunks(_lowered(batch["_text"])):
+            for low, high, data, offsets in chunks(pc.utf8_lower(batch["_text"])):
                 if not len(data):
                     continue
                 for at, bucket in _grams(data, offsets):

@@ -213,7 +213,7 @@ def sorted_suffixes(group: np.ndarray, body: np.ndarray, size: np.ndarray) -> tu
 
 
 def repeated_starts(
-    group: np.ndarray, stretch: list[bytes], first: np.ndarray, starts: np.ndarray, anchor: np.ndarray
+    group: np.ndarray, stretch: list[bytes], starts: np.ndarray, anchor: np.ndarray
 ) -> tuple[np.ndarray, np.ndarray]:
     """Per occurrence the first and last start (from its first) of strings that another of its group holds; -1 if none.
 
@@ -225,7 +225,6 @@ def repeated_starts(
     data = np.frombuffer(b"".join(stretch), dtype=np.uint8)
     size = np.array([len(s) for s in stretch], dtype=np.int64)
     at = np.concatenate([[0], np.cumsum(size)[:-1]]).astype(np.int64) if n else np.zeros(0, np.int64)
-    del first
     ahead = np.minimum(size - anchor, LENGTH)
     column = np.arange(LENGTH)
     body = data[np.minimum(at[:, None] + anchor[:, None] + column, len(data) - 1)] * (column < ahead[:, None])
@@ -259,7 +258,7 @@ def _compared(rows: DataFrame) -> DataFrame:
 
     def solve(g, k, place, alone, stretch) -> pa.RecordBatch:
         first, starts, anchor = place >> 16, (place >> 8) & 255, place & 255
-        low, high = repeated_starts(g, stretch, first, starts, anchor)
+        low, high = repeated_starts(g, stretch, starts, anchor)
         hit = alone & (low >= 0)
         lo = first[hit] + low[hit]
         return pa.RecordBatch.from_arrays(
