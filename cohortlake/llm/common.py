@@ -13,6 +13,8 @@ from cohortlake.session import fresh_path, materialised
 
 #: Rows that one numbering bucket should hold; the number of buckets follows the table.
 BUCKET_ROWS = 20_000
+#: Edges that one task shrinks to stars; the number of tasks follows the graph.
+TASK_EDGES = 500_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -103,9 +105,10 @@ def _forest(pairs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of the edges (u long, v long): one row (node, label), label the smallest node.
 
-    Every task first shrinks its own edges to stars.  Then large-star and small-star steps alternate until
-    all that is left are stars; each step is a grouped minimum and a join, and its result is written to
-    the shared folder.  Nodes without a proper edge are absent from the result.
+    Every task first shrinks its ``TASK_EDGES`` edges to stars.  As long as several tasks hold parts of the
+    graph, large-star and small-star steps alternate until all that is left are stars; each step is a
+    grouped minimum and a join, and its result is written to the shared folder.  Nodes without a proper
+    edge are absent from the result.
     """
     spark = edges.sparkSession
 
@@ -131,11 +134,20 @@ def components(edges: DataFrame) -> DataFrame:
     oriented = edges.where("u is not null and v is not null and u <> v").select(
         F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")
     )
-    now = stored(oriented.mapInPandas(_forest, "u long, v long").distinct(), "edges")
-    while unfinished(now):
-        then = stored(star(star(now, True), False).mapInPandas(_forest, "u long, v long").distinct(), "edges")
+
+    def shrunk(df: DataFrame) -> tuple[DataFrame, int]:
+        """Stars of what each task holds, and how many tasks there were."""
+        tasks = buckets_for(df.count(), TASK_EDGES)
+        return stored(df.coalesce(tasks).mapInPandas(_forest, "u long, v long"), "edges"), min(tasks, df.rdd.getNumPartitions())
+
+    given = stored(oriented, "edges")
+    now, tasks = shrunk(given)
+    released(given)
+    while tasks > 1 and unfinished(now):
+        then = stored(star(star(now, True), False).distinct(), "edges")
         released(now)
-        now = then
+        now, tasks = shrunk(then)
+        released(then)
     roots = now.select(F.col("v").alias("u"), "v").distinct()
     return now.unionByName(roots).select(F.col("u").alias("node"), F.col("v").alias("label"))
 

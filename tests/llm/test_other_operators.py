@@ -8,7 +8,7 @@ import pytest
 from texts import words
 from pyspark.sql import functions as F
 
-from cohortlake.llm import graphs, language, registry, warc
+from cohortlake.llm import common, graphs, language, registry, warc
 from cohortlake.llm.common import components, numbered
 from oracle import compare, duck
 
@@ -37,7 +37,9 @@ def test_numbered_is_gapless(spark):
     assert sum(map(len, by.values())) == 502 and all(sorted(v) == list(range(len(v))) for v in by.values())
 
 
-def test_components(spark):
+@pytest.mark.parametrize("task", [500_000, 5])
+def test_components(spark, monkeypatch, task):
+    monkeypatch.setattr(common, "TASK_EDGES", task)
     edges = [(i, i + 1) for i in range(100)] + [(200, 150), (150, 190), (190, 200), (5, 5), (None, 3)] + [(300, 300 + i) for i in range(50)]
     out = dict(components(spark.createDataFrame(edges, "u long, v long").repartition(9)).collect())
     want = {i: 0 for i in range(101)} | {150: 150, 190: 150, 200: 150} | {300 + i: 300 for i in range(50)}
