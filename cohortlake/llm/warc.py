@@ -1,17 +1,20 @@
-"""WARC archives: written by Spark, read back through an index of byte ranges."""
+"""WARC archives: written by Spark tasks, read back through an index of byte ranges."""
 
 from __future__ import annotations
 
+import gzip
 import hashlib
+import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortlake.llm.common import fresh_path, stored, table
+from cohortlake.llm.common import fresh_path, table
 
-#: End of a record; Spark's text writer puts it behind every row.
+#: End of a record.
 END = "\r\n\r\n"
 #: Payloads below this many bytes are never replaced by a revisit.
 MIN_REVISIT = 100
@@ -75,46 +78,67 @@ def _header() -> Column:
     )
 
 
-def write_archives(pages: DataFrame, ident: str, url: str, payload: Column, path: str, file_bytes: int = 64 << 20) -> DataFrame:
+def _opened(path: str):
+    """Arrow's file system for an address, and the path in it."""
+    from pyarrow import fs
+
+    if "://" not in path:
+        path = "file://" + path.removeprefix("file:")
+    return fs.FileSystem.from_uri(path)
+
+
+INDEX = "file string, offset long, length long, url string, payload_digest string, record_type string, page_id long"
+
+
+def write_archives(pages: DataFrame, ident: str, url: str, payload: Column, path: str) -> DataFrame:
     """Write one record per page under ``path``/archives and the index under ``path``/index; return the index.
 
-    Payloads are shuffled once, by a hash of id and digest, to as many tasks as ``file_bytes`` asks for.
-    Each task writes one file in the order of the index, so offsets are running sums of record lengths,
-    which the narrow rows of :func:`decided` give.  Spark's text writer commits the files, and a lost
-    executor's part is written again.  Index columns: file, offset, length, url, payload_digest,
-    record_type, page_id.
+    Payloads are shuffled once, to meet the decision that their page is a revisit.  Every task then writes an
+    archive of its own, each record a gzip member, and returns what it wrote: file, offset, length, url,
+    payload_digest, record_type, page_id.  Names are unique to an attempt, and only rows of attempts that
+    Spark commits reach the index, so a lost or repeated attempt leaves at most a file nobody refers to.
     """
     spark = pages.sparkSession
     key = F.concat_ws("|", F.coalesce(F.col("_id").cast("string"), F.lit("")), "payload_digest").alias("_key")
-    stored_bytes = F.when(F.col("record_type") == "revisit", F.lit(0)).otherwise(F.col("payload_bytes"))
-    length = (F.octet_length(_header()) + stored_bytes + len(END)).cast("long")
-    narrow = stored(decided(pages, ident, url, payload).select("*", key, length.alias("length")), "decisions")
-    total = narrow.agg(F.sum("length")).first()[0] or 0
-    files = max(1, -(-total // file_bytes), min(spark.sparkContext.defaultParallelism, total >> 20))
-
+    again = decided(pages, ident, url, payload).where("record_type = 'revisit'").select(key.alias("_again"), "refers_to").distinct()
     body = F.coalesce(payload, F.lit(""))
     full = pages.select(
         F.col(ident).cast("long").alias("_id"), F.col(url).cast("string").alias("url"), body.alias("_payload"),
         F.octet_length(body).cast("long").alias("payload_bytes"), F.sha2(body.cast("binary"), 256).alias("payload_digest"),
     ).withColumn("_key", key)
-    again = narrow.where("record_type = 'revisit'").select(F.col("_key").alias("_again"), "refers_to").distinct()
-    # both sides are dealt alike, so the join moves nothing more and its partitions are the files
-    met = full.repartition(files, "_key").join(again.repartition(files, "_again"), F.col("_key") == F.col("_again"), "left")
+    met = full.join(again, F.col("_key") == F.col("_again"), "left")
     met = met.withColumn("record_type", F.when(F.col("refers_to").isNull(), "response").otherwise("revisit"))
     block = F.when(F.col("record_type") == "revisit", F.lit("")).otherwise(F.col("_payload"))
-    records = met.select("_key", "url", F.concat(_header(), block).alias("value"))
-    records.sortWithinPartitions("_key", "url").select("value").write.option("lineSep", END).text(f"{path}/archives")
+    records = met.select("_id", "url", "payload_digest", "record_type", F.concat(_header(), block, F.lit(END)).alias("_record"))
+    folder = f"{path}/archives"
 
-    placed = narrow.repartition(files, "_key").withColumn("file", F.spark_partition_id())
-    before = Window.partitionBy("file").orderBy("_key", "url").rowsBetween(Window.unboundedPreceding, -1)
-    index = placed.withColumn("offset", F.coalesce(F.sum("length").over(before), F.lit(0)).cast("long"))
-    index = index.select("file", "offset", "length", "url", "payload_digest", "record_type", F.col("_id").alias("page_id"))
-    index.write.parquet(f"{path}/index")
-    return spark.read.parquet(f"{path}/index")
-
-
-def _parse(raw: bytes) -> tuple:
-    head, _, rest = raw.partition(b"\r\n\r\n")
+    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        out, at, name = None, 0, f"{folder}/part-{uuid.uuid4().hex}.warc.gz"
+        for pdf in batches:
+            if out is None and len(pdf):
+                system, inner = _opened(name)
+                system.create_dir(inner.rsplit("/", 1)[0], recursive=True)
+                out = system.open_output_stream(inner, compression=None)
+            lengths = []
+            for record in pdf["_record"]:
+                member = gzip.compress(record.encode(), 6, mtime=0)
+                out.write(member)
+                lengths.append(len(member))
+            ends = at + np.cumsum(lengths, dtype=np.int64)
+            yield pd.DataFrame({
+                "file": name, "offset": ends - lengths, "length": lengths, "url": pdf["url"], "payload_digest": pdf["payload_digest"],
+                "record_type": pdf["record_type"], "page_id": pdf["_id"].astype("Int64"),
+            })
+            at = int(ends[-1]) if lengths else at
+        if out is not None:
+            out.close()
+
+    records.mapInPandas(write, INDEX).write.parquet(f"{path}/index")
+    return spark.read.schema(INDEX).parquet(f"{path}/index")
+
+
+def _parse(member: bytes) -> tuple:
+    head, _, rest = gzip.decompress(member).partition(b"\r\n\r\n")
     fields = dict(x.split(": ", 1) for x in head.decode().split("\r\n")[1:])
     block = rest[: int(fields["Content-Length"])]
     digest = fields["WARC-Payload-Digest"].removeprefix(f"{SHA256}:")
@@ -132,46 +156,38 @@ READ_SCHEMA = (
 )
 
 
-def read_records(selected: DataFrame, path: str) -> DataFrame:
+def read_records(selected: DataFrame) -> DataFrame:
     """Records of the selected index rows, with payloads (empty for revisits) checked against their digests.
 
     The rows are grouped by file and position; neighbours are merged to one byte-range request, so only
     wanted stretches are read.  ``selected`` may be any part of the index.  Requests go through Arrow's
     file systems, which read ``file:``, HDFS and object-store addresses.
     """
-    spark = selected.sparkSession
-    places = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(f"{path}/archives").select("path")
-    places = places.select(F.regexp_extract("path", "part-([0-9]+)", 1).cast("int").alias("_file"), "path")
     stretch = F.floor(F.col("offset") / F.lit(READ))
-    near = (
-        selected.select("file", "offset", "length").join(places, F.col("file") == F.col("_file"))
-        .repartition("path", stretch).sortWithinPartitions("path", "offset").select("path", "offset", "length")
-    )
+    near = selected.select("file", "offset", "length").repartition("file", stretch).sortWithinPartitions("file", "offset")
 
     def fetch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from pyarrow import fs
-
         columns = [c.split()[0] for c in READ_SCHEMA.split(", ")]
         opened: dict[str, object] = {}
 
-        def run(path: str, rows: list[tuple[int, int]]) -> pd.DataFrame:
-            if path not in opened:
+        def run(name: str, rows: list[tuple[int, int]]) -> pd.DataFrame:
+            if name not in opened:
                 opened.clear()
-                system, inner = fs.FileSystem.from_uri(path if "://" in path else path.replace("file:/", "file:///", 1))
-                opened[path] = system.open_input_file(inner)
+                system, inner = _opened(name)
+                opened[name] = system.open_input_file(inner)
             first = rows[0][0]
-            raw = opened[path].read_at(rows[-1][0] + rows[-1][1] - first, first)
+            raw = opened[name].read_at(rows[-1][0] + rows[-1][1] - first, first)
             out = pd.DataFrame([_parse(raw[o - first : o - first + n]) for o, n in rows], columns=columns)
             return out.astype({"page_id": "Int64", "refers_to": "Int64"})
 
         at, rows = None, []
         for pdf in batches:
-            for path, offset, length in zip(pdf["path"], pdf["offset"].tolist(), pdf["length"].tolist(), strict=True):
-                far = rows and (path != at or offset > sum(rows[-1]) + GAP or offset + length - rows[0][0] > READ)
+            for name, offset, length in zip(pdf["file"], pdf["offset"].tolist(), pdf["length"].tolist(), strict=True):
+                far = rows and (name != at or offset > sum(rows[-1]) + GAP or offset + length - rows[0][0] > READ)
                 if far:
                     yield run(at, rows)
                     rows = []
-                at = path
+                at = name
                 rows.append((offset, length))
         if rows:
             yield run(at, rows)
@@ -184,7 +200,7 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
     path = fresh_path(spark, "warc")
     index = write_archives(pages, "page_id", "url", F.col("html"), path)
-    return read_records(index, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    return read_records(index).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 QUERIES = {"op4_warc": op4_warc}
