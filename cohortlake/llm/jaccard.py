@@ -326,9 +326,12 @@ def linked_nodes(prefixes: DataFrame, nodes: DataFrame, sets_of, spark: SparkSes
     spark.conf.set("spark.sql.unionOutputPartitioning", "false")
     dealt = prefixes.repartition("token")
     # the aggregate asks for all columns, so that it and the join share the one exchange
-    shared = dealt.groupBy("token").agg(F.min("node").alias("_lo"), F.max("node").alias("_hi"), F.max("n").alias("_n"), F.max("pos").alias("_p"))
-    shared = shared.where("_lo < _hi and _n >= 0 and _p >= 0").select("token")
-    crowd = stored(dealt.join(shared, "token").dropDuplicates(["token", "node"]), "crowds")
+    shared = dealt.groupBy("token").agg(
+        F.min("node").alias("_lo"), F.max("node").alias("_hi"), F.max("n").alias("_n"), F.max("pos").alias("_p"), F.countDistinct("node").alias("_c")
+    ).where("_c > 1 and _n >= 0 and _p >= 0")
+    # two nodes that meet by themselves, as most that meet by chance do, are one pair and need no pivot
+    couples = stored(shared.where("_c = 2").select(F.col("_lo").alias("a"), F.col("_hi").alias("b")).distinct(), "couples")
+    crowd = stored(dealt.join(shared.where("_c > 2").select("token"), "token").dropDuplicates(["token", "node"]), "crowds")
     tidy(spark)
     verify = _Verifier(nodes, sets_of)
     known: list[DataFrame] = []
@@ -349,6 +352,8 @@ def linked_nodes(prefixes: DataFrame, nodes: DataFrame, sets_of, spark: SparkSes
         pairs = rows.where(_close_in_size("n", "_pn")).select("a", "b").distinct()
         if known:
             pairs = pairs.join(all_known().select("a", "b"), ["a", "b"], "left_anti")
+        else:
+            pairs = pairs.unionByName(couples).distinct()
         known.append(verify(pairs, True))
         near = rows.join(all_known(), ["a", "b"], "left").withColumn(
             "_d", 1 - F.coalesce("jaccard", F.least("n", "_pn") / F.greatest("n", "_pn"))
