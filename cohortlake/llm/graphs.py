@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -15,12 +16,15 @@ from cohortlake.llm.common import components, released, stored, table
 COSINE = 0.9
 #: Vectors of a shard, about; vectors that the centres are fitted on, at most; centres, at most.
 SHARD, FIT, CENTRES = 1500, 20_000, 4096
-#: Clusters that a vector belongs to at first; the audit may ask for more.
-OVERLAP = 2
+#: Clusters that a vector belongs to at first; the audit may ask for more, up to WIDEST before all pairs are compared.
+OVERLAP, WIDEST = 2, 16
 #: Out-degree and slack of the pruned graph, beam of the search, cosine up to which a search goes on round a hit.
 DEGREE, ALPHA, BEAM, MARGIN, ENTRIES = 24, 1.2, 32, 0.08, 8
-#: Audited queries, and the recall below which the search is widened.
-AUDIT, RECALL = 200, 0.97
+#: Audited are vectors with an id that these divide, the first alone at first; the recall below which the search is widened,
+#: and the true links that an audit needs for its recall to count.
+EVERY, RECALL, SEEN = (50, 10, 1), 0.97, 100
+#: Vectors that are compared with all others in one pass (sent to all tasks), and rows and pairs that are held at a time.
+BLOCK, ROWS, PAIRS = 4096, 2048, 200_000
 
 
 def _unit(vectors: np.ndarray) -> np.ndarray:
@@ -33,7 +37,9 @@ def _matrix(column: pa.Array) -> np.ndarray:
 
 
 def distinct_vectors(rows: DataFrame, ident: str, vector: str) -> DataFrame:
-    """(node, vec, copies): one row for each different direction-carrying vector, node the smallest id that holds it.
+    """(node, vec, copies, tier): one row for each different direction-carrying vector, node the smallest id that holds it.
+
+    ``tier`` is the first place in ``EVERY`` whose number divides one of the vector's ids.
 
     Vectors that are null, empty or zero, or hold a null or a non-finite component, are left out, as are rows
     with a null id.  The rows of a vector that fills a third of the table are combined in the map tasks.
@@ -42,7 +48,10 @@ def distinct_vectors(rows: DataFrame, ident: str, vector: str) -> DataFrame:
     whole = F.coalesce(F.size(v) > 0, F.lit(False)) & ~F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     sound = rows.where(whole).where(F.exists(v, lambda x: x != 0))
     same = F.transform(v, lambda x: x.cast("double") + 0.0)
-    return sound.where(F.col(ident).isNotNull()).groupBy(same.alias("vec")).agg(F.min(ident).alias("node"), F.count("*").alias("copies"))
+    tier = F.coalesce(*[F.when(F.col(ident) % every == 0, F.lit(i)) for i, every in enumerate(EVERY)])
+    return sound.where(F.col(ident).isNotNull()).groupBy(same.alias("vec")).agg(
+        F.min(ident).alias("node"), F.count("*").alias("copies"), F.min(tier).alias("tier")
+    )
 
 
 def centres(vectors: DataFrame, count: int, rounds: int = 6, sample: int = FIT) -> np.ndarray:
@@ -214,14 +223,39 @@ def _build(rows: pa.Table) -> pa.Table:
     return pa.table({"node": pa.array(node), "edges": pa.array(lists, pa.list_(pa.int64()))})
 
 
+def _label(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """For each of ``n`` places the smallest that the edges (a, b), given both ways, lead to."""
+    label = np.arange(n)
+    while len(a):
+        low = label.copy()
+        np.minimum.at(low, a, label[b])
+        low = low[low]
+        if (low == label).all():
+            break
+        label = low
+    return label
+
+
+def _shared(mine: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """How many clusters the vectors at places a and b share."""
+    out = np.zeros(len(a), dtype=np.int64)
+    for low in range(0, len(a), PAIRS):
+        own = slice(low, low + PAIRS)
+        out[own] = (mine[a[own]][:, :, None] == mine[b[own]][:, None, :]).any(axis=2).sum(axis=1)
+    return out
+
+
 def _search(rows: pa.Table) -> pa.Table:
-    """Links inside a part of a cluster, or between two parts of it: per node their number, and a star of edges.
+    """Links inside a part of a cluster, or between two parts of it.
 
-    Vectors may share several clusters: a link counts in the first cluster that they share.
+    Vectors may share several clusters.  A link whose ends share this one only is counted here: a row
+    (node, near, links) holds how many there are, and how many copies they lead to.  Any other is a row
+    (node, other, copies, others), the smaller node first, as other clusters may find it too.  The rest of a row is
+    null; ``star`` is the smallest node that the links of the task lead to.
     """
     rows = rows.sort_by("node").combine_chunks()
     node, copies, part = (rows[c].to_numpy() for c in ("node", "copies", "part"))
-    cluster, i, j = (rows[c][0].as_py() for c in ("cluster", "i", "j"))
+    i, j = (rows[c][0].as_py() for c in ("i", "j"))
     x = _unit(_matrix(rows["vec"].combine_chunks()))
     mine = np.array(rows["clusters"].to_pylist())
     edges = _inside(rows["edges"].combine_chunks(), node)
@@ -239,25 +273,27 @@ def _search(rows: pa.Table) -> pa.Table:
             hits[np.ix_(one, two)] = found
             hits[np.ix_(two, one)] = found.T
     a, b = np.nonzero(hits)
-    common = (mine[a][:, :, None] == mine[b][:, None, :]).any(axis=2)
-    first = mine[a][np.arange(len(a)), common.argmax(axis=1)] == cluster if len(a) else np.zeros(0, bool)
-    links = np.bincount(a[first], copies[b[first]], minlength=len(node)).astype(np.int64)
-    label = np.arange(len(node))
-    while len(a):  # smallest place reachable inside the task
-        low = label.copy()
-        np.minimum.at(low, a, label[b])
-        low = low[low]
-        if (low == label).all():
-            break
-        label = low
-    some = np.flatnonzero((links > 0) | (label != np.arange(len(node))))
-    return pa.table({"node": pa.array(node[some]), "links": pa.array(links[some]), "star": pa.array(node[label[some]])})
+    alone = _shared(mine, a, b) == 1
+    near = np.bincount(a[alone], minlength=len(node)).astype(np.int64)
+    links = np.bincount(a[alone], copies[b[alone]], minlength=len(node)).astype(np.int64)
+    label = _label(len(node), a, b)
+    some = np.flatnonzero((near > 0) | (label != np.arange(len(node))))
+    twice = ~alone & (a < b)
+    c, d = a[twice], b[twice]
+    none = lambda n: pa.nulls(n, pa.int64())
+    counts = [pa.array(v[some]) for v in (node, near, links, node[label])] + [none(len(some))] * 3
+    pairs = [pa.array(node[c]), none(len(c)), none(len(c)), none(len(c)), *(pa.array(v) for v in (node[d], copies[c], copies[d]))]
+    names = ["node", "near", "links", "star", "other", "copies", "others"]
+    return pa.concat_tables([pa.table(counts, names=names), pa.table(pairs, names=names)])
+
+
+FOUND = "node long, near long, links long, star long, other long, copies long, others long"
 
 
 def _searched(vectors: DataFrame, total: int, overlap: int) -> DataFrame:
-    """(node, links, star) of every node and shard in which it has links."""
+    """(node, near, links, star, other, copies, others): what :func:`_search` finds in all shards."""
     spark = vectors.sparkSession
-    count = min(CENTRES, max(1, -(-total * overlap // SHARD)))
+    count = _clusters(total, overlap)
     at = spark.sparkContext.broadcast(centres(vectors, count))  # at most CENTRES vectors
     dealt = stored(_dealt(vectors, at, overlap), "dealt")
     sizes = dealt.groupBy(F.col("cluster").alias("_c")).agg(F.count("*").alias("_n"))
@@ -270,29 +306,101 @@ def _searched(vectors: DataFrame, total: int, overlap: int) -> DataFrame:
     pairs = cut.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)))
     pairs = pairs.withColumns({"i": F.least("part", "_other"), "j": F.greatest("part", "_other")})
     met = pairs.join(union, F.col("node") == F.col("_node")).select("cluster", "i", "j", "part", "node", "vec", "copies", "clusters", "edges")
-    found = stored(met.groupBy("cluster", "i", "j").applyInArrow(_search, "node long, links long, star long"), "found")
+    found = stored(met.groupBy("cluster", "i", "j").applyInArrow(_search, FOUND), "found")
     released(dealt)
     return found
 
 
-def audit_recall(vectors: DataFrame, counted: DataFrame, queries: int = AUDIT) -> float:
-    """Part of the true links of ``queries`` vectors (the first by a hash) that were found, against all vectors."""
-    some = vectors.orderBy(F.xxhash64("node", F.lit(1)), "node").limit(queries).collect()
-    if not some:
-        return 1.0
-    q, names = _unit(np.array([r["vec"] for r in some])), np.array([r["node"] for r in some])
+def _clusters(total: int, overlap: int) -> int:
+    return min(CENTRES, max(1, -(-total * overlap // SHARD)))
+
+
+def _linked(found: DataFrame) -> DataFrame:
+    """(node, near, links): found links of every node, to how many vectors and to how many of their copies; each link once.
+
+    Pairs that several clusters found are made one by their two ends, so a node of many links is not one task's.
+    """
+    pairs = found.where("other is not null").groupBy("node", "other").agg(F.first("copies").alias("copies"), F.first("others").alias("others"))
+    ends = pairs.select(F.explode(F.array(
+        F.struct("node", F.lit(1).cast("long").alias("near"), F.col("others").alias("links")),
+        F.struct(F.col("other").alias("node"), F.lit(1).cast("long").alias("near"), F.col("copies").alias("links")),
+    )).alias("e")).select("e.*")
+    own = found.where("near is not null").select("node", "near", "links")
+    return own.unionByName(ends).groupBy("node").agg(F.sum("near").alias("near"), F.sum("links").alias("links"))
+
+
+def _stars(found: DataFrame) -> DataFrame:
+    return found.where("star is not null").select(F.col("node").alias("u"), F.col("star").alias("v"))
 
-    def brute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            hit = (q @ _unit(_matrix(batch["vec"])).T) >= COSINE
-            hit &= names[:, None] != batch["node"].to_numpy()[None, :]
-            yield pa.RecordBatch.from_arrays([pa.array(names), pa.array((hit * batch["copies"].to_numpy()).sum(axis=1))], names=["node", "links"])
 
-    true = vectors.mapInArrow(brute, "node long, links long").agg(F.sum("links")).first()[0] or 0
-    found = counted.where(F.col("node").isin(names.tolist())).agg(F.sum("links")).first()[0] or 0
-    return found / true if true else 1.0
+def _blocks(queries: DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Nodes and unit vectors of all queries, at most about ``BLOCK`` at a time on the driver."""
+    count = -(-queries.count() // BLOCK)
+    cut = queries.select("node", "vec", F.pmod(F.xxhash64("node", F.lit(2)), F.lit(max(count, 1))).alias("_block"))
+    for block in range(count):
+        rows = cut.where(F.col("_block") == block).select("node", "vec").toArrow().combine_chunks()
+        if rows.num_rows:
+            yield rows["node"].to_numpy(), _unit(_matrix(rows["vec"].combine_chunks()))
+
+
+def compared(vectors: DataFrame, queries: DataFrame, stars: bool) -> Iterator[DataFrame]:
+    """True links of ``queries`` against all ``vectors``, a frame per block: rows as :func:`_search` counts them.
+
+    Without ``stars`` only the counts of queries are given.
+    """
+    spark = vectors.sparkSession
+    for block in _blocks(queries):
+        sent = spark.sparkContext.broadcast(block)
+
+        def brute(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            names, q = sent.value
+            near, links = np.zeros(len(q), np.int64), np.zeros(len(q), np.int64)
+
+            def made(node, near, links, star):
+                own = [pa.array(v, pa.int64()) for v in (node, near, links, star)]
+                return pa.RecordBatch.from_arrays(own + [pa.nulls(len(node), pa.int64())] * 3, names=[f.split()[0] for f in FOUND.split(", ")])
+
+            for whole in batches:
+                for low in range(0, whole.num_rows, ROWS):
+                    batch = whole.slice(low, ROWS)
+                    node, copies = batch["node"].to_numpy(), batch["copies"].to_numpy()
+                    hit = (q @ _unit(_matrix(batch["vec"])).T) >= COSINE
+                    a, b = np.nonzero(hit)
+                    real = names[a] != node[b]
+                    a, b = a[real], b[real]
+                    near += np.bincount(a, minlength=len(q))
+                    links += np.bincount(a, copies[b], minlength=len(q)).astype(np.int64)
+                    if stars and len(a):
+                        every, place = np.unique(np.concatenate([names[a], node[b]]), return_inverse=True)
+                        c, d = place[: len(a)], place[len(a) :]
+                        label = _label(len(every), np.concatenate([c, d]), np.concatenate([d, c]))
+                        yield made(every, np.zeros(len(every)), np.zeros(len(every)), every[label])
+            yield made(names, near, links, names)
+
+        yield vectors.select("node", "vec", "copies").mapInArrow(brute, FOUND)
+
+
+def audit_recall(vectors: DataFrame, counted: DataFrame) -> float:
+    """Part of the true links of audited vectors, against all vectors, that were found; copies don't count.
+
+    Audited are the vectors with an id that 50 divides.  If those have fewer than ``SEEN`` links, more are
+    taken, up to all: only a table without links passes without one.
+    """
+    for tier in range(len(EVERY)):
+        queries = vectors.where(F.col("tier") <= tier)
+        true = sum(df.agg(F.sum("near")).first()[0] or 0 for df in compared(vectors, queries, False))
+        if true >= SEEN:
+            break
+    if not true:
+        return 1.0  # all vectors are compared, and none links
+    found = counted.join(queries.select("node"), "node", "left_semi").agg(F.sum("near")).first()[0] or 0
+    return found / true
+
+
+def all_links(vectors: DataFrame) -> DataFrame:
+    """What :func:`_search` would give if it missed nothing: all vectors against all, block by block."""
+    blocks = [stored(df, "found") for df in compared(vectors, vectors, True)]
+    return reduce(DataFrame.unionByName, blocks)
 
 
 def near_duplicates(rows: DataFrame, ident: str = "vec_id", vector: str = "embedding") -> DataFrame:
@@ -301,8 +409,9 @@ def near_duplicates(rows: DataFrame, ident: str = "vec_id", vector: str = "embed
     Equal vectors are one node of the graph.  A clustering fitted on a bounded sample cuts the nodes into
     overlapping shards, a robust-pruned graph is built on each, the adjacency lists of a node's shards are
     united, and each shard is searched along the united lists by all its vectors.  An audit compares links with
-    brute force; below ``RECALL`` every vector joins twice as many clusters, up to all.  Shards above
-    twice ``SHARD`` are cut into parts that are searched pair by pair, so none grows with the data.
+    brute force, whatever the size; below ``RECALL`` every vector joins twice as many clusters, and when these are
+    all there are, or ``WIDEST``, all vectors are compared with all, block by block.  Shards above twice ``SHARD``
+    are cut into parts that are searched pair by pair, so none grows with the data.
 
     Vectors that are null, empty, zero or hold null or non-finite components link with nothing and are their
     own component; vectors of different lengths never link.  Rows that repeat an id each count their own
@@ -320,12 +429,16 @@ def near_duplicates(rows: DataFrame, ident: str = "vec_id", vector: str = "embed
         total, overlap = own.count(), OVERLAP
         while True:
             found = _searched(own, total, overlap)
-            links = found.groupBy("node").agg(F.sum("links").alias("links"))
-            if audit_recall(own, links) >= RECALL or overlap * SHARD >= total * overlap:
+            links = stored(_linked(found), "links")
+            if audit_recall(own, links) >= RECALL:
+                break
+            released(found, links)
+            if overlap >= min(_clusters(total, overlap), WIDEST):
+                found = all_links(own)
+                links = _linked(found)
                 break
-            released(found)
             overlap *= 2
-        star = found.select(F.col("node").alias("u"), F.col("star").alias("v"))
+        star, links = _stars(found), links.select("node", "links")
         counted = links if counted is None else counted.unionByName(links)
         stars = star if stars is None else stars.unionByName(star)
     key = F.transform("_v", lambda x: x.cast("double") + 0.0)

@@ -123,6 +123,43 @@ def test_graph_against_brute_force(spark, folder, monkeypatch, shard):
             assert got[i].n_links == len(near) and all(got[i].component_id == got[j].component_id for j in near)
 
 
+def sparse(n=1200, dims=16):
+    """Unlike vectors but for ten pairs, and one vector with a third of all rows and a single link."""
+    draw = np.random.default_rng(11)
+    x = draw.normal(size=(n, dims))
+    for i in range(10):
+        x[601 + 7 * i] = x[3 + 11 * i] + 0.01 * draw.normal(size=dims)
+    x[n - 400 :] = x[50] + 0.01 * draw.normal(size=dims)
+    return [(i, [float(np.float32(v)) for v in row]) for i, row in enumerate(x)]
+
+
+@pytest.mark.parametrize("shard", [1500, 200])
+def test_lost_links_are_noticed(spark, monkeypatch, shard):
+    """A search that finds the link to the frequent vector only is no pass, whatever the size."""
+    monkeypatch.setattr(graphs, "SHARD", shard)
+    search = graphs._searched
+    monkeypatch.setattr(graphs, "_searched", lambda *a: search(*a).where("node = 50 or star = 50"))
+    rows = sparse()
+    got = {r.vec_id: r for r in graphs.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    links = brute_links(rows)
+    assert sum(map(bool, links.values())) >= 420
+    for i, _ in rows:
+        assert got[i].n_links == len(links[i]) and got[i].component_id == min([i, *links[i]])
+
+
+def test_links_of_several_clusters_count_once(spark):
+    rows = [(1, None, None, 1, 2, 3, 5), (1, None, None, 1, 2, 3, 5), (1, 1, 7, 1, None, None, None), (4, 2, 2, 1, None, None, None)]
+    got = graphs._linked(spark.createDataFrame(rows, graphs.FOUND)).collect()
+    assert sorted(map(tuple, got)) == [(1, 2, 12), (2, 1, 3), (4, 2, 2)]
+
+
+def test_audit_takes_more_queries_until_it_sees_links(spark):
+    vectors = graphs.distinct_vectors(spark.createDataFrame(sparse(), "vec_id long, embedding array<double>"), "vec_id", "embedding")
+    assert graphs.audit_recall(vectors, spark.createDataFrame([], "node long, near long, links long")) == 0
+    one = spark.createDataFrame([(50, 1, 400), (800, 1, 1)], "node long, near long, links long")
+    assert 0 < graphs.audit_recall(vectors, one) < 0.2
+
+
 def test_no_vectors(spark, folder):
     sf = folder(embeddings=spark.createDataFrame([], "vec_id long, embedding array<float>"))
     assert graphs.op6_flat_graph(spark, sf).count() == 0
