@@ -82,7 +82,7 @@ def bitmap(own: np.ndarray) -> np.ndarray:
 
 
 def _counted(docs: DataFrame) -> DataFrame:
-    """One pass over the texts: a row (doc_id, n, node, bits) per document, and per task the counts of its shingles.
+    """One pass over the texts: a row (doc_id, row, n, node, bits) per document, and per task the counts of its shingles.
 
     A count row is (part, body): the low bytes of 2**PART_BITS cells, then the cells of 255 and more with
     what they hold beyond.
@@ -100,7 +100,7 @@ def _counted(docs: DataFrame) -> DataFrame:
                 np.add.at(cells, (hashed >> np.uint64(64 - COUNT_BITS)).astype(np.int64), 1)
             none = pa.nulls(batch.num_rows, pa.int32())
             yield pa.RecordBatch.from_arrays(
-                [batch["_id"], pa.array(n), pa.array(node, mask=n == 0), pa.array(bits, pa.list_(pa.int64())), none, pa.nulls(batch.num_rows, pa.binary())],
+                [batch["_id"], batch["_row"], pa.array(n), pa.array(node, mask=n == 0), pa.array(bits, pa.list_(pa.int64())), none, pa.nulls(batch.num_rows, pa.binary())],
                 names=names,
             )
         parts, bodies = [], []
@@ -110,12 +110,12 @@ def _counted(docs: DataFrame) -> DataFrame:
                 bodies.append(_packed(own))
         m = len(parts)
         yield pa.RecordBatch.from_arrays(
-            [*[pa.nulls(m, pa.int64())] * 3, pa.nulls(m, pa.list_(pa.int64())), pa.array(parts, pa.int32()), pa.array(bodies, pa.binary())],
+            [*[pa.nulls(m, pa.int64())] * 4, pa.nulls(m, pa.list_(pa.int64())), pa.array(parts, pa.int32()), pa.array(bodies, pa.binary())],
             names=names,
         )
 
-    names = ["doc_id", "n", "node", "bits", "part", "body"]
-    return docs.mapInArrow(run, "doc_id long, n long, node long, bits array<long>, part int, body binary")
+    names = ["doc_id", "row", "n", "node", "bits", "part", "body"]
+    return docs.mapInArrow(run, "doc_id long, row long, n long, node long, bits array<long>, part int, body binary")
 
 
 def _packed(own: np.ndarray) -> bytes:
@@ -392,17 +392,16 @@ def linked_nodes(prefixes: DataFrame, nodes: DataFrame, sets_of, spark: SparkSes
     return components(links(known[1:]).unionByName(labels.select(F.col("node").alias("u"), F.col("label").alias("v"))))
 
 
-def joined(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, component_id) of every document of (doc_id, text).
+def _labelled(docs: DataFrame, row) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, row, n, node) of every document of (doc_id, text), and (node, rep, label) of every set.
 
-    Sets are compared by 64-bit shingle hashes.  Equal sets are one node, so exact copies cost nothing but
-    their row.  An empty set links with nothing, not even with another empty one.  A row with a null
-    doc_id is linked like any other; its component_id is null if no row of the component has an id.  Rows that repeat an id are kept; if their texts differ, each is linked by its own text.
+    ``row`` is a column of ``docs`` that goes along, rep the smallest id that holds the set, label the same for
+    sets that links connect.
     """
     spark = docs.sparkSession
-    texts = docs.select(F.col("doc_id").cast("long").alias("_id"), F.col("text").alias("_text"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("_id"), row.cast("long").alias("_row"), F.col("text").alias("_text"))
     first = stored(_counted(texts), "counts")
-    rows = first.where("part is null").select("doc_id", "n", "node")
+    rows = first.where("part is null").select("doc_id", "row", "n", "node")
     ranks = spark.sparkContext.broadcast(rare_first(first.where("part is not null").select("part", "body"), texts.rdd.getNumPartitions()))
     alike = first.where("node is not null").groupBy("node")
     reps = stored(alike.agg(F.min("doc_id").alias("_rep"), F.max("n").alias("n"), F.first("bits").alias("bits")), "nodes")
@@ -412,7 +411,17 @@ def joined(docs: DataFrame) -> DataFrame:
         return found.join(nodes, "node", "left_semi").dropDuplicates(["node"])
 
     labels = linked_nodes(_prefixes(texts.select("_text"), ranks), reps.select("node", "n", "bits"), sets_of, spark)
-    grouped = reps.select("node", "_rep").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    return rows, reps.select("node", "_rep").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+
+
+def joined(docs: DataFrame) -> DataFrame:
+    """(doc_id, n_shingles, component_id) of every document of (doc_id, text).
+
+    Sets are compared by 64-bit shingle hashes.  Equal sets are one node, so exact copies cost nothing but
+    their row.  An empty set links with nothing, not even with another empty one.  A row with a null
+    doc_id is linked like any other; its component_id is null if no row of the component has an id.  Rows that repeat an id are kept; if their texts differ, each is linked by its own text.
+    """
+    rows, grouped = _labelled(docs, F.lit(None))
     low = grouped.groupBy("label").agg(F.min("_rep").alias("component_id"))
     of = stored(grouped.join(low, "label").select(F.col("node").alias("_node"), "component_id"), "components")
     return rows.join(of, F.col("node") == F.col("_node"), "left").select(
@@ -426,15 +435,50 @@ def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def _one_of_groups(docs: DataFrame, nameless: bool) -> DataFrame:
+    """One row of each component of ``docs``: the first by (non-null id, id, hash of the row).
+
+    It is decided per row, by id and a 64-bit hash of all columns, so rows that share an id but not their text don't
+    share their fate.  Of identical rows one stays.  Rows without shingles are no copies of anything and stay.
+    With ``nameless``, all rows with a null id stay too.
+    """
+    hashed = F.xxhash64(*[c for name in docs.columns for c in (F.col(f"`{name}`").isNull(), F.col(f"`{name}`"))])
+    rows, grouped = _labelled(docs, hashed)
+    of = stored(grouped.select(F.col("node").alias("_node"), "label"), "components")
+    alike = rows.where("node is not null").groupBy("doc_id", "row", "node").agg(F.count("*").alias("_copies"))
+    alike = stored(alike.join(of, F.col("node") == F.col("_node")).select("doc_id", "row", "label", "_copies"), "rows")
+    place = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "row")
+    best = alike.groupBy(F.col("label").alias("_label")).agg(F.min(place).alias("_best"))
+    first = F.col("doc_id").eqNullSafe(F.col("_best.doc_id")) & (F.col("row") == F.col("_best.row"))
+    ranked = alike.join(best, F.col("label") == F.col("_label")).withColumn("_first", first)
+    if nameless:
+        ranked = ranked.where("doc_id is not null")
+    ident, row = unused(docs, "_ident"), unused(docs, "_row")
+    odd = stored(ranked.where("not _first or _copies > 1").select(F.col("doc_id").alias(ident), F.col("row").alias(row), "_first"), "odd")
+    keyed = docs.withColumn(unused(docs, "_hash"), hashed)
+    mine = F.col(keyed.columns[-1])
+    same = lambda of: F.col("doc_id").cast("long").eqNullSafe(of[ident]) & (mine == of[row])
+    # most rows are the only first one and pass an anti join; identical ones are few and are made one
+    only = keyed.join(odd, same(odd), "left_anti")
+    copied = odd.where("_first")
+    again = keyed.join(copied, same(copied), "left_semi").dropDuplicates(["doc_id", keyed.columns[-1]])
+    return only.unionByName(again).select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
 def first_of_groups(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: of each component the documents whose id is its smallest, with all their columns.
+    """Of each component one row, the one with the smallest id, with all its columns; rows with a null id stay as well.
+
+    Documents without shingles stay.  See :func:`one_of_groups` for the form without copies that have no id.
+    """
+    return _one_of_groups(docs, True)
+
+
+def one_of_groups(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pipeline stage: of each component exactly one row, with all its columns, so that no later stage meets a copy of it.
 
-    Documents with a null id or without shingles stay, and so do rows that repeat the smallest id.
+    It is the row with the smallest id, or one without an id if the component has none.  Documents without shingles stay.
     """
-    groups = joined(docs.select("doc_id", "text"))
-    key = unused(docs, "_gone")
-    gone = groups.where("doc_id <> component_id").select(F.col("doc_id").alias(key)).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col(key), "left_anti")
+    return _one_of_groups(docs, False)
 
 
 QUERIES = {"op2_ngram_jaccard": op2_ngram_jaccard}

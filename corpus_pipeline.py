@@ -22,7 +22,7 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [
     ("toxicity", toxicity.without_toxic),
-    ("ngram_jaccard", jaccard.first_of_groups),
+    ("ngram_jaccard", jaccard.one_of_groups),
     ("suffix_dedup", suffixes.without_repeats),
     ("temperature_mix", mixing.remixed),
     ("best_two_fit", packed),

@@ -117,6 +117,36 @@ def test_one_document_of_each_group_stays(spark, documents):
     assert kept[0].__fields__ == docs.columns
 
 
+@pytest.mark.parametrize("stage", ["one_of_groups", "first_of_groups"])
+def test_exactly_one_row_of_each_group_stays(spark, stage):
+    """Repeated rows, repeated ids with different texts or columns, and copies without an id."""
+    a, b, c, d, e = (words(40 + i, 80) for i in range(5))
+    rows = [(1, a, "x", None), (1, a, "x", None), (1, a, None, "x"), (7, a + " end", "x", "x"), (2, b, "x", "x"), (3, b + " end", "x", "x"),
+            (3, c, "x", "x"), (4, d, "x", "x"), (4, d, "x", "x"), (5, "", "x", "x"), (5, "", "x", "x")]
+    if stage == "one_of_groups":
+        rows += [(None, a, "x", "x"), (None, e, "x", "x"), (None, e, "x", "x"), (None, e + " end", "x", "x"), (None, None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, _row string")
+    kept = getattr(jaccard, stage)(spark, docs, "")
+    assert kept.columns == docs.columns
+    got = collections.Counter((r.doc_id, r.text) for r in kept.collect())
+    want = collections.Counter({(1, a): 1, (2, b): 1, (3, c): 1, (4, d): 1, (5, ""): 2})
+    if stage == "one_of_groups":
+        ends = [k for k in got if k[0] is None and k[1] in (e, e + " end")]
+        assert len(ends) == 1
+        want += collections.Counter({ends[0]: 1, (None, None): 1})
+    assert got == want
+
+
+def test_no_text_is_lost_between_stages(spark):
+    import corpus_pipeline
+
+    a, b = words(50, 80), words(51, 80)
+    docs = spark.createDataFrame([(1, a), (1, a), (None, a), (None, b), (None, b)], "doc_id long, text string")
+    for name, stage in corpus_pipeline.STAGES[1:3]:
+        docs = stage(spark, docs, "").cache()
+    same(docs.collect(), [(1, a), (None, b)])
+
+
 # --- op3 --------------------------------------------------------------------------------------
 
 
