@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 
 from cohortlake.llm.common import buckets_for, table
 
-#: Words of a k-mer.
-WORDS = 3
+#: Words of a k-mer, or code points where words are too few.
+WORDS, POINTS = 3, 5
+#: Code points for each k-mer of words from which words are too few; k-mers of words that are too few at any length.
+SPARSE, FEW = 9, 2
 #: Low bits that hold a k-mer's place in its text; above them 64 bins (6 bits) and 31 bits of hash.
 PLACE = 27
 #: Ranges of ids that are told apart by quantiles, and documents in a bucket inside a range.
@@ -28,12 +30,16 @@ def _placed(hashed: Column, place: Column) -> Column:
     return hashed.bitwiseAND(F.lit(-(1 << PLACE))).bitwiseOR(place.cast("long"))
 
 
-def _occurrences(words: Column) -> Column:
-    """The k-mers of a word list as long values: hash of (k-mer, number of its occurrence) above, place below."""
-    count = F.greatest(F.size(words) - (WORDS - 1), F.lit(1))
-    kmers = F.transform(
-        F.sequence(F.lit(0), count - 1), lambda i: F.xxhash64(*[F.get(words, i + j) for j in range(WORDS)])
-    )
+def _occurrences(units: Column, points: Column) -> Column:
+    """The k-mers of a list of words or ``points`` as long values: hash of (k-mer, number of its occurrence) above, place below."""
+    count = F.greatest(F.size(units) - (F.when(points, POINTS).otherwise(WORDS) - 1), F.lit(1))
+
+    def hashed(i: Column) -> Column:
+        """Nulls don't count in the hash."""
+        more = [F.when(points, F.get(units, i + j)) for j in range(WORDS, POINTS)]
+        return F.xxhash64(*[F.get(units, i + j) for j in range(WORDS)], *more)
+
+    kmers = F.transform(F.sequence(F.lit(0), count - 1), hashed)
 
     def first_only(k: Column) -> Column:
         return F.transform(k, lambda h, i: _placed(F.xxhash64(F.shiftright(h, PLACE), F.lit(1)), i))
@@ -65,13 +71,21 @@ def _occurrences(words: Column) -> Column:
     return _let(kmers, numbered)
 
 
-def order_minhash(text: Column) -> Column:
+def _sparse(words: Column, clean: Column) -> Column:
+    """Whether a text has too few words for its code points, so that words say little about an edit."""
+    kmers, n = F.greatest(F.size(words) - (WORDS - 1), F.lit(1)), F.length(clean)
+    return (n > 3) & ((kmers <= FEW) | (n >= SPARSE * kmers))
+
+
+def order_minhash(text: Column, points: bool = False) -> Column:
     """Signature of a text: at most 32 long values, ascending, each a tuple's number and hash.
 
-    Every occurrence-numbered k-mer of ``WORDS`` words falls into one of 64 bins by its hash; the smallest of
+    K-mers are ``POINTS`` code points in texts with few words for their length (unsegmented scripts, long tokens,
+    up to four words), and with ``points`` in all; their tuples have numbers from 32.  In other texts they are
+    ``WORDS`` words.  Every occurrence-numbered k-mer falls into one of 64 bins by its hash; the smallest of
     each bin is chosen.  Two bins make a tuple: their chosen k-mers are put back into text order and
     hashed as a sequence, so a tuple agrees only if both k-mers are kept in the same order.  Tuples without
-    a k-mer are left out.  A text without words has no tuple; shorter ones than ``WORDS`` words have one k-mer.
+    a k-mer are left out.  A text without words has no tuple; shorter ones than a k-mer have one.
     Words are runs of characters other than white space.  All work stays in one row, in time n log n.
     """
     white = " \t\n\x0b\f\r"
@@ -82,7 +96,7 @@ def order_minhash(text: Column) -> Column:
     )
     mask, low = F.lit((1 << PLACE) - 1), F.lit((1 << HASH) - 1)
 
-    def tuples(chosen: Column) -> Column:
+    def tuples(chosen: Column, points: Column) -> Column:
         def one(x: Column, j: Column) -> Column:
             after, group = F.get(chosen, j + 1), F.shiftright(x, 59)
             pair = F.shiftright(after, 59) == group
@@ -90,12 +104,19 @@ def order_minhash(text: Column) -> Column:
             ahead = x.bitwiseAND(mask) <= after.bitwiseAND(mask)
             a, b = F.shiftright(x, PLACE), F.shiftright(after, PLACE)
             hashed = F.when(pair & ahead, F.xxhash64(a, b)).when(pair, F.xxhash64(b, a)).otherwise(F.xxhash64(a))
-            own = F.shiftleft(group + 16, HASH).bitwiseOR(hashed.bitwiseAND(low))
+            own = F.shiftleft(group + F.when(points, 48).otherwise(16), HASH).bitwiseOR(hashed.bitwiseAND(low))
             return F.when(~F.coalesce((j > 0) & second, F.lit(False)), own)
 
         return F.filter(F.transform(chosen, one), lambda c: c.isNotNull())
 
-    made = _let(words, lambda w: _let(F.sort_array(_occurrences(w)), lambda v: _let(smallest(v), tuples)))
+    def signed(units: Column, points: Column) -> Column:
+        return _let(F.sort_array(_occurrences(units, points)), lambda v: _let(smallest(v), lambda c: tuples(c, points)))
+
+    def chosen(w: Column) -> Column:
+        sparse = _sparse(w, clean)
+        return _let(F.struct(sparse.alias("p"), F.when(sparse, F.split(clean, "")).otherwise(w).alias("u")), lambda x: signed(x["u"], x["p"]))
+
+    made = _let(F.split(clean, ""), lambda u: signed(u, F.lit(True))) if points else _let(words, chosen)
     return F.when(F.length(clean) == 0, F.array().cast("array<long>")).otherwise(made)
 
 
@@ -111,6 +132,14 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(either == 0, F.lit(1.0)).otherwise(F.sqrt(same / either))
 
 
+def alike(a: Column, text: Column, b: Column, other: Column) -> Column:
+    """Likeness of two texts by their signatures a and b.  If only one has k-mers of code points, both are compared by those."""
+    points = lambda s: F.shiftright(F.get(s, F.lit(0)), HASH) >= 32
+    by_points = lambda s, t: F.when(points(s), s).otherwise(order_minhash(t, True))
+    mixed = F.coalesce(points(a) != points(b), F.lit(False))
+    return F.when(mixed, likeness(by_points(a, text), by_points(b, other))).otherwise(likeness(a, b))
+
+
 def with_next(docs: DataFrame, ident: str, columns: list[str], derived: dict[str, Column] | None = None) -> DataFrame:
     """``ident``, ``columns`` and ``derived`` of every row, plus _next_<column> of the row with the next id; the first follows the last.
 
@@ -164,7 +193,8 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     """(doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next) of (doc_id, text).
 
     The edited text has its last quarter (rounded down, in characters) replaced by as many of the next
-    document's first characters.  Null texts are empty; of a single document the next is itself.
+    document's first characters.  Null texts are empty; of a single document the next is itself.  The likenesses
+    are those of :func:`alike`.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
@@ -173,12 +203,13 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     cut = F.floor(n / 4).cast("int")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), n - cut), F.substring(F.col("_next_text"), F.lit(1), cut))
     changed = met.select(
-        "doc_id", n.cast("long").alias("n_chars"), edited.alias("_edited"), "sign", F.col("_next_sign").alias("_after")
+        "doc_id", "text", "_next_text", n.cast("long").alias("n_chars"), edited.alias("_edited"), "sign", F.col("_next_sign").alias("_after")
     ).withColumn("_sign", order_minhash(F.col("_edited")))
     return changed.select(
         "doc_id", "n_chars", F.sha2(F.col("_edited").cast("binary"), 256).alias("edited_sha256"),
         as_text(F.col("sign")).alias("fingerprint"), as_text(F.col("_sign")).alias("edited_fingerprint"),
-        likeness(F.col("sign"), F.col("_sign")).alias("near_edited"), likeness(F.col("sign"), F.col("_after")).alias("near_next"),
+        alike(F.col("sign"), F.col("text"), F.col("_sign"), F.col("_edited")).alias("near_edited"),
+        alike(F.col("sign"), F.col("text"), F.col("_after"), F.col("_next_text")).alias("near_next"),
     )
 
 

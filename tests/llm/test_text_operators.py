@@ -355,6 +355,35 @@ def test_order_minhash_follows_its_definition(spark):
     assert got == [python_order_minhash(spark, t) for t in texts]
 
 
+def test_few_words_are_told_apart_by_code_points(spark):
+    """Short texts, unsegmented scripts and long tokens stay near their edited form; so does a text whose edit changes the k-mers."""
+    draw = np.random.default_rng(4)
+    han = lambda n: "".join(chr(c) for c in draw.integers(0x4E00, 0x9FA5, n))
+    emoji = "".join(chr(c) for c in draw.integers(0x1F300, 0x1F5FF, 400))
+    six = "abcd efgh ijklm nopqr stuvw xyzab"  # its edit has fewer words
+    texts = ["alpha beta gamma", "some words here today", han(4000), emoji, "Zm9v" * 10 + words(1, 60).replace(" ", ""), six, han(400)]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = {r.doc_id: r for r in fingerprints.fingerprints(frame).collect()}
+    assert all(rows[i].near_edited > 0.3 for i in range(len(texts)))
+    assert (int(rows[5].fingerprint.split("-")[0], 16) >> 40) < 32 <= (int(rows[5].edited_fingerprint.split("-")[0], 16) >> 40)
+    assert 0 <= rows[2].near_next < 0.3
+
+
+def test_code_points_follow_their_definition(spark):
+    """K-mers of five code points, each counted by its occurrence, in tuples with numbers from 32."""
+    text = "ab\U0001F600" * 40 + "xyz"
+    frame = spark.createDataFrame([(i, *text[i : i + 5]) for i in range(len(text) - 4)], "i int, a string, b string, c string, d string, e string")
+    hashed = [r[0] >> 27 for r in frame.orderBy("i").select(F.xxhash64(*"abcde")).collect()]
+    count, numbered = collections.Counter(), []
+    for i, h in enumerate(hashed):
+        count[h] += 1
+        numbered.append((i, h, count[h]))
+    frame = spark.createDataFrame(numbered, "i int, a long, b int").orderBy("i")
+    values = [(r[0] >> 27 << 27) | i for i, r in enumerate(frame.select(F.xxhash64("a", "b")).collect())]
+    got = spark.createDataFrame([(text,)], "t string").select(fingerprints.order_minhash(F.col("t"))).first()[0]
+    assert [g >> 40 for g in got] == sorted({(v >> 59) + 48 for v in values})
+
+
 def test_order_counts(spark):
     """The same k-mers in another order are less alike than a text with one changed word."""
     a = words(1, 400).split()
