@@ -269,6 +269,22 @@ def previews(slabs: DataFrame) -> DataFrame:
 
 
 def plane(slabs: DataFrame, axis: int, index: Column) -> DataFrame:
-    """Voxels of one slice along any axis: (scan_id, c, x, y, z, v)."""
-    v = voxels(slabs, ["nx", "nz"]) if axis != 2 else voxels(slabs.where(F.col("z") == index), ["nx", "nz"])
-    return v.where(F.col("xyz"[axis]) == index).select("scan_id", "c", "x", "y", "z", "v")
+    """Voxels of one slice along any axis: (scan_id, c, x, y, z, v).
+
+    Only the wanted row or column of a slice becomes rows; an index outside a scan gives none of its voxels.
+    """
+    nx, ny = F.col("nx"), F.col("ny")
+    at = slabs.withColumn("_at", index.cast("int"))
+    inside = at.where((F.col("_at") >= 0) & (F.col("_at") < F.col(AXES[axis])))
+    if axis == 2:
+        rows = inside.where("z = _at").select("scan_id", "c", "z", "ny", F.posexplode("px").alias("i", "v"))
+        x, y = F.floor(F.col("i") / ny), F.col("i") % ny
+    elif axis == 1:
+        line = F.transform(F.sequence(F.lit(0), nx - 1), lambda x: F.get("px", x * ny + F.col("_at")))
+        rows = inside.select("scan_id", "c", "z", "_at", F.posexplode(line).alias("i", "v"))
+        x, y = F.col("i"), F.col("_at")
+    else:
+        line = F.slice("px", F.col("_at") * ny + 1, ny)
+        rows = inside.select("scan_id", "c", "z", "_at", F.posexplode(line).alias("i", "v"))
+        x, y = F.col("_at"), F.col("i")
+    return rows.select("scan_id", "c", x.cast("int").alias("x"), y.cast("int").alias("y"), "z", "v")
