@@ -2,49 +2,21 @@
 
 from __future__ import annotations
 
-import base64
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortlake.llm.common import buckets_for, numbered, stored, table
+from cohortlake.llm.encoding import encoder, in_blocks
 
 #: End-of-document id that closes every document.
 END_ID = 2
-
-
-class _Encoder:
-    """Ids of whole texts, as little-endian bytes.
-
-    ``path`` names a vocabulary: a ``.json`` file goes to tokenizers; a ``.tiktoken`` file of ranks goes
-    to tiktoken, which gives the same ids for the same vocabulary in about a third of the time.
-    Special-token strings in a text are ordinary text.
-    """
-
-    def __init__(self, path: str):
-        if path.endswith(".json"):
-            from tokenizers import Tokenizer
-
-            own = Tokenizer.from_file(path)
-            own.encode_special_tokens = True
-            self.ids = lambda text: own.encode(text, add_special_tokens=False).ids
-        else:
-            import public_tokenizers
-            import tiktoken
-
-            with open(path, "rb") as lines:
-                ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-            self.ids = tiktoken.Encoding(
-                "ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}
-            ).encode_ordinary
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        known = {t: np.array(self.ids(t), "<u4").tobytes() for t in dict.fromkeys(texts)}
-        return [known[t] for t in texts]
+#: Characters that are encoded at a time.
+TEXT = 1 << 22
 
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -58,25 +30,26 @@ def tokenised(docs: DataFrame, ident: str, text: str, tokenizer: str, room: int,
     """
     schema = PIECES + (", ids array<long>" if with_ids else "")
 
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder = _Encoder(tokenizer)
-        for pdf in batches:
-            for low in range(0, len(pdf), 2_000):
-                part = pdf.iloc[low : low + 2_000]
+    names = [c.split()[0] for c in schema.split(", ")]
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, end = encoder(tokenizer), np.array([END_ID], "<u4").tobytes()
+        kinds = [pa.int64(), pa.int32(), *[pa.int64()] * 3, *([pa.list_(pa.int64())] if with_ids else [])]
+        for batch in batches:
+            texts, keys = [t or "" for t in batch["_text"].to_pylist()], batch["_id"].to_pylist()
+            for low, high in in_blocks(texts, TEXT):
                 rows = []
-                texts = [t if isinstance(t, str) else "" for t in part["_text"]]
-                for key, ids in zip(part["_id"].tolist(), encoder.encode(texts), strict=True):
-                    ids += END_ID.to_bytes(4, "little")
+                for key, found in zip(keys[low:high], own.encode(texts[low:high]), strict=True):
+                    ids = found.astype("<u4").tobytes() + end
                     n = len(ids) // 4
                     edges = [0, *range(n % room or room, n + 1, room)] if n > room else [0, n]
                     for i, (a, b) in enumerate(zip(edges, edges[1:], strict=False)):
                         raw = ids[4 * a : 4 * b]
                         row = (key, i, a, b - a, zlib.crc32(raw))
                         rows.append((*row, np.frombuffer(raw, "<u4").astype("int64")) if with_ids else row)
-                out = pd.DataFrame(rows, columns=[c.split()[0] for c in schema.split(", ")])
-                yield out.astype({"doc_id": "Int64"})
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
-    return docs.select(F.col(ident).cast("long").alias("_id"), F.col(text).alias("_text")).mapInPandas(cut, schema)
+    return docs.select(F.col(ident).cast("long").alias("_id"), F.col(text).alias("_text")).mapInArrow(cut, schema)
 
 
 def best_two_fit(counts: dict[int, int], room: int) -> list[tuple[int, list[int]]]:
@@ -204,7 +177,7 @@ def op3_best_two_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return packed_documents(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    return packed_documents(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
 QUERIES = {"op3_best_two_fit": op3_best_two_fit}

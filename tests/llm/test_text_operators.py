@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import random
 import re
 import zlib
 
@@ -10,9 +11,9 @@ import pytest
 from texts import words
 from pyspark.sql import functions as F
 
-from cohortlake.llm import fingerprints, jaccard, mixing, packing, sharding, suffixes, toxicity
+from cohortlake.llm import encoding, fingerprints, jaccard, mixing, packing, sharding, suffixes, token_files, toxicity
 
-PATH = "byte_bpe_50k.tiktoken"
+PATH = "byte_bpe_50k.json"
 
 
 def same(got, want):
@@ -54,7 +55,7 @@ def test_shards_are_even_although_copies_hold_a_third(spark):
 def test_empty_documents(spark, folder, documents):
     sf = folder(documents=documents([]))
     for query in (sharding.op1_kd_shards, jaccard.op2_ngram_jaccard, packing.op3_best_two_fit, suffixes.op8_suffix_dedup,
-                  fingerprints.op9_order_minhash, mixing.op10_temperature_mix):
+                  fingerprints.op9_order_minhash, mixing.op10_temperature_mix, token_files.op12_token_files):
         assert query(spark, sf).count() == 0
 
 
@@ -225,11 +226,99 @@ def test_sequences_are_whole(spark, documents):
     assert total == sum(r.length for r in layout.collect())
 
 
-def test_vocabularies_agree(documents):
+def test_encoder_gives_the_ids_of_tokenizers(monkeypatch):
+    """Every character of known class in contexts, random texts, and a small memory that is given up again and again."""
     import public_tokenizers
 
-    texts = [r[1] or "" for r in [(None, "Hello's  <|endoftext|> wörld\n\n 123 \x85　x'll"), (None, words(3, 50)), (None, "a" * 3000)]]
-    assert packing._Encoder(public_tokenizers.path(PATH)).encode(texts) == packing._Encoder(public_tokenizers.path("byte_bpe_50k.json")).encode(texts)
+    own = encoding.Encoder(public_tokenizers.path("byte_bpe_50k.json"))
+    chars = [chr(c) for c in [*range(0x250), *range(0x2010, 0x2028), *range(0x2030, 0x205F), 0x20AC, 0x3000, 0x4E00, 0x1F600, 0x37E]]
+    draw = random.Random(1)
+    texts = [a + c + b for c in chars for a, b in ((" ", "a"), ("a", " 1"), ("'", " "), (" ", "\n"), ("1", "'s"))]
+    texts += ["".join(draw.choice(chars + [" "] * 40 + list("'stvemldre \n\t") * 3) for _ in range(draw.randint(0, 60))) for _ in range(5_000)]
+    texts += ["", "Hello's  <|endoftext|> wörld\n\n 123 \x85　x'll", words(3, 50)]
+    want = own.whole(texts)
+    monkeypatch.setattr(encoding, "KNOWN", 2_000)
+    monkeypatch.setattr(encoding, "BLOCK", 30)
+    got = [ids for a in range(0, len(texts), 500) for ids in own.encode(texts[a : a + 500])]
+    assert all(np.array_equal(a, b) for a, b in zip(got, want, strict=True))
+
+
+@pytest.mark.parametrize("text", [" " * 1_500_000 + "a", "a" * 2_000_000, "#" * 2_000_000, "\n \t" * 700_000, words(9, 400_000)])
+def test_long_texts_are_encoded_whole(text):
+    import public_tokenizers
+
+    own = encoding.Encoder(public_tokenizers.path("byte_bpe_50k.json"))
+    assert np.array_equal(own.encode([text])[0], own.whole([text])[0])
+
+
+# --- op12 -------------------------------------------------------------------------------------
+
+
+def token_rows(docs):
+    """(doc_id, ids) in ascending id order, nulls first, from tokenizers itself."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    own = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    own.encode_special_tokens = True
+    rows = sorted(docs, key=lambda d: (d.doc_id is not None, d.doc_id or 0))
+    return [(d.doc_id, own.encode(d.text or "", add_special_tokens=False).ids + [2]) for d in rows]
+
+
+@pytest.mark.parametrize("small", [False, True])
+def test_token_files_awkward(spark, folder, documents, tmp_path, monkeypatch, small):
+    """Rows against tokenizers; ids that repeat may stand in any order among themselves."""
+    import public_tokenizers
+
+    want = token_rows(documents().collect())
+    if small:
+        monkeypatch.setattr(token_files, "TEXT", 50)
+        monkeypatch.setattr(token_files, "STRETCH", 300)
+        files = token_files.write_tokens(documents(), "doc_id", "text", public_tokenizers.path("byte_bpe_50k.json"), str(tmp_path / "f"), 64, 4_000)
+        assert files.count() > 5
+        rows = token_files.read_documents(token_files.index_of(files)).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+    else:
+        rows = token_files.op12_token_files(spark, folder(documents=documents()))
+    got = sorted(rows.collect(), key=lambda r: r.start)
+    crc = lambda ids: zlib.crc32(np.array(ids, "<u4").tobytes())
+    assert collections.Counter((r.doc_id, r.n_tokens, r.ids_crc32) for r in got) == collections.Counter((i, len(x), crc(x)) for i, x in want)
+    assert [r.doc_id for r in got] == [i for i, _ in want]
+    at = 0
+    for r in got:
+        assert r.start == at
+        at += r.n_tokens
+
+
+def test_token_files_are_plain_zstandard(spark, tmp_path, monkeypatch):
+    """Any zstandard reader restores the ids; a reader of selected documents touches only their frames and sees damage."""
+    import public_tokenizers
+    import zstandard
+
+    docs = spark.createDataFrame([(i, words(i, 40 if i % 9 else 900)) for i in range(200)], "doc_id long, text string")
+    files = token_files.write_tokens(docs, "doc_id", "text", public_tokenizers.path("byte_bpe_50k.json"), f"file://{tmp_path}/out", 256).collect()
+    want = token_rows(docs.collect())
+    raw = open(files[0].file.removeprefix("file://"), "rb").read()
+    out = zstandard.ZstdDecompressor().stream_reader(raw, read_across_frames=True).read()
+    assert out == b"".join(np.array(x, "<u4").tobytes() for _, x in want)
+    index = token_files.index_of(spark.createDataFrame(files))
+    some = token_files.read_documents(index.where("doc_id % 50 = 0")).collect()
+    assert {r.doc_id: r.ids for r in some} == {i: np.array(x, "<u4").tobytes() for i, x in want if i % 50 == 0}
+
+    reader = token_files.Reader(files[0].file)
+    places, seen = reader.places, []
+    inner = reader._content
+    monkeypatch.setattr(reader, "_content", lambda k: seen.append(k) or inner(k))
+    row = index.where("doc_id = 100").first()
+    reader.ids(row["at"], row["n_tokens"])
+    assert 1 <= len(seen) <= 2 and len(places) > 100
+    at = int(places[seen[0]]) + 12
+    damaged = tmp_path / "damaged.zst"
+    damaged.write_bytes(raw[:at] + bytes([raw[at] ^ 0x55]) + raw[at + 1 :])
+    with pytest.raises((ValueError, zstandard.ZstdError)):
+        token_files.Reader(str(damaged)).ids(row["at"], row["n_tokens"])
+    (tmp_path / "cut.zst").write_bytes(raw[:-5])
+    with pytest.raises(ValueError, match="seek table"):
+        token_files.Reader(str(tmp_path / "cut.zst"))
 
 
 # --- op8 --------------------------------------------------------------------------------------
