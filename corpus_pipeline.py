@@ -17,7 +17,7 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sequences of 1,024 tokens: one row per piece of a document; repeated rows are documents of their own."""
     import public_tokenizers
 
-    return packing.packed_documents(docs.select("doc_id", "text"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    return packing.packed_documents(docs.select("doc_id", "text"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
 STAGES = [
