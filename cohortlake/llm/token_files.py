@@ -31,7 +31,7 @@ from cohortlake.llm.warc import _opened
 #: End-of-document id that closes every document.
 END_ID = 2
 #: Content of a frame after which it ends, in bytes; text bytes that make up one file; characters encoded at a time.
-FRAME, FILE, TEXT = 1 << 17, 1 << 28, 1 << 22
+FRAME, FILE, TEXT = 1 << 17, 1 << 27, 1 << 22
 #: Documents that one file should hold at most.
 FILE_ROWS = 2_000_000
 #: Selected documents of this many bytes of ids of a file are read by one task.
