@@ -19,23 +19,34 @@ from cohortlake.llm.textkit import chunks, runs_hashed, word_bounds
 SAMPLE = 20_000
 #: Tokens that a model of the chain may use, folds of the out-of-fold predictions, penalty, steps.
 FEATURES, FOLDS, PENALTY, STEPS, RATE = 2048, 3, 1e-6, 300, 0.15
+#: Standard errors by which the log odds of a chosen token differ from none.
+EVIDENCE = 3.0
 #: Bytes of the openings of words that count as tokens.
 OPENINGS = (4, 5, 6)
 #: A document is rejected from this probability of the last category on.
 THRESHOLD = 0.5
+#: Logit of a category of which nothing is known.
+NEVER = -30.0
 
 _KIND = np.full(256, 2, dtype=np.uint8)  # 1: letters, digits and bytes of other scripts; 2: signs; 0: white space
 _KIND[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = 1
 _KIND[[0x20, *range(0x09, 0x0E)]] = 0
 
 
+def _lowered(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """:func:`chunks` of lower-cased texts; not more than a chunk of them, or one text, is copied at a time."""
+    for first, end, _, _ in chunks(column):
+        for low, high, data, offsets in chunks(pc.utf8_lower(column.slice(first, end - first))):
+            yield first + low, first + high, data, offsets
+
+
 def _tokens(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, end row, text number, hash) of all tokens, ordered by text.
 
     Tokens are runs of letters or of signs, lower-cased, and the openings of longer runs of letters, so
     that words of one stem share evidence.
     """
-    for low, high, data, offsets in chunks(pc.utf8_lower(column)):
+    for low, high, data, offsets in _lowered(column):
         starts, ends, of = word_bounds(_KIND[data], offsets)
         stop, text = [ends], [of]
         start = [starts]
@@ -51,24 +62,26 @@ def _tokens(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray
 
 
 def _bags(rows: DataFrame, labels: Sequence[str], chosen: np.ndarray) -> DataFrame:
-    """Fold, labels and those distinct tokens of every text that are among ``chosen`` (sorted hashes)."""
+    """Fold, labels and the places in ``chosen`` (sorted hashes) of those distinct tokens of every text that it holds, as int32."""
     given = rows.sparkSession.sparkContext.broadcast(chosen)  # a bounded number of tokens
 
     def bag(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = given.value
         for batch in batches:
-            out: list[np.ndarray] = []
+            out: list[bytes] = []
             for low, high, of, hashed in _tokens(batch["_text"]):
                 edges = np.searchsorted(of, np.arange(high - low + 1))
                 for a, b in zip(edges, edges[1:], strict=False):
                     own = np.unique(hashed[a:b])
-                    out.append(own[np.isin(own, known)])
+                    at = np.minimum(np.searchsorted(known, own), max(len(known) - 1, 0))
+                    hit = known[at] == own if len(known) else np.zeros(len(own), bool)
+                    out.append(at[hit].astype("<i4").tobytes())
             if out:
                 yield pa.RecordBatch.from_arrays(
-                    [batch["_fold"], *(batch[c] for c in labels), pa.array(out, pa.list_(pa.int64()))], names=["fold", *labels, "tokens"]
+                    [batch["_fold"], *(batch[c] for c in labels), pa.array(out, pa.binary())], names=["fold", *labels, "tokens"]
                 )
 
-    return rows.mapInArrow(bag, ", ".join(["fold int", *(f"{c} int" for c in labels), "tokens array<long>"]))
+    return rows.mapInArrow(bag, ", ".join(["fold int", *(f"{c} int" for c in labels), "tokens binary"]))
 
 
 def _token_counts(rows: DataFrame, labels: Sequence[str]) -> DataFrame:
@@ -103,7 +116,9 @@ def _token_counts(rows: DataFrame, labels: Sequence[str]) -> DataFrame:
 def _chosen(counts: DataFrame, totals: dict[int, dict[str, int]], label: str, without: int | None) -> np.ndarray:
     """The ``FEATURES`` tokens whose log odds ratio for a category stands out most in all folds but ``without``.
 
-    Tokens that speak against a category are left out: harmless words around them don't outweigh harmful ones.
+    Tokens that speak against a category are left out: harmless words around them don't outweigh harmful ones.  So are
+    those that stand out less than ``EVIDENCE`` standard errors: among many rare words, some always meet in a few texts of a
+    category by chance, and would take weight from those that cause it.
     """
     folds = [f for f in range(FOLDS) if f != without]
     n, ones = (float(sum(totals.get(f, {}).get(c, 0) for f in folds)) for c in ("n", label))
@@ -112,7 +127,7 @@ def _chosen(counts: DataFrame, totals: dict[int, dict[str, int]], label: str, wi
     outside = seen - inside
     odds = F.log((inside + 0.5) / (ones - inside + 0.5)) - F.log((outside + 0.5) / (n - ones - outside + 0.5))
     z = odds / F.sqrt(1 / (inside + 0.5) + 1 / (outside + 0.5))
-    best = counts.where(seen >= 3).select("token", z.alias("z")).where("z > 0").orderBy(F.desc("z"), "token").limit(FEATURES)
+    best = counts.where(seen >= 3).select("token", z.alias("z")).where(F.col("z") >= EVIDENCE).orderBy(F.desc("z"), "token").limit(FEATURES)
     return np.sort(np.array([r["token"] for r in best.collect()], dtype=np.int64))
 
 
@@ -162,10 +177,12 @@ def fit_chain(bags: list, categories: Sequence[str], chosen: dict[tuple[str, int
     Each later model is trained on the earlier categories' *out-of-fold* logits: what models that have not
     seen a document say of it, as it will be when the chain is applied.  ``chosen`` has the tokens of each
     category for all folds (None) and without each fold, so the choice of tokens is out of fold too.
+    Without labelled documents no text belongs to any category.
     """
     n = len(bags)
     if not n:
-        raise ValueError("the chain needs labelled documents")
+        none = np.zeros(0, np.int64)
+        return [Link(none, np.zeros(0), np.zeros(i), NEVER) for i in range(len(categories))]
     of = np.repeat(np.arange(n), [len(r["tokens"]) for r in bags])
     hashed = np.concatenate([np.asarray(r["tokens"], dtype=np.int64) for r in bags])
     fold = np.array([r["fold"] for r in bags])
@@ -220,11 +237,13 @@ def trained(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], s
     sums = rows.groupBy("_fold").agg(F.count("*").alias("n"), *[F.sum(c).alias(c) for c in names]).collect()  # one row per fold
     totals = {r["_fold"]: r.asDict() for r in sums}
     chosen = {(c, f): _chosen(counts, totals, c, f) for c in names for f in (None, *range(FOLDS))}
-    bags = _bags(rows, names, np.unique(np.concatenate(list(chosen.values())))).collect()
+    known = np.unique(np.concatenate(list(chosen.values())))
+    bags = _bags(rows, names, known).collect()  # four bytes per chosen token of at most ``sample`` texts, as packed bytes
     released(rows, counts)
     # an order that does not depend on how the table is cut into tasks
-    bags.sort(key=lambda r: (r["fold"], r["tokens"], *(r[c] for c in names)))
-    return fit_chain(bags, names, chosen)
+    bags.sort(key=lambda r: (r["fold"], bytes(r["tokens"]), *(r[c] for c in names)))
+    given = [{"fold": r["fold"], "tokens": known[np.frombuffer(r["tokens"], "<i4")], **{c: r[c] for c in names}} for r in bags]
+    return fit_chain(given, names, chosen)
 
 
 def rejected(docs: DataFrame, chain: Sequence[Link], categories: Sequence[str], threshold: float = THRESHOLD) -> DataFrame:
@@ -239,7 +258,11 @@ def label_categories() -> dict[str, Column]:
 
 
 def op5_classifier_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document with the chain's probabilities; ``toxic`` is the decision."""
+    """Every document with the chain's probabilities; ``toxic`` is the decision.
+
+    A null or empty text has no tokens and gets the chain's biases alone; a null id is a value; repeated rows are scored
+    each.  No documents give no rows; without labelled documents all probabilities are next to 0 and nothing is toxic.
+    """
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     kinds = label_categories()
     chain = trained(docs, table(spark, sf_dir, "labels"), kinds)
@@ -251,26 +274,22 @@ def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """Pipeline stage: documents that the chain does not reject, with all their columns.
 
     The score is worked out in the task that reads a document, so no row is moved; a null doc_id is judged
-    by its text like any other.
+    by its text like any other, a null text by the chain's biases.  Without labelled documents all stay.
     """
     kinds = label_categories()
     chain = trained(docs.select("doc_id", "text"), table(spark, sf_dir, "labels"), kinds)
+    at = docs.columns.index("text")
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for low, high, of, hashed in _tokens(batch.column(at)):
+                before = np.zeros((high - low, 0))
+                for link in chain:
+                    logit = link.logits(of, hashed, high - low, before)
+                    before = np.column_stack([before, np.clip(logit, -8, 8)])
+                yield batch.slice(low, high - low).filter(pa.array(_sigmoid(logit) < THRESHOLD))
 
-    @F.pandas_udf("boolean")
-    def kept(text):  # noqa: ANN001, ANN202
-        import pandas as pd
-
-        column = pa.array(text, pa.string(), from_pandas=True)
-        out = np.ones(len(column), dtype=bool)
-        for low, high, of, hashed in _tokens(column):
-            before = np.zeros((high - low, 0))
-            for link in chain:
-                logit = link.logits(of, hashed, high - low, before)
-                before = np.column_stack([before, np.clip(logit, -8, 8)])
-            out[low:high] = _sigmoid(logit) < THRESHOLD
-        return pd.Series(out)
-
-    return docs.where(kept("text"))
+    return docs.mapInArrow(keep, docs.schema)
 
 
 QUERIES = {"op5_classifier_chain": op5_classifier_chain}

@@ -582,11 +582,15 @@ def test_chain(spark, labelled):
     assert kept.count() == sum(not r.toxic for r in rows) and kept.columns == ["doc_id", "text", "toxic"]
 
 
-def test_chain_needs_labels(spark, folder):
-    sf = folder(documents=spark.createDataFrame([(1, "a")], "doc_id long, text string"),
-                labels=spark.createDataFrame([], "doc_id long, quality int, toxic int"))
-    with pytest.raises(ValueError):
-        toxicity.op5_classifier_chain(spark, sf)
+def test_chain_without_labels_or_documents(spark, folder):
+    docs = spark.createDataFrame([(1, "a"), (2, None)], "doc_id long, text string")
+    none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    sf = folder(documents=docs, labels=none)
+    rows = toxicity.op5_classifier_chain(spark, sf).collect()
+    assert [(r.doc_id, r.toxic) for r in rows] == [(1, False), (2, False)] and max(r.p_toxic for r in rows) < 1e-6
+    assert toxicity.without_toxic(spark, docs, sf).count() == 2
+    labels = spark.createDataFrame([(1, 1, 1)], none.schema)
+    assert toxicity.op5_classifier_chain(spark, folder(documents=docs.limit(0), labels=labels)).count() == 0
 
 
 def test_later_models_see_out_of_fold_logits():
