@@ -271,6 +271,12 @@ def _close_in_size(n: str, m: str):
     return 100 * F.least(n, m) >= PERCENT * F.greatest(n, m)
 
 
+def _placed(n: str, m: str, pos: str, other: str):
+    """Length and positional filter: the first shingle that both prefixes share has none before it in common."""
+    most = 1 + F.least(F.col(n) - 1 - F.col(pos), F.col(m) - 1 - F.col(other))
+    return _close_in_size(n, m) & (100 * most >= PERCENT * (F.col(n) + F.col(m) - most))
+
+
 class _Verifier:
     """Similarities of pairs of nodes: bitmaps first, then the sets of what is left.
 
@@ -320,32 +326,50 @@ def linked_nodes(prefixes: DataFrame, nodes: DataFrame, sets_of, spark: SparkSes
     1 - Jaccard is a metric, a linked node x can only link to an unlinked node y if
     d(y, pivot) <= d(x, pivot) + 0.2.  Linked nodes that are too near the pivot for any y leave the
     crowd, and crowds whose nodes are all connected are done.  Crowds still above ``CROWD`` nodes go
-    round again with another pivot, ``ROUNDS`` times; the rest are compared pair by pair, after length,
-    positional and bitmap filters, only where nodes are not connected yet.  No link between components is lost.
+    round again with another pivot, ``ROUNDS`` times.  Of the rest, pairs of nodes that are not connected yet pass the
+    length, positional and bitmap filters; of every two components the most promising pair is verified first, and the others
+    only if that did not connect them.  No link between components is lost.
     """
     spark.conf.set("spark.sql.unionOutputPartitioning", "false")
     dealt = prefixes.repartition("token")
     # the aggregate asks for all columns, so that it and the join share the one exchange
+    place = F.struct("node", "n", "pos")
     shared = dealt.groupBy("token").agg(
-        F.min("node").alias("_lo"), F.max("node").alias("_hi"), F.max("n").alias("_n"), F.max("pos").alias("_p"), F.countDistinct("node").alias("_c")
-    ).where("_c > 1 and _n >= 0 and _p >= 0")
-    # two nodes that meet by themselves, as most that meet by chance do, are one pair and need no pivot
-    couples = stored(shared.where("_c = 2").select(F.col("_lo").alias("a"), F.col("_hi").alias("b")).distinct(), "couples")
-    crowd = stored(dealt.join(shared.where("_c > 2").select("token"), "token").dropDuplicates(["token", "node"]), "crowds")
+        F.min(place).alias("_lo"), F.max(place).alias("_hi"), F.countDistinct("node").alias("_c")
+    ).where("_c > 1")
+    of_two = (F.col("_c") == 2) & _placed("_lo.n", "_hi.n", "_lo.pos", "_hi.pos")
+    met = dealt.join(shared.where(of_two | (F.col("_c") > 2)), "token").dropDuplicates(["token", "node"])
+    crowd = stored(met.select("token", "node", "n", "pos", "_c", F.when(of_two, F.col("_lo.node")).alias("_a"), F.when(of_two, F.col("_hi.node")).alias("_b")), "crowds")
     tidy(spark)
+    # two nodes that meet by themselves, as most that meet by chance do, are one pair and need no pivot
+    couples = crowd.where("_c = 2").select(F.col("_a").alias("a"), F.col("_b").alias("b")).distinct()
+    crowd = crowd.where("_c > 2").select("token", "node", "n", "pos")
     verify = _Verifier(nodes, sets_of)
     known: list[DataFrame] = []
     small: list[DataFrame] = []
+    labels: DataFrame | None = None
 
     def all_known() -> DataFrame:
         return reduce(DataFrame.unionByName, known)
 
-    def links(of: list[DataFrame]) -> DataFrame:
-        return reduce(DataFrame.unionByName, of).where("linked").select(F.col("a").alias("u"), F.col("b").alias("v"))
+    def joined_up(found: DataFrame) -> DataFrame:
+        """Labels after what was just found; a link is an edge once, a label ever after."""
+        edges = found.where("linked").select(F.col("a").alias("u"), F.col("b").alias("v"))
+        if labels is not None:
+            edges = edges.unionByName(labels.select(F.col("node").alias("u"), F.col("label").alias("v")))
+        return stored(components(edges), "labels")
+
+    def with_labels(rows: DataFrame) -> DataFrame:
+        of = labels.select(F.col("node").alias("_node"), F.col("label").alias("_label"))
+        return rows.join(of, F.col("node") == F.col("_node"), "left").select(*rows.columns, F.coalesce("_label", "node").alias("label"))
+
+    def unsettled(rows: DataFrame) -> DataFrame:
+        """Rows of crowds that more than one label has, with the size of the crowd."""
+        several = rows.groupBy("token").agg(F.min("label").alias("_l"), F.max("label").alias("_h"), F.count("*").alias("_c")).where("_l < _h")
+        return rows.join(several.select("token", "_c"), "token")
 
-    labels: DataFrame | None = None
     for turn in range(ROUNDS):
-        pivots = crowd.groupBy("token").agg(F.min_by(F.struct("node", "n"), F.xxhash64("node", F.lit(turn))).alias("_p"))
+        pivots = crowd.groupBy("token").agg(F.min_by(place, F.xxhash64("node", F.lit(turn))).alias("_p"))
         pivots = pivots.select("token", F.col("_p.node").alias("_pivot"), F.col("_p.n").alias("_pn"))
         rows = crowd.join(pivots, "token").where("node <> _pivot")
         rows = rows.withColumns({"a": F.least("node", "_pivot"), "b": F.greatest("node", "_pivot")})
@@ -362,13 +386,8 @@ def linked_nodes(prefixes: DataFrame, nodes: DataFrame, sets_of, spark: SparkSes
         edge = near.groupBy("token").agg(F.min(F.when(~F.col("linked"), F.col("_d"))).alias("_edge")).where("_edge is not null")
         limit = F.col("_edge") - (1 - PERCENT / 100) - 1e-9
         left = near.join(edge, "token").where(~F.col("linked") | (F.col("_d") >= limit)).select("token", "node", "n", "pos")
-        if labels is None:  # most of what links is connected after the first turn
-            labels = stored(components(links(known)), "labels")
-        of = labels.select(F.col("node").alias("_node"), F.col("label").alias("_label"))
-        left = left.join(of, F.col("node") == F.col("_node"), "left")
-        left = stored(left.select("token", "node", "n", "pos", F.coalesce("_label", "node").alias("label")), "left")
-        several = left.groupBy("token").agg(F.min("label").alias("_a"), F.max("label").alias("_b"), F.count("*").alias("_c")).where("_a < _b")
-        left = left.join(several.select("token", "_c"), "token")
+        labels = joined_up(known[-1])
+        left = stored(unsettled(with_labels(left)).drop("label"), "left")
         small.append(left.where(F.col("_c") <= CROWD).drop("_c"))
         crowd = stored(left.where(F.col("_c") > CROWD).drop("_c"), "crowds")
         tidy(spark)
@@ -376,20 +395,28 @@ def linked_nodes(prefixes: DataFrame, nodes: DataFrame, sets_of, spark: SparkSes
             break
     else:
         small.append(crowd)
-    rest = reduce(DataFrame.unionByName, small).select("token", "node", "n", "pos", "label")
+    rest = unsettled(with_labels(reduce(DataFrame.unionByName, small).select("token", "node", "n", "pos"))).drop("_c")
     bits = nodes.select(F.col("node").alias("_k"), "bits")
     rest = stored(rest.join(bits, F.col("node") == F.col("_k")).drop("_k"), "rest")
     other = rest.select("token", *[F.col(c).alias(f"_{c}") for c in ("node", "n", "pos", "label", "bits")])
-    # the first shingle that both prefixes share has none before it in common
-    most = 1 + F.least(F.col("n") - 1 - F.col("pos"), F.col("_n") - 1 - F.col("_pos"))
+    most = _most("bits", "_bits", "n", "_n")
     meet = (
         (rest["token"] == other["token"]) & (F.col("node") < F.col("_node")) & (F.col("label") != F.col("_label"))
-        & _close_in_size("n", "_n") & (100 * most >= PERCENT * (F.col("n") + F.col("_n") - most))
-        & _may_link(_most("bits", "_bits", "n", "_n"), "n", "_n")
+        & _placed("n", "_n", "pos", "_pos") & _may_link(most, "n", "_n")
     )
-    pairs = rest.join(other, meet).select(F.col("node").alias("a"), F.col("_node").alias("b")).distinct()
-    known.append(verify(pairs.join(all_known().select("a", "b"), ["a", "b"], "left_anti"), False))
-    return components(links(known[1:]).unionByName(labels.select(F.col("node").alias("u"), F.col("label").alias("v"))))
+    bound = F.coalesce(most / (F.col("n") + F.col("_n") - most), F.lit(1.0)).alias("bound")
+    pairs = rest.join(other, meet).select(F.col("node").alias("a"), F.col("_node").alias("b"), F.col("label").alias("_x"), F.col("_label").alias("_y"), bound)
+    pairs = stored(pairs.distinct().join(all_known().select("a", "b"), ["a", "b"], "left_anti"), "pairs")
+    # the most promising pair of every two labels first: once two parts are connected, their other pairs need no look
+    first = pairs.groupBy(F.least("_x", "_y"), F.greatest("_x", "_y")).agg(F.max_by(F.struct("a", "b"), F.struct("bound", "a", "b")).alias("p")).select("p.*")
+    known.append(verify(first, False))
+    labels = joined_up(known[-1])
+    ends = pairs.join(known[-1].select("a", "b"), ["a", "b"], "left_anti").select("a", "b")
+    at = lambda k, x: labels.select(F.col("node").alias(k), F.col("label").alias(x))
+    apart = F.coalesce("_x", "a") != F.coalesce("_y", "b")
+    open_ = ends.join(at("a", "_x"), "a", "left").join(at("b", "_y"), "b", "left").where(apart).select("a", "b")
+    known.append(verify(open_, False))
+    return joined_up(known[-1])
 
 
 def _labelled(docs: DataFrame, row) -> tuple[DataFrame, DataFrame]:
