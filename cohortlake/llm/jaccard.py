@@ -189,34 +189,41 @@ def _prefixes(texts: DataFrame, ranks) -> DataFrame:
     return texts.mapInArrow(run, "token long, node long, n int, pos int")
 
 
-def _wanted(nodes: DataFrame) -> np.ndarray:
-    """A bit for every value that the upper bits of a wanted node take: a filter of fixed size."""
+def _wanted(hashes: DataFrame) -> np.ndarray:
+    """A bit for every value that the upper bits of a wanted hash (the only column) take: a filter of fixed size."""
 
     def mark(pdf: pd.DataFrame) -> pd.DataFrame:
         bits = np.zeros(1 << WANTED_PART, dtype=bool)
         bits[pdf["cell"].to_numpy() & ((1 << WANTED_PART) - 1)] = True
         return pd.DataFrame({"part": [int(pdf["cell"].iloc[0]) >> WANTED_PART], "body": [np.packbits(bits).tobytes()]})
 
-    cell = F.shiftrightunsigned("node", 64 - WANTED_BITS).alias("cell")
-    marked = nodes.select(cell).distinct().groupBy(F.shiftright("cell", WANTED_PART)).applyInPandas(mark, "part int, body binary")
+    cell = F.shiftrightunsigned(hashes.columns[0], 64 - WANTED_BITS).alias("cell")
+    marked = hashes.select(cell).distinct().groupBy(F.shiftright("cell", WANTED_PART)).applyInPandas(mark, "part int, body binary")
     out = np.zeros(1 << (WANTED_BITS - 3), dtype=np.uint8).reshape(-1, 1 << (WANTED_PART - 3))
     for r in marked.collect():  # at most as many rows as the filter has parts
         out[r["part"]] = np.frombuffer(r["body"], np.uint8)
     return out.ravel()
 
 
-def _sets(texts: DataFrame, wanted) -> DataFrame:
-    """(node, shingles): sorted shingle hashes of all nodes that pass the filter; the texts themselves stay where they are."""
+def _marked(marks: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    cell = hashes.view(np.uint64) >> np.uint64(64 - WANTED_BITS)
+    return (marks[cell >> np.uint64(3)] >> (np.uint8(7) - (cell & np.uint64(7)).astype(np.uint8))) & 1 > 0
+
+
+def _sets(texts: DataFrame, wanted, nodes) -> DataFrame:
+    """(node, shingles): sorted shingle hashes of all nodes that pass the filter; the texts themselves stay where they are.
+
+    ``texts`` holds _key, a hash of the id, and _text.  Only texts whose key passes ``wanted`` are looked at.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        marks = wanted.value
         for batch in batches:
+            some = batch.filter(pa.array(_marked(wanted.value, batch["_key"].to_numpy())))
             seen: set[int] = set()
-            for _, _, edges, hashed in shingle_sets(batch["_text"]):
+            for _, _, edges, hashed in shingle_sets(some["_text"]):
                 node, size = _nodes(edges, hashed), np.diff(edges)
-                cell = node.view(np.uint64) >> np.uint64(64 - WANTED_BITS)
-                hit = (marks[cell >> np.uint64(3)] >> (np.uint8(7) - (cell & np.uint64(7)).astype(np.uint8))) & 1
-                good = [i for i in np.flatnonzero((hit > 0) & (size > 0)) if not (node[i] in seen or seen.add(node[i]))]
+                hit = _marked(nodes.value, node)
+                good = [i for i in np.flatnonzero(hit & (size > 0)) if not (node[i] in seen or seen.add(node[i]))]
                 sets = [hashed[edges[i] : edges[i + 1]].tobytes() for i in good]
                 yield pa.RecordBatch.from_arrays([pa.array(node[good]), pa.array(sets, pa.binary())], names=["node", "shingles"])
 
@@ -294,6 +301,8 @@ class _Verifier:
         bound = F.col("_most") / (F.col("_n") + F.col("_m") - F.col("_most"))
         bounds = stored(met.select("a", "b", bound.alias("jaccard"), _may_link(F.col("_most"), "_n", "_m").alias("close")), "bounds")
         todo = bounds.where("close").select("a", "b")
+        if todo.isEmpty():
+            return bounds.select("a", "b", "jaccard", F.lit(False).alias("linked"))
         fresh = todo.select(F.explode(F.array("a", "b")).alias("node")).distinct()
         for known in self.sets:
             fresh = fresh.join(known, "node", "left_anti")
@@ -333,17 +342,15 @@ def linked_nodes(prefixes: DataFrame, nodes: DataFrame, sets_of, spark: SparkSes
     spark.conf.set("spark.sql.unionOutputPartitioning", "false")
     dealt = prefixes.repartition("token")
     # the aggregate asks for all columns, so that it and the join share the one exchange
-    place = F.struct("node", "n", "pos")
-    shared = dealt.groupBy("token").agg(
-        F.min(place).alias("_lo"), F.max(place).alias("_hi"), F.countDistinct("node").alias("_c")
-    ).where("_c > 1")
-    of_two = (F.col("_c") == 2) & _placed("_lo.n", "_hi.n", "_lo.pos", "_hi.pos")
-    met = dealt.join(shared.where(of_two | (F.col("_c") > 2)), "token").dropDuplicates(["token", "node"])
-    crowd = stored(met.select("token", "node", "n", "pos", "_c", F.when(of_two, F.col("_lo.node")).alias("_a"), F.when(of_two, F.col("_hi.node")).alias("_b")), "crowds")
+    shared = dealt.groupBy("token").agg(F.min("node").alias("_lo"), F.max("node").alias("_hi"), F.max("n").alias("_n"), F.max("pos").alias("_p"))
+    met = stored(dealt.join(shared.where("_lo < _hi and _n >= 0 and _p >= 0").select("token"), "token").dropDuplicates(["token", "node"]), "crowds")
     tidy(spark)
     # two nodes that meet by themselves, as most that meet by chance do, are one pair and need no pivot
-    couples = crowd.where("_c = 2").select(F.col("_a").alias("a"), F.col("_b").alias("b")).distinct()
-    crowd = crowd.where("_c > 2").select("token", "node", "n", "pos")
+    place = F.struct("node", "n", "pos")
+    sizes = stored(met.groupBy("token").agg(F.count("*").alias("_c"), F.min(place).alias("_lo"), F.max(place).alias("_hi")), "sizes")
+    of_two = sizes.where((F.col("_c") == 2) & _placed("_lo.n", "_hi.n", "_lo.pos", "_hi.pos"))
+    couples = of_two.select(F.col("_lo.node").alias("a"), F.col("_hi.node").alias("b")).distinct()
+    crowd = stored(met.join(sizes.where("_c > 2").select("token"), "token").select("token", "node", "n", "pos"), "crowds")
     verify = _Verifier(nodes, sets_of)
     known: list[DataFrame] = []
     small: list[DataFrame] = []
@@ -434,7 +441,10 @@ def _labelled(docs: DataFrame, row) -> tuple[DataFrame, DataFrame]:
     reps = stored(alike.agg(F.min("doc_id").alias("_rep"), F.max("n").alias("n"), F.first("bits").alias("bits")), "nodes")
 
     def sets_of(nodes: DataFrame) -> DataFrame:
-        found = _sets(texts.select("_text"), spark.sparkContext.broadcast(_wanted(nodes)))
+        # a node's set is taken from the documents of the smallest id that has it
+        keys = reps.join(nodes, "node", "left_semi").select(F.xxhash64("_rep").alias("_key"))
+        given = [spark.sparkContext.broadcast(_wanted(h)) for h in (keys, nodes)]
+        found = _sets(texts.select(F.xxhash64("_id").alias("_key"), "_text"), *given)
         return found.join(nodes, "node", "left_semi").dropDuplicates(["node"])
 
     labels = linked_nodes(_prefixes(texts.select("_text"), ranks), reps.select("node", "n", "bits"), sets_of, spark)
