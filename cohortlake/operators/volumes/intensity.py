@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortlake.functions import draws
-from cohortlake.operators.ordered import group_percentiles
+from cohortlake.operators.volumes import summary
 from cohortlake.operators.volumes.stats import volume_statistics
 
 
@@ -56,8 +56,7 @@ def percentile_scale(
     slabs: DataFrame, lower: float = 0.01, upper: float = 0.99, low: float = 0.0, high: float = 1.05
 ) -> DataFrame:
     """Map the percentile range linearly to [low, high] without clipping; a flat range only shifts."""
-    v = slabs.select("scan_id", F.explode("px").alias("v"))
-    p = group_percentiles(v, ["scan_id"], "v", {"_a": lower, "_b": upper})
+    p = summary.scan_percentiles(slabs, summary.slice_summaries(slabs), {"_a": lower, "_b": upper})
     a, span = F.col("_a"), F.col("_b") - F.col("_a")
     return with_scan(
         slabs, p,

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cohortlake.operators.ordered import group_percentiles
+from cohortlake.operators.volumes import summary
 from cohortlake.operators.volumes.slabs import scans_of, voxels
 
 
@@ -40,13 +40,12 @@ def signal_range(stats: DataFrame) -> DataFrame:
 
 def tissue_contrast(slabs: DataFrame, exact: bool = True) -> DataFrame:
     """(p90 - p10) / (p90 + p10 + 1e-5) over positive voxels; 0 where there are none."""
-    bright = slabs.select("scan_id", F.explode("px").alias("v")).where("v > 0")
     if exact:
-        p = group_percentiles(bright, ["scan_id"], "v", {"p10": 0.1, "p90": 0.9})
-    else:
-        p = bright.groupBy("scan_id").agg(
-            F.percentile_approx("v", 0.1).alias("p10"), F.percentile_approx("v", 0.9).alias("p90")
-        )
+        return summary.contrast_of(slabs, summary.slice_summaries(slabs, positive=True))
+    bright = slabs.select("scan_id", F.explode("px").alias("v")).where("v > 0")
+    p = bright.groupBy("scan_id").agg(
+        F.percentile_approx("v", 0.1).alias("p10"), F.percentile_approx("v", 0.9).alias("p90")
+    )
     ratio = (F.col("p90") - F.col("p10")) / (F.col("p90") + F.col("p10") + 1e-5)
     return scans_of(slabs).join(p.select("scan_id", ratio.alias("contrast")), "scan_id", "left").fillna(0.0, ["contrast"])
 
@@ -83,7 +82,10 @@ def blur_index(slabs: DataFrame) -> DataFrame:
 
 def slice_differences(slabs: DataFrame) -> DataFrame:
     """|mean(z) - mean(z-1)| of channel 0; a group is the slice count of one scan, one number each."""
-    means = slice_statistics(slabs.where("c = 0"))
+    return _differences(slice_statistics(slabs.where("c = 0")))
+
+
+def _differences(means: DataFrame) -> DataFrame:
     w = Window.partitionBy("scan_id").orderBy("z")
     return means.select("scan_id", "z", "nz", F.abs(F.col("mean") - F.lag("mean").over(w)).alias("diff")).where(
         "diff IS NOT NULL"
@@ -92,11 +94,15 @@ def slice_differences(slabs: DataFrame) -> DataFrame:
 
 def slice_gaps(slabs: DataFrame, factor: float = 8.0, at_least: int = 5) -> DataFrame:
     """missing_slices: a jump above ``factor`` times the median jump, for volumes of enough slices."""
-    d = slice_differences(slabs).groupBy("scan_id").agg(
+    return _gaps(scans_of(slabs), slice_differences(slabs), factor, at_least)
+
+
+def _gaps(scans: DataFrame, differences: DataFrame, factor: float = 8.0, at_least: int = 5) -> DataFrame:
+    d = differences.groupBy("scan_id").agg(
         F.max("diff").alias("top"), F.median("diff").alias("mid"), F.first("nz").alias("nz")
     )
     gap = (F.col("nz") >= at_least) & (F.col("mid") != 0) & (F.col("top") > factor * F.col("mid"))
-    return scans_of(slabs).join(d.select("scan_id", gap.alias("missing_slices")), "scan_id", "left").fillna(False, ["missing_slices"])
+    return scans.join(d.select("scan_id", gap.alias("missing_slices")), "scan_id", "left").fillna(False, ["missing_slices"])
 
 
 def foreground_box(slabs: DataFrame) -> DataFrame:
@@ -123,9 +129,15 @@ def overall_quality(snr: Column, blur: Column, motion: Column, contrast: Column)
 
 
 def quality_report(slabs: DataFrame, spacing: DataFrame, motion: float = 0.15) -> DataFrame:
-    """All quality measures per scan; ``spacing`` holds scan_id and spacing array<double>."""
-    parts = scans_of(slabs, "nz").withColumnRenamed("nz", "slice_count")
-    for p in (signal_range(volume_statistics(slabs)), blur_index(slabs), tissue_contrast(slabs), slice_gaps(slabs), spacing):
+    """All quality measures per scan; ``spacing`` holds scan_id and spacing array<double>.
+
+    The voxels are read twice: once for a summary of every slice, from which all else follows, and once for the
+    values of the bins in which the two percentiles of the contrast lie.
+    """
+    slices = summary.slice_summaries(slabs, positive=True, blur=True)
+    parts = slices.groupBy("scan_id").agg(F.first("nz").alias("slice_count"), F.max("blur").alias("blur"))
+    gaps = _gaps(parts.select("scan_id"), _differences(slices.where("c = 0")))
+    for p in (signal_range(summary.moments(slices)), summary.contrast_of(slabs, slices), gaps, spacing):
         parts = parts.join(p, "scan_id", "left")  # a scan whose central slice is missing has no blur
     parts = parts.fillna(0.0, ["blur"])
     return parts.select(
