@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import gzip
-import io
 import zlib
 from collections.abc import Iterator
 
@@ -26,6 +24,10 @@ CATALOG_SCHEMA = (
     "path string, shape array<int>, dtype string, spacing array<double>, affine array<array<double>>, "
     "header map<string,string>, error string"
 )
+# fixed value: how a gzip member begins
+GZIP = b"\x1f\x8b"
+# bytes of a file that are unpacked at a time
+STEP = 1 << 20
 # slices leave a task in batches of about this many pixels
 PIXELS_PER_BATCH = 1 << 22
 SLAB_SCHEMA = "scan_id string, c int, z int, nx int, ny int, nz int, px array<float>"
@@ -57,10 +59,35 @@ def detected(files: DataFrame) -> DataFrame:
     return out.withColumn("format_error", format_error(F.col("format"), name))
 
 
-def _header(raw: bytes) -> tuple[dict, bytes]:
-    """Parsed fields and the (unzipped) bytes of one file."""
-    if raw[:2] == b"\x1f\x8b":
-        raw = gzip.GzipFile(fileobj=io.BytesIO(raw)).read()
+def unpacked(content: bytes | memoryview, step: int = STEP) -> Iterator[bytes]:
+    """The unpacked content of a file in parts of at most ``step`` bytes; of one that is not compressed, as it is.
+
+    All members of a gzip file are read to the end of the last, whatever lengths its trailers give.  A stream that ends early
+    raises EOFError, a damaged one zlib.error, both after the parts before.  Zero bytes may follow the last member.
+    """
+    view = memoryview(content)
+    if bytes(view[:2]) != GZIP:
+        for at in range(0, len(view), step):
+            yield bytes(view[at : at + step])
+        return
+    at = 0
+    while bytes(view[at : at + 2]) == GZIP:
+        member = zlib.decompressobj(31)
+        while not member.eof:
+            if not member.unconsumed_tail and at >= len(view):
+                raise EOFError("compressed data ends early")
+            given = member.unconsumed_tail or bytes(view[at : at + step])
+            at += 0 if member.unconsumed_tail else len(given)
+            part = member.decompress(given, step)
+            if part:
+                yield part
+        at -= len(member.unused_data)
+    if any(view[at:]):
+        raise zlib.error("other data after the last member")
+
+
+def _header(raw: bytes) -> dict:
+    """Parsed fields from the first bytes of an unpacked file."""
     two = raw[4:7] in (b"n+2", b"ni2")
     f = NIFTI2 if two else NIFTI1
     if len(raw) < f["size"]:
@@ -93,7 +120,11 @@ def _header(raw: bytes) -> tuple[dict, bytes]:
         "fields": {"version": "2" if two else "1", "datatype": str(code), "sform_code": str(codes["sform"]),
                    "qform_code": str(codes["qform"]), "scl_slope": str(slope), "scl_inter": str(inter)},
     }
-    return info, raw
+    return info
+
+
+def _voxel_end(info: dict) -> int:
+    return info["start"] + int(np.prod(info["shape"])) * np.dtype(info["raw_dtype"]).itemsize
 
 
 def _quaternion(q: np.ndarray, pix: np.ndarray) -> np.ndarray:
@@ -111,43 +142,56 @@ def _quaternion(q: np.ndarray, pix: np.ndarray) -> np.ndarray:
     return out
 
 
-# bytes of a file that the catalogue looks at: more than a header, also of a compressed file
-HEAD = 1 << 16
+# bytes of a file that is not compressed that the catalogue looks at: more than a header
+HEAD = 1 << 10
 
 
 def catalog(files: DataFrame) -> DataFrame:
     """One header row per (path, content); ``error`` says what is wrong with a file instead of failing the job.
 
-    Only the first bytes leave the JVM, with the size of the file: its length, or for a compressed file what
-    its last four bytes give as the unpacked length.  A file whose voxels are cut short keeps its header and has an error.
+    Of a file that is not compressed only the first bytes leave the JVM, with its length.  A compressed one is walked
+    to its end in parts, as only that tells how long it is and whether it is whole.  A file whose voxels
+    are cut short, or whose stream is, keeps its header and has an error.
     """
-    gz = F.substring("content", 1, 2) == F.lit(b"\x1f\x8b")
-    tail = F.conv(F.hex(F.substring("content", -4, 4)), 16, 10).cast("long")
-    # little-endian trailer
-    low = lambda n: F.shiftright(tail, n).bitwiseAND(F.lit(255))
-    unpacked = F.shiftleft(low(0), 24) + F.shiftleft(low(8), 16) + F.shiftleft(low(16), 8) + low(24)
-    length = F.octet_length("content").cast("long")
-    rows = files.select("path", F.substring("content", 1, HEAD).alias("head"), F.when(gz, unpacked).otherwise(length).alias("size"), gz.alias("gz"))
+    gz = F.substring("content", 1, 2) == F.lit(GZIP)
+    body = F.when(gz, F.col("content")).otherwise(F.substring("content", 1, HEAD))
+    rows = files.select("path", body.alias("body"), F.octet_length("content").cast("long").alias("length"), gz.alias("gz"))
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = []
-            for path, head, size, packed in zip(pdf["path"], pdf["head"], pdf["size"], pdf["gz"]):
+            for path, body, length, packed in zip(pdf["path"], pdf["body"], pdf["length"], pdf["gz"]):
+                head, size, error, info = b"", 0, None, None
                 try:
-                    raw = zlib.decompressobj(31).decompress(bytes(head), NIFTI2["size"]) if packed else bytes(head)
-                    info, _ = _header(raw)
-                    need = info["start"] + int(np.prod(info["shape"])) * np.dtype(info["raw_dtype"]).itemsize
-                    # the trailer holds the length modulo 2**32
-                    short = size < need if not packed or need < 1 << 32 else size != need % (1 << 32)
-                    error = "ValueError: voxel data is cut short" if short else None
-                    rows.append((path, info["shape"], info["dtype"], info["spacing"].tolist(), info["affine"].tolist(), info["fields"], error))
+                    for part in unpacked(body):
+                        head += part[: max(HEAD - len(head), 0)]
+                        size += len(part)
                 except Exception as e:
-                    rows.append((path, None, None, None, None, None, f"{type(e).__name__}: {e}"))
+                    error = f"{type(e).__name__}: {e}"
+                try:
+                    info = _header(head)
+                    if error is None and (size if packed else length) < _voxel_end(info):
+                        error = "ValueError: voxel data is cut short"
+                except Exception as e:
+                    error = error or f"{type(e).__name__}: {e}"
+                found = (info["shape"], info["dtype"], info["spacing"].tolist(), info["affine"].tolist(), info["fields"]) if info else (None,) * 5
+                rows.append((path, *found, error))
             yield pd.DataFrame(rows, columns=["path", "shape", "dtype", "spacing", "affine", "header", "error"])
 
     return rows.mapInPandas(parse, CATALOG_SCHEMA)
 
 
+def _volume(content: bytes) -> tuple[dict, bytearray]:
+    """Header and bytes up to the last voxel; the stream is read to its end, but what follows the voxels is not kept."""
+    raw, info = bytearray(), None
+    for part in unpacked(content):
+        if info is None or len(raw) < _voxel_end(info):
+            raw += part
+        if info is None and len(raw) >= HEAD:
+            info = _header(bytes(raw[:HEAD]))
+    return info or _header(bytes(raw[:HEAD])), raw
+
+
 def extract(files: DataFrame) -> DataFrame:
     """One row per (channel, z) slice of each readable file, and one row with ``error`` for every other file.
 
@@ -163,7 +207,7 @@ def extract(files: DataFrame) -> DataFrame:
         for pdf in batches:
             for path, content in zip(pdf["path"], pdf["content"]):
                 try:
-                    info, raw = _header(bytes(content))
+                    info, raw = _volume(content)
                     shape = (info["shape"] + [1, 1])[: max(3, len(info["shape"]))]
                     flat = np.frombuffer(raw, info["raw_dtype"], int(np.prod(shape)), info["start"])
                 except Exception as e:

@@ -732,6 +732,53 @@ def _(spark, sf):
     return file_source.extraction_errors(nifti_files(spark, sf)).select(F.col("scan_id").alias("path"))
 
 
+def _packed(batches):
+    """Embedding rows -> compressed files: whole, cut after compression, of two members, of two with the second cut, damaged."""
+    import gzip
+
+    for pdf in _encode(batches):
+        out = []
+        for path, raw in zip(pdf["path"], pdf["content"]):
+            vid = int(path.split("/v")[1].split(".")[0])
+            raw = gzip.decompress(raw) if path.endswith(".gz") else raw
+            one, two = (gzip.compress(part, mtime=0) for part in (raw[: len(raw) // 2], raw[len(raw) // 2 :]))
+            whole = gzip.compress(raw, mtime=0)
+            flipped = whole[:-6] + bytes([whole[-6] ^ 1]) + whole[-5:]  # inside the checksum
+            out.append((whole, whole[: -9 - vid % 20], one + two, one + two[:-10], flipped)[vid % 5])
+        yield pd.DataFrame({"path": [p.removesuffix(".gz") + ".gz" for p in pdf["path"]], "content": out})
+
+
+def packed_files(spark, sf):
+    return table(spark, sf, "embeddings").select("vec_id", "embedding").mapInPandas(_packed, "path string, content binary")
+
+
+PACKED = "'/scans/v' || vec_id || '.nii.gz'"
+WHOLE = "(vec_id%5 IN (0,2) AND vec_id%10<8)"
+
+
+@query("S03_compressed_catalog", f"SELECT {PACKED} AS path, CASE WHEN vec_id%5 IN (0,2) AND vec_id%10<>9 THEN '4x4x4' END AS shape, NOT {WHOLE} AS failed FROM embeddings")
+def _(spark, sf):
+    c = file_source.catalog(packed_files(spark, sf))
+    whole = F.expr("cast(regexp_extract(path, 'v([0-9]+)', 1) as bigint) % 5 in (0, 2)")
+    return c.select(
+        "path", F.when(whole, F.array_join(F.col("shape").cast("array<string>"), "x")).alias("shape"), F.col("error").isNotNull().alias("failed")
+    )
+
+
+@query("C01_compressed_checks", f"SELECT {PACKED} AS path, vec_id%7<>0 AS exists, vec_id%7<>0 AND {WHOLE} AS readable, NOT (vec_id%7<>0 AND {WHOLE}) AS corrupt FROM embeddings")
+def _(spark, sf):
+    files = packed_files(spark, sf)
+    found = files.where("cast(regexp_extract(path, 'v([0-9]+)', 1) as bigint) % 7 <> 0").select("path")
+    return file_source.file_checks(found, file_source.catalog(files))
+
+
+@query("S04_compressed_slabs", f"SELECT {PACKED} AS path, round(sum(CAST(embedding[i+1] AS DOUBLE)),5)+0.0 AS total FROM embeddings, unnest(range(64)) t(i) WHERE {WHOLE} GROUP BY vec_id")
+def _(spark, sf):
+    s = file_source.extract_slabs(packed_files(spark, sf))
+    v = s.select("scan_id", F.explode("px").alias("v"))
+    return v.groupBy(F.col("scan_id").alias("path")).agg((F.round(F.sum(F.col("v").cast("double")), 5) + 0.0).alias("total"))
+
+
 # leading bytes per page, the page text as the body
 MAGIC = ["89504E470D0A1A0A", "FFD8FFE0", "00" * 128 + "4449434D", "00" * 344 + "6E2B3100", "00" * 344 + "6E693100", "00000000" + "6E2B3200", "00000000" + "6E693200", ""]
 EXT = [".nii", ".png", ".dcm", ".bin", ".JPG", ".nii.gz"]
