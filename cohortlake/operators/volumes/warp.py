@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -59,44 +60,52 @@ def rotation(rx: float, ry: float, rz: float) -> np.ndarray:
 WARP = ["rx", "ry", "rz", "tx", "ty", "tz", "sx", "sy", "sz"]
 
 
-def _reach() -> Column:
-    """Most slices a sampled position can lie away from its output slice, plus one for interpolation."""
+def reach(of: Callable[[str], Column] = F.col) -> Column:
+    """Most slices a sampled position can lie away from its output slice, plus one for interpolation.
+
+    ``of`` gives the column of each of the :data:`WARP` values.
+    """
     half = [(F.col(n) - 1) / 2 for n in ("nx", "ny", "nz")]
-    span = [half[k] * F.abs(F.col(f"s{a}")) + F.abs(F.col(f"t{a}")) for k, a in enumerate("xyz")]
-    bx, by = F.abs(F.sin("rx")), F.abs(F.sin("ry"))
+    span = [half[k] * F.abs(of(f"s{a}")) + F.abs(of(f"t{a}")) for k, a in enumerate("xyz")]
+    bx, by = F.abs(F.sin(of("rx"))), F.abs(F.sin(of("ry")))
     # third row of the rotation is bounded by the sines of the tilts; its diagonal cosine costs the rest
-    drop = F.abs(F.cos("rx") * F.cos("ry") * F.col("sz") - 1) * half[2] + F.abs(F.col("tz"))
+    drop = F.abs(F.cos(of("rx")) * F.cos(of("ry")) * of("sz") - 1) * half[2] + F.abs(of("tz"))
     return (F.ceil((bx + by) * (span[0] + span[1]) + drop) + 1).cast("int")
 
 
+def sampled(cube: np.ndarray, first: int, wanted: list[int], shape: tuple[int, int, int], values: dict) -> list[np.ndarray]:
+    """The ``wanted`` output slices of a warp; ``cube`` holds the input slices from ``first`` on that they read."""
+    n = np.array(shape)
+    centre = (n - 1) / 2
+    rot = rotation(values["rx"], values["ry"], values["rz"])
+    scale = np.array([values["sx"], values["sy"], values["sz"]])
+    shift = np.array([values["tx"], values["ty"], values["tz"]])
+    x, y = np.meshgrid(np.arange(n[0]), np.arange(n[1]), indexing="ij")
+    out = []
+    for z in wanted:
+        q = np.stack([x.ravel(), y.ravel(), np.full(x.size, z)], 1) - centre
+        src = (q * scale + shift) @ rot.T + centre
+        lo = np.floor(src).astype(int)
+        frac, total = src - lo, np.zeros(x.size)
+        for corner in np.ndindex(2, 2, 2):
+            at = lo + corner
+            ok = ((at >= 0) & (at < n)).all(axis=1)
+            w = np.where(corner, frac, 1 - frac).prod(axis=1)
+            total[ok] += w[ok] * cube[at[ok, 2] - first, at[ok, 0], at[ok, 1]]
+        out.append(total.reshape(n[0], n[1]))
+    return out
+
+
 def affine_warp(slabs: DataFrame, params: DataFrame) -> DataFrame:
     """Sample input position R(S q + t) + centre for every output voxel q + centre; trilinear, zeros outside.
 
     ``params``: scan_id and the :data:`WARP` columns.
     """
     def kernel(cube, first, wanted, info):
-        n = np.array([info["nx"], info["ny"], info["nz"]])
-        centre = (n - 1) / 2
-        rot = rotation(info["rx"], info["ry"], info["rz"])
-        scale = np.array([info["sx"], info["sy"], info["sz"]])
-        shift = np.array([info["tx"], info["ty"], info["tz"]])
-        x, y = np.meshgrid(np.arange(n[0]), np.arange(n[1]), indexing="ij")
-        out = []
-        for z in wanted:
-            q = np.stack([x.ravel(), y.ravel(), np.full(x.size, z)], 1) - centre
-            src = (q * scale + shift) @ rot.T + centre
-            lo = np.floor(src).astype(int)
-            frac, total = src - lo, np.zeros(x.size)
-            for corner in np.ndindex(2, 2, 2):
-                at = lo + corner
-                ok = ((at >= 0) & (at < n)).all(axis=1)
-                w = np.where(corner, frac, 1 - frac).prod(axis=1)
-                total[ok] += w[ok] * cube[at[ok, 2] - first, at[ok, 0], at[ok, 1]]
-            out.append(total.reshape(n[0], n[1]))
-        return out
+        return sampled(cube, first, wanted, (info["nx"], info["ny"], info["nz"]), info)
 
     joined = slabs.join(params.select("scan_id", *WARP), "scan_id")
-    return with_halo(joined, _reach(), kernel, WARP)
+    return with_halo(joined, reach(), kernel, WARP)
 
 
 def fixed_warp(slabs: DataFrame, **values: float) -> DataFrame:

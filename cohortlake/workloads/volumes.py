@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
+import re
 import struct
 
 import numpy as np
@@ -15,7 +17,7 @@ from cohortlake.functions import metadata as M
 from cohortlake.functions import paths as P
 from cohortlake.functions.formats import detect_format
 from cohortlake.operators.volumes import geometry, intensity, masks, resample, slabs, stats, warp
-from cohortlake.plans import augment, preprocess, scoring
+from cohortlake.plans import augment, preprocess, repeated, scoring
 from cohortlake.sources import files as file_source
 from cohortlake.sources import sinks
 from cohortlake.session import fresh_path
@@ -579,6 +581,56 @@ def _(spark, sf):
     return vox_out(augment.apply_plan(volumes(spark, sf), plan, ["flip", "affine"]))
 
 
+def _unit(key):
+    """The number that a draw gives for a key."""
+    return (int(hashlib.md5(key.encode()).hexdigest()[:8], 16) + 0.5) / 4294967296.0
+
+
+def _run_sql(run):
+    """Voxels r<run> of one of eight runs: flipped, warped, then levelled or curved."""
+    u = lambda name, lo, hi: lo + _unit(f"{42 + run}:{name}") * (hi - lo)
+    flip = run == 1 or run > 4 and _unit(f"{42 + run}:flip") > 0.5
+    rot, shift, gamma = {2: ((5 * math.pi / 180, 0.0, 0.0), (1.0, 0.0, 0.0), None), 4: (None, None, 1.15)}.get(run, (None, None, None))
+    if run > 4:
+        rot, shift = tuple(u(n, -0.05, 0.05) for n in ("rx", "ry", "rz")), tuple(u(n, -0.5, 0.5) for n in ("tx", "ty", "tz"))
+        gamma = u("gamma", 0.85, 1.15)
+    ctes = [f"f{run} AS MATERIALIZED (SELECT scan_id, {'3-x' if flip else 'x'} AS x, y, z, v FROM vox)"]
+    if rot:
+        warped = _warp_sql(rot, shift, (1.0, 1.0, 1.0))
+        for name in ("vox", "src", "hit", "wt", "cn", "g", "o"):
+            warped = re.sub(rf"\b{name}\b", f"f{run}" if name == "vox" else f"{name}{run}", warped)
+        ctes.append(warped)
+    at = f"o{run}" if rot else f"f{run}"
+    if gamma:
+        ctes.append(f"c{run} AS (SELECT scan_id, x, y, z, pow((v-a)/(b-a+1e-7),{gamma!r})*(b-a)+a AS v FROM {at} JOIN (SELECT scan_id, min(v) a, max(v) b FROM {at} GROUP BY scan_id) USING (scan_id))")
+    elif run == 3:
+        ctes.append(f"c3 AS (SELECT scan_id, x, y, z, CASE WHEN a=b THEN v-a ELSE (v-a)/(b-a)*1.05 END AS v FROM {at} JOIN (SELECT scan_id, quantile_cont(v,0.01) a, quantile_cont(v,0.99) b FROM {at} GROUP BY scan_id) USING (scan_id))")
+    else:
+        ctes.append(f"c{run} AS (SELECT * FROM {at})")
+    return ", ".join(ctes)
+
+
+RUNS_SQL = ", ".join(_run_sql(r) for r in range(8)) + ", r AS (" + " UNION ALL ".join(f"SELECT {r} AS run, * FROM c{r}" for r in range(8)) + ")"
+
+
+@query("V24_repeated_runs", f"{V}, {RUNS_SQL} SELECT scan_id, run, z, round(sum(v),5)+0.0 AS total, round(sum(v*(x*4+y)),4)+0.0 AS place FROM r GROUP BY ALL")
+def _(spark, sf):
+    out = repeated.repeated_runs(volumes(spark, sf), 8)
+    total = F.aggregate("px", F.lit(0.0), lambda a, v: a + v)
+    place = F.aggregate(F.transform("px", lambda v, i: v * i), F.lit(0.0), lambda a, v: a + v)
+    return out.select("scan_id", "run", "z", (F.round(total, 5) + 0.0).alias("total"), (F.round(place, 4) + 0.0).alias("place"))
+
+
+@query("V24_A39_repeated_prediction", f"{V}, {RUNS_SQL}, l AS (SELECT scan_id, run, avg(v) FILTER (x<2)*10 a, avg(v) FILTER (x>=2)*10 b FROM r GROUP BY ALL), m AS (SELECT scan_id, avg(a) a, avg(b) b, count(*) AS runs FROM l GROUP BY scan_id) SELECT scan_id, runs, round(1/(1+exp(a-b)),5) AS prob FROM m")
+def _(spark, sf):
+    """Two logits per scan and run, the means of the halves of the volume times ten; averaged over the runs of a scan."""
+    out = repeated.repeated_runs(volumes(spark, sf), 8)
+    half = lambda low: F.aggregate(F.slice("px", 1 if low else 9, 8), F.lit(0.0), lambda a, v: a + v)
+    logits = out.groupBy("scan_id", "run").agg(*[(F.sum(half(k == 0)) / 32 * 10).alias(f"l{k}") for k in (0, 1)])
+    mean = logits.groupBy("scan_id").agg(F.avg("l0").alias("a"), F.avg("l1").alias("b"), F.count("*").alias("runs"))
+    return mean.select("scan_id", "runs", F.round(1 / (1 + F.exp(F.col("a") - F.col("b"))), 5).alias("prob"))
+
+
 @query("V23_apply_minimal", f"""{V}, o AS (SELECT scan_id, CASE WHEN {_u("'42:' || scan_id || ':0:0'", 0)} < 0.5 THEN 3-x ELSE x END AS x, y, z, v + CASE WHEN {_u("'42:' || scan_id || ':0:1'", 0)} < 0.5 THEN -0.08 + {_u("'42:' || scan_id || ':0:1:offset'", 0)}*0.16 ELSE 0 END AS v FROM vox) {OUT}""")
 def _(spark, sf):
     plan = augment.augmentation_plan(scans(spark, sf), "minimal")
