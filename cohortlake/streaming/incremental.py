@@ -2,16 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from cohortlake.session import fresh_path
-
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+from cohortlake.operators.runs import early_stop
+from cohortlake.session import delete, file_exists, file_system, fresh_path
 
 
 def stream_table(spark: SparkSession, folder: str, name: str = "", files: int = 1000) -> DataFrame:
@@ -64,65 +61,52 @@ def running_balance(stream: DataFrame, label: str, path: str | None = None) -> D
     return seen.groupBy(label).agg(F.max_by("n", "batch").alias("n"))
 
 
-class EarlyStopMonitor(StatefulProcessor):
-    """Per run: best accepted score, scored epochs waited, and the stop epoch once patience is used up.
-
-    Scores are kept in the state store as well: if an epoch arrives after later ones of its run, the run is
-    walked again from its start, so the answer does not depend on how the input is cut into triggers.
-    """
-
-    def __init__(self, patience: int, min_delta: float):
-        self.patience, self.min_delta = patience, min_delta
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("watch", "best double, wait int, stop bigint, last bigint")
-        self.scores = handle.getListState("scores", "epoch bigint, metric double")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        # one trigger's rows of one run; the trigger size bounds them
-        new = sorted((int(e), float(m)) for pdf in rows for e, m in zip(pdf["epoch"], pdf["metric"]) if pd.notna(m))
-        best, wait, stop, last = self.state.get() if self.state.exists() else (float("inf"), 0, None, None)
-        todo = new
-        if new and last is not None and new[0][0] <= last:
-            best, wait, stop = float("inf"), 0, None
-            todo = sorted([*((int(e), float(m)) for e, m in self.scores.get()), *new])
-        for epoch, metric in todo:
-            if metric < best - self.min_delta:
-                best, wait = metric, 0
-            else:
-                wait += 1
-                if wait >= self.patience and stop is None:
-                    stop = epoch
-        if new:
-            self.scores.appendList(new)
-            last = max(new[-1][0], last if last is not None else new[-1][0])
-        self.state.update((float(best), int(wait), stop, last))
-        yield pd.DataFrame({"run": [key[0]], "stop_epoch": pd.array([stop], dtype="Int64")})
-
-    def close(self) -> None:
-        pass
+def _versions(spark: SparkSession, path: str) -> list[int]:
+    """Last batches that the stored answers cover, one per version whose write was completed."""
+    fs, at = file_system(spark, path)
+    if not fs.exists(at):
+        return []
+    names = [s.getPath().getName() for s in fs.listStatus(at)]
+    whole = [n for n in names if n.startswith("upto=") and file_exists(spark, f"{path}/{n}/_SUCCESS")]
+    return sorted(int(n.removeprefix("upto=")) for n in whole)
 
 
 def early_stop_monitor(
     stream: DataFrame, patience: int, min_delta: float = 0.0, path: str | None = None
 ) -> DataFrame:
-    """(run, stop_epoch) after the input available so far, over all runs on ``path``; null while a run may go on."""
+    """(run, stop_epoch) after the input available so far, over all runs on ``path``; null while a run may go on.
+
+    Each trigger appends its epochs to a table and keeps no state, so epochs may arrive in any order and however late.
+    Afterwards the runs that got new epochs are worked out anew by :func:`runs.early_stop` over the table, which cuts
+    a run into slices; the answers of all others are taken over from the version before.  A batch
+    that is tried again replaces its own folder, and a version counts once its write is complete.
+    """
     spark = stream.sparkSession
-    path = path or fresh_path(spark, "monitor")
-    provider = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(provider)
-    watched = stream.groupBy("run").transformWithStateInPandas(
-        EarlyStopMonitor(patience, min_delta), "run bigint, stop_epoch bigint", "Update", "None"
-    )
+    path = (path or fresh_path(spark, "monitor")).rstrip("/")
+    scores, answers = f"{path}/scores", f"{path}/answers"
+    rows = stream.select("run", F.col("epoch").cast("bigint").alias("epoch"), F.col("metric").cast("double").alias("metric"))
+    kind = dict(rows.dtypes)["run"]
 
     def publish(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        batch.write.mode("overwrite").parquet(f"{scores}/batch={batch_id}")
 
-    try:
-        spark.conf.set(provider, ROCKSDB)  # for this query only
-        _drain(watched.writeStream.outputMode("update").foreachBatch(publish), path)
-    finally:
-        spark.conf.set(provider, before)
-    seen = spark.read.schema("run bigint, stop_epoch bigint, batch bigint").parquet(path)
-    # the latest batch of a run tells; a null there is an answer too
-    return seen.groupBy("run").agg(F.max_by(F.struct("stop_epoch"), F.col("batch")).alias("_s")).select("run", "_s.stop_epoch")
+    _drain(rows.writeStream.foreachBatch(publish), path)
+    answer = f"run {kind}, stop_epoch bigint"
+    if not file_exists(spark, scores):
+        return spark.createDataFrame([], answer)
+    seen = spark.read.schema(f"run {kind}, epoch bigint, metric double, batch bigint").parquet(scores)
+    done = _versions(spark, answers)
+    upto, last = done[-1] if done else -1, seen.agg(F.max("batch")).first()[0]
+    known = spark.read.schema(answer).parquet(f"{answers}/upto={upto}") if done else None
+    if last is None or last == upto:
+        return known if known is not None else spark.createDataFrame([], answer)
+    touched = seen.where(F.col("batch") > upto).select("run").distinct()
+    mine = seen.join(touched, "run", "left_semi").select("run", "epoch", "metric")
+    # a run without a score so far has no answer yet
+    now = touched.join(early_stop(mine, "run", "epoch", "metric", patience, min_delta), "run", "left").select("run", "stop_epoch")
+    if known is not None:
+        now = now.unionByName(known.join(touched, "run", "left_anti").select("run", "stop_epoch"))
+    now.write.mode("overwrite").parquet(f"{answers}/upto={last}")
+    for old in done[:-1]:
+        delete(spark, f"{answers}/upto={old}")
+    return spark.read.schema(answer).parquet(f"{answers}/upto={last}")
