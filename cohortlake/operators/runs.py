@@ -6,14 +6,14 @@ holds a third of all epochs is windowed in slices of ``SLICE`` numbers.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortlake.functions.metadata import fixed
-from cohortlake.operators.ordered import running
+from cohortlake.operators.ordered import running, value_edges, with_value_bucket
+from cohortlake.session import materialised
 
 SLICE = 4096
 
@@ -161,6 +161,37 @@ def top_checkpoints(epochs: DataFrame, by: Sequence[str], epoch: str, metric: st
     return epochs.where(F.col(metric).isNotNull()).withColumn("place", F.row_number().over(w)).where(F.col("place") <= k)
 
 
+def _accepted(records: DataFrame, run: str, min_delta: float) -> DataFrame:
+    """(run, _pos) of the accepted ones of the records (run, _best, _pos), each below the ones before.
+
+    From the first on, each accepted record leads to the next: the highest below it by more than the margin.  Where every
+    record would lead is a running maximum over the sorted scores, cut into buckets.  Steps are then doubled,
+    1, 2, 4, ... records at once, and the chain from the first record is filled in from the widest steps down, so
+    a run of any length takes a number of joins that grows with the logarithm of its records, none of which
+    holds a run in one task.
+    """
+    known = materialised(records.select(run, F.col("_best").alias("_s"), "_pos"), "records")
+    marks = known.select(run, F.col("_s").alias("_key"), F.lit(1).alias("_kind"), F.col("_s").alias("_own")).unionByName(
+        known.select(run, (F.col("_s") - F.lit(float(min_delta))).alias("_key"), F.lit(0).alias("_kind"), F.col("_s").alias("_own"))
+    )
+    # a limit stands before a record of the same score: only what is lower counts
+    cut = with_value_bucket(marks, "_key", value_edges(known, "_s"))
+    below = running(cut, [run], "_bucket", ["_key", "_kind"], {"_next": (F.max, F.when(F.col("_kind") == 1, F.col("_key")))})
+    step = below.where("_kind = 0 and _next is not null").select(run, F.col("_own").alias("_a"), F.col("_next").alias("_b"))
+    steps, width = [materialised(step, "steps")], 1
+    longest = known.groupBy(run).count().agg(F.max("count")).first()[0] or 0  # one row
+    while 2 * width < longest:
+        once = steps[-1]
+        again = once.select(run, F.col("_a").alias("_b"), F.col("_b").alias("_c"))
+        steps.append(materialised(once.join(again, [run, "_b"]).select(run, "_a", F.col("_c").alias("_b")), "steps"))
+        width *= 2
+    reached = known.groupBy(run).agg(F.max("_s").alias("_s"))
+    for wide in reversed(steps):
+        further = reached.join(wide, (reached[run] == wide[run]) & (F.col("_s") == F.col("_a"))).select(reached[run], F.col("_b").alias("_s"))
+        reached = materialised(reached.unionByName(further), "reached")
+    return known.join(reached, [run, "_s"]).select(run, "_pos")
+
+
 def early_stop(
     epochs: DataFrame, run: str, epoch: str, metric: str, patience: int, min_delta: float = 0.0, mode: str = "min"
 ) -> DataFrame:
@@ -168,7 +199,7 @@ def early_stop(
 
     A score counts only if it beats the last accepted one by more than ``min_delta``.  Accepted
     scores are always strict records, so windows first reduce each run to its records.  Without a margin
-    those are the accepted scores; with one they are walked in order, as a stream with two numbers of state.  The stop is ``patience`` scored
+    those are the accepted scores; with one :func:`_accepted` follows them.  The stop is ``patience`` scored
     epochs after the last accepted score whose successor comes later than that.
     """
     sign = 1.0 if mode == "min" else -1.0
@@ -181,26 +212,8 @@ def early_stop(
     )
     records = scored.groupBy(run, "_best").agg(F.min("_pos").alias("_pos"))
 
-    def accepted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        current, best = None, float("inf")
-        for pdf in batches:
-            keep = []
-            for key, score in zip(pdf[run], pdf["_best"]):
-                if key != current:
-                    current, best = key, float("inf")
-                take = score < best - min_delta
-                if take:
-                    best = score
-                keep.append(take)
-            yield pdf.loc[keep, [run, "_pos"]]
-
-    kind = dict(epochs.dtypes)[run]
-    # without a margin every record is accepted, and nothing has to be walked
-    taken = records.select(run, "_pos") if min_delta == 0 else (
-        records.repartition(run)
-        .sortWithinPartitions(run, "_pos")
-        .mapInPandas(accepted, f"{run} {kind}, _pos bigint")
-    )
+    # without a margin every record is accepted
+    taken = records.select(run, "_pos") if min_delta == 0 else _accepted(records, run, min_delta)
     n = scored.groupBy(run).agg(F.max("_pos").alias("_n"))
     # the gap after each accepted score: up to the next accepted one, or to the end of the run
     nxt = F.lead("_pos").over(Window.partitionBy(run).orderBy("_pos"))

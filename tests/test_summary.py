@@ -1,4 +1,4 @@
-"""Percentiles, quality, compressed files and repeated prediction against numpy and byte-level cases."""
+"""Percentiles, quality, compressed files, repeated prediction and early stops against numpy and byte-level cases."""
 
 import gzip
 import math
@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from cohortlake.operators.runs import early_stop
 from cohortlake.operators.volumes import geometry, intensity, stats, summary, warp
 from cohortlake.plans import augment, repeated
 from cohortlake.sources import files
@@ -141,3 +142,31 @@ def test_warp_over_block_borders(spark):
     out = {r["z"]: np.array(r["px"]).reshape(5, 4) for r in warp.fixed_warp(slabs_of(spark, {"a": cube}), **values).collect()}
     want = warp.sampled(np.moveaxis(cube, 2, 0), 0, list(range(70)), cube.shape, values)
     assert all(np.allclose(out[z], want[z]) for z in range(70))
+
+
+# --- early stop -------------------------------------------------------------------------------
+
+
+def walked(scores, patience, min_delta):
+    best, wait = float("inf"), 0
+    for epoch, m in enumerate(scores):
+        if m < best - min_delta:
+            best, wait = m, 0
+        else:
+            wait += 1
+            if wait >= patience:
+                return epoch
+    return None
+
+
+@pytest.mark.parametrize(("patience", "min_delta"), [(3, 0.5), (8, 0.1), (40, 2.0), (1, 1e-9)])
+def test_margin_against_a_walk(spark, patience, min_delta):
+    """Runs with one record, with thousands, with ties and with steps of exactly the margin; one holds most rows."""
+    draw = np.random.default_rng(patience)
+    series = {
+        1: (5000 - np.arange(4000) * 0.25 + draw.normal(0, 0.2, 4000)).tolist(), 2: [1.0], 3: [3.0, 3.0, 3.0, 2.5, 2.0, 1.5, 1.0, 1.0],
+        4: draw.normal(0, 3, 300).tolist(), 5: list(range(20)), 6: (100 / (1 + np.arange(200))).tolist(),
+    }
+    rows = spark.createDataFrame([(k, e, float(m)) for k, v in series.items() for e, m in enumerate(v)], "run long, epoch long, metric double")
+    got = dict(early_stop(rows.repartition(6), "run", "epoch", "metric", patience, min_delta).collect())
+    assert got == {k: walked(v, patience, min_delta) for k, v in series.items()}
