@@ -6,6 +6,7 @@ import hashlib
 import math
 import re
 import struct
+import zlib
 
 import numpy as np
 import pandas as pd
@@ -831,6 +832,54 @@ def _(spark, sf):
     return v.groupBy(F.col("scan_id").alias("path")).agg((F.round(F.sum(F.col("v").cast("double")), 5) + 0.0).alias("total"))
 
 
+def _png(picture):
+    """Bytes of an 8-bit grey PNG."""
+    def chunk(kind, body):
+        return struct.pack(">I", len(body)) + kind + body + struct.pack(">I", zlib.crc32(kind + body))
+
+    rows, cols = picture.shape
+    lines = b"".join(b"\0" + row.tobytes() for row in picture)
+    head = struct.pack(">IIBBBBB", cols, rows, 8, 0, 0, 0, 0)
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", head) + chunk(b"IDAT", zlib.compress(lines)) + chunk(b"IEND", b"")
+
+
+def picture_files(spark, sf):
+    """The folder of one grey 8 x 8 picture per embedding: pixel (row, column) is 255 times the size of an element, at most 255."""
+    folder = fresh_path(spark, "pictures")
+
+    def write(batches):
+        from pyarrow import fs
+
+        system, inner = fs.FileSystem.from_uri(folder if "://" in folder else "file://" + folder.removeprefix("file:"))
+        system.create_dir(inner, recursive=True)
+        for pdf in batches:
+            for vid, emb in zip(pdf["vec_id"], pdf["embedding"]):
+                grey = np.minimum(np.floor(np.abs(np.asarray(emb, dtype=np.float64)) * 255), 255).astype(np.uint8)
+                # a repeated attempt writes the same bytes again
+                with system.open_output_stream(f"{inner}/p{vid}.png", compression=None) as out:
+                    out.write(_png(grey.reshape(8, 8)))
+            yield pd.DataFrame({"n": [len(pdf)]})
+
+    rows = table(spark, sf, "embeddings").select("vec_id", "embedding")
+    rows.mapInPandas(write, "n long").agg(F.sum("n")).collect()  # one number
+    return folder
+
+
+PICTURE = "cast(regexp_extract(path, 'p([0-9]+)[.]png', 1) as bigint)"
+
+
+@query("S05_image_source", "SELECT vec_id, (i%8)::INT AS x, (i//8)::INT AS y, least(floor(abs(CAST(embedding[i+1] AS DOUBLE))*255),255)::INT AS grey FROM embeddings, unnest(range(64)) t(i)")
+def _(spark, sf):
+    v = slabs.voxels(file_source.read_images(spark, picture_files(spark, sf)))
+    return v.select(F.expr(PICTURE.replace("path", "scan_id")).alias("vec_id"), "x", "y", F.col("v").cast("int").alias("grey"))
+
+
+@query("S05_image_headers", "SELECT vec_id, '8' AS height, '8' AS width, '1' AS channels FROM embeddings")
+def _(spark, sf):
+    h = file_source.image_headers(spark, picture_files(spark, sf))
+    return h.select(F.expr(PICTURE).alias("vec_id"), *[F.col("header")[n].alias(n) for n in ("height", "width", "channels")])
+
+
 # leading bytes per page, the page text as the body
 MAGIC = ["89504E470D0A1A0A", "FFD8FFE0", "00" * 128 + "4449434D", "00" * 344 + "6E2B3100", "00" * 344 + "6E693100", "00000000" + "6E2B3200", "00000000" + "6E693200", ""]
 EXT = [".nii", ".png", ".dcm", ".bin", ".JPG", ".nii.gz"]
