@@ -58,26 +58,24 @@ def at_total(total: Column, column: str) -> Column:
 def cohort_statistics(index: DataFrame) -> DataFrame:
     """One row: scans, subjects, per-diagnosis and per-sex counts, mean age, site histogram.
 
-    Totals and sites are two grouping sets of one pass; their rows are then folded to one.
+    Rows are counted by site in the map tasks; the totals are sums over sites.  Distinct subjects are counted by themselves,
+    so that no row is copied for each grouping set.
     """
-    rows = index.withColumn("_site", F.coalesce(F.col("site").cast("string"), F.lit("Unknown")))
-    sets = rows.groupingSets([["_site"], []], "_site").agg(
-        F.grouping_id().alias("_level"),
-        F.count("*").alias("total_mri_scans"),
-        F.countDistinct("subject_id").alias("indexed_subjects"),
-        count_where(F.col("label") == "ASD").alias("asd_count"),
-        count_where(F.col("label") == "CONTROL").alias("control_count"),
-        count_where(F.col("sex") == "Male").alias("male_count"),
-        count_where(F.col("sex") == "Female").alias("female_count"),
-        F.coalesce(F.avg("age"), F.lit(0.0)).alias("mean_age"),
-    )
-    total = F.col("_level") == 1
-    counts = ["total_mri_scans", "indexed_subjects", "asd_count", "control_count", "male_count", "female_count"]
-    # an empty index has no grouping-set rows
-    return sets.agg(
-        *[F.coalesce(at_total(total, c), F.lit(0).cast("bigint")).alias(c) for c in counts],
-        F.coalesce(at_total(total, "mean_age"), F.lit(0.0)).alias("mean_age"),
-        histogram("site_distribution", ~total, F.col("_site"), "total_mri_scans"),
+    site = F.coalesce(F.col("site").cast("string"), F.lit("Unknown"))
+    counted = {
+        "total_mri_scans": F.count("*"), "asd_count": count_where(F.col("label") == "ASD"), "control_count": count_where(F.col("label") == "CONTROL"),
+        "male_count": count_where(F.col("sex") == "Male"), "female_count": count_where(F.col("sex") == "Female"),
+        "_ages": F.count("age"), "_age": F.sum("age"),
+    }
+    sites = index.groupBy(site.alias("_site")).agg(*[c.alias(n) for n, c in counted.items()])
+    subjects = index.agg(F.countDistinct("subject_id").alias("indexed_subjects"))
+    both = sites.unionByName(subjects, allowMissingColumns=True)
+    sums = {n: F.coalesce(F.sum(n), F.lit(0).cast("bigint")).alias(n) for n in counted if not n.startswith("_")}
+    sums["indexed_subjects"] = F.max("indexed_subjects").alias("indexed_subjects")
+    order = ["total_mri_scans", "indexed_subjects", "asd_count", "control_count", "male_count", "female_count"]
+    return both.agg(
+        *[sums[n] for n in order], F.coalesce(F.try_divide(F.sum("_age"), F.sum("_ages")), F.lit(0.0)).alias("mean_age"),
+        histogram("site_distribution", F.col("_site").isNotNull(), F.col("_site"), "total_mri_scans"),
     )
 
 
