@@ -94,8 +94,8 @@ def fit(bags: list, seed: int = 7) -> Model:
     """Train on the driver's bounded sample: SGD over embeddings and softmax, then temperature and rejection level."""
     bags = [r for r in bags if len(r["buckets"])]
     languages = sorted({r["label"] for r in bags})
-    if not languages:
-        raise ValueError("language identification needs labelled documents")
+    if not languages:  # nothing to learn from: every text is of unknown language
+        return Model([], np.zeros((0, 0), np.float32), np.zeros(0), 1.0, 1.0)
     at = {x: i for i, x in enumerate(languages)}
     k = len(languages)
     draw = np.random.default_rng(seed)
@@ -141,7 +141,8 @@ def fit(bags: list, seed: int = 7) -> Model:
 def identified(docs: DataFrame, model: Model) -> DataFrame:
     """``docs`` (with a text column) to (_id, lang_pred, score, rejected) of whole texts.
 
-    A null text, or one without a letter, is ``und`` with score 0 and rejected.  A text whose best score is
+    A null text, or one without a letter, is ``und`` with score 0 and rejected, and so is every text if the model knows no
+    language.  An empty table gives no rows; null ids and repeated rows are predicted like others.  A text whose best score is
     below the calibrated level keeps its prediction and is marked as rejected.
     """
     names = np.array([*model.languages, "und"], dtype=object)
@@ -150,6 +151,10 @@ def identified(docs: DataFrame, model: Model) -> DataFrame:
         for batch in batches:
             if not batch.num_rows:
                 continue
+            if not model.languages:
+                rest = ["und"] * batch.num_rows, np.zeros(batch.num_rows), np.ones(batch.num_rows, bool)
+                yield pa.RecordBatch.from_arrays([batch["_id"], *map(pa.array, rest)], names=["_id", "lang_pred", "score", "rejected"])
+                continue
             n, k = batch.num_rows, len(model.languages)
             total, seen = np.zeros((n, k)), np.zeros(n)
             for low, high, data, offsets in chunks(pc.utf8_lower(batch["_text"])):
@@ -189,7 +194,10 @@ def trained(docs: DataFrame, sample: int = SAMPLE) -> Model:
 
 
 def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Language of every document, learnt from documents whose crc32(doc_id) mod 3 is not 1."""
+    """Language of every document, learnt from documents whose crc32(doc_id) mod 3 is not 1.
+
+    Without a text with a language to learn from, all are ``und`` with score 0.
+    """
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     found = identified(docs, trained(docs)).withColumnRenamed("_id", "doc_id")
     return found.select("doc_id", (fold() == 1).alias("held_out"), "lang_pred", "score", "rejected")

@@ -66,6 +66,7 @@ def _header() -> Column:
         F.lit("WARC/1.0\r\n"),
         line("WARC-Type", F.col("record_type")),
         line("WARC-Record-ID", urn("_id")),
+        line("WARC-Date", F.date_format(F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'Z'")),
         line("WARC-Target-URI", uri),
         line("WARC-Payload-Digest", F.concat(F.lit(f"{SHA256}:"), F.col("payload_digest"))),
         F.when(revisit, F.concat(
