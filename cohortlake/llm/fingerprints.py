@@ -11,8 +11,10 @@ from cohortlake.llm.common import buckets_for, table
 
 #: Words of a k-mer, or code points where words are too few.
 WORDS, POINTS = 3, 5
-#: Code points for each k-mer of words from which words are too few; k-mers of words that are too few at any length.
-SPARSE, FEW = 9, 2
+#: Code points for each k-mer of words: k-mers of code points are taken from NEAR on, those of words below FAR.
+NEAR, FAR = 8, 12
+#: K-mers of words: those of words are taken if there are more than FEW, those of code points if there are SHORT at most.
+FEW, SHORT = 2, 6
 #: Low bits that hold a k-mer's place in its text; above them 64 bins (6 bits) and 31 bits of hash.
 PLACE = 27
 #: Ranges of ids that are told apart by quantiles, and documents in a bucket inside a range.
@@ -30,14 +32,13 @@ def _placed(hashed: Column, place: Column) -> Column:
     return hashed.bitwiseAND(F.lit(-(1 << PLACE))).bitwiseOR(place.cast("long"))
 
 
-def _occurrences(units: Column, points: Column) -> Column:
-    """The k-mers of a list of words or ``points`` as long values: hash of (k-mer, number of its occurrence) above, place below."""
-    count = F.greatest(F.size(units) - (F.when(points, POINTS).otherwise(WORDS) - 1), F.lit(1))
+def _occurrences(units: Column, width: int) -> Column:
+    """The k-mers of ``width`` units as long values: hash of (k-mer, number of its occurrence) above, place below."""
+    count = F.greatest(F.size(units) - (width - 1), F.lit(1))
 
     def hashed(i: Column) -> Column:
         """Nulls don't count in the hash."""
-        more = [F.when(points, F.get(units, i + j)) for j in range(WORDS, POINTS)]
-        return F.xxhash64(*[F.get(units, i + j) for j in range(WORDS)], *more)
+        return F.xxhash64(*[F.get(units, i + j) for j in range(width)])
 
     kmers = F.transform(F.sequence(F.lit(0), count - 1), hashed)
 
@@ -71,18 +72,23 @@ def _occurrences(units: Column, points: Column) -> Column:
     return _let(kmers, numbered)
 
 
-def _sparse(words: Column, clean: Column) -> Column:
-    """Whether a text has too few words for its code points, so that words say little about an edit."""
+def _kinds(words: Column, clean: Column) -> tuple[Column, Column]:
+    """Whether a text has k-mers of words, and of code points.
+
+    Words say little about an edit where they are few for the code points.  The two kinds overlap, so that a text
+    and its edited form, a quarter of it changed, have one in common.
+    """
     kmers, n = F.greatest(F.size(words) - (WORDS - 1), F.lit(1)), F.length(clean)
-    return (n > 3) & ((kmers <= FEW) | (n >= SPARSE * kmers))
+    tiny = n <= 3
+    return tiny | ((kmers > FEW) & (n < FAR * kmers)), ~tiny & ((kmers <= SHORT) | (n >= NEAR * kmers))
 
 
-def order_minhash(text: Column, points: bool = False) -> Column:
-    """Signature of a text: at most 32 long values, ascending, each a tuple's number and hash.
+def order_minhash(text: Column) -> Column:
+    """Signature of a text: at most 32 long values for each kind of k-mer, ascending, each a tuple's number and hash.
 
-    K-mers are ``POINTS`` code points in texts with few words for their length (unsegmented scripts, long tokens,
-    up to four words), and with ``points`` in all; their tuples have numbers from 32.  In other texts they are
-    ``WORDS`` words.  Every occurrence-numbered k-mer falls into one of 64 bins by its hash; the smallest of
+    K-mers are ``WORDS`` words, with tuple numbers below 32, or ``POINTS`` code points, with numbers from 32, in
+    texts with few words for their length (unsegmented scripts, long tokens, few words); texts between have both.
+    Every occurrence-numbered k-mer falls into one of 64 bins by its hash; the smallest of
     each bin is chosen.  Two bins make a tuple: their chosen k-mers are put back into text order and
     hashed as a sequence, so a tuple agrees only if both k-mers are kept in the same order.  Tuples without
     a k-mer are left out.  A text without words has no tuple; shorter ones than a k-mer have one.
@@ -90,13 +96,12 @@ def order_minhash(text: Column, points: bool = False) -> Column:
     """
     white = " \t\n\x0b\f\r"
     clean = F.btrim(text, F.lit(white))
-    words = F.split(clean, "[\\x20\\x09-\\x0D]+")
     smallest = lambda v: F.filter(
         v, lambda x, j: (j == 0) | (F.shiftright(x, 58) != F.shiftright(F.get(v, j - 1), 58))
     )
     mask, low = F.lit((1 << PLACE) - 1), F.lit((1 << HASH) - 1)
 
-    def tuples(chosen: Column, points: Column) -> Column:
+    def tuples(chosen: Column, base: int) -> Column:
         def one(x: Column, j: Column) -> Column:
             after, group = F.get(chosen, j + 1), F.shiftright(x, 59)
             pair = F.shiftright(after, 59) == group
@@ -104,20 +109,27 @@ def order_minhash(text: Column, points: bool = False) -> Column:
             ahead = x.bitwiseAND(mask) <= after.bitwiseAND(mask)
             a, b = F.shiftright(x, PLACE), F.shiftright(after, PLACE)
             hashed = F.when(pair & ahead, F.xxhash64(a, b)).when(pair, F.xxhash64(b, a)).otherwise(F.xxhash64(a))
-            own = F.shiftleft(group + F.when(points, 48).otherwise(16), HASH).bitwiseOR(hashed.bitwiseAND(low))
+            own = F.shiftleft(group + base, HASH).bitwiseOR(hashed.bitwiseAND(low))
             return F.when(~F.coalesce((j > 0) & second, F.lit(False)), own)
 
         return F.filter(F.transform(chosen, one), lambda c: c.isNotNull())
 
-    def signed(units: Column, points: Column) -> Column:
-        return _let(F.sort_array(_occurrences(units, points)), lambda v: _let(smallest(v), lambda c: tuples(c, points)))
+    def signed(units: Column, width: int, base: int) -> Column:
+        return _let(F.sort_array(_occurrences(units, width)), lambda v: _let(smallest(v), lambda c: tuples(c, base)))
+
+    none = F.array().cast("array<long>")
+
+    def both(c: Column) -> Column:
+        def made(words: Column) -> Column:
+            by_words, by_points = _kinds(words, c)
+            return F.concat(
+                F.when(by_words, signed(words, WORDS, 16)).otherwise(none),
+                F.when(by_points, _let(F.split(c, ""), lambda u: signed(u, POINTS, 48))).otherwise(none),
+            )
 
-    def chosen(w: Column) -> Column:
-        sparse = _sparse(w, clean)
-        return _let(F.struct(sparse.alias("p"), F.when(sparse, F.split(clean, "")).otherwise(w).alias("u")), lambda x: signed(x["u"], x["p"]))
+        return F.when(F.length(c) == 0, none).otherwise(_let(F.split(c, "[\\x20\\x09-\\x0D]+"), made))
 
-    made = _let(F.split(clean, ""), lambda u: signed(u, F.lit(True))) if points else _let(words, chosen)
-    return F.when(F.length(clean) == 0, F.array().cast("array<long>")).otherwise(made)
+    return _let(clean, both)
 
 
 def as_text(signature: Column) -> Column:
@@ -125,19 +137,25 @@ def as_text(signature: Column) -> Column:
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """Square root of the part of tuples that agree, as a tuple needs two k-mers; 1 for two empty signatures."""
+    """Likeness of two texts by their signatures alone, 0 to 1.
+
+    Square root of the part of tuples that agree, as a tuple needs two k-mers: of words if both signatures have such, else
+    of code points, so 0 if they have no kind in common.  1 for two empty signatures.
+    """
     number = lambda s: F.transform(s, lambda c: F.shiftright(c, HASH))
-    either = F.size(F.array_distinct(F.concat(number(a), number(b))))
-    same = F.size(F.array_intersect(a, b))
-    return F.when(either == 0, F.lit(1.0)).otherwise(F.sqrt(same / either))
+    worded = lambda s: F.coalesce(F.shiftright(F.get(s, F.lit(0)), HASH) < 32, F.lit(False))
+
+    def compared(p: Column) -> Column:
+        part = lambda s: F.filter(s, lambda c: (F.shiftright(c, HASH) < 32) == p["w"])
+
+        def shared(q: Column) -> Column:
+            either = F.size(F.array_distinct(F.concat(number(q["a"]), number(q["b"]))))
+            return F.when(either == 0, F.lit(0.0)).otherwise(F.sqrt(F.size(F.array_intersect(q["a"], q["b"])) / either))
 
+        return _let(F.struct(part(p["a"]).alias("a"), part(p["b"]).alias("b")), shared)
 
-def alike(a: Column, text: Column, b: Column, other: Column) -> Column:
-    """Likeness of two texts by their signatures a and b.  If only one has k-mers of code points, both are compared by those."""
-    points = lambda s: F.shiftright(F.get(s, F.lit(0)), HASH) >= 32
-    by_points = lambda s, t: F.when(points(s), s).otherwise(order_minhash(t, True))
-    mixed = F.coalesce(points(a) != points(b), F.lit(False))
-    return F.when(mixed, likeness(by_points(a, text), by_points(b, other))).otherwise(likeness(a, b))
+    met = _let(F.struct(a.alias("a"), b.alias("b"), (worded(a) & worded(b)).alias("w")), compared)
+    return F.when((F.size(a) == 0) & (F.size(b) == 0), F.lit(1.0)).otherwise(met)
 
 
 def with_next(docs: DataFrame, ident: str, columns: list[str], derived: dict[str, Column] | None = None) -> DataFrame:
@@ -194,7 +212,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 
     The edited text has its last quarter (rounded down, in characters) replaced by as many of the next
     document's first characters.  Null texts are empty; of a single document the next is itself.  The likenesses
-    are those of :func:`alike`.
+    are those of the two signatures by :func:`likeness`.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
@@ -203,13 +221,12 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     cut = F.floor(n / 4).cast("int")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), n - cut), F.substring(F.col("_next_text"), F.lit(1), cut))
     changed = met.select(
-        "doc_id", "text", "_next_text", n.cast("long").alias("n_chars"), edited.alias("_edited"), "sign", F.col("_next_sign").alias("_after")
+        "doc_id", n.cast("long").alias("n_chars"), edited.alias("_edited"), "sign", F.col("_next_sign").alias("_after")
     ).withColumn("_sign", order_minhash(F.col("_edited")))
     return changed.select(
         "doc_id", "n_chars", F.sha2(F.col("_edited").cast("binary"), 256).alias("edited_sha256"),
         as_text(F.col("sign")).alias("fingerprint"), as_text(F.col("_sign")).alias("edited_fingerprint"),
-        alike(F.col("sign"), F.col("text"), F.col("_sign"), F.col("_edited")).alias("near_edited"),
-        alike(F.col("sign"), F.col("text"), F.col("_after"), F.col("_next_text")).alias("near_next"),
+        likeness(F.col("sign"), F.col("_sign")).alias("near_edited"), likeness(F.col("sign"), F.col("_after")).alias("near_next"),
     )
 
 
