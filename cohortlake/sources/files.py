@@ -30,6 +30,7 @@ GZIP = b"\x1f\x8b"
 STEP = 1 << 20
 # slices leave a task in batches of about this many pixels
 PIXELS_PER_BATCH = 1 << 22
+JUDGED_SCHEMA = "path string, shape array<int>, spacing array<double>, intensity_valid boolean, empty_slices_detected boolean, error string"
 SLAB_SCHEMA = "scan_id string, c int, z int, nx int, ny int, nz int, px array<float>"
 
 
@@ -192,6 +193,32 @@ def _volume(content: bytes) -> tuple[dict, bytearray]:
     return info or _header(bytes(raw[:HEAD])), raw
 
 
+def judged(files: DataFrame) -> DataFrame:
+    """Per (path, content): shape, spacing, whether its values differ at all, and whether a slice of several is flat.
+
+    A file is read once and its voxels stay in the task.  ``error`` says what is wrong with one that
+    cannot be read to its last voxel, which has no other values.  Values that are no numbers make a slice and a scan flat.
+    """
+
+    def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = []
+            for path, content in zip(pdf["path"], pdf["content"]):
+                try:
+                    info, raw = _volume(content)
+                    shape = (info["shape"] + [1, 1])[: max(3, len(info["shape"]))]
+                    flat = np.frombuffer(raw, info["raw_dtype"], int(np.prod(shape)), info["start"])
+                    cube = flat.reshape(shape, order="F").reshape(*shape[:3], -1, order="F")
+                    low, high = cube.min(axis=(0, 1, 3)), cube.max(axis=(0, 1, 3))
+                    same = ~(high > low)
+                    rows.append((path, info["shape"], info["spacing"].tolist(), bool(high.max() > low.min()), bool(len(low) > 1 and same.any()), None))
+                except Exception as e:
+                    rows.append((path, *[None] * 4, f"{type(e).__name__}: {e}"))
+            yield pd.DataFrame(rows, columns=["path", "shape", "spacing", "intensity_valid", "empty_slices_detected", "error"])
+
+    return files.select("path", "content").mapInPandas(judge, JUDGED_SCHEMA)
+
+
 def extract(files: DataFrame) -> DataFrame:
     """One row per (channel, z) slice of each readable file, and one row with ``error`` for every other file.
 
@@ -240,12 +267,15 @@ def extraction_errors(files: DataFrame) -> DataFrame:
     return extract(files).where("error is not null").select("scan_id", "error")
 
 
-def read_images(spark: SparkSession, path: str) -> DataFrame:
-    """2-D images as one-slice slabs, grey, transposed to (x, y).
+def read_images(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
+    """2-D images as one-slice slabs, grey, transposed to (x, y); with ``glob`` those of that name in all folders below.
 
     Decoding is Spark's image source; grey is the usual luminance of the blue-green-red bytes it returns.
     """
-    img = spark.read.format("image").option("dropInvalid", True).load(path).select("image.*")
+    reader = spark.read.format("image").option("dropInvalid", True)
+    if glob is not None:
+        reader = reader.option("recursiveFileLookup", True).option("pathGlobFilter", glob)
+    img = reader.load(path).select("image.*")
     w, h, ch = F.col("width"), F.col("height"), F.col("nChannels")
     byte = lambda i: F.conv(F.hex(F.substring(F.col("data"), (i + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
 

@@ -18,7 +18,7 @@ from cohortlake.functions import metadata as M
 from cohortlake.functions import paths as P
 from cohortlake.functions.formats import detect_format
 from cohortlake.operators.volumes import geometry, intensity, masks, resample, slabs, stats, warp
-from cohortlake.plans import augment, preprocess, repeated, scoring
+from cohortlake.plans import augment, folder, preprocess, repeated, scoring
 from cohortlake.sources import files as file_source
 from cohortlake.sources import sinks
 from cohortlake.session import fresh_path
@@ -880,6 +880,88 @@ def _(spark, sf):
     return h.select(F.expr(PICTURE).alias("vec_id"), *[F.col("header")[n].alias(n) for n in ("height", "width", "channels")])
 
 
+def _scan_file(vid, emb):
+    """(relative path, bytes) of the file of an embedding: by the last digit of its id a picture (4), a note (5), a slice (6) or a volume.
+
+    Volumes end inside their header (9) or voxels (8), are flat (7, of every second), have a spacing of 0 (3) or a blank slice (2).
+    """
+    import gzip
+
+    place = f"{('AD', 'control', 'site')[vid % 3]}/s{vid % 17}"
+    kind = vid % 10
+    if kind == 4:
+        grey = np.minimum(np.floor(np.abs(np.asarray(emb, dtype=np.float64)) * 255), 254).astype(np.uint8)
+        grey[0] = 255
+        return f"{place}/p{vid}.png", _png(grey.reshape(8, 8))
+    if kind == 5:
+        return f"{place}/v{vid}.txt", b"notes"
+    if kind == 6:
+        return f"{place}/series{vid % 5}{vid % 2}{vid % 7}/i{vid}.dcm", bytes(128) + (b"DICM" if vid % 40 != 16 else b"none") + bytes(8)
+    cube = np.asarray(emb, dtype="<f4").reshape(4, 4, 4).copy()
+    cube[:, :, 1] = 0.5 if kind == 2 else cube[:, :, 1]
+    cube[:] = 1.0 if vid % 20 == 7 else cube
+    made = next(_encode([pd.DataFrame({"vec_id": [vid], "embedding": [cube.ravel()]})]))
+    name, content = made["path"][0], made["content"][0]
+    if kind == 3:
+        raw = bytearray(gzip.decompress(content) if name.endswith(".gz") else content)
+        struct.pack_into("<f", raw, 84, 0.0)
+        content = gzip.compress(bytes(raw), mtime=0) if name.endswith(".gz") else bytes(raw)
+    return f"{place}/{name.rsplit('/', 1)[1]}", content
+
+
+def scan_folder(spark, sf):
+    """A folder of files of many kinds, one per embedding."""
+    root = fresh_path(spark, "scans")
+
+    def write(batches):
+        from pyarrow import fs
+
+        system, inner = fs.FileSystem.from_uri(root if "://" in root else "file://" + root.removeprefix("file:"))
+        for pdf in batches:
+            for vid, emb in zip(pdf["vec_id"], pdf["embedding"]):
+                rel, content = _scan_file(vid, emb)
+                system.create_dir(f"{inner}/{rel.rsplit('/', 1)[0]}", recursive=True)
+                # a repeated attempt writes the same bytes again
+                with system.open_output_stream(f"{inner}/{rel}", compression=None) as out:
+                    out.write(content)
+            yield pd.DataFrame({"n": [len(pdf)]})
+
+    rows = table(spark, sf, "embeddings").select("vec_id", "embedding")
+    rows.mapInPandas(write, "n long").agg(F.sum("n")).collect()  # one number
+    return root
+
+
+UNREADABLE, FLAT, BLANK, SPACING = (stats.ERRORS[k] for k in ("readable", "intensity_valid", "no_empty_slices", "voxel_spacing_valid"))
+FOLDER = f"""WITH k AS (SELECT vec_id, vec_id%10 AS d, CASE vec_id%3 WHEN 0 THEN 'AD' WHEN 1 THEN 'control' ELSE 'site' END AS top, 's' || vec_id%17 AS s FROM embeddings),
+sc AS (SELECT top || '/' || s || CASE WHEN d=4 THEN '/p' || vec_id || '.png' ELSE '/v' || vec_id || '.nii' || CASE WHEN vec_id%3=0 THEN '.gz' ELSE '' END END AS path, 'file' AS kind,
+ CASE WHEN d=4 THEN 'image' ELSE 'nifti' END AS format, CASE WHEN top='site' THEN top ELSE s END AS subject, CASE top WHEN 'site' THEN 'Unknown' ELSE upper(top) END AS class,
+ CASE WHEN d=4 THEN '8x8x1' WHEN d<8 THEN '4x4x4' END AS dims, CASE WHEN d=4 THEN 1 WHEN d=3 THEN 0 WHEN d<8 THEN 1.5 END::DOUBLE AS s1,
+ CASE WHEN d>=8 THEN '{UNREADABLE}' WHEN d=3 THEN '{SPACING}' WHEN vec_id%20=7 THEN '{FLAT}|{BLANK}' WHEN d=2 THEN '{BLANK}' ELSE '' END AS errors FROM k WHERE d NOT IN (5,6)
+UNION ALL SELECT top || '/' || s || '/series' || vec_id%5 || vec_id%2 || vec_id%7, 'series', 'dicom', any_value(CASE WHEN top='site' THEN top ELSE s END), any_value(CASE top WHEN 'site' THEN 'Unknown' ELSE upper(top) END), NULL, NULL,
+ CASE WHEN bool_or(vec_id%40=16) THEN '{UNREADABLE}' ELSE '' END FROM k WHERE d=6 GROUP BY 1)"""
+
+
+@query("S01_S02_S03_C01_C03_folder_audit", f"{FOLDER} SELECT path, kind, format, subject, class, dims, errors, errors='' AS valid FROM sc")
+def _(spark, sf):
+    scans = folder.audited_scans(spark, scan_folder(spark, sf))
+    dims = F.array_join(F.col("dims").cast("array<string>"), "x")
+    return scans.select("path", "kind", "format", "subject", "class", dims.alias("dims"), F.array_join("errors", "|").alias("errors"), "valid")
+
+
+@query("A08_F04_folder_report", f"""{FOLDER}, v AS (SELECT * FROM sc WHERE errors='') SELECT (SELECT count(DISTINCT subject) FROM sc) AS total_subjects, (SELECT count(*) FROM sc) AS total_files, (SELECT count(*) FROM sc WHERE errors<>'') AS corrupt_count,
+string_agg(DISTINCT format, ',' ORDER BY format) AS formats, string_agg(DISTINCT dims, ',' ORDER BY dims) AS dims, count(*) AS missing_metadata_count, round(min(s1),6) AS min1, round(max(s1),6) AS max1, round(avg(s1),6) AS mean1,
+(SELECT string_agg(class || '=' || n, ',' ORDER BY class) FROM (SELECT class, count(*) n FROM v GROUP BY class)) AS classes, 'Unknown=' || count(*) AS makers FROM v""")
+def _(spark, sf):
+    rep = folder.folder_report(folder.audited_scans(spark, scan_folder(spark, sf)))
+    text = lambda m: F.array_join(F.array_sort(F.transform(F.map_entries(m), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string")))), ",")
+    dims = F.array_sort(F.transform("unique_dimensions", lambda d: F.array_join(d.cast("array<string>"), "x")))
+    return rep.select(
+        "total_subjects", "total_files", "corrupt_count", F.array_join("formats_present", ",").alias("formats"), F.array_join(dims, ",").alias("dims"),
+        "missing_metadata_count", *[r6(F.col(f"{n}_spacing")[1]).alias(f"{n}1") for n in ("min", "max", "mean")],
+        text("class_balance").alias("classes"), text("scanner_manufacturers").alias("makers"),
+    )
+
+
 # leading bytes per page, the page text as the body
 MAGIC = ["89504E470D0A1A0A", "FFD8FFE0", "00" * 128 + "4449434D", "00" * 344 + "6E2B3100", "00" * 344 + "6E693100", "00000000" + "6E2B3200", "00000000" + "6E693200", ""]
 EXT = [".nii", ".png", ".dcm", ".bin", ".JPG", ".nii.gz"]
