@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 from collections.abc import Iterator, Sequence
 
@@ -36,8 +37,14 @@ def released(*frames: DataFrame) -> None:
 
 
 def tidy(spark: SparkSession) -> None:
-    """Let Spark drop the shuffle files of finished steps: it does so when the driver collects garbage."""
+    """Let Spark drop the shuffle files of finished steps: it does so when the driver collects garbage.
+
+    Memory that the driver's Python has freed goes back to the system too, where the C library can do that.
+    """
     gc.collect()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
     spark.sparkContext._jvm.System.gc()
 
 

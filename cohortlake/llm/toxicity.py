@@ -12,7 +12,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortlake.llm.common import released, stored, table
+from cohortlake.llm.common import released, stored, table, tidy
 from cohortlake.llm.textkit import chunks, runs_hashed, word_bounds
 
 #: Labelled documents that the chain is fitted on, at most: the first by a hash of their id.
@@ -245,7 +245,11 @@ def trained(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], s
     # an order that does not depend on how the table is cut into tasks
     bags.sort(key=lambda r: (r["fold"], bytes(r["tokens"]), *(r[c] for c in names)))
     given = [{"fold": r["fold"], "tokens": known[np.frombuffer(r["tokens"], "<i4")], **{c: r[c] for c in names}} for r in bags]
-    return fit_chain(given, names, chosen)
+    del bags
+    chain = fit_chain(given, names, chosen)
+    del given
+    tidy(docs.sparkSession)
+    return chain
 
 
 def rejected(docs: DataFrame, chain: Sequence[Link], categories: Sequence[str], threshold: float = THRESHOLD) -> DataFrame:
