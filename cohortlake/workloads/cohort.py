@@ -8,6 +8,8 @@ from cohortlake.functions import metadata as M
 from cohortlake.functions import paths as P
 from cohortlake.operators import audit, balance, cohort, splits
 from cohortlake.operators.ordered import sorted_rank
+from cohortlake.session import fresh_path
+from cohortlake.sources import tables
 from cohortlake.workloads.standins import table
 
 QUERIES = {}
@@ -279,6 +281,43 @@ def _(spark, sf):
     return phenotype(spark, sf).drop("piq", "scanner_site")
 
 
+@query("S07_phenotype_files", f"WITH {PHENO} SELECT * FROM pheno")
+def _(spark, sf):
+    """Written as text cells in file order, as the last row of a subject counts, and read back by the CSV source."""
+    path = fresh_path(spark, "phenotype")
+    rows = raw_phenotype(spark, sf).repartitionByRange("row_no").sortWithinPartitions("row_no").drop("row_no")
+    rows.write.csv(path, header=True)
+    return cohort.clean_phenotype(tables.read_phenotype(spark, path), "row_no").drop("piq", "scanner_site")
+
+
+def _documents(rows, bucket, value, name):
+    """The folder of one text file per bucket that holds its only ``value``."""
+    path = fresh_path(rows.sparkSession, name)
+    rows.groupBy(bucket.alias("bucket")).agg(value.alias("value")).write.partitionBy("bucket").text(path)
+    return path
+
+
+INDEXED = ["subject_id", "site", "path", "label", "age", "sex", "fiq", "viq"]
+
+
+@query("S06_index_files", f"WITH {INDEX} SELECT {', '.join(INDEXED)} FROM idx")
+def _(spark, sf):
+    """One JSON array of records per thousand subject numbers."""
+    of = F.floor(F.regexp_extract("subject_id", "([0-9]+)$", 1).cast("long") / 1000)
+    path = _documents(index(spark, sf).select(*INDEXED), of, F.to_json(F.collect_list(F.struct(*INDEXED))), "index")
+    return tables.read_index(spark, path).select(*INDEXED)
+
+
+@query("S08_split_files", "SELECT c_custkey::VARCHAR AS subject_id, CASE WHEN c_custkey%10<7 THEN 'train' WHEN c_custkey%10<9 THEN 'val' ELSE 'test' END AS split FROM customer")
+def _(spark, sf):
+    named = F.when(F.col("c_custkey") % 10 < 7, "train").when(F.col("c_custkey") % 10 < 9, "val").otherwise("test")
+    rows = table(spark, sf, "customer").select("c_custkey", named.alias("split"))
+    members = lambda n: F.collect_list(F.when(F.col("split") == n, F.col("c_custkey").cast("string")))
+    doc = F.create_map(*[x for n in ("train", "val", "test") for x in (F.lit(n), members(n))])
+    path = _documents(rows, F.floor(F.col("c_custkey") / 1000), F.to_json(doc), "splits")
+    return tables.read_splits(spark, path)
+
+
 @query("J02_orphan_scans", "WITH " + INDEX.replace("FROM customer)", "FROM customer WHERE c_custkey % 10 <> 3)") + " SELECT subject_id, path, CASE WHEN NOT has_phenotype THEN 'no phenotype row' ELSE 'no diagnosis label' END AS rule FROM idx WHERE NOT has_phenotype OR label IS NULL")
 def _(spark, sf):
     known = cohort.clean_phenotype(raw_phenotype(spark, sf).where("row_no % 10 <> 3"), "row_no")  # the others are orphans
@@ -453,6 +492,18 @@ def _(spark, sf):
     return cohort.in_fold(subjects(spark, sf).drop("site"), _roles(spark, sf), 2, "val", k=5)
 
 
+@query("S08_fold_files", f"WITH {ROLES} SELECT subject_id::VARCHAR AS subject_id, fold, role FROM roles")
+def _(spark, sf):
+    """Fold documents of a thousand subjects each, read back as one table of roles."""
+    kf = splits.stratified_kfold(subjects(spark, sf).drop("site"), "subject_id", "label", 5)
+    members = lambda hit: F.collect_list(F.when(hit, F.col("subject_id").cast("string")))
+    doc = F.array(*[
+        F.create_map(F.lit("train"), members(F.col("fold") != i), F.lit("val"), members(F.col("fold") == i)) for i in range(5)
+    ])
+    path = _documents(kf, F.floor(F.col("subject_id").cast("long") / 1000), F.to_json(doc), "folds")
+    return tables.read_folds(spark, path).select("subject_id", F.col("fold").cast("int").alias("fold"), "role")
+
+
 # --- balance and summaries --------------------------------------------------------------------
 
 @query("A11_class_balance", "SELECT label, count(*) AS n FROM (SELECT CASE WHEN c_acctbal<0 THEN 'Unknown' ELSE c_mktsegment END AS label FROM customer) GROUP BY label")

@@ -9,6 +9,8 @@ from cohortlake.functions import losses, scoring
 from cohortlake.operators import calibration, curves, cv, metrics, thresholds, tta
 from cohortlake.operators.ordered import value_edges
 from cohortlake.operators.splits import stratified_kfold
+from cohortlake.session import fresh_path
+from cohortlake.sources import tables
 from cohortlake.workloads import standins as S
 from cohortlake.workloads.standins import with_
 
@@ -292,6 +294,25 @@ def _(spark, sf):
     return out_of_fold_report(spark, sf)
 
 
+@query("S10_fold_prediction_files", with_("preds") + """SELECT (line - 1)::INT AS "Fold", count(*) AS n, count(*) FILTER (y=1) AS asd, CAST(count(*) FILTER ((p>=0.5)=(y=1)) AS BIGINT) AS correct, round(avg(p),6) AS mean_p FROM preds GROUP BY line""")
+def _(spark, sf):
+    """Predictions of seven folds, each written under its own folder and read back as one table."""
+    root, p = fresh_path(spark, "folds"), F.col("p").cast("double")
+    side = lambda hit: F.when(hit, "ASD").otherwise("CONTROL")
+    rows = S.predictions(spark, sf).select(
+        "line", F.col("subject").cast("string").alias("Subject"), side(F.col("y") == 1).alias("True_Label"), side(p >= 0.5).alias("Pred_Label"),
+        p.alias("Probability_ASD"), (1 - p).alias("Probability_Control"), p.alias("Logit_ASD"), (-p).alias("Logit_Control"),
+        ((p >= 0.5) == (F.col("y") == 1)).alias("Correct"),
+    )
+    for fold in range(7):
+        rows.where(F.col("line") == fold + 1).drop("line").write.csv(f"{root}/fold_{fold}/predictions.csv", header=True)
+    back = tables.read_fold_predictions(spark, root, 7)
+    return back.groupBy("Fold").agg(
+        F.count("*").alias("n"), F.count_if(F.col("True_Label") == "ASD").alias("asd"), F.count_if("Correct").alias("correct"),
+        r6(F.avg("Probability_ASD")).alias("mean_p"),
+    )
+
+
 @query("S10_U01_out_of_fold_union", with_("preds") + """SELECT (line - 1)::INT AS "Fold", run, count(*) AS n, CAST(sum(y) AS BIGINT) AS positives, round(avg(p),6) AS mean_p FROM preds GROUP BY line, run""")
 def _(spark, sf):
     df = S.predictions(spark, sf)
