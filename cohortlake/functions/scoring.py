@@ -2,19 +2,28 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value worked out once a row.
+
+    A lambda works out anew, for every element, all that its body names: a figure of the whole array inside it
+    would cost the square of the array's length.  An array of one element hands it over as a variable.
+    """
+    return F.transform(F.array(value), use)[0]
+
+
 def log_sum_exp(logits: Column) -> Column:
-    top = F.array_max(logits)
-    return top + F.log(F.aggregate(logits, F.lit(0.0), lambda acc, v: acc + F.exp(v - top)))
+    return once(F.array_max(logits), lambda top: top + F.log(F.aggregate(logits, F.lit(0.0), lambda acc, v: acc + F.exp(v - top))))
 
 
 def log_softmax(logits: Column) -> Column:
     """log-probabilities, shifted by the maximum so that large logits stay finite."""
-    lse = log_sum_exp(logits)
-    return F.transform(logits, lambda v: v - lse)
+    return once(log_sum_exp(logits), lambda lse: F.transform(logits, lambda v: v - lse))
 
 
 def softmax(logits: Column) -> Column:
@@ -42,12 +51,11 @@ def class_probabilities(names: list[str], probs: Column) -> Column:
 
 
 def prediction_record(patient: Column, model: str, names: list[str], logits: Column) -> Column:
-    """Nested record of one scored scan, from raw logits."""
-    probs = softmax(logits)
-    return F.struct(
+    """Nested record of one scored scan, from raw logits; made once a row, whichever of its fields are read."""
+    return once(softmax(logits), lambda probs: F.struct(
         patient.alias("patient_id"),
         F.lit(model).alias("model_name"),
         class_probabilities(names, probs).alias("probabilities"),
         F.lit(None).cast("string").alias("segmentation_path"),
         F.create_map(F.lit("confidence"), F.array_max(probs)).alias("metrics"),
-    )
+    ))

@@ -1,11 +1,13 @@
 """Exact values of the evaluation operators, and brute-force checks on random predictions."""
 
+import math
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
-from cohortlake.functions import losses
+from cohortlake.functions import losses, scoring
 from cohortlake.operators import calibration, curves, cv, metrics, thresholds, tta
 from cohortlake.operators.splits import stratified_kfold
 from cohortlake.sources import tables
@@ -144,3 +146,31 @@ def test_small_classes_fall_back_to_plain_folds(spark):
     df = spark.createDataFrame([(i, "a" if i < 11 else "b") for i in range(13)], "subject int, label string")
     sizes = stratified_kfold(df, "subject", "label", 5).groupBy("fold").count().orderBy("fold").collect()
     assert [r["count"] for r in sizes] == [3, 3, 3, 2, 2]
+
+
+def test_class_figures_cost_no_square_of_the_classes(spark):
+    """One row of 1,500 logits: with the maximum or the sum worked out anew for every class this takes a minute."""
+    n = 1500
+    logits = [((i * 37) % 101) / 10 for i in range(n)]
+    rows = spark.createDataFrame([(7, logits)], "y int, logits array<double>")
+    record = scoring.prediction_record(F.lit("a"), "m", [f"c{i}" for i in range(n)], F.col("logits"))
+    began = time.time()
+    got = rows.select(
+        record.alias("r"), losses.cross_entropy(F.col("logits"), F.col("y")).alias("ce"),
+        losses.smoothed_cross_entropy(F.col("logits"), F.col("y"), 0.1).alias("ls"),
+    ).first()
+    assert time.time() - began < 20
+    top = max(logits)
+    lse = top + math.log(sum(math.exp(v - top) for v in logits))
+    assert [p["probability"] for p in got["r"]["probabilities"]] == pytest.approx([math.exp(v - lse) for v in logits])
+    assert got["r"]["metrics"]["confidence"] == max(p["probability"] for p in got["r"]["probabilities"])
+    assert got["ce"] == pytest.approx(lse - logits[7])
+    assert got["ls"] == pytest.approx(0.9 * (lse - logits[7]) + 0.1 / n * sum(lse - v for v in logits))
+
+
+def test_class_figures_of_odd_logits(spark):
+    """Nulls, no logits and numbers that are not finite."""
+    nan = float("nan")
+    rows = spark.createDataFrame([(1, [0.0, None]), (2, None), (3, [nan, 1.0]), (4, [1000.0, 0.0])], "k int, logits array<double>")
+    got = {r["k"]: r["p"] for r in rows.select("k", scoring.softmax(F.col("logits")).alias("p")).collect()}
+    assert got[1] == [None, None] and got[2] is None and all(math.isnan(v) for v in got[3]) and got[4] == [1.0, 0.0]
