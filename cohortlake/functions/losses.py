@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from cohortlake.functions.scoring import log_softmax
+from cohortlake.functions.scoring import log_softmax, log_sum_exp, once
 
 
 def _floats(values: Sequence[float]) -> Column:
@@ -19,7 +19,7 @@ def _total(arr: Column) -> Column:
 
 
 def cross_entropy(logits: Column, y: Column) -> Column:
-    return -F.element_at(log_softmax(logits), y + 1)
+    return -(F.element_at(logits, y + 1) - log_sum_exp(logits))
 
 
 def class_weight(weights: Sequence[float], y: Column) -> Column:
@@ -36,8 +36,7 @@ def weighted_cross_entropy(logits: Column, y: Column, weights: Sequence[float] |
 
 def smoothed_cross_entropy(logits: Column, y: Column, eps: float) -> Column:
     """(1 - eps) * ce + eps / K * sum_k(-log p_k)."""
-    logp = log_softmax(logits)
-    return (1.0 - eps) * -F.element_at(logp, y + 1) - F.lit(eps) / F.size(logits) * _total(logp)
+    return once(log_softmax(logits), lambda logp: (1.0 - eps) * -F.element_at(logp, y + 1) - F.lit(eps) / F.size(logits) * _total(logp))
 
 
 def focal_alpha(alpha: float) -> list[float]:
