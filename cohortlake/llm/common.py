@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import ctypes
 import gc
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
+from functools import wraps
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -42,10 +44,41 @@ def tidy(spark: SparkSession) -> None:
     Memory that the driver's Python has freed goes back to the system too, where the C library can do that.
     """
     gc.collect()
+    trimmed()
+    spark.sparkContext._jvm.System.gc()
+
+
+def trimmed() -> None:
+    """Give memory that this process has freed back to the system: Arrow's, and the C library's where it can."""
+    pa.default_memory_pool().release_unused()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
     if trim is not None:
         trim(0)
-    spark.sparkContext._jvm.System.gc()
+
+
+Batches = Iterator[pa.RecordBatch]
+
+
+def lean(work: Callable[[Batches], Batches]) -> Callable[[Batches], Batches]:
+    """``work`` for ``mapInArrow``, whose worker gives freed memory back after every batch and at its end.
+
+    Workers outlive their tasks: what the allocators keep of the largest batch stays with each of them while
+    later stages fill the executor's heap.
+    """
+
+    def handed(batches: Batches) -> Batches:
+        for batch in batches:
+            yield batch
+            trimmed()
+
+    @wraps(work)
+    def run(batches: Batches) -> Batches:
+        try:
+            yield from work(handed(batches))
+        finally:
+            trimmed()
+
+    return run
 
 
 def unused(df: DataFrame, name: str) -> str:
@@ -159,4 +192,4 @@ def components(edges: DataFrame) -> DataFrame:
     return now.unionByName(roots).select(F.col("u").alias("node"), F.col("v").alias("label"))
 
 
-__all__ = ["buckets_for", "components", "fresh_path", "numbered", "released", "stored", "table", "tidy", "unused"]
+__all__ = ["buckets_for", "components", "fresh_path", "lean", "numbered", "released", "stored", "table", "tidy", "trimmed", "unused"]

@@ -24,13 +24,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cohortlake.llm.common import buckets_for, fresh_path, stored, table
-from cohortlake.llm.encoding import encoder, in_blocks
+from cohortlake.llm.common import buckets_for, fresh_path, lean, stored, table
+from cohortlake.llm.encoding import encoder
+from cohortlake.llm.textkit import chunks
 from cohortlake.llm.warc import _opened
 
 #: End-of-document id that closes every document.
 END_ID = 2
-#: Content of a frame after which it ends, in bytes; text bytes that make up one file; characters encoded at a time.
+#: Content of a frame after which it ends, in bytes; text bytes that make up one file; text bytes encoded at a time.
 FRAME, FILE, TEXT = 1 << 17, 1 << 27, 1 << 22
 #: Documents that one file should hold at most.
 FILE_ROWS = 2_000_000
@@ -182,18 +183,17 @@ def write_tokens(docs: DataFrame, ident: str, text: str, tokenizer: str, path: s
         out, own, end = None, encoder(tokenizer), np.array([END_ID], "<u4").tobytes()
         part = TaskContext.get().partitionId()
         for batch in batches:
-            texts = [t or "" for t in batch["_text"].to_pylist()]
-            keys = batch["_id"].to_pylist()
-            if texts and out is None:
+            if batch.num_rows and out is None:
                 out = _Writer(f"{folder}/part-{part:06d}-{uuid.uuid4().hex}.ids.zst", frame)
-            for low, high in in_blocks(texts, TEXT):
-                for key, ids in zip(keys[low:high], own.encode(texts[low:high]), strict=True):
+            for low, high, _, _ in chunks(batch["_text"], TEXT):
+                texts = [t or "" for t in batch["_text"].slice(low, high - low).to_pylist()]
+                for key, ids in zip(batch["_id"].slice(low, high - low).to_pylist(), own.encode(texts), strict=True):
                     out.add(key, ids.astype("<u4").tobytes() + end)
         if out is not None:
             out.close()
             yield pa.RecordBatch.from_pylist([{"file": out.name, "part": part, "documents": len(out.keys), "ids": sum(out.counts)}])
 
-    return _with_starts(stored(dealt.mapInArrow(write, FILES), "token-files"))
+    return _with_starts(stored(dealt.mapInArrow(lean(write), FILES), "token-files"))
 
 
 def _with_starts(files: DataFrame) -> DataFrame:
@@ -229,7 +229,7 @@ def index_of(files: DataFrame) -> DataFrame:
                         names=[c.split()[0] for c in INDEX.split(", ")],
                     )
 
-    return files.select("file", "start").mapInArrow(listed, INDEX)
+    return files.select("file", "start").mapInArrow(lean(listed), INDEX)
 
 
 DOCUMENT = "doc_id long, start long, n_tokens long, ids binary"
@@ -263,7 +263,7 @@ def read_documents(selected: DataFrame) -> DataFrame:
                 )
                 low = high
 
-    return near.mapInArrow(fetch, DOCUMENT)
+    return near.mapInArrow(lean(fetch), DOCUMENT)
 
 
 def op12_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:

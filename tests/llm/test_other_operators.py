@@ -4,6 +4,7 @@ import collections
 import hashlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from texts import words
 from pyspark.sql import functions as F
@@ -240,3 +241,28 @@ def test_pipeline(spark):
     assert {r.doc_id for r in kept["temperature_mix"]} == set(text)
     check_sequences(kept["best_two_fit"], 1024)
     assert corpus_pipeline.run(spark, sf).count() == len(kept["best_two_fit"])
+
+
+def test_workers_give_memory_back_after_every_batch(monkeypatch):
+    """Freed memory goes back to the system before the next batch is taken, at the end, and when a task fails."""
+    from cohortlake.llm import common
+
+    calls = []
+    monkeypatch.setattr(common, "trimmed", lambda: calls.append(1))
+    given = [pa.RecordBatch.from_pydict({"a": [i]}) for i in range(3)]
+
+    def doubled(batches):
+        for batch in batches:
+            yield batch
+            yield batch
+
+    assert [b["a"][0].as_py() for b in common.lean(doubled)(iter(given))] == [0, 0, 1, 1, 2, 2]
+    assert len(calls) == 4
+
+    def failing(batches):
+        raise ValueError(next(batches))
+        yield
+
+    with pytest.raises(ValueError):
+        list(common.lean(failing)(iter(given)))
+    assert len(calls) == 5
