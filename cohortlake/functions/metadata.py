@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from cohortlake.functions.scoring import once
+
 # fixed values
 SENTINELS = ["-9999", "-9999.0", "NaN", "nan", ""]
 DIAGNOSIS_CODES = {1: "ASD", 2: "CONTROL"}
@@ -115,17 +117,30 @@ def fixed_text(value: Column, digits: int) -> Column:
     The built-in formatter rounds the shortest decimal form half up, which differs when that
     form ends in 5.  The comparison with the midpoint stays exact because the value is split
     into a 24-bit head and the remainder before it is scaled.  Null stays null.
+
+    Each step's figure is handed on once: written out, the steps repeat each other until the code
+    that Spark makes of them is too long to be compiled.
     """
-    x = F.abs(value.cast("double"))
     scale = 10**digits
-    k = F.floor(x * scale)
-    head = x.cast("float").cast("double")
-    off = (head * (2 * scale) - (2 * k + 1)) + (x - head) * (2 * scale)
-    up = F.when(off > 0, 1).when(off < 0, 0).otherwise(k % 2)
-    near = F.format_string(f"%.{digits}f", (k + up) / F.lit(float(scale)))
-    text = F.when(x < 2.0**52 / (4 * scale), near).otherwise(F.format_string(f"%.{digits}f", x))
-    text = F.when(F.isnan(x), "nan").when(x == float("inf"), "inf").otherwise(text)
-    return F.when(value.isNotNull(), F.concat(F.when(value < 0, "-").otherwise(""), text))
+
+    def rounded(x: Column, k: Column) -> Column:
+        head = x.cast("float").cast("double")
+        off = (head * (2 * scale) - (2 * k + 1)) + (x - head) * (2 * scale)
+        return k + once(off, lambda o: F.when(o > 0, 1).when(o < 0, 0).otherwise(k % 2))
+
+    def spelled(n: Column) -> Column:
+        if not digits:
+            return n.cast("string")
+        whole = ((n - n % scale) / scale).cast("bigint").cast("string")
+        return F.concat(whole, F.lit("."), F.lpad((n % scale).cast("string"), digits, "0"))
+
+    def text(x: Column) -> Column:
+        near = once(once(F.floor(x * scale), lambda k: rounded(x, k)), spelled)
+        far = F.when(F.isnan(x), "nan").when(x == float("inf"), "inf").otherwise(F.format_string(f"%.{digits}f", x))
+        return F.when(x < 2.0**52 / (4 * scale), near).otherwise(far)
+
+    signed = lambda v: F.concat(F.when(v < 0, "-").otherwise(""), once(F.abs(v), text))
+    return once(value.cast("double"), lambda v: F.when(v.isNotNull(), signed(v)))
 
 
 def fixed(value: Column, digits: int = 4) -> Column:

@@ -346,3 +346,10 @@ def test_long_kernels_reach_over_block_borders(spark):
         k = z - 20 + len(want) // 2
         expected = want[k] * centre * centre if 0 <= k < len(want) else 0.0
         assert abs(got[z] - expected) < 1e-9, z
+
+
+def test_fixed_text_names_its_value_once(spark):
+    """Written out, the steps named the value some thirty times, and the code of four texts in a row got too long."""
+    df = spark.createDataFrame([(0.125,)], "v double").select(fixed_text(F.col("v") + 1, 4).alias("t"))
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("v#") <= 3
+    assert df.first()["t"] == "1.1250"
