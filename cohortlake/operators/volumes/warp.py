@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -73,26 +74,48 @@ def reach(of: Callable[[str], Column] = F.col) -> Column:
     return (F.ceil((bx + by) * (span[0] + span[1]) + drop) + 1).cast("int")
 
 
-def sampled(cube: np.ndarray, first: int, wanted: list[int], shape: tuple[int, int, int], values: dict) -> list[np.ndarray]:
-    """The ``wanted`` output slices of a warp; ``cube`` holds the input slices from ``first`` on that they read."""
+#: Voxels sampled at a time; blocks of up to so many voxels keep their corners for the next scan of the same warp.
+POINTS, KEPT = 1 << 16, 1 << 12
+
+
+def _corners(first: int, wanted: tuple[int, ...], shape: tuple[int, int, int], numbers: tuple[float, ...]) -> Iterator[tuple]:
+    """For each of the eight corners round a sampled position: (voxels that have it, its place in the cube, its weight)."""
     n = np.array(shape)
     centre = (n - 1) / 2
+    values = dict(zip(WARP, numbers, strict=True))
     rot = rotation(values["rx"], values["ry"], values["rz"])
     scale = np.array([values["sx"], values["sy"], values["sz"]])
     shift = np.array([values["tx"], values["ty"], values["tz"]])
-    x, y = np.meshgrid(np.arange(n[0]), np.arange(n[1]), indexing="ij")
+    z, x, y = np.meshgrid(wanted, np.arange(n[0]), np.arange(n[1]), indexing="ij")
+    q = np.stack([x.ravel(), y.ravel(), z.ravel()], 1) - centre
+    src = (q * scale + shift) @ rot.T + centre
+    lo = np.floor(src).astype(int)
+    frac = src - lo
+    for corner in np.ndindex(2, 2, 2):
+        at = lo + corner
+        ok = np.flatnonzero(((at >= 0) & (at < n)).all(axis=1))
+        w = np.where(corner, frac, 1 - frac).prod(axis=1)
+        own = at[ok]
+        yield ok, ((own[:, 2] - first) * n[0] + own[:, 0]) * n[1] + own[:, 1], w[ok]
+
+
+@lru_cache(maxsize=64)
+def _kept_corners(*place) -> tuple:
+    return tuple(_corners(*place))
+
+
+def sampled(cube: np.ndarray, first: int, wanted: list[int], shape: tuple[int, int, int], values: dict) -> list[np.ndarray]:
+    """The ``wanted`` output slices of a warp; ``cube`` holds the input slices from ``first`` on that they read."""
+    flat, size, numbers = cube.reshape(-1), shape[0] * shape[1], tuple(float(values[n]) for n in WARP)
+    step = max(1, POINTS // size)
     out = []
-    for z in wanted:
-        q = np.stack([x.ravel(), y.ravel(), np.full(x.size, z)], 1) - centre
-        src = (q * scale + shift) @ rot.T + centre
-        lo = np.floor(src).astype(int)
-        frac, total = src - lo, np.zeros(x.size)
-        for corner in np.ndindex(2, 2, 2):
-            at = lo + corner
-            ok = ((at >= 0) & (at < n)).all(axis=1)
-            w = np.where(corner, frac, 1 - frac).prod(axis=1)
-            total[ok] += w[ok] * cube[at[ok, 2] - first, at[ok, 0], at[ok, 1]]
-        out.append(total.reshape(n[0], n[1]))
+    for low in range(0, len(wanted), step):
+        some = tuple(wanted[low : low + step])
+        total = np.zeros(size * len(some))
+        corners = _kept_corners if len(total) <= KEPT else _corners
+        for ok, at, w in corners(first, some, shape, numbers):
+            total[ok] += w * flat[at]
+        out.extend(total.reshape(len(some), shape[0], shape[1]))
     return out
 
 

@@ -353,3 +353,19 @@ def test_fixed_text_names_its_value_once(spark):
     df = spark.createDataFrame([(0.125,)], "v double").select(fixed_text(F.col("v") + 1, 4).alias("t"))
     assert df._jdf.queryExecution().optimizedPlan().toString().count("v#") <= 3
     assert df.first()["t"] == "1.1250"
+
+
+def test_scans_of_one_warp_share_its_corners(monkeypatch):
+    """A fixed run warps all scans alike: its corners are worked out once, and parts of large slices give the same voxels."""
+    import numpy as np
+
+    made, own = [], warp.rotation
+    monkeypatch.setattr(warp, "rotation", lambda *angles: made.append(angles) or own(*angles))
+    values = {n: 0.0 for n in warp.WARP} | {"rx": 0.21, "ty": 0.4, "sx": 1.05, "sy": 1.0, "sz": 1.0}
+    cubes = np.random.default_rng(3).normal(size=(5, 4, 3, 6))
+    got = [warp.sampled(c, 0, [0, 1, 2, 3], (3, 6, 4), values) for c in cubes]
+    assert len(made) == 1
+    monkeypatch.setattr(warp, "POINTS", 18)
+    monkeypatch.setattr(warp, "KEPT", 0)
+    again = [warp.sampled(c, 0, [0, 1, 2, 3], (3, 6, 4), values) for c in cubes]
+    assert np.array_equal(got, again) and len(made) == 1 + 5 * 4
