@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from cohortlake.llm.common import components, stored, table, tidy, unused
+from cohortlake.llm.common import components, lean, stored, table, tidy, unused
 from cohortlake.llm.textkit import LOWER, SPACE, chunks, mixed, runs_hashed, word_bounds
 
 WORDS = 5
@@ -115,7 +115,7 @@ def _counted(docs: DataFrame) -> DataFrame:
         )
 
     names = ["doc_id", "row", "n", "node", "bits", "part", "body"]
-    return docs.mapInArrow(run, "doc_id long, row long, n long, node long, bits array<long>, part int, body binary")
+    return docs.mapInArrow(lean(run), "doc_id long, row long, n long, node long, bits array<long>, part int, body binary")
 
 
 def _packed(own: np.ndarray) -> bytes:
@@ -186,7 +186,7 @@ def _prefixes(texts: DataFrame, ranks) -> DataFrame:
                     names=["token", "node", "n", "pos"],
                 )
 
-    return texts.mapInArrow(run, "token long, node long, n int, pos int")
+    return texts.mapInArrow(lean(run), "token long, node long, n int, pos int")
 
 
 def _wanted(hashes: DataFrame) -> np.ndarray:
@@ -227,7 +227,7 @@ def _sets(texts: DataFrame, wanted, nodes) -> DataFrame:
                 sets = [hashed[edges[i] : edges[i + 1]].tobytes() for i in good]
                 yield pa.RecordBatch.from_arrays([pa.array(node[good]), pa.array(sets, pa.binary())], names=["node", "shingles"])
 
-    return texts.mapInArrow(run, "node long, shingles binary")
+    return texts.mapInArrow(lean(run), "node long, shingles binary")
 
 
 @F.pandas_udf(LongType())

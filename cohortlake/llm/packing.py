@@ -10,12 +10,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortlake.llm.common import buckets_for, numbered, stored, table
-from cohortlake.llm.encoding import encoder, in_blocks
+from cohortlake.llm.common import buckets_for, lean, numbered, stored, table
+from cohortlake.llm.encoding import encoder
+from cohortlake.llm.textkit import chunks
 
 #: End-of-document id that closes every document.
 END_ID = 2
-#: Characters that are encoded at a time.
+#: Bytes of text that are encoded at a time.
 TEXT = 1 << 22
 
 
@@ -36,10 +37,10 @@ def tokenised(docs: DataFrame, ident: str, text: str, tokenizer: str, room: int,
         own, end = encoder(tokenizer), np.array([END_ID], "<u4").tobytes()
         kinds = [pa.int64(), pa.int32(), *[pa.int64()] * 3, *([pa.list_(pa.int64())] if with_ids else [])]
         for batch in batches:
-            texts, keys = [t or "" for t in batch["_text"].to_pylist()], batch["_id"].to_pylist()
-            for low, high in in_blocks(texts, TEXT):
+            for low, high, _, _ in chunks(batch["_text"], TEXT):
+                texts = [t or "" for t in batch["_text"].slice(low, high - low).to_pylist()]
                 rows = []
-                for key, found in zip(keys[low:high], own.encode(texts[low:high]), strict=True):
+                for key, found in zip(batch["_id"].slice(low, high - low).to_pylist(), own.encode(texts), strict=True):
                     ids = found.astype("<u4").tobytes() + end
                     n = len(ids) // 4
                     edges = [0, *range(n % room or room, n + 1, room)] if n > room else [0, n]
@@ -49,7 +50,7 @@ def tokenised(docs: DataFrame, ident: str, text: str, tokenizer: str, room: int,
                         rows.append((*row, np.frombuffer(raw, "<u4").astype("int64")) if with_ids else row)
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
-    return docs.select(F.col(ident).cast("long").alias("_id"), F.col(text).alias("_text")).mapInArrow(cut, schema)
+    return docs.select(F.col(ident).cast("long").alias("_id"), F.col(text).alias("_text")).mapInArrow(lean(cut), schema)
 
 
 def best_two_fit(counts: dict[int, int], room: int) -> list[tuple[int, list[int]]]:

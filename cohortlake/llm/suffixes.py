@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cohortlake.llm.common import released, stored, table, tidy, unused
+from cohortlake.llm.common import lean, released, stored, table, tidy, unused
 from cohortlake.llm.textkit import BASE, CODES, INVERSE, chunks, mixed, prefix_hashes
 
 #: Bytes of a repeated string, and of the anchors by which its occurrences find each other.
@@ -103,7 +103,7 @@ def _runs(texts: DataFrame) -> DataFrame:
                 names=[c.split()[0] for c in RUNS.split(", ")],
             )
 
-    return texts.mapInArrow(run, RUNS)
+    return texts.mapInArrow(lean(run), RUNS)
 
 
 def _spread(rows: DataFrame) -> DataFrame:
@@ -120,7 +120,7 @@ def _spread(rows: DataFrame) -> DataFrame:
                 [pa.array(k), pa.array(lo), pa.array(lo + ((place >> 8) & 255) + LENGTH)], names=["k", "lo", "hi"]
             )
 
-    return rows.mapInArrow(run, "k long, lo long, hi long")
+    return rows.mapInArrow(lean(run), "k long, lo long, hi long")
 
 
 def _extension(h: np.ndarray, size: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -288,7 +288,7 @@ def _compared(rows: DataFrame) -> DataFrame:
             g, k, place, alone = (np.concatenate([x[i] for x in held]) for i in range(4))
             yield solve(g, k, place, alone, [s for x in held for s in x[4]])
 
-    return rows.mapInArrow(run, "k long, lo long, hi long")
+    return rows.mapInArrow(lean(run), "k long, lo long, hi long")
 
 
 def _strings(rows: DataFrame) -> DataFrame:
@@ -304,7 +304,7 @@ def _strings(rows: DataFrame) -> DataFrame:
                     names=["k", "lo", "alone", "hash"],
                 )
 
-    return rows.mapInArrow(run, "k long, lo long, alone boolean, hash long")
+    return rows.mapInArrow(lean(run), "k long, lo long, alone boolean, hash long")
 
 
 def _stretches(texts: DataFrame) -> DataFrame:
@@ -332,7 +332,7 @@ def _stretches(texts: DataFrame) -> DataFrame:
                 names=["g", "k", "place", "alone", "hot", "stretch"],
             )
 
-    return texts.mapInArrow(run, "g long, k long, place long, alone boolean, hot boolean, stretch binary")
+    return texts.mapInArrow(lean(run), "g long, k long, place long, alone boolean, hot boolean, stretch binary")
 
 
 def _cut(texts: DataFrame, keep_text: bool) -> DataFrame:
@@ -360,7 +360,7 @@ def _cut(texts: DataFrame, keep_text: bool) -> DataFrame:
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=names)
 
-    return texts.mapInArrow(run, "k long, n_removed long, n_spans long, kept_sha256 string, kept string")
+    return texts.mapInArrow(lean(run), "k long, n_removed long, n_spans long, kept_sha256 string, kept string")
 
 
 def repeats(docs: DataFrame, keep_text: bool = False) -> tuple[DataFrame, DataFrame]:

@@ -12,7 +12,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortlake.llm.common import released, stored, table, tidy
+from cohortlake.llm.common import lean, released, stored, table, tidy
 from cohortlake.llm.textkit import chunks, runs_hashed, word_bounds
 
 #: Labelled documents that the chain is fitted on, at most: the first by a hash of their id.
@@ -83,7 +83,7 @@ def _bags(rows: DataFrame, labels: Sequence[str], chosen: np.ndarray) -> DataFra
                     [batch["_fold"], *(batch[c] for c in labels), pa.array(out, pa.binary())], names=["fold", *labels, "tokens"]
                 )
 
-    return rows.mapInArrow(bag, ", ".join(["fold int", *(f"{c} int" for c in labels), "tokens binary"]))
+    return rows.mapInArrow(lean(bag), ", ".join(["fold int", *(f"{c} int" for c in labels), "tokens binary"]))
 
 
 def _token_counts(rows: DataFrame, labels: Sequence[str]) -> DataFrame:
@@ -109,7 +109,7 @@ def _token_counts(rows: DataFrame, labels: Sequence[str]) -> DataFrame:
                 sums = [pa.array(np.add.reduceat(m[text], at)) for m in marks]
                 yield pa.RecordBatch.from_arrays([pa.array(token[at]), pa.array(fold[text[at]]), *sums], names=["token", "fold", "n", *labels])
 
-    long = rows.mapInArrow(count, ", ".join(["token long", "fold int", "n long", *(f"{c} long" for c in labels)]))
+    long = rows.mapInArrow(lean(count), ", ".join(["token long", "fold int", "n long", *(f"{c} long" for c in labels)]))
     return long.groupBy("token").agg(*[
         F.sum(F.when(F.col("fold") == f, F.col(c)).otherwise(F.lit(0))).alias(f"{c}_{f}") for f in range(FOLDS) for c in ("n", *labels)
     ])
@@ -219,7 +219,7 @@ def scored(docs: DataFrame, chain: Sequence[Link], categories: Sequence[str]) ->
                     before = np.column_stack([before, np.clip(logit, -8, 8)])
             yield pa.RecordBatch.from_arrays([batch["_id"], *map(pa.array, probs)], names=["_id", *categories])
 
-    return docs.mapInArrow(apply, ", ".join(["_id long", *(f"{c} double" for c in categories)]))
+    return docs.mapInArrow(lean(apply), ", ".join(["_id long", *(f"{c} double" for c in categories)]))
 
 
 def trained(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], sample: int = SAMPLE) -> list[Link]:
@@ -295,7 +295,7 @@ def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
                     before = np.column_stack([before, np.clip(logit, -8, 8)])
                 yield batch.slice(low, high - low).filter(pa.array(_sigmoid(logit) < THRESHOLD))
 
-    return docs.mapInArrow(keep, docs.schema)
+    return docs.mapInArrow(lean(keep), docs.schema)
 
 
 QUERIES = {"op5_classifier_chain": op5_classifier_chain}
