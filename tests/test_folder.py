@@ -63,3 +63,54 @@ def test_empty_and_missing_folders(spark, tmp_path):
     assert folder.audited_scans(spark, str(tmp_path / "none")).count() == 0
     with pytest.raises(ValueError, match="no folder"):
         folder.audited_scans(spark, str(tmp_path / "absent"))
+
+
+def test_files_are_read_once(spark, root, monkeypatch):
+    plans = []
+
+    def stored(df, name, of=folder.materialised):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return of(df, name)
+
+    monkeypatch.setattr(folder, "materialised", stored)
+    folder.audited_scans(spark, root)
+    text = "\n".join(plans)
+    assert (text.count("FileScan binaryFile"), text.count("FileScan image")) == (1, 1)
+
+
+def test_small_files_share_tasks(spark, tmp_path, monkeypatch):
+    (tmp_path / "run").mkdir()
+    for k in range(600):
+        (tmp_path / "run" / f"p{k}.dcm").write_bytes(b"slice")
+    parts, before = [], spark.conf.get("spark.sql.files.openCostInBytes")
+
+    def stored(df, name, of=folder.materialised):
+        if name == "folder-files":
+            parts.append(df.rdd.getNumPartitions())
+        return of(df, name)
+
+    monkeypatch.setattr(folder, "materialised", stored)
+    assert folder.audited_scans(spark, str(tmp_path)).count() == 1
+    assert parts and parts[0] <= spark.sparkContext.defaultParallelism + 1
+    assert spark.conf.get("spark.sql.files.openCostInBytes") == before
+
+
+def test_grey_of_pictures(spark, tmp_path):
+    from cohortlake.sources import files
+
+    def colour(picture):
+        rows, cols, _ = picture.shape
+        chunk = lambda kind, body: W.struct.pack(">I", len(body)) + kind + body + W.struct.pack(">I", W.zlib.crc32(kind + body))
+        lines = b"".join(b"\0" + row.tobytes() for row in picture)
+        return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", W.struct.pack(">IIBBBBB", cols, rows, 8, 2, 0, 0, 0)) + chunk(b"IDAT", W.zlib.compress(lines)) + chunk(b"IEND", b"")
+
+    rng = np.random.default_rng(5)
+    flat = np.full((3, 4, 3), 90, np.uint8)
+    same_grey = flat.copy()
+    same_grey[0, 0] = (90, 90, 91)  # another colour, rounded to the same grey
+    for name, p in {"flat": flat, "grey": same_grey, "any": rng.integers(0, 256, (5, 7, 3)).astype(np.uint8)}.items():
+        (tmp_path / f"{name}.png").write_bytes(colour(p))
+    (tmp_path / "one.png").write_bytes(W._png(np.full((2, 2), 7, np.uint8)))
+    got = {r.scan_id: (r["shape"], r.intensity_valid) for r in files.judged_images(spark, str(tmp_path)).collect()}
+    want = {r.scan_id: ([r.nx, r.ny, r.nz], max(r.px) > min(r.px)) for r in files.read_images(spark, str(tmp_path)).collect()}
+    assert got == want and sorted(v for _, v in got.values()) == [False, False, False, True]
