@@ -114,3 +114,19 @@ def test_grey_of_pictures(spark, tmp_path):
     got = {r.scan_id: (r["shape"], r.intensity_valid) for r in files.judged_images(spark, str(tmp_path)).collect()}
     want = {r.scan_id: ([r.nx, r.ny, r.nz], max(r.px) > min(r.px)) for r in files.read_images(spark, str(tmp_path)).collect()}
     assert got == want and sorted(v for _, v in got.values()) == [False, False, False, True]
+
+
+def test_files_are_written_by_all_cores(spark, tmp_path):
+    at, n = str(tmp_path), 64
+    rows = [(k, [float(k + i) for i in range(64)]) for k in range(n)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>").coalesce(1).write.parquet(f"{at}/embeddings.parquet")
+    tracker, group = spark.sparkContext.statusTracker(), "test-write-files"
+    spark.sparkContext.setJobGroup(group, "files of a table of one part")
+    try:
+        root = W.scan_folder(spark, at)
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    stages = [tracker.getStageInfo(s) for j in tracker.getJobIdsForGroup(group) for s in tracker.getJobInfo(j).stageIds]
+    assert max(s.numTasks for s in stages if s) >= spark.sparkContext.defaultParallelism
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+    assert files.count() == n
