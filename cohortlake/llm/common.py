@@ -16,6 +16,8 @@ from cohortlake.session import fresh_path, materialised
 
 #: Rows that one numbering bucket should hold; the number of buckets follows the table.
 BUCKET_ROWS = 20_000
+#: Bytes of the rows that Spark hands to a Python worker at once.
+BATCH = 1 << 23
 #: Edges that one task shrinks to stars; the number of tasks follows the graph.
 TASK_EDGES = 500_000
 
@@ -56,6 +58,16 @@ def trimmed() -> None:
         trim(0)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Batches for Python workers hold ``BATCH`` bytes at most, or one row, from now on; a limit that the session has been given stays.
+
+    Spark counts 10,000 rows, which are tens of megabytes of whole texts, and holds each batch in the JVM and in the worker.
+    """
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if name not in spark.conf.getAll:
+        spark.conf.set(name, f"{BATCH}b")
+
+
 Batches = Iterator[pa.RecordBatch]
 
 
@@ -192,4 +204,4 @@ def components(edges: DataFrame) -> DataFrame:
     return now.unionByName(roots).select(F.col("u").alias("node"), F.col("v").alias("label"))
 
 
-__all__ = ["buckets_for", "components", "fresh_path", "lean", "numbered", "released", "stored", "table", "tidy", "trimmed", "unused"]
+__all__ = ["buckets_for", "components", "fresh_path", "lean", "numbered", "released", "small_batches", "stored", "table", "tidy", "trimmed", "unused"]

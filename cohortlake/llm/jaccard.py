@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from cohortlake.llm.common import components, lean, stored, table, tidy, unused
+from cohortlake.llm.common import components, lean, small_batches, stored, table, tidy, unused
 from cohortlake.llm.textkit import LOWER, SPACE, chunks, mixed, runs_hashed, word_bounds
 
 WORDS = 5
@@ -433,6 +433,7 @@ def _labelled(docs: DataFrame, row) -> tuple[DataFrame, DataFrame]:
     sets that links connect.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     texts = docs.select(F.col("doc_id").cast("long").alias("_id"), row.cast("long").alias("_row"), F.col("text").alias("_text"))
     first = stored(_counted(texts), "counts")
     rows = first.where("part is null").select("doc_id", "row", "n", "node")

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortlake.llm.common import buckets_for, lean, numbered, stored, table
+from cohortlake.llm.common import buckets_for, lean, numbered, small_batches, stored, table
 from cohortlake.llm.encoding import encoder
 from cohortlake.llm.textkit import chunks
 
@@ -163,6 +163,7 @@ def packed_documents(docs: DataFrame, tokenizer: str, room: int = 1024, with_ids
     A null text is a document of ``END_ID`` alone.  Repeated rows are documents of their own, and a null
     doc_id is a value.  An empty table gives no rows.  Other columns are not read.
     """
+    small_batches(docs.sparkSession)
     pieces = stored(tokenised(docs, "doc_id", "text", tokenizer, room, with_ids), "pieces")
     return packed(pieces, room)
 

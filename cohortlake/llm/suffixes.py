@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cohortlake.llm.common import lean, released, stored, table, tidy, unused
+from cohortlake.llm.common import lean, released, small_batches, stored, table, tidy, unused
 from cohortlake.llm.textkit import BASE, CODES, INVERSE, chunks, mixed, prefix_hashes
 
 #: Bytes of a repeated string, and of the anchors by which its occurrences find each other.
@@ -381,6 +381,7 @@ def repeats(docs: DataFrame, keep_text: bool = False) -> tuple[DataFrame, DataFr
     empty.  Repeated rows are copies.  A null doc_id is a value.  Texts are told apart by 64-bit hashes.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     body = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select(
         F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("_id"), _key(body).alias("k"), body.alias("text")

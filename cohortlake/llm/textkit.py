@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text handled at a time; one longer text is a chunk of its own.
-CHUNK = 1 << 21
+CHUNK = 1 << 19
 #: Odd multipliers of the polynomial hashes, and the byte codes they sum.
 BASE = 0x9E3779B97F4A7C15 | 1
 _MASK = (1 << 64) - 1

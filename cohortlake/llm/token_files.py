@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cohortlake.llm.common import buckets_for, fresh_path, lean, stored, table
+from cohortlake.llm.common import buckets_for, fresh_path, lean, small_batches, stored, table
 from cohortlake.llm.encoding import encoder
 from cohortlake.llm.textkit import chunks
 from cohortlake.llm.warc import _opened
@@ -171,6 +171,7 @@ def write_tokens(docs: DataFrame, ident: str, text: str, tokenizer: str, path: s
     its range.  File names are unique to an attempt, and only attempts that Spark commits reach the catalogue, so
     a lost or repeated attempt leaves at most a file that nobody refers to.
     """
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(ident).cast("long").alias("_id"), F.col(text).cast("string").alias("_text"))
     total = rows.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("_text")), F.lit(0)).alias("bytes")).first()  # one row
     parts = max(buckets_for(total["bytes"], size), buckets_for(total["n"], FILE_ROWS))

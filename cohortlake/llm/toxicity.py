@@ -12,7 +12,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortlake.llm.common import lean, released, stored, table, tidy
+from cohortlake.llm.common import lean, released, small_batches, stored, table, tidy
 from cohortlake.llm.textkit import chunks, runs_hashed, word_bounds
 
 #: Labelled documents that the chain is fitted on, at most: the first by a hash of their id.
@@ -228,6 +228,7 @@ def trained(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], s
     A document labelled more than once has a category if any of its labels says so; labels with a null id
     or a null category, and documents without text, take no part.
     """
+    small_batches(docs.sparkSession)
     known = labels.select(F.col("doc_id").alias("_id"), *[c.cast("int").alias(n) for n, c in categories.items()])
     known = known.dropna().groupBy("_id").agg(*[F.max(n).alias(n) for n in categories])
     some = known.orderBy(F.xxhash64("_id"), "_id").limit(sample)  # bounded, so it can be sent to every task

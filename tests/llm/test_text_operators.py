@@ -7,11 +7,12 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from texts import words
 from pyspark.sql import functions as F
 
-from cohortlake.llm import encoding, fingerprints, jaccard, mixing, packing, sharding, suffixes, token_files, toxicity
+from cohortlake.llm import common, encoding, fingerprints, jaccard, mixing, packing, sharding, suffixes, textkit, token_files, toxicity
 
 PATH = "byte_bpe_50k.json"
 
@@ -627,3 +628,48 @@ def test_later_models_see_out_of_fold_logits():
     # a token that only the held-out fold knows says nothing out of fold
     blind = chosen | {("one", f): np.zeros(0, dtype=np.int64) for f in (0, 1, 2)}
     assert abs(toxicity.fit_chain(bags, ["one", "two"], blind)[1].earlier[0]) < chain[1].earlier[0] / 2
+
+
+# --- memory of workers ------------------------------------------------------------------------
+
+
+@pytest.mark.parametrize("work", ["suffixes", "shingles"])
+def test_worker_memory_for_a_batch_of_texts(work):
+    """What numpy holds at once while it goes through 8 MB of texts."""
+    import tracemalloc
+
+    column = pa.array([words(i, 400) for i in range(40)] * 100)
+    tracemalloc.start()
+    try:
+        if work == "suffixes":
+            for _, _, data, offsets in textkit.chunks(column):
+                suffixes._anchored(data, offsets)
+        else:
+            for _ in jaccard.shingle_sets(column):
+                pass
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 80e6
+
+
+def test_text_stages_hand_small_batches_to_workers(spark, documents):
+    """Without a limit of the session's own, no batch of texts is larger than ``BATCH``."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name) if name in spark.conf.getAll else None
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"size": [batch.nbytes]})
+
+    try:
+        spark.conf.unset(name)
+        suffixes.repeats(documents().select("doc_id", "text"))
+        texts = spark.range(0, 5_000, 1, 1).select(F.repeat(F.lit("x"), 5_000).alias("text"))
+        most = texts.mapInArrow(sizes, "size long").agg(F.max("size")).first()[0]
+        assert most < common.BATCH + 100_000
+        spark.conf.set(name, "1m")
+        common.small_batches(spark)
+        assert spark.conf.get(name) == "1m"
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
