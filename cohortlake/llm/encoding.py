@@ -3,31 +3,69 @@
 from __future__ import annotations
 
 import re
-from collections import defaultdict
 from collections.abc import Sequence
-from itertools import islice
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Pieces whose ids a Python worker remembers; those seen first, mostly the frequent ones, outlast the others.
 KNOWN = 400_000
 #: Ids that they may have together; long runs of signs are the reason for a bound of its own.
 KNOWN_IDS = 8 * KNOWN
-#: Pieces of one text that are numbered at a time.
-BLOCK = 500_000
+#: Pieces that are numbered at a time.
+BLOCK = 1_000_000
 
 # Letters, numbers and white space below U+0250.
 _LETTERS = "A-Za-zªµºÀ-ÖØ-öø-ɏ"
 _NUMBERS = "0-9²³¹¼-¾"
 _SPACES = "\t-\r \u0085 "
-#: The split of byte-level vocabularies, for texts of which all characters have a class here.
-_PIECE = re.compile(
-    f"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTERS}]+| ?[{_NUMBERS}]+| ?[^{_SPACES}{_LETTERS}{_NUMBERS}]+|[{_SPACES}]+(?![^{_SPACES}])|[{_SPACES}]+"
-)
+#: Kinds of characters below U+0250, and of the bytes of a text: what stands between texts, letters, numbers, other signs, white space.
+_NONE, _LETTER, _NUMBER, _SIGN, _SPACE = range(5)
+_KINDS = np.full(0x250, _SIGN, np.uint8)
+for _kind, _class in ((_LETTER, _LETTERS), (_NUMBER, _NUMBERS), (_SPACE, _SPACES)):
+    _KINDS[[c for c in range(len(_KINDS)) if re.match(f"[{_class}]", chr(c))]] = _kind
+#: Stands between texts: no byte of UTF-8.
+GAP = b"\xff"
+_BYTES = np.full(256, _SIGN, np.uint8)
+_BYTES[:128], _BYTES[GAP[0]] = _KINDS[:128], _NONE
 #: Characters above U+024F that are neither letters, numbers nor white space: dashes, quotes, bullets, the euro sign.
 _OTHER = re.compile("[^\u0000-ɏ‐-‧‰-⁞€]")
 
 
+def _kinds(data: np.ndarray) -> np.ndarray:
+    """The kind of every byte; bytes of one character have one kind."""
+    kind = _BYTES[data]
+    lead = np.flatnonzero((data >= 0xC2) & (data <= 0xC9))  # U+0080 to U+024F; longer characters are signs
+    kind[lead] = kind[lead + 1] = _KINDS[(data[lead] & 0x1F).astype(np.int64) << 6 | data[lead + 1] & 0x3F]
+    return kind
+
+
+def piece_starts(data: np.ndarray) -> np.ndarray:
+    """First bytes of all pieces of ``data``: texts of known characters in UTF-8, with ``GAP`` before, between and after them.
+
+    The split of byte-level vocabularies: ``'s|'t|'re|'ve|'m|'ll|'d| ?letters+| ?numbers+| ?signs+|spaces+(?!not a space)|spaces+``.
+    A gap is a piece of its own.
+    """
+    kind = _kinds(data)
+    first = np.flatnonzero(kind[1:] != kind[:-1]) + 1
+    cut = kind == _NONE
+    cut[first] = True
+    # the last white space before anything else: a blank goes with what follows, another one is a piece of its own
+    first = first[(kind[first - 1] == _SPACE) & (kind[first] != _NONE)]
+    cut[first - 1 - (data[first - 1] >= 0x80)] = True
+    cut[first[data[first - 1] == 0x20]] = False
+    # endings behind an apostrophe that begins a piece
+    at = np.flatnonzero(data == 0x27)
+    at = at[(kind[at - 1] != _SIGN) & (data[at - 1] != 0x20) & (kind[at + 1] == _LETTER)]
+    one, two = data[at + 1], data[at + 2]
+    short = at[np.isin(one, np.frombuffer(b"stmd", np.uint8))]
+    long = at[(np.isin(one, np.frombuffer(b"rv", np.uint8)) & (two == ord("e"))) | ((one == ord("l")) & (two == ord("l")))]
+    cut[short + 1] = cut[long + 1] = False
+    cut[short + 2] = cut[long + 3] = True
+    return np.flatnonzero(cut)
+
+
 class Encoder:
     """Ids of whole texts, as unsigned 32-bit integers.
 
@@ -43,32 +81,34 @@ class Encoder:
 
         self.own = Tokenizer.from_file(path)
         self.own.encode_special_tokens = True
-        self._start([], np.zeros(1, np.int64), np.zeros(0, np.uint32))
-
-    def _start(self, pieces: list[str], edges: np.ndarray, ids: np.ndarray) -> None:
-        """Remember these pieces; piece i has ids[edges[i]:edges[i + 1]].  A new piece gets the next number."""
-        self.number: defaultdict[str, int] = defaultdict(None, zip(pieces, range(len(pieces)), strict=True))
-        self.number.default_factory = self.number.__len__
-        self.edges, self.ids = edges, ids
+        #: Pieces remembered; piece i has ids[edges[i]:edges[i + 1]].
+        self.known = pa.array([GAP], pa.large_binary())
+        self.edges, self.ids = np.zeros(2, np.int64), np.zeros(0, np.uint32)
 
     def whole(self, texts: Sequence[str]) -> list[np.ndarray]:
         """The ids of texts that are not split here."""
         found = self.own.encode_batch_fast(list(texts), add_special_tokens=False)
         return [np.array(e.ids, np.uint32) for e in found]
 
-    def _numbers(self, text: str) -> np.ndarray:
-        if len(text) < BLOCK:
-            pieces = _PIECE.findall(text)
-            return np.fromiter(map(self.number.__getitem__, pieces), np.int64, len(pieces))
-        found, parts = _PIECE.finditer(text), []
-        while block := [m.group() for m in islice(found, BLOCK)]:
-            parts.append(np.fromiter(map(self.number.__getitem__, block), np.int64, len(block)))
-        return np.concatenate(parts)
+    def _numbers(self, data: np.ndarray) -> np.ndarray:
+        """The numbers of all pieces; a new piece gets the next number."""
+        edges = np.append(piece_starts(data), len(data))
+        pieces = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(edges) - 1, [None, pa.py_buffer(edges), pa.py_buffer(data)])
+        out = np.empty(len(pieces), np.int64)
+        for low in range(0, len(pieces), BLOCK):
+            block = pieces.slice(low, BLOCK)
+            found = pc.fill_null(pc.index_in(block, self.known), -1).to_numpy()
+            fresh = np.flatnonzero(found < 0)
+            new = block.take(pa.array(fresh)).dictionary_encode()
+            own = out[low : low + BLOCK]
+            own[:] = found
+            own[fresh] = new.indices.to_numpy() + np.int64(len(self.known))
+            self.known = pa.concat_arrays([self.known, new.dictionary])
+        return out
 
     def _learn(self) -> None:
         """Get the ids of all pieces that were numbered since the last time."""
-        done = len(self.edges) - 1
-        fresh = list(islice(self.number, done, None))
+        fresh = self.known.slice(len(self.edges) - 1).cast(pa.large_string()).to_pylist()
         if not fresh:
             return
         found = self.own.encode(fresh, is_pretokenized=True, add_special_tokens=False)
@@ -77,9 +117,10 @@ class Encoder:
         self.edges = np.concatenate([self.edges, self.edges[-1] + np.cumsum(counts)])
 
     def _forget(self) -> None:
-        if len(self.number) > KNOWN or len(self.ids) > KNOWN_IDS:
+        if len(self.known) > KNOWN or len(self.ids) > KNOWN_IDS:
             keep = min(KNOWN // 2, int(np.searchsorted(self.edges, KNOWN_IDS // 2, "right")) - 1)
-            self._start(list(islice(self.number, keep)), self.edges[: keep + 1], self.ids[: self.edges[keep]].copy())
+            self.known = self.known.take(pa.array(np.arange(keep)))
+            self.edges, self.ids = self.edges[: keep + 1].copy(), self.ids[: self.edges[keep]].copy()
 
     def encode(self, texts: Sequence[str]) -> list[np.ndarray]:
         """The ids of every text, in order."""
@@ -88,13 +129,15 @@ class Encoder:
         for i, ids in zip(odd, self.whole([texts[i] for i in odd]), strict=True):
             done[i] = ids
         rest = [i for i in range(len(texts)) if done[i] is None]
-        numbers = [self._numbers(texts[i]) for i in rest]
+        own = self._numbers(np.frombuffer(GAP + b"".join(texts[i].encode() + GAP for i in rest), np.uint8))
         self._learn()
-        for i, own in zip(rest, numbers, strict=True):
-            first, count = self.edges[own], self.edges[own + 1] - self.edges[own]
-            ends = np.cumsum(count)
-            at = np.arange(ends[-1] if len(ends) else 0) + np.repeat(first - ends + count, count)
-            done[i] = self.ids[at]
+        first = self.edges[own]
+        count = self.edges[own + 1] - first
+        ends = np.cumsum(count)
+        ids = self.ids[np.arange(ends[-1]) + np.repeat(first - ends + count, count)]
+        bounds = ends[own == 0]  # gaps have no ids
+        for i, low, high in zip(rest, bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+            done[i] = ids[low:high]
         self._forget()
         return done
 

@@ -252,6 +252,26 @@ def test_long_texts_are_encoded_whole(text):
     assert np.array_equal(own.encode([text])[0], own.whole([text])[0])
 
 
+def test_pieces_are_those_of_the_vocabulary():
+    """Where pieces start, in many texts at once, against the pre-tokenizer itself."""
+    import public_tokenizers
+
+    own = encoding.Encoder(public_tokenizers.path("byte_bpe_50k.json")).own
+    draw = random.Random(2)
+    chars = list("aZ\u00e91\u00b2.'#\u2014\u20ac \n\t\xa0\x85") + [" "] * 4 + list("'stvemldre")
+    texts = ["", "", "it's", "'s't", " 's", "\xa0's", "''s", "a  b", "a \n b", " \xa0", "'ll've"]
+    texts += ["".join(draw.choice(chars) for _ in range(draw.randint(0, 30))) for _ in range(3_000)]
+    data = np.frombuffer(encoding.GAP + b"".join(t.encode() + encoding.GAP for t in texts), np.uint8)
+    starts = set(encoding.piece_starts(data).tolist())
+    want, at = {0}, 1
+    for t in texts:
+        want |= {at + len(t[:low].encode()) for _, (low, _) in own.pre_tokenizer.pre_tokenize_str(t)}
+        at += len(t.encode())
+        want.add(at)
+        at += 1
+    assert starts == want
+
+
 # --- op12 -------------------------------------------------------------------------------------
 
 
